@@ -1,0 +1,31 @@
+"""Join helpers whose broadcast decisions are backed by a measured size."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only when its measured row count is at most this.
+DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
+
+
+def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """Persist a frame expected to be small and return it with its row count.
+
+    The count is one action over an already-reduced frame; the persisted copy
+    is reused by the join so the reduction is not computed twice. Lost cached
+    blocks are recomputed from lineage, so executor loss is safe.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return kept, kept.count()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when its row count is proven to be at most ``max_rows``.
+
+    Larger frames are returned unchanged and Spark plans a shuffle join
+    (with AQE skew splitting) instead.
+    """
+    kept, rows = materialize_small(df)
+    return F.broadcast(kept) if rows <= max_rows else kept
