@@ -57,17 +57,21 @@ events_day AS (
            COUNT(*) AS n, COUNT(*) FILTER (WHERE value >= 50.0) AS f
     FROM events GROUP BY 1, 2
 ),
-snapshot AS (
+region_snap AS (
     SELECT date, tenant,
            CASE WHEN rk % 2 = 0 THEN 'alpha' ELSE 'beta' END AS source_backend,
            CAST(SUM(n) OVER (PARTITION BY tenant ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pods,
            CAST(SUM(f) OVER (PARTITION BY tenant ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS onboarded
     FROM region_day
-    UNION ALL
-    SELECT date, tenant, 'gamma',
-           CAST(SUM(n) OVER (PARTITION BY tenant ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT),
-           CAST(SUM(f) OVER (PARTITION BY tenant ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT)
+),
+events_snap AS (
+    SELECT date, tenant, 'gamma' AS source_backend,
+           CAST(SUM(n) OVER (PARTITION BY tenant ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pods,
+           CAST(SUM(f) OVER (PARTITION BY tenant ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS onboarded
     FROM events_day
+),
+snapshot AS (
+    SELECT * FROM region_snap UNION ALL SELECT * FROM events_snap
 )"""
 
 

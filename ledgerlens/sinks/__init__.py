@@ -1 +1 @@
-"""sinks."""
+"""Table writes."""
