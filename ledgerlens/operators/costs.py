@@ -435,7 +435,7 @@ def anchors_for_month(anchors: DataFrame, month: dt.date | str) -> DataFrame:
 
 def load_windows(
     existing: DataFrame,
-    account_list: Iterable[str],
+    account_list: Iterable[str] | DataFrame,
     today: dt.date | str,
     backfill_months: int = 12,
 ) -> DataFrame:
@@ -449,7 +449,10 @@ def load_windows(
     today_d = as_date(today)
     m0 = py_month_start(today_d)
     backfill = py_shift_month_start(m0, -backfill_months)
-    acc = spark.createDataFrame([(a,) for a in account_list], "account string")
+    if isinstance(account_list, DataFrame):
+        acc = account_list.select("account").distinct()
+    else:
+        acc = spark.createDataFrame([(a,) for a in account_list], "account string")
     latest = existing.groupBy("account").agg(F.max("date").alias("_latest"))
     start_candidate = F.coalesce(F.date_sub("_latest", 1), F.lit(backfill))
     return acc.join(latest, "account", "left").select(
@@ -476,3 +479,49 @@ def select_load_window(source: DataFrame, windows: DataFrame) -> DataFrame:
         & (F.col("date") < F.col("stop")),
     )
     return joined.select(*source.columns)
+
+
+def load_summary(df: DataFrame) -> DataFrame:
+    """Rows, first and last day of a loaded table."""
+    return df.agg(
+        F.count(F.lit(1)).alias("total_rows"), F.min("date").alias("min_date"), F.max("date").alias("max_date")
+    )
+
+
+def loaded_totals(loaded: DataFrame, money_scale: int | None = None) -> DataFrame:
+    """Per account of one load run: rows, amount, first and last day."""
+    return loaded.groupBy("account").agg(
+        F.count(F.lit(1)).alias("rows"),
+        money_value(sum_money("amount", money_scale)).alias("amount"),
+        F.min("date").alias("min_date"),
+        F.max("date").alias("max_date"),
+    )
+
+
+def month_shift(df: DataFrame) -> DataFrame:
+    """Calendar columns of each distinct date: month start, previous and
+    next month start, month end, day of month, and the same day capped to
+    the previous month's length."""
+    d = df.select("date").where(F.col("date").isNotNull()).distinct()
+    ms = month_start("date")
+    prev = F.add_months(ms, -1)
+    return d.select(
+        "date",
+        ms.alias("month_start"),
+        prev.alias("prev_month_start"),
+        F.add_months(ms, 1).alias("next_month_start"),
+        F.last_day("date").alias("month_end"),
+        F.dayofmonth("date").cast("bigint").alias("dom"),
+        F.least(F.last_day(prev), F.date_add(prev, F.dayofmonth("date") - 1)).alias("prev_month_capped"),
+    )
+
+
+def service_share(df: DataFrame, numerator: str, denominator: str, money_scale: int | None = None) -> DataFrame:
+    """Per (account, month): amount of one service over another's, NULL when
+    the denominator is 0 or missing."""
+    amt = F.col("amount")
+    g = df.groupBy("account", month_start("date").alias("month_start")).agg(
+        money_value(sum_money(F.when(F.col("service") == numerator, amt), money_scale)).alias("numerator_amount"),
+        money_value(sum_money(F.when(F.col("service") == denominator, amt), money_scale)).alias("denominator_amount"),
+    )
+    return g.select("*", safe_ratio("numerator_amount", "denominator_amount").alias("ratio"))

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from .oracle_sql import FIXTURE_CTES, metrics_cte, per_anchor_metrics_cte, period_metrics_sql, with_ctes
+from .oracle_sql import (
+    FIXTURE_CTES,
+    metrics_cte,
+    per_anchor_metrics_cte,
+    period_metrics_sql,
+    sql_fmt,
+    sql_month_label,
+    with_ctes,
+)
 
 _MONTHS = ("mtd", "prev_mtd", "prev2_mtd", "prev3_mtd", "prev4_mtd", "prev5_mtd")
 _AVGS = ("avg6", "avg12")
@@ -143,4 +151,84 @@ def oracles() -> dict[str, str]:
         f"tot AS ({_totals_sql('pmt')})",
         body=_report_rows("ord", "service", "rnk") + " UNION ALL " + _report_rows("tot", "'Total'", "CAST(0 AS BIGINT)"),
     )
+    incr = (
+        "ex AS (SELECT * FROM cost_fact WHERE date < DATE '2001-07-01' AND account <> 'MACHINERY')",
+        "acc AS (SELECT DISTINCT account FROM cost_lines)",
+        "win AS (SELECT a.account, LEAST(COALESCE(CAST(l.latest - INTERVAL 1 DAY AS DATE), DATE '2000-08-01'), "
+        "DATE '2001-08-01') AS start_d, DATE '2001-08-02' AS stop_d FROM acc a LEFT JOIN "
+        "(SELECT account, MAX(date) AS latest FROM ex GROUP BY account) l ON l.account = a.account)",
+        "incr AS (SELECT f.date, f.account, f.service, f.amount FROM cost_fact f JOIN win w "
+        "ON f.account = w.account AND f.date >= w.start_d AND f.date < w.stop_d)",
+    )
+    q["incremental_window"] = with_ctes(FIXTURE_CTES, *incr, body="SELECT * FROM incr")
+    q["loaded_totals"] = with_ctes(
+        FIXTURE_CTES,
+        *incr,
+        body="SELECT account, COUNT(*) AS rows, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount, "
+        "MIN(date) AS min_date, MAX(date) AS max_date FROM incr GROUP BY account",
+    )
+    ups = (
+        "ex AS (SELECT * FROM cost_fact_n WHERE date < DATE '2001-07-01')",
+        "b1 AS (SELECT date, account, service, amount * 2 AS amount FROM cost_fact_n WHERE date >= DATE '2001-06-15')",
+        "b2 AS (SELECT date, account, service, amount + 1 AS amount FROM cost_fact_n WHERE date >= DATE '2001-07-15')",
+        "allr AS (SELECT *, 0 AS b FROM ex UNION ALL SELECT *, 1 FROM b1 UNION ALL SELECT *, 2 FROM b2)",
+        "nn AS (SELECT * FROM allr WHERE date IS NOT NULL AND account IS NOT NULL AND service IS NOT NULL)",
+        "ups AS (SELECT date, account, service, amount FROM nn n WHERE NOT EXISTS (SELECT 1 FROM nn m "
+        "WHERE m.date = n.date AND m.account = n.account AND m.service = n.service AND m.b > n.b) "
+        "UNION ALL SELECT date, account, service, amount FROM allr "
+        "WHERE date IS NULL OR account IS NULL OR service IS NULL)",
+    )
+    q["cost_upsert"] = with_ctes(FIXTURE_CTES, *ups, body="SELECT * FROM ups")
+    q["load_summary"] = with_ctes(
+        FIXTURE_CTES, *ups, body="SELECT COUNT(*) AS total_rows, MIN(date) AS min_date, MAX(date) AS max_date FROM ups"
+    )
+    q["safe_ratio"] = with_ctes(
+        FIXTURE_CTES,
+        body="SELECT account, month_start, numerator_amount, denominator_amount, "
+        "numerator_amount / NULLIF(denominator_amount, 0) AS ratio FROM ("
+        "SELECT account, CAST(date_trunc('month', date) AS DATE) AS month_start, "
+        "CAST(SUM(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE service = 'Tax') AS DOUBLE) AS numerator_amount, "
+        "CAST(SUM(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE service = 'Urgent') AS DOUBLE) AS denominator_amount "
+        "FROM costs GROUP BY 1, 2) s",
+    )
+    q["month_shift"] = with_ctes(
+        FIXTURE_CTES,
+        body="SELECT date, CAST(date_trunc('month', date) AS DATE) AS month_start, "
+        "CAST(date_trunc('month', date) - INTERVAL 1 MONTH AS DATE) AS prev_month_start, "
+        "CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE) AS next_month_start, "
+        "CAST(last_day(date) AS DATE) AS month_end, CAST(day(date) AS BIGINT) AS dom, "
+        "LEAST(CAST(last_day(date_trunc('month', date) - INTERVAL 1 MONTH) AS DATE), "
+        "CAST(date_trunc('month', date) - INTERVAL 1 MONTH AS DATE) + CAST(day(date) - 1 AS INTEGER)) AS prev_month_capped "
+        "FROM (SELECT DISTINCT date FROM cost_fact WHERE date IS NOT NULL) d",
+    )
+    cell = (
+        "CASE WHEN value IS NULL THEN '' WHEN pct IS NULL THEN " + sql_fmt("value", 2)
+        + " ELSE " + sql_fmt("value", 2) + " || chr(10) || " + sql_fmt("pct * 100", 1, sign=True) + " || '%' END"
+    )
+    q["report_text"] = with_ctes(
+        FIXTURE_CTES,
+        mtd,
+        MTD_NO_TAX,
+        ORDER_CTE,
+        f"tot AS ({_totals_sql('pmt')})",
+        "rep AS (" + _report_rows("ord", "service", "rnk") + " UNION ALL "
+        + _report_rows("tot", "'Total'", "CAST(0 AS BIGINT)") + ")",
+        body=f"SELECT account, service, metric, {cell} AS cell_text, "
+        "CASE WHEN pct IS NULL THEN '' WHEN pct < 0 THEN 'neg' ELSE 'pos' END AS pct_class FROM rep",
+    )
+    rows = [("mtd", 0), ("prev_mtd", 1), ("prev2_mtd", 2), ("prev3_mtd", 3), ("prev4_mtd", 4)]
+    label_cols = ", ".join(
+        sql_month_label(f"CAST(month_start - INTERVAL {k} MONTH AS DATE)") + f" AS label_{m}" for m, k in rows
+    )
+    q["period_labels"] = with_ctes(
+        FIXTURE_CTES,
+        ANCHORS_CTE,
+        "lm AS (SELECT account, MAX(month_start) AS latest FROM anc GROUP BY account)",
+        "opts AS (SELECT a.account, 'current' AS option, a.month_start FROM anc a JOIN lm ON a.account = lm.account "
+        "AND a.month_start = lm.latest UNION ALL SELECT a.account, 'month:' || strftime(a.month_start, '%Y-%m-%d'), "
+        "a.month_start FROM anc a JOIN lm ON a.account = lm.account AND a.month_start < lm.latest)",
+        body="SELECT account, option, CASE WHEN option = 'current' THEN 'Stato attuale' ELSE "
+        + sql_month_label("month_start") + f" END AS period_label, {label_cols}, "
+        "'Media 6M' AS label_avg6, 'Media 12M' AS label_avg12 FROM opts",
+    )
     return q

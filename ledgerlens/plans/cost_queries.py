@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import costs as C
+from ..sinks.tables import merge_latest
 from ..sources import fixtures as fx
 
 # Report anchors of the checked queries (FIXTURES.md).
@@ -13,6 +15,12 @@ ANCHOR = "2000-03-31"  # previous month is a leap February
 FULL_MONTH = "2000-03-01"
 PER_ACCOUNT_MONTH = "2001-03-01"
 SCALE = fx.MONEY_SCALE
+# Incremental load scenario (FIXTURES.md).
+LOAD_TODAY = "2001-08-01"
+LOADED_BEFORE = "2001-07-01"
+NOT_YET_LOADED = "MACHINERY"  # an account with nothing loaded: 12-month backfill
+UPSERT_FROM_1 = "2001-06-15"
+UPSERT_FROM_2 = "2001-07-15"
 
 
 def labeled_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +105,75 @@ def q_distinct_accounts(spark, sf_dir):
     return C.accounts(labeled_costs(spark, sf_dir))
 
 
+def _existing_costs(spark, sf_dir):
+    f = fx.cost_fact(spark, sf_dir)
+    return f.where((F.col("date") < F.lit(LOADED_BEFORE)) & (F.col("account") != NOT_YET_LOADED))
+
+
+def q_incremental_window(spark, sf_dir):
+    """Rows an incremental run loads: per-account windows from the loaded
+    table, applied to the source facts in one join."""
+    source = fx.cost_fact(spark, sf_dir)
+    accounts = fx.cost_lines(spark, sf_dir).select("account")
+    windows = C.load_windows(_existing_costs(spark, sf_dir), accounts, LOAD_TODAY)
+    return C.select_load_window(source, windows)
+
+
+def _upserted(spark, sf_dir):
+    f = fx.cost_fact_with_nulls(spark, sf_dir)
+    existing = f.where(F.col("date") < F.lit(LOADED_BEFORE))
+    b1 = f.where(F.col("date") >= F.lit(UPSERT_FROM_1)).withColumn("amount", F.col("amount") * 2)
+    b2 = f.where(F.col("date") >= F.lit(UPSERT_FROM_2)).withColumn("amount", F.col("amount") + 1)
+    return merge_latest(existing, [b1, b2], ("date", "account", "service"))
+
+
+def q_cost_upsert(spark, sf_dir):
+    return _upserted(spark, sf_dir)
+
+
+def q_load_summary(spark, sf_dir):
+    return C.load_summary(_upserted(spark, sf_dir))
+
+
+def q_loaded_totals(spark, sf_dir):
+    return C.loaded_totals(q_incremental_window(spark, sf_dir), SCALE)
+
+
+def q_safe_ratio(spark, sf_dir):
+    return C.service_share(labeled_costs(spark, sf_dir), "Tax", "Urgent", SCALE)
+
+
+def q_month_shift(spark, sf_dir):
+    return C.month_shift(fx.cost_fact(spark, sf_dir))
+
+
+def q_report_text(spark, sf_dir):
+    r = q_service_report(spark, sf_dir)
+    return r.select(
+        "account",
+        "service",
+        "metric",
+        X.cost_cell_text("value", "pct").alias("cell_text"),
+        X.cost_pct_class("pct").alias("pct_class"),
+    )
+
+
+def q_period_labels(spark, sf_dir):
+    opts = C.period_options(C.month_anchors(labeled_costs(spark, sf_dir)))
+    return opts.select(
+        "account", "option", X.period_label("option").alias("period_label"), *X.row_label_columns("month_start")
+    )
+
+
 QUERIES = {
+    "incremental_window": q_incremental_window,
+    "cost_upsert": q_cost_upsert,
+    "load_summary": q_load_summary,
+    "loaded_totals": q_loaded_totals,
+    "safe_ratio": q_safe_ratio,
+    "month_shift": q_month_shift,
+    "report_text": q_report_text,
+    "period_labels": q_period_labels,
     "daily_cost_rollup": q_daily_cost_rollup,
     "linked_account_exclusion": q_linked_account_exclusion,
     "service_label": q_service_label,

@@ -194,3 +194,25 @@ def per_anchor_metrics_cte(name: str, anchors_cte: str, source: str = "costs") -
         "SELECT cur.account, cur.service,", "SELECT cur.account, prm.last_date AS anchor_date, cur.service,"
     ).replace("FROM cur\n", "FROM cur JOIN prm ON prm.account = cur.account\n")
     return ",\n".join(blocks) + f",\n{name} AS ({body})"
+
+
+def sql_fmt(x: str, decimals: int, sign: bool = False) -> str:
+    """Italian number text in DuckDB: printf grouping, then swap , and ."""
+    body = f"translate(printf('%,.{decimals}f', CAST({x} AS DOUBLE)), ',.', '.,')"
+    if sign:
+        body = f"(CASE WHEN {x} >= 0 THEN '+' ELSE '' END || {body})"
+    return f"COALESCE({body}, '')"
+
+
+def sql_count_fmt(x: str, decimals: int = 0, sign: bool = False) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN '' WHEN round_even(CAST({x} AS DOUBLE), {decimals}) = 0 THEN '0' ELSE {sql_fmt(x, decimals, sign)} END)"
+
+
+MONTH_NAMES_SQL = (
+    "['Gennaio', 'Febbraio', 'Marzo', 'Aprile', 'Maggio', 'Giugno', 'Luglio', 'Agosto', "
+    "'Settembre', 'Ottobre', 'Novembre', 'Dicembre']"
+)
+
+
+def sql_month_label(d: str) -> str:
+    return f"(list_extract({MONTH_NAMES_SQL}, month({d})) || ' ' || CAST(year({d}) AS VARCHAR))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle_sql import SNAPSHOT_CTES, with_ctes
+from .oracle_sql import SNAPSHOT_CTES, sql_count_fmt, with_ctes
 
 LINEITEM_CTE = """
 li_day AS (
@@ -276,4 +276,29 @@ def oracles() -> dict[str, str]:
         "lower(cm.tenant), cm.tenant) AS BIGINT) AS rank FROM cm LEFT JOIN l30 ON l30.tenant = cm.tenant",
     )
     q["distinct_keys"] = with_ctes(*_TREND_BASE, WINDOW_CTES, body="SELECT tenant FROM ten")
+    q["trend_class"] = with_ctes(
+        *_TREND_BASE,
+        WINDOW_CTES,
+        _matrix_ctes("total_pods"),
+        body="SELECT month_start, tenant, CASE WHEN delta > 0 THEN 'pos' WHEN delta < 0 THEN 'neg' "
+        "WHEN delta = 0 THEN 'neutral' WHEN pct > 0 THEN 'pos' WHEN pct < 0 THEN 'neg' "
+        "WHEN pct = 0 THEN 'neutral' ELSE '' END AS trend_class FROM matrix",
+    )
+    pct_d = "(pct * 100)"
+    share_d = "(value / reference_value * 100)"
+    q["pod_report_text"] = with_ctes(
+        *_TREND_BASE,
+        WINDOW_CTES,
+        _matrix_ctes("onboarded_pods"),
+        body="SELECT month_start, tenant, "
+        f"{sql_count_fmt('value')} AS value_text, {sql_count_fmt('delta', 0, True)} AS delta_text, "
+        f"CASE WHEN pct IS NULL THEN '' ELSE (CASE WHEN abs({pct_d}) >= 1 THEN {sql_count_fmt(pct_d, 0, True)} "
+        f"ELSE {sql_count_fmt(pct_d, 1, True)} END) || '%' END AS pct_text, "
+        f"CASE WHEN value IS NULL OR reference_value IS NULL OR reference_value <= 0 THEN '' ELSE "
+        f"(CASE WHEN abs({share_d}) >= 1 THEN {sql_count_fmt(share_d, 0)} ELSE {sql_count_fmt(share_d, 1)} END) || '%' END "
+        "AS share_text, "
+        "CASE WHEN value IS NULL OR reference_value IS NULL OR reference_value <= 0 THEN 'neutral' "
+        "WHEN value / reference_value >= 0.75 THEN 'pos' WHEN value / reference_value >= 0.30 THEN 'warn' "
+        "ELSE 'neg' END AS share_class FROM matrix",
+    )
     return q

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import snapshots as S
 from ..operators import trends as T
 from ..sinks.tables import replace_range
@@ -190,7 +191,27 @@ def q_distinct_keys(spark, sf_dir):
     return T.report_tenants(m, d, "total").orderBy("tenant")
 
 
+def q_trend_class(spark, sf_dir):
+    m = q_trend_matrix_total(spark, sf_dir)
+    return m.select("month_start", "tenant", X.trend_class("delta", "pct").alias("trend_class"))
+
+
+def q_pod_report_text(spark, sf_dir):
+    m = q_trend_matrix_onboarded(spark, sf_dir)
+    return m.select(
+        "month_start",
+        "tenant",
+        X.format_count_it("value").alias("value_text"),
+        X.format_count_it("delta", sign=True).alias("delta_text"),
+        X.pct_text("pct").alias("pct_text"),
+        X.share_pct_text("value", "reference_value").alias("share_text"),
+        X.share_class("value", "reference_value").alias("share_class"),
+    )
+
+
 QUERIES = {
+    "trend_class": q_trend_class,
+    "pod_report_text": q_pod_report_text,
     "snapshot_normalize": q_snapshot_normalize,
     "snapshot_validate": q_snapshot_validate,
     "snapshot_conflicts": q_snapshot_conflicts,
