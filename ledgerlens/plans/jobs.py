@@ -98,11 +98,11 @@ def snapshot_refresh(
         d_seed, m_seed = T.seed_values(daily_old, monthly_old, current_year)
         year_snaps = T.year_rows(snaps, current_year)
         daily_new = replace_range(
-            daily_old, T.daily_rows(year_snaps, d_seed), "date",
+            daily_old.select(*T.DAILY_COLUMNS), T.daily_rows(year_snaps, d_seed), "date",
             dt.date(current_year, 1, 1), dt.date(current_year, 12, 31), ("date", "tenant"),
         )
         monthly_new = replace_range(
-            monthly_old, T.monthly_rows(year_snaps, m_seed), "month_start",
+            monthly_old.select(*T.MONTHLY_COLUMNS), T.monthly_rows(year_snaps, m_seed), "month_start",
             dt.date(current_year, 1, 1), dt.date(current_year, 12, 1), ("month_start", "tenant"),
         )
     stamp = F.current_timestamp().alias("updated_at")
