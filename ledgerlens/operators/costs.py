@@ -41,6 +41,30 @@ METRIC_COLUMNS = (
 )
 
 
+# Partition column of the stored cost table (first day of the date's month).
+PARTITION_COLUMN = "month"
+
+
+def date_range(df: DataFrame, lo: dt.date | None, hi: dt.date | None, hi_inclusive: bool = True) -> DataFrame:
+    """Cut to ``lo <= date <= hi`` (or ``< hi``) with literal bounds.
+
+    The bounds reach the Parquet scan as pushed filters; when the table is
+    partitioned by month the same bounds also prune whole partitions.
+    """
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (F.col("date") >= F.lit(lo))
+    if hi is not None:
+        cond = cond & ((F.col("date") <= F.lit(hi)) if hi_inclusive else (F.col("date") < F.lit(hi)))
+    if PARTITION_COLUMN in df.columns:
+        m = F.col(PARTITION_COLUMN)
+        if lo is not None:
+            cond = cond & (m >= F.lit(py_month_start(lo)))
+        if hi is not None:
+            cond = cond & (m <= F.lit(py_month_start(hi)))
+    return df.where(cond)
+
+
 # --------------------------------------------------------------------------
 # Rollup, exclusion, labels, filters
 # --------------------------------------------------------------------------
@@ -101,7 +125,7 @@ def table_projection(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def incremental_window(df: DataFrame, start: dt.date | str, stop: dt.date | str) -> DataFrame:
     """Half-open date range ``[start, stop)``, pushed to the scan as literals."""
-    return df.where((F.col("date") >= F.lit(as_date(start))) & (F.col("date") < F.lit(as_date(stop))))
+    return date_range(df, as_date(start), as_date(stop), hi_inclusive=False)
 
 
 # --------------------------------------------------------------------------
@@ -234,7 +258,7 @@ def period_metrics(
     lo = py_shift_month_start(m0, -HISTORY_MONTHS)
     k = F.lit(m0.year * 12 + m0.month - 1) - month_index("date")
     window = (
-        facts.where((F.col("date") >= F.lit(lo)) & (F.col("date") <= F.lit(anchor)))
+        date_range(facts, lo, anchor)
         .withColumn("_k", k)
         .where((F.col("_k") == 0) | (F.dayofmonth("date") <= F.lit(anchor.day)))
     )
@@ -249,7 +273,7 @@ def period_metrics_for_month(
     lo = py_shift_month_start(m0, -HISTORY_MONTHS)
     hi = py_shift_month_start(m0, 1)
     k = F.lit(m0.year * 12 + m0.month - 1) - month_index("date")
-    window = facts.where((F.col("date") >= F.lit(lo)) & (F.col("date") < F.lit(hi))).withColumn("_k", k)
+    window = date_range(facts, lo, hi, hi_inclusive=False).withColumn("_k", k)
     return _order(_aggregate_periods(window, (), money_scale))
 
 
@@ -287,7 +311,7 @@ def period_metrics_for_anchors(
         empty = facts.limit(0).withColumn("_k", F.lit(0)).withColumn(anchor_col, F.col("date"))
         return _aggregate_periods(empty, (anchor_col,), money_scale)
     hi = py_shift_month_start(bounds["hi"], 1) if full_month else bounds["hi"]
-    f = facts.where((F.col("date") >= F.lit(bounds["lo"])) & (F.col("date") <= F.lit(hi)))
+    f = date_range(facts, bounds["lo"], hi)
     f = f.withColumn("_fmonth", month_start("date"))
     joined = f.join(a, (F.col("account") == F.col("_a_account")) & (F.col("_fmonth") == F.col("_month")))
     if full_month:
@@ -470,7 +494,7 @@ def select_load_window(source: DataFrame, windows: DataFrame) -> DataFrame:
     bounds = w.agg(F.min("start").alias("lo"), F.max("stop").alias("hi")).first()
     if bounds is None or bounds["lo"] is None:
         return source.limit(0)
-    src = source.where((F.col("date") >= F.lit(bounds["lo"])) & (F.col("date") < F.lit(bounds["hi"])))
+    src = date_range(source, bounds["lo"], bounds["hi"], hi_inclusive=False)
     win = broadcast_if_small(w.select(F.col("account").alias("_w_account"), "start", "stop"))
     joined = src.join(
         win,
