@@ -137,6 +137,12 @@ def latest_date(df: DataFrame, account: str | None = None) -> dt.date | None:
     """Table-wide (or one account's) latest date: one scalar action."""
     if account is not None:
         df = df.where(F.col("account") == F.lit(account))
+    if PARTITION_COLUMN in df.columns:
+        # Newest month first (partition values only), then one partition's dates.
+        top = df.agg(F.max(PARTITION_COLUMN)).first()[0]
+        if top is None:
+            return None
+        df = df.where(F.col(PARTITION_COLUMN) == F.lit(top))
     row = df.agg(F.max("date").alias("latest_date")).first()
     return None if row is None else row["latest_date"]
 
@@ -379,6 +385,14 @@ def service_totals(
     )
 
 
+def collapse_duplicate_services(df: DataFrame, group_cols: Sequence[str] = ("account",)) -> DataFrame:
+    """One row per (group, service): the first non-NULL value of every
+    metric. Period metrics are unique per key already; this guards report
+    inputs assembled from elsewhere."""
+    metrics = [c for c in df.columns if c not in (*group_cols, "service")]
+    return df.groupBy(*group_cols, "service").agg(*[F.first(c, ignorenulls=True).alias(c) for c in metrics])
+
+
 def service_order(df: DataFrame, group_cols: Sequence[str] = ("account",)) -> DataFrame:
     """Rank services per group by current amount, largest first, NULL last;
     ties by name. Without an ``mtd`` column, by name only."""

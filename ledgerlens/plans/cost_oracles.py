@@ -82,6 +82,9 @@ dl AS (
 
 def oracles() -> dict[str, str]:
     q = {}
+    q["distinct_accounts"] = with_ctes(
+        FIXTURE_CTES, body="SELECT DISTINCT account FROM costs WHERE account IS NOT NULL ORDER BY account"
+    )
     q["daily_cost_rollup"] = with_ctes(
         FIXTURE_CTES,
         body="SELECT date, account, service, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount "

@@ -166,6 +166,7 @@ def q_period_labels(spark, sf_dir):
 
 
 QUERIES = {
+    "distinct_accounts": q_distinct_accounts,
     "incremental_window": q_incremental_window,
     "cost_upsert": q_cost_upsert,
     "load_summary": q_load_summary,

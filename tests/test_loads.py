@@ -146,3 +146,24 @@ def test_cost_refresh_windows(spark, scratch):
         ("a", dt.date(2024, 7, 9), dt.date(2024, 8, 2)),
         ("b", dt.date(2023, 8, 1), dt.date(2024, 8, 2)),
     ]
+
+
+def test_replace_all(spark, scratch):
+    from ledgerlens.sinks.tables import replace_all
+
+    path = f"{scratch}/t"
+    replace_all(spark.createDataFrame([(D1, "a", "s", 1.0), (D3, "a", "s", 2.0)], SCHEMA), path)
+    replace_all(spark.createDataFrame([(D2, "b", "s", 5.0)], SCHEMA), path)
+    assert _rows(spark.read.parquet(path)) == [(D2, "b", "s", 5.0)]
+
+
+def test_table_names_and_service_collapse(spark):
+    from ledgerlens.sources.tables import is_valid_table_name
+
+    assert is_valid_table_name("aws_costs") and is_valid_table_name("_t1")
+    assert not is_valid_table_name("costs; DROP TABLE x") and not is_valid_table_name("1abc")
+    df = spark.createDataFrame(
+        [("a", "s", None, 2.0), ("a", "s", 1.0, None), ("a", "t", 3.0, 4.0)], "account string, service string, mtd double, avg6 double"
+    )
+    got = _rows(C.collapse_duplicate_services(df))
+    assert got == [("a", "s", 1.0, 2.0), ("a", "t", 3.0, 4.0)]
