@@ -27,5 +27,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
     Larger frames are returned unchanged and Spark plans a shuffle join
     (with AQE skew splitting) instead.
     """
+    if df.isLocal():
+        # Built on the driver from a literal list: the size is already bounded
+        # by what the driver holds, so no counting job is needed.
+        return F.broadcast(df)
     kept, rows = materialize_small(df)
     return F.broadcast(kept) if rows <= max_rows else kept

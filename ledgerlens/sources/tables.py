@@ -14,10 +14,20 @@ def is_valid_table_name(name: str) -> bool:
     return bool(TABLE_NAME_PATTERN.match(name or ""))
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_parquet(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+    """One relation per (session, table path): repeated uses share the file
+    listing and schema instead of listing and reading footers again."""
     if not is_valid_table_name(name):
         raise ValueError(f"invalid table name: {name!r}")
-    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    path = f"{base_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def read_table(spark: SparkSession, name: str, columns: list[str] | None = None) -> DataFrame:
