@@ -28,14 +28,14 @@ def sum_money(amount: Column | str, scale: int | None) -> Column:
     """Sum an amount column.
 
     ``scale=None`` sums doubles as they are. With a scale, every amount is
-    first cast to ``DECIMAL(18, scale)`` so the sum is exact and does not
+    first cast to ``DECIMAL(28, scale)`` so the sum is exact and does not
     depend on partitioning or task order; the result is cast back to double.
     Use :func:`money_value` to turn the sum into a double.
     """
     c = _c(amount)
     if scale is None:
         return F.sum(c.cast("double"))
-    return F.sum(c.cast(f"decimal(18,{scale})"))
+    return F.sum(c.cast(f"decimal(28,{scale})"))
 
 
 def money_value(col: Column | str) -> Column:

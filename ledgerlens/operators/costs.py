@@ -295,7 +295,7 @@ def period_metrics_for_anchors(
     ``anchors`` has ``account`` and ``anchor_date`` (capped mode) or
     ``month_start`` (full months). Each anchor is exploded to its 13 months,
     so facts meet anchors on an equi-join of (account, month) and each fact
-    row matches at most 13 anchors. The anchor side is broadcast only when
+    row matches at most 13 anchors (whole-month mode joins monthly sums). The anchor side is broadcast only when
     its measured size allows; facts are first cut to the anchors' overall
     date span with literal bounds so the scan is pruned.
     """
@@ -317,8 +317,16 @@ def period_metrics_for_anchors(
         empty = facts.limit(0).withColumn("_k", F.lit(0)).withColumn(anchor_col, F.col("date"))
         return _aggregate_periods(empty, (anchor_col,), money_scale)
     hi = py_shift_month_start(bounds["hi"], 1) if full_month else bounds["hi"]
-    f = date_range(facts, bounds["lo"], hi)
-    f = f.withColumn("_fmonth", month_start("date"))
+    f = date_range(facts, bounds["lo"], hi, hi_inclusive=not full_month)
+    if full_month:
+        # Whole months need only monthly sums: aggregate (map-side partial)
+        # before the fan-out, so each anchor month meets one row per
+        # (account, service, month) instead of every daily fact row.
+        f = f.groupBy("account", "service", month_start("date").alias("_fmonth")).agg(
+            sum_money("amount", money_scale).alias("amount")
+        )
+    else:
+        f = f.withColumn("_fmonth", month_start("date"))
     joined = f.join(a, (F.col("account") == F.col("_a_account")) & (F.col("_fmonth") == F.col("_month")))
     if full_month:
         cut = F.lit(True)

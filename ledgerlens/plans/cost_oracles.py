@@ -6,6 +6,7 @@ from .oracle_sql import (
     FIXTURE_CTES,
     metrics_cte,
     per_anchor_metrics_cte,
+    per_month_metrics_cte,
     period_metrics_sql,
     sql_fmt,
     sql_month_label,
@@ -112,6 +113,20 @@ def oracles() -> dict[str, str]:
         per_anchor_metrics_cte("pm", "pa"),
         body="SELECT * FROM pm",
     )
+    q["period_metrics_all_anchors"] = with_ctes(
+        FIXTURE_CTES,
+        ANCHORS_CTE,
+        "pa AS (SELECT account, anchor_date FROM anc)",
+        per_anchor_metrics_cte("pm", "pa"),
+        body="SELECT * FROM pm",
+    )
+    q["period_metrics_all_months"] = with_ctes(
+        FIXTURE_CTES,
+        ANCHORS_CTE,
+        "pa AS (SELECT account, month_start FROM anc)",
+        per_month_metrics_cte("pm", "pa"),
+        body="SELECT * FROM pm",
+    )
     q["month_anchors"] = with_ctes(FIXTURE_CTES, ANCHORS_CTE, body="SELECT account, month_start, anchor_date FROM anc")
     q["latest_loaded"] = with_ctes(
         FIXTURE_CTES,

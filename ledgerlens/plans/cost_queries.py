@@ -69,6 +69,20 @@ def q_period_metrics_per_account(spark, sf_dir):
     return C.period_metrics_for_anchors(costs, anchors, money_scale=SCALE)
 
 
+def q_period_metrics_all_anchors(spark, sf_dir):
+    """Month-to-date metrics for every (account, month anchor) in one job:
+    every period option of every account at once."""
+    costs = labeled_costs(spark, sf_dir)
+    return C.period_metrics_for_anchors(costs, C.month_anchors(costs), money_scale=SCALE)
+
+
+def q_period_metrics_all_months(spark, sf_dir):
+    """Whole-month metrics for every (account, month) in one job."""
+    costs = labeled_costs(spark, sf_dir)
+    months = C.month_anchors(costs).select("account", "month_start")
+    return C.period_metrics_for_anchors(costs, months, full_month=True, money_scale=SCALE)
+
+
 def q_month_anchors(spark, sf_dir):
     return C.month_anchors(labeled_costs(spark, sf_dir))
 
@@ -184,6 +198,8 @@ QUERIES = {
     "period_metrics_full": q_period_metrics_full,
     "period_metrics_latest": q_period_metrics_latest,
     "period_metrics_per_account": q_period_metrics_per_account,
+    "period_metrics_all_anchors": q_period_metrics_all_anchors,
+    "period_metrics_all_months": q_period_metrics_all_months,
     "month_anchors": q_month_anchors,
     "latest_loaded": q_latest_loaded,
     "period_options": q_period_options,

@@ -167,33 +167,72 @@ def metrics_cte(name: str, anchor_sql: str, full: bool = False, source: str = "c
     return periods + f",\n{name} AS ({_SELECT_METRICS})"
 
 
+def _anchored_select(anchor_name: str) -> str:
+    """The metrics select keyed by (account, anchor, service)."""
+    body = _SELECT_METRICS.replace(
+        "SELECT cur.account, cur.service,", f"SELECT cur.account, cur.anchor AS {anchor_name}, cur.service,"
+    )
+    for t in ("p1", "p2", "p3", "p4", "p5", "a6", "a12"):
+        body = body.replace(
+            f"LEFT JOIN {t} ON {t}.account = cur.account AND {t}.service = cur.service",
+            f"LEFT JOIN {t} ON {t}.account = cur.account AND {t}.service = cur.service AND {t}.anchor = cur.anchor",
+        )
+    return body
+
+
 def per_anchor_metrics_cte(name: str, anchors_cte: str, source: str = "costs") -> str:
-    """Capped metrics for per-account anchors ``anchors_cte(account, anchor_date)``."""
+    """Capped metrics for per-account anchors ``anchors_cte(account, anchor_date)``
+    (any number of anchors per account)."""
     blocks = [
         f"prm AS (SELECT account, anchor_date AS last_date, CAST(date_trunc('month', anchor_date) AS DATE) AS ms, "
         f"CAST(EXTRACT(day FROM anchor_date) AS INTEGER) AS dom FROM {anchors_cte})",
-        f"cur AS (SELECT c.account, c.service, {_SUM} AS mtd FROM {source} c JOIN prm ON c.account = prm.account "
-        f"WHERE c.date BETWEEN ms AND last_date GROUP BY c.account, c.service)",
+        f"cur AS (SELECT c.account, prm.last_date AS anchor, c.service, {_SUM} AS mtd FROM {source} c "
+        f"JOIN prm ON c.account = prm.account "
+        f"WHERE c.date BETWEEN ms AND last_date GROUP BY c.account, prm.last_date, c.service)",
     ]
     for i in range(1, 6):
         lo = f"CAST(ms - INTERVAL {i} MONTH AS DATE)"
         hi = f"LEAST(CAST(last_day(ms - INTERVAL {i} MONTH) AS DATE), CAST(ms - INTERVAL {i} MONTH AS DATE) + (dom - 1))"
         blocks.append(
-            f"p{i} AS (SELECT c.account, c.service, {_SUM} AS v FROM {source} c JOIN prm ON c.account = prm.account "
-            f"WHERE c.date BETWEEN {lo} AND {hi} GROUP BY c.account, c.service)"
+            f"p{i} AS (SELECT c.account, prm.last_date AS anchor, c.service, {_SUM} AS v FROM {source} c "
+            f"JOIN prm ON c.account = prm.account "
+            f"WHERE c.date BETWEEN {lo} AND {hi} GROUP BY c.account, prm.last_date, c.service)"
         )
     for n in (6, 12):
         blocks.append(
-            f"a{n} AS (SELECT account, service, CAST(SUM(ms_sum) AS DOUBLE) / COUNT(ms_sum) AS v FROM ("
-            f"SELECT c.account, c.service, date_trunc('month', c.date) AS m, {_DSUM} AS ms_sum "
+            f"a{n} AS (SELECT account, anchor, service, CAST(SUM(ms_sum) AS DOUBLE) / COUNT(ms_sum) AS v FROM ("
+            f"SELECT c.account, prm.last_date AS anchor, c.service, date_trunc('month', c.date) AS m, {_DSUM} AS ms_sum "
             f"FROM {source} c JOIN prm ON c.account = prm.account "
             f"WHERE c.date >= ms - INTERVAL {n} MONTH AND c.date < ms AND EXTRACT(day FROM c.date) <= dom "
-            f"GROUP BY c.account, c.service, m) t GROUP BY account, service)"
+            f"GROUP BY c.account, prm.last_date, c.service, m) t GROUP BY account, anchor, service)"
         )
-    body = _SELECT_METRICS.replace(
-        "SELECT cur.account, cur.service,", "SELECT cur.account, prm.last_date AS anchor_date, cur.service,"
-    ).replace("FROM cur\n", "FROM cur JOIN prm ON prm.account = cur.account\n")
-    return ",\n".join(blocks) + f",\n{name} AS ({body})"
+    return ",\n".join(blocks) + f",\n{name} AS ({_anchored_select('anchor_date')})"
+
+
+def per_month_metrics_cte(name: str, months_cte: str, source: str = "costs") -> str:
+    """Whole-month metrics for per-account months ``months_cte(account, month_start)``."""
+    blocks = [
+        f"prm AS (SELECT account, month_start AS ms FROM {months_cte})",
+        f"cur AS (SELECT c.account, prm.ms AS anchor, c.service, {_SUM} AS mtd FROM {source} c "
+        f"JOIN prm ON c.account = prm.account "
+        f"WHERE c.date >= ms AND c.date < ms + INTERVAL 1 MONTH GROUP BY c.account, prm.ms, c.service)",
+    ]
+    for i in range(1, 6):
+        blocks.append(
+            f"p{i} AS (SELECT c.account, prm.ms AS anchor, c.service, {_SUM} AS v FROM {source} c "
+            f"JOIN prm ON c.account = prm.account "
+            f"WHERE c.date >= ms - INTERVAL {i} MONTH AND c.date < ms - INTERVAL {i - 1} MONTH "
+            f"GROUP BY c.account, prm.ms, c.service)"
+        )
+    for n in (6, 12):
+        blocks.append(
+            f"a{n} AS (SELECT account, anchor, service, CAST(SUM(ms_sum) AS DOUBLE) / COUNT(ms_sum) AS v FROM ("
+            f"SELECT c.account, prm.ms AS anchor, c.service, date_trunc('month', c.date) AS m, {_DSUM} AS ms_sum "
+            f"FROM {source} c JOIN prm ON c.account = prm.account "
+            f"WHERE c.date >= ms - INTERVAL {n} MONTH AND c.date < ms "
+            f"GROUP BY c.account, prm.ms, c.service, m) t GROUP BY account, anchor, service)"
+        )
+    return ",\n".join(blocks) + f",\n{name} AS ({_anchored_select('month_start')})"
 
 
 def sql_fmt(x: str, decimals: int, sign: bool = False) -> str:
