@@ -198,48 +198,64 @@ def period_options(anchors: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def _metric_columns(group_cols: Sequence[str], money_scale: int | None) -> list[Column]:
-    """Turn the 13 per-month sums ``_s0.._s12`` into the report columns."""
-    keys_ok = F.col("account").isNotNull() & F.col("service").isNotNull()
-    out: list[Column] = [F.col(c) for c in group_cols]
-    out.append(F.col("account"))
-    out.append(F.col("service"))
-    values: dict[str, Column] = {"mtd": money_value("_s0")}
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
+def _sum_sql(expr: str, money_scale: int | None) -> str:
+    """SQL text of :func:`sum_money` over ``expr``."""
+    if money_scale is None:
+        return f"sum(CAST({expr} AS DOUBLE))"
+    return f"sum(CAST({expr} AS DECIMAL(28,{money_scale})))"
+
+
+def _value_exprs() -> dict[str, str]:
+    """SQL for the value columns from the 13 per-month sums ``_s0.._s12``.
+
+    Earlier periods come from joins in the reference, where NULL keys never
+    match: they are NULL for a group with a NULL account or service. The
+    averages are the mean over the months that have rows only.
+    """
+    keys_ok = "(account IS NOT NULL AND service IS NOT NULL)"
+    values = {"mtd": "CAST(_s0 AS DOUBLE)"}
     for i, name in enumerate(MONTH_COLUMNS[1:], start=1):
-        # Earlier periods come from a join in the reference, where NULL keys never match.
-        values[name] = F.when(keys_ok, money_value(f"_s{i}"))
+        values[name] = f"CASE WHEN {keys_ok} THEN CAST(_s{i} AS DOUBLE) END"
     for name, months in AVG_COLUMNS:
-        sums = [F.col(f"_s{i}") for i in range(1, months + 1)]
-        total = F.coalesce(sums[0], F.lit(0))
-        for s in sums[1:]:
-            total = total + F.coalesce(s, F.lit(0))
-        present = sum((s.isNotNull().cast("int") for s in sums[1:]), sums[0].isNotNull().cast("int"))
-        # Mean over the months that have rows only.
-        values[name] = F.when(keys_ok & (present > 0), F.try_divide(money_value(total), present))
-    for name in VALUE_COLUMNS:
-        out.append(values[name].alias(name))
+        total = " + ".join(f"coalesce(_s{i}, 0)" for i in range(1, months + 1))
+        present = " + ".join(f"CAST(_s{i} IS NOT NULL AS INT)" for i in range(1, months + 1))
+        values[name] = (
+            f"CASE WHEN {keys_ok} AND ({present}) > 0 "
+            f"THEN try_divide(CAST({total} AS DOUBLE), {present}) END"
+        )
+    return values
+
+
+def _delta_exprs() -> list[str]:
+    """``a - b AS delta`` and ``try_divide(a - b, b) AS pct`` for every pair."""
+    out = []
     for d, _, a, b in DELTA_PAIRS:
-        out.append((values[a] - values[b]).alias(d))
+        out.append(f"{a} - {b} AS {d}")
     for _, p, a, b in DELTA_PAIRS:
-        out.append(safe_ratio(values[a] - values[b], values[b]).alias(p))
+        out.append(f"try_divide({a} - {b}, {b}) AS {p}")
     return out
 
 
 def _aggregate_periods(df: DataFrame, group_cols: Sequence[str], money_scale: int | None) -> DataFrame:
     """One aggregation: 13 conditional month sums per (group, account, service).
 
-    ``df`` carries ``k`` (months before the anchor month, 0..12) and rows
+    ``df`` carries ``_k`` (months before the anchor month, 0..12) and rows
     already cut to the window. A group exists only if it has a row in the
     current period (k = 0), even when its amounts are NULL.
     """
-    k = F.col("_k")
-    aggs = [F.max(k == 0).alias("_has_current")]
+    aggs = [F.expr("max(_k = 0)").alias("_has_current")]
     aggs += [
-        sum_money(F.when(k == i, F.col("amount")), money_scale).alias(f"_s{i}")
+        F.expr(_sum_sql(f"CASE WHEN _k = {i} THEN amount END", money_scale)).alias(f"_s{i}")
         for i in range(HISTORY_MONTHS + 1)
     ]
-    grouped = df.groupBy(*group_cols, "account", "service").agg(*aggs).where(F.col("_has_current"))
-    return grouped.select(*_metric_columns(group_cols, money_scale))
+    grouped = df.groupBy(*group_cols, "account", "service").agg(*aggs).where("_has_current")
+    keys = [_q(c) for c in (*group_cols, "account", "service")]
+    values = grouped.selectExpr(*keys, *[f"{e} AS {n}" for n, e in _value_exprs().items()])
+    return values.selectExpr(*keys, *VALUE_COLUMNS, *_delta_exprs())
 
 
 def _order(df: DataFrame, lead: Sequence[str] = ()) -> DataFrame:
@@ -367,29 +383,23 @@ def service_totals(
     exact = set(MONTH_COLUMNS) | {"cost", "prev_day", "prev_week"}
     sums = []
     for c in metrics:
-        col = F.col(c)
-        if money_scale is not None and c in exact:
-            s = F.sum(col.cast(f"decimal(18,{money_scale})")).cast("double")
-        else:
-            s = F.sum(col.cast("double"))
-        sums.append(F.coalesce(s, F.lit(0.0)).alias(c))
+        scale = money_scale if c in exact else None
+        sums.append(F.expr(f"coalesce(CAST({_sum_sql(_q(c), scale)} AS DOUBLE), 0.0)").alias(c))
     totals = df.groupBy(*group_cols).agg(*sums)
     present = set(metrics)
-    recomputed: dict[str, Column] = {}
+    recomputed: dict[str, str] = {}
     for d, p, a, b in DELTA_PAIRS:
         if a in present and b in present:
-            if d in present:
-                recomputed[d] = F.col(a) - F.col(b)
-            if p in present:
-                recomputed[p] = safe_ratio(F.col(a) - F.col(b), F.col(b))
+            recomputed[d] = f"{a} - {b}"
+            recomputed[p] = f"try_divide({a} - {b}, {b})"
     for d, a, b in DAY_LEVEL_DELTAS:
-        if d in present and a in present and b in present:
-            recomputed[d] = F.col(a) - F.col(b)
+        if a in present and b in present:
+            recomputed[d] = f"{a} - {b}"
     for p, a, b in DAY_LEVEL_PCTS:
-        if p in present and a in present and b in present:
-            recomputed[p] = safe_ratio(F.col(a) - F.col(b), F.col(b))
-    return totals.select(
-        *group_cols, *[recomputed.get(c, F.col(c)).alias(c) for c in metrics]
+        if a in present and b in present:
+            recomputed[p] = f"try_divide({a} - {b}, {b})"
+    return totals.selectExpr(
+        *[_q(c) for c in group_cols], *[f"{recomputed.get(c, _q(c))} AS {_q(c)}" for c in metrics]
     )
 
 
@@ -423,19 +433,14 @@ REPORT_ROWS = (
 )
 
 
-def _stack_rows(df: DataFrame) -> Column:
-    parts = []
-    for pos, (v, d, p) in enumerate(REPORT_ROWS, start=1):
-        parts.append(
-            F.struct(
-                F.lit(v).alias("metric"),
-                F.lit(pos).cast("bigint").alias("row_position"),
-                F.col(v).cast("double").alias("value"),
-                F.col(d).cast("double").alias("delta"),
-                F.col(p).cast("double").alias("pct"),
-            )
-        )
-    return F.explode(F.array(*parts))
+def _stack_rows() -> str:
+    """``stack`` generator: one row per report row with (metric, position,
+    value, delta, pct)."""
+    parts = ", ".join(
+        f"'{v}', CAST({pos} AS BIGINT), CAST({v} AS DOUBLE), CAST({d} AS DOUBLE), CAST({p} AS DOUBLE)"
+        for pos, (v, d, p) in enumerate(REPORT_ROWS, start=1)
+    )
+    return f"stack({len(REPORT_ROWS)}, {parts}) AS (metric, row_position, value, delta, pct)"
 
 
 def service_report(
@@ -449,22 +454,14 @@ def service_report(
     from :func:`service_totals`, then services in :func:`service_order`.
     Pivot on export only.
     """
+    keys = [_q(c) for c in group_cols]
     ranked = service_order(metrics, group_cols)
-    cells = ranked.select(
-        *group_cols,
-        F.col("service"),
-        F.col("rank").alias("col_position"),
-        _stack_rows(ranked).alias("_r"),
-    )
+    cells = ranked.selectExpr(*keys, "service", "rank AS col_position", _stack_rows())
     totals = service_totals(metrics, group_cols, money_scale)
-    total_cells = totals.select(
-        *group_cols,
-        F.lit("Total").alias("service"),
-        F.lit(0).cast("bigint").alias("col_position"),
-        _stack_rows(totals).alias("_r"),
+    total_cells = totals.selectExpr(
+        *keys, "'Total' AS service", "CAST(0 AS BIGINT) AS col_position", _stack_rows()
     )
-    both = cells.unionByName(total_cells)
-    return both.select(*group_cols, "service", "col_position", "_r.*")
+    return cells.unionByName(total_cells)
 
 
 def accounts(df: DataFrame) -> DataFrame:
