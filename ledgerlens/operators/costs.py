@@ -383,8 +383,16 @@ def service_totals(
     exact = set(MONTH_COLUMNS) | {"cost", "prev_day", "prev_week"}
     sums = []
     for c in metrics:
-        scale = money_scale if c in exact else None
-        sums.append(F.expr(f"coalesce(CAST({_sum_sql(_q(c), scale)} AS DOUBLE), 0.0)").alias(c))
+        if money_scale is not None and c in exact:
+            sums.append(F.expr(f"coalesce(CAST({_sum_sql(_q(c), money_scale)} AS DOUBLE), 0.0)").alias(c))
+        else:
+            # Averages are not exact decimals: add them in ascending order so the
+            # total does not depend on task order (one value per service).
+            sums.append(
+                F.expr(
+                    f"aggregate(array_sort(collect_list(CAST({_q(c)} AS DOUBLE))), CAST(0 AS DOUBLE), (acc, v) -> acc + v)"
+                ).alias(c)
+            )
     totals = df.groupBy(*group_cols).agg(*sums)
     present = set(metrics)
     recomputed: dict[str, str] = {}

@@ -28,9 +28,17 @@ _PAIRS = (
 MTD_NO_TAX = "pmt AS (SELECT * FROM pm WHERE service IS DISTINCT FROM 'Tax')"
 
 
+def _ordered_sum(c: str) -> str:
+    """Sum of the non-NULL values in ascending order; 0 when there are none."""
+    return (
+        f"COALESCE(list_reduce(list_sort(list(CAST({c} AS DOUBLE)) FILTER (WHERE {c} IS NOT NULL)), "
+        "lambda a, v: a + v, CAST(0 AS DOUBLE)), 0.0)"
+    )
+
+
 def _totals_sql(src: str) -> str:
     sums = [f"COALESCE(CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS {c}" for c in _MONTHS]
-    sums += [f"COALESCE(SUM({c}), 0.0) AS {c}" for c in _AVGS]
+    sums += [f"{_ordered_sum(c)} AS {c}" for c in _AVGS]
     deltas = [f"{a} - {b} AS {d}" for d, _, a, b in _PAIRS]
     pcts = [f"({a} - {b}) / NULLIF({b}, 0) AS {p}" for _, p, a, b in _PAIRS]
     return (
@@ -156,7 +164,7 @@ def oracles() -> dict[str, str]:
         "COALESCE(CAST(SUM(CAST(cost AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS cost, "
         "COALESCE(CAST(SUM(CAST(prev_day AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS prev_day, "
         "COALESCE(CAST(SUM(CAST(prev_week AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS prev_week, "
-        "COALESCE(SUM(avg7), 0.0) AS avg7, COALESCE(SUM(avg30), 0.0) AS avg30 FROM dl GROUP BY account) s",
+        f"{_ordered_sum('avg7')} AS avg7, {_ordered_sum('avg30')} AS avg30 FROM dl GROUP BY account) s",
     )
     q["service_order"] = with_ctes(
         FIXTURE_CTES, mtd, MTD_NO_TAX, ORDER_CTE, body="SELECT account, service, mtd, rnk AS rank FROM ord"
