@@ -34,30 +34,30 @@ def merge_latest(
     with anything (as with a SQL UNIQUE constraint) and all pass through.
     Columns follow the existing table's order.
 
-    Winners are picked with ``max_by`` over (batch, seq): a partial
-    aggregation, so many duplicates of one key are reduced map-side.
+    One pass and one aggregation: winners are picked with ``max_by`` over
+    (batch, seq), a partial aggregation, so many duplicates of one key are
+    reduced map-side; a row with a NULL key part gets its own group through
+    a per-row id, so it passes through the same aggregation.
     """
     frames = []
     columns = list(existing.columns if existing is not None else batches[0].columns)
     if existing is not None:
-        frames.append(existing.select(*columns).withColumn(_BATCH, F.lit(0)).withColumn(_SEQ, F.lit(0).cast("bigint")))
+        frames.append(existing.select(*columns, F.lit(0).alias(_BATCH), F.lit(0).cast("bigint").alias(_SEQ)))
     for i, b in enumerate(batches, start=1):
         seq = F.col(seq_col).cast("bigint") if seq_col else F.monotonically_increasing_id()
-        frames.append(b.select(*columns, seq.alias(_SEQ)).withColumn(_BATCH, F.lit(i)).select(*columns, _BATCH, _SEQ))
+        frames.append(b.select(*columns, F.lit(i).alias(_BATCH), seq.alias(_SEQ)))
     tagged = frames[0]
     for f in frames[1:]:
         tagged = tagged.unionByName(f)
-    nullkey = _any_null(key_cols)
-    passthrough = tagged.where(nullkey).select(*columns)
+    own_group = F.when(_any_null(key_cols), F.struct(F.col(_BATCH), F.monotonically_increasing_id()))
     others = [c for c in columns if c not in key_cols]
     winners = (
-        tagged.where(~nullkey)
-        .groupBy(*key_cols)
+        tagged.withColumn("_ll_own", own_group)
+        .groupBy(*key_cols, "_ll_own")
         .agg(F.max_by(F.struct(*others), F.struct(_BATCH, _SEQ)).alias("_w"))
         .select(*key_cols, *[F.col(f"_w.{c}").alias(c) for c in others])
-        .select(*columns)
     )
-    return winners.unionByName(passthrough)
+    return winners.select(*columns)
 
 
 def replace_range(
