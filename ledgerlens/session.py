@@ -34,7 +34,6 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in DEFAULT_CONF.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -73,4 +72,6 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "ledge
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return configure(spark)
+    configure(spark)
+    ensure_checkpoint_dir(spark)
+    return spark

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _BATCH = "_ll_batch"
 _SEQ = "_ll_seq"
 
@@ -121,6 +123,7 @@ def upsert_table(
     if _exists(spark, path):
         existing = spark.read.parquet(path).where(F.col(partition_col).isin(values))
         existing = existing.select(*incoming[0].columns)
+    ensure_checkpoint_dir(spark)
     merged = merge_latest(existing, incoming, key_cols).checkpoint(eager=True)
     (
         merged.write.mode("overwrite")

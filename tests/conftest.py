@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    from ledgerlens.session import configure
+    from ledgerlens.session import configure, ensure_checkpoint_dir
 
     s = (
         SparkSession.builder.master("local[*]")
@@ -22,6 +22,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     configure(s)
+    ensure_checkpoint_dir(s)
     yield s
 
 
