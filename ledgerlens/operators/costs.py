@@ -154,19 +154,20 @@ def latest_loaded(df: DataFrame) -> DataFrame:
     )
 
 
-def month_anchors(df: DataFrame) -> DataFrame:
+def month_anchors(df: DataFrame, ordered: bool = True) -> DataFrame:
     """Per account and month: the latest day with a row (the month's anchor).
 
     Rows with a NULL account, month or anchor are dropped. Ordered by
-    account, then newest month first.
+    account, then newest month first (``ordered=False`` when the rows feed
+    another job, to spare a global sort).
     """
-    return (
+    out = (
         df.where(F.col("date").isNotNull())
         .groupBy("account", month_start("date").alias("month_start"))
         .agg(F.max("date").alias("anchor_date"))
         .where(F.col("account").isNotNull())
-        .orderBy(F.col("account").asc(), F.col("month_start").desc())
     )
+    return out.orderBy(F.col("account").asc(), F.col("month_start").desc()) if ordered else out
 
 
 def period_options(anchors: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def q_period_metrics_latest(spark, sf_dir):
 
 def q_period_metrics_per_account(spark, sf_dir):
     costs = labeled_costs(spark, sf_dir)
-    anchors = C.anchors_for_month(C.month_anchors(costs), PER_ACCOUNT_MONTH)
+    anchors = C.anchors_for_month(C.month_anchors(costs, ordered=False), PER_ACCOUNT_MONTH)
     return C.period_metrics_for_anchors(costs, anchors, money_scale=SCALE)
 
 
@@ -73,13 +73,13 @@ def q_period_metrics_all_anchors(spark, sf_dir):
     """Month-to-date metrics for every (account, month anchor) in one job:
     every period option of every account at once."""
     costs = labeled_costs(spark, sf_dir)
-    return C.period_metrics_for_anchors(costs, C.month_anchors(costs), money_scale=SCALE)
+    return C.period_metrics_for_anchors(costs, C.month_anchors(costs, ordered=False), money_scale=SCALE)
 
 
 def q_period_metrics_all_months(spark, sf_dir):
     """Whole-month metrics for every (account, month) in one job."""
     costs = labeled_costs(spark, sf_dir)
-    months = C.month_anchors(costs).select("account", "month_start")
+    months = C.month_anchors(costs, ordered=False).select("account", "month_start")
     return C.period_metrics_for_anchors(costs, months, full_month=True, money_scale=SCALE)
 
 
@@ -92,7 +92,7 @@ def q_latest_loaded(spark, sf_dir):
 
 
 def q_period_options(spark, sf_dir):
-    return C.period_options(C.month_anchors(labeled_costs(spark, sf_dir)))
+    return C.period_options(C.month_anchors(labeled_costs(spark, sf_dir), ordered=False))
 
 
 def _mtd_no_tax(spark, sf_dir):
@@ -173,7 +173,7 @@ def q_report_text(spark, sf_dir):
 
 
 def q_period_labels(spark, sf_dir):
-    opts = C.period_options(C.month_anchors(labeled_costs(spark, sf_dir)))
+    opts = C.period_options(C.month_anchors(labeled_costs(spark, sf_dir), ordered=False))
     return opts.select(
         "account", "option", X.period_label("option").alias("period_label"), *X.row_label_columns("month_start")
     )

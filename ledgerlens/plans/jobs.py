@@ -152,8 +152,8 @@ def pod_report(
     monthly: DataFrame, daily: DataFrame, as_of: dt.date | str, metric: str = "total", months: int = 12, days: int = 60
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matrix with text and classes, totals, 30-day row) for one metric."""
-    mw = T.monthly_trend_window(monthly, as_of, months)
-    dw = T.daily_trend_window(daily, as_of, days)
+    mw = T.monthly_trend_window(monthly, as_of, months, ordered=False)
+    dw = T.daily_trend_window(daily, as_of, days, ordered=False)
     matrix = T.trend_matrix(mw, dw, metric, months)
     tenants = T.report_tenants(mw, dw, metric)
     last = T.last_days_row(dw, tenants, metric)

@@ -37,8 +37,8 @@ def monthly_table(spark, sf_dir) -> DataFrame:
 
 def _windows(spark, sf_dir):
     return (
-        T.monthly_trend_window(monthly_table(spark, sf_dir), AS_OF, MONTHS),
-        T.daily_trend_window(daily_table(spark, sf_dir), AS_OF, DAYS),
+        T.monthly_trend_window(monthly_table(spark, sf_dir), AS_OF, MONTHS, ordered=False),
+        T.daily_trend_window(daily_table(spark, sf_dir), AS_OF, DAYS, ordered=False),
     )
 
 
@@ -165,8 +165,8 @@ def q_last_30_days_events(spark, sf_dir):
     """30-day row on the events source: its history is shorter than the
     window, so every baseline is empty and counts as 0."""
     snap = fx.events_snapshot(spark, sf_dir)
-    d = T.daily_trend_window(T.daily_rows(snap), EVENTS_AS_OF, DAYS)
-    m = T.monthly_trend_window(T.monthly_rows(snap), EVENTS_AS_OF, MONTHS)
+    d = T.daily_trend_window(T.daily_rows(snap), EVENTS_AS_OF, DAYS, ordered=False)
+    m = T.monthly_trend_window(T.monthly_rows(snap), EVENTS_AS_OF, MONTHS, ordered=False)
     return T.last_days_row(d, T.report_tenants(m, d, "onboarded"), "onboarded", WINDOW_DAYS)
 
 
