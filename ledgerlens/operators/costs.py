@@ -461,9 +461,12 @@ def service_report(
 
     One row per (account, metric row, column): column ``Total`` (position 0)
     from :func:`service_totals`, then services in :func:`service_order`.
-    Pivot on export only.
+    Pivot on export only. The metrics frame (accounts x services) feeds both
+    the service cells and the totals, so it is cached once instead of being
+    computed for each branch.
     """
     keys = [_q(c) for c in group_cols]
+    metrics = metrics.persist()
     ranked = service_order(metrics, group_cols)
     cells = ranked.selectExpr(*keys, "service", "rank AS col_position", _stack_rows())
     totals = service_totals(metrics, group_cols, money_scale)
