@@ -96,13 +96,14 @@ def snapshot_refresh(
         monthly_new = T.monthly_rows(snaps)
     else:
         d_seed, m_seed = T.seed_values(daily_old, monthly_old, current_year)
-        year_snaps = T.year_rows(snaps, current_year)
+        # Every row read from the current year's files is written, even one
+        # dated outside the replaced range (it then replaces by key).
         daily_new = replace_range(
-            daily_old.select(*T.DAILY_COLUMNS), T.daily_rows(year_snaps, d_seed), "date",
+            daily_old.select(*T.DAILY_COLUMNS), T.daily_rows(snaps, d_seed), "date",
             dt.date(current_year, 1, 1), dt.date(current_year, 12, 31), ("date", "tenant"),
         )
         monthly_new = replace_range(
-            monthly_old.select(*T.MONTHLY_COLUMNS), T.monthly_rows(year_snaps, m_seed), "month_start",
+            monthly_old.select(*T.MONTHLY_COLUMNS), T.monthly_rows(snaps, m_seed), "month_start",
             dt.date(current_year, 1, 1), dt.date(current_year, 12, 1), ("month_start", "tenant"),
         )
     stamp = F.current_timestamp().alias("updated_at")
@@ -157,7 +158,8 @@ def pod_report(
     matrix = T.trend_matrix(mw, dw, metric, months)
     tenants = T.report_tenants(mw, dw, metric)
     last = T.last_days_row(dw, tenants, metric)
-    order = T.tenant_order(T.trend_matrix(mw, dw, "total", months), T.last_days_row(dw, tenants, "total"))
+    # The order reads total pods, on the rows this metric's view keeps.
+    order = T.tenant_order(matrix, T.last_days_row(dw, tenants, "total", rows_of=metric))
     matrix = matrix.join(order.select("tenant", "rank"), "tenant", "left").select(
         "*",
         X.format_count_it("value").alias("value_text"),

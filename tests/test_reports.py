@@ -28,3 +28,25 @@ def test_pod_report(spark):
     assert [r for _, r in ranks] == list(range(1, len(tenants) + 1))
     assert totals.count() == 12
     assert {r["tenant"] for r in last.collect()} == tenants
+
+
+def test_onboarded_view_orders_on_its_own_rows(spark):
+    import datetime as dt
+
+    m = spark.createDataFrame(
+        [
+            (dt.date(2024, 1, 1), "tA", 10, 5),
+            (dt.date(2024, 2, 1), "tA", 100, None),
+            (dt.date(2024, 1, 1), "tB", 50, 5),
+            (dt.date(2024, 2, 1), "tB", 50, 5),
+        ],
+        "month_start date, tenant string, total_pods long, onboarded_pods long",
+    )
+    d = spark.createDataFrame([], "date date, tenant string, total_pods long, onboarded_pods long")
+    order = {}
+    for metric in ("total", "onboarded"):
+        matrix, _, _ = pod_report(m, d, "2024-02-15", metric)
+        order[metric] = [r["tenant"] for r in matrix.select("tenant", "rank").distinct().orderBy("rank").collect()]
+    # Total view: tA leads with 100; onboarded view drops tA's February row,
+    # so its filled total is 10 and tB (50) leads.
+    assert order == {"total": ["tA", "tB"], "onboarded": ["tB", "tA"]}
