@@ -1,8 +1,9 @@
 """Spark session settings shared by jobs, tests and the bench.
 
-Cluster jobs get their session from the platform; ``configure`` only fills in
-settings that are unset, so a cluster's own values (shuffle partitions,
-checkpoint folder, memory) always win.
+Cluster jobs get their session from the platform. ``configure`` sets the
+session time zone to UTC (day boundaries depend on it) and otherwise only
+fills in settings that are unset, so a cluster's own values (shuffle
+partitions, checkpoint folder, memory) win.
 """
 
 from __future__ import annotations
