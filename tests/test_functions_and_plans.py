@@ -119,3 +119,19 @@ def test_period_metrics_plan_has_one_pruned_scan(spark, scratch):
     assert re.search(r"PartitionFilters: \[.*month#\d+ >= 2022-06-01.*month#\d+ <= 2023-06-01", formatted)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert df.count() == 2
+
+
+def test_number_text_random_values_match_python(spark):
+    import random
+
+    rng = random.Random(5)
+    vals = [round(rng.uniform(-1e6, 1e6), 2) for _ in range(700)]
+    vals += [round(rng.uniform(-100, 100), 3) for _ in range(700)]  # many half-way cases
+    vals += [rng.uniform(-1, 1) * 10 ** rng.randint(-4, 9) for _ in range(600)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    rows = df.select(
+        "x", X.format_number_it("x", 2).alias("a"), X.format_number_it("x", 1, sign=True).alias("b")
+    ).collect()
+    for r in rows:
+        assert r["a"] == _py_it(r["x"], 2), r
+        assert r["b"] == _py_it(r["x"], 1, sign=True), r
