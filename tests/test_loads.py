@@ -160,7 +160,7 @@ def test_replace_all(spark, scratch):
 def test_table_names_and_service_collapse(spark):
     from ledgerlens.sources.tables import is_valid_table_name
 
-    assert is_valid_table_name("aws_costs") and is_valid_table_name("_t1")
+    assert is_valid_table_name("cost_facts") and is_valid_table_name("_t1")
     assert not is_valid_table_name("costs; DROP TABLE x") and not is_valid_table_name("1abc")
     df = spark.createDataFrame(
         [("a", "s", None, 2.0), ("a", "s", 1.0, None), ("a", "t", 3.0, 4.0)], "account string, service string, mtd double, avg6 double"
