@@ -311,8 +311,9 @@ def period_metrics_for_anchors(
 
     ``anchors`` has ``account`` and ``anchor_date`` (capped mode) or
     ``month_start`` (full months). Each anchor is exploded to its 13 months,
-    so facts meet anchors on an equi-join of (account, month) and each fact
-    row matches at most 13 anchors (whole-month mode joins monthly sums). The anchor side is broadcast only when
+    so facts meet anchors on an equi-join of (account, month). Facts are
+    reduced to one row per (account, service, month) first (monthly sums, or
+    per-day sums for capped windows), so the join fans out monthly rows. The anchor side is broadcast only when
     its measured size allows; facts are first cut to the anchors' overall
     date span with literal bounds so the scan is pruned.
     """
@@ -335,23 +336,39 @@ def period_metrics_for_anchors(
         return _aggregate_periods(empty, (anchor_col,), money_scale)
     hi = py_shift_month_start(bounds["hi"], 1) if full_month else bounds["hi"]
     f = date_range(facts, bounds["lo"], hi, hi_inclusive=not full_month)
+    # Facts are first reduced (map-side partial aggregation) to one row per
+    # (account, service, month), so each anchor month meets one row instead
+    # of every daily fact row.
     if full_month:
-        # Whole months need only monthly sums: aggregate (map-side partial)
-        # before the fan-out, so each anchor month meets one row per
-        # (account, service, month) instead of every daily fact row.
         f = f.groupBy("account", "service", month_start("date").alias("_fmonth")).agg(
             sum_money("amount", money_scale).alias("amount")
         )
-    else:
-        f = f.withColumn("_fmonth", month_start("date"))
-    joined = f.join(a, (F.col("account") == F.col("_a_account")) & (F.col("_fmonth") == F.col("_month")))
-    if full_month:
-        cut = F.lit(True)
-    else:
-        cut = F.when(F.col("_k") == 0, F.col("date") <= F.col(anchor_col)).otherwise(
-            F.dayofmonth("date") <= F.col("_dom")
-        )
-    return _order(_aggregate_periods(joined.where(cut), (anchor_col,), money_scale), (anchor_col,))
+        joined = f.join(a, (F.col("account") == F.col("_a_account")) & (F.col("_fmonth") == F.col("_month")))
+        return _order(_aggregate_periods(joined, (anchor_col,), money_scale), (anchor_col,))
+    # Capped: every window is "month k, days 1..dom" (k = 0 included, as the
+    # anchor lies in month 0), so per-day sums and row counts of the month
+    # are kept and each anchor reads the prefix up to its day.
+    day = F.dayofmonth("date")
+    amount_type = f"DECIMAL(38,{money_scale})" if money_scale is not None else "DOUBLE"
+    per_day_sum = [F.expr(_sum_sql(f"CASE WHEN day(date) = {d} THEN amount END", money_scale)) for d in range(1, 32)]
+    per_day_rows = [F.count(F.when(day == d, F.lit(1))) for d in range(1, 32)]
+    monthly = f.groupBy("account", "service", month_start("date").alias("_fmonth")).agg(
+        F.array(*[c.cast(amount_type) for c in per_day_sum]).alias("_day_sums"),
+        F.array(*per_day_rows).alias("_day_rows"),
+    )
+    joined = monthly.join(a, (F.col("account") == F.col("_a_account")) & (F.col("_fmonth") == F.col("_month")))
+    capped = joined.select(
+        anchor_col,
+        "account",
+        "service",
+        "_k",
+        F.expr(
+            f"aggregate(slice(_day_sums, 1, _dom), CAST(NULL AS {amount_type}), "
+            f"(acc, x) -> CASE WHEN x IS NULL THEN acc ELSE CAST(coalesce(acc, 0) + x AS {amount_type}) END)"
+        ).alias("amount"),
+        F.expr("aggregate(slice(_day_rows, 1, _dom), 0L, (acc, x) -> acc + x)").alias("_rows"),
+    ).where(F.col("_rows") > 0)
+    return _order(_aggregate_periods(capped, (anchor_col,), money_scale), (anchor_col,))
 
 
 # --------------------------------------------------------------------------
