@@ -516,6 +516,11 @@ def load_windows(
     start = min(latest loaded date - 1 day, first of this month), or the
     first of the month ``backfill_months`` back when nothing is loaded;
     stop = tomorrow. The open month is thus always re-read.
+
+    The latest date per account is looked up in the current and previous
+    month first (pruned to those partitions). Only accounts without rows
+    there are looked up in the whole table, filtered to those accounts, so
+    a daily run does not scan the table's history.
     """
     spark = existing.sparkSession
     today_d = as_date(today)
@@ -525,7 +530,22 @@ def load_windows(
         acc = account_list.select("account").distinct()
     else:
         acc = spark.createDataFrame([(a,) for a in account_list], "account string")
-    latest = existing.groupBy("account").agg(F.max("date").alias("_latest"))
+    acc = acc.persist()
+    recent = (
+        date_range(existing, py_shift_month_start(m0, -1), None)
+        .groupBy("account")
+        .agg(F.max("date").alias("_latest"))
+        .persist()
+    )
+    missing = [r["account"] for r in acc.join(recent, "account", "left_anti").collect()]
+    latest = recent
+    if missing:
+        older = (
+            existing.where(F.col("account").isin(missing))
+            .groupBy("account")
+            .agg(F.max("date").alias("_latest"))
+        )
+        latest = recent.unionByName(older)
     start_candidate = F.coalesce(F.date_sub("_latest", 1), F.lit(backfill))
     return acc.join(latest, "account", "left").select(
         "account",

@@ -146,6 +146,10 @@ def test_cost_refresh_windows(spark, scratch):
         ("a", dt.date(2024, 7, 9), dt.date(2024, 8, 2)),
         ("b", dt.date(2023, 8, 1), dt.date(2024, 8, 2)),
     ]
+    # An account whose last row is older than the previous month: found by
+    # the second, account-filtered lookup, and reloaded from the day before.
+    w = C.load_windows(spark.read.parquet(path), ["a"], "2024-10-03").collect()
+    assert [(r["account"], r["start"]) for r in w] == [("a", dt.date(2024, 7, 9))]
 
 
 def test_replace_all(spark, scratch):
