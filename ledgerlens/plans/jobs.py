@@ -87,9 +87,13 @@ def snapshot_refresh(
     top_bad = rows.where(~F.col("top_is_object")).select("path").first()
     if top_bad is not None:
         raise ValueError(f"file {top_bad['path']} must hold a JSON object at the top level")
-    good = S.require_valid(S.validate_rows(rows))
+    # Parsed once: the quality gate, the uniqueness checks and the trend
+    # rows all read the same validated rows.
+    validated = S.validate_rows(rows).persist()
+    good = S.require_valid(validated)
     snaps = S.normalize_snapshots(good).persist()
     S.check_unique(snaps)
+    validated.unpersist()
 
     if bootstrap:
         daily_new = T.daily_rows(snaps)
