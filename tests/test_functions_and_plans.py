@@ -135,3 +135,16 @@ def test_number_text_random_values_match_python(spark):
     for r in rows:
         assert r["a"] == _py_it(r["x"], 2), r
         assert r["b"] == _py_it(r["x"], 1, sign=True), r
+
+
+def test_hot_account_is_reduced_before_the_shuffle(spark):
+    # One account holds most rows: the plan must aggregate partially
+    # (map side) and shuffle once, on (account, service).
+    rows = [(dt.date(2024, 3, 1) + dt.timedelta(days=i % 28), "hot", f"s{i % 3}", 1.0) for i in range(3000)]
+    rows += [(dt.date(2024, 3, 2), "cold", "s0", 2.0)]
+    df = C.period_metrics(spark.createDataFrame(rows, SCHEMA), "2024-03-28", money_scale=2)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan and "partial_sum" in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(account#\d+, service#\d+", plan)) == 1
+    got = {r["account"]: r["mtd"] for r in df.where("service = 's0'").collect()}
+    assert got == {"hot": 1000.0, "cold": 2.0}
