@@ -41,7 +41,12 @@ def start_cost_load(
     """Start the load; ``checkpoint`` must be a shared folder on a cluster."""
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch.sparkSession, table_path, [batch], KEYS)
+        # Several actions read the micro-batch (touched months, merge): keep it.
+        kept = batch.persist()
+        try:
+            upsert_table(kept.sparkSession, table_path, [kept], KEYS)
+        finally:
+            kept.unpersist()
 
     writer = cost_page_stream(spark, landing, account).writeStream.foreachBatch(upsert_batch).option(
         "checkpointLocation", checkpoint
