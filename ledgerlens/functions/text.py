@@ -113,10 +113,11 @@ def share_class(value: Column | str, total: Column | str) -> Column:
     )
 
 
-def month_label(d: Column | str) -> Column:
-    """``Marzo 2001`` for any day in March 2001."""
+def month_label(d: Column | str, month_names: tuple[str, ...] = MONTH_NAMES_IT) -> Column:
+    """``Marzo 2001`` for any day in March 2001 (names capitalised; another
+    list of twelve names, January first, may be given)."""
     c = _c(d)
-    names = F.array(*[F.lit(n[0].upper() + n[1:]) for n in MONTH_NAMES_IT])
+    names = F.array(*[F.lit(n[0].upper() + n[1:]) for n in month_names])
     return F.concat(F.element_at(names, F.month(c)), F.lit(" "), F.year(c).cast("string"))
 
 

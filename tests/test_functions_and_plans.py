@@ -148,3 +148,19 @@ def test_hot_account_is_reduced_before_the_shuffle(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(account#\d+, service#\d+", plan)) == 1
     got = {r["account"]: r["mtd"] for r in df.where("service = 's0'").collect()}
     assert got == {"hot": 1000.0, "cold": 2.0}
+
+
+def test_metric_choice_and_month_names(spark):
+    import pytest
+
+    from ledgerlens.operators import trends as T
+
+    assert T.resolve_metric("total") == "total_pods" and T.resolve_metric("onboarded") == "onboarded_pods"
+    with pytest.raises(ValueError):
+        T.resolve_metric("pods")
+    names = ("january", "february", "march", "april", "may", "june", "july", "august",
+             "september", "october", "november", "december")
+    row = spark.createDataFrame([(dt.date(2001, 3, 9),)], "d date").select(
+        X.month_label("d").alias("it"), X.month_label("d", names).alias("en")
+    ).first()
+    assert (row["it"], row["en"]) == ("Marzo 2001", "March 2001")
