@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, month_index, month_start, py_month_start, py_shift_month_start
 from ..functions.ratio import money_value, safe_ratio, sum_money
-from .joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small
+from .joins import broadcast_if_small
 
 FACT_KEYS = ("date", "account", "service")
 
@@ -305,7 +305,7 @@ def period_metrics_for_anchors(
     anchors: DataFrame,
     full_month: bool = False,
     money_scale: int | None = None,
-    broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+    broadcast_max_rows: int | None = None,
 ) -> DataFrame:
     """Metrics for many (account, anchor) pairs in one job.
 

@@ -6,8 +6,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its measured row count is at most this.
+# A side is broadcast only when its measured row count is at most this; the
+# session setting ``ledgerlens.broadcast.maxRows`` overrides it (-1: never).
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
+MAX_ROWS_CONF = "ledgerlens.broadcast.maxRows"
 
 
 def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
@@ -21,15 +23,25 @@ def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
     return kept, kept.count()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven to be at most ``max_rows``.
+def broadcast_limit(df: DataFrame, max_rows: int | None = None) -> int:
+    if max_rows is not None:
+        return max_rows
+    return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(DEFAULT_BROADCAST_MAX_ROWS)))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only when its row count is proven to be at most the
+    limit (``max_rows``, else the session setting, else the default).
 
     Larger frames are returned unchanged and Spark plans a shuffle join
-    (with AQE skew splitting) instead.
+    (with AQE skew splitting) instead. A negative limit never broadcasts.
     """
+    limit = broadcast_limit(df, max_rows)
+    if limit < 0:
+        return df
     if df.isLocal():
         # Built on the driver from a literal list: the size is already bounded
         # by what the driver holds, so no counting job is needed.
         return F.broadcast(df)
     kept, rows = materialize_small(df)
-    return F.broadcast(kept) if rows <= max_rows else kept
+    return F.broadcast(kept) if rows <= limit else kept

@@ -171,3 +171,28 @@ def test_table_names_and_service_collapse(spark):
     )
     got = _rows(C.collapse_duplicate_services(df))
     assert got == [("a", "s", 1.0, 2.0), ("a", "t", 3.0, 4.0)]
+
+
+def test_results_do_not_depend_on_broadcast(spark):
+    """The shuffle-join fallbacks (no broadcast anywhere) give the same rows."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    keys = [
+        "period_metrics_per_account", "period_metrics_all_anchors", "linked_account_exclusion",
+        "service_label", "incremental_window", "daily_delta_seeded",
+    ]
+    want = {k: _rows(entry.queries()[k](spark, sf)) for k in keys}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.catalog.clearCache()  # cached frames of the first pass keep their plans
+    spark.conf.set("ledgerlens.broadcast.maxRows", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for k in keys:
+            df = entry.queries()[k](spark, sf)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan, k
+            assert _rows(df) == want[k], k
+    finally:
+        spark.conf.unset("ledgerlens.broadcast.maxRows")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
