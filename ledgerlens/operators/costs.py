@@ -437,6 +437,11 @@ def collapse_duplicate_services(df: DataFrame, group_cols: Sequence[str] = ("acc
     return df.groupBy(*group_cols, "service").agg(*[F.first(c, ignorenulls=True).alias(c) for c in metrics])
 
 
+def report_accounts(df: DataFrame) -> DataFrame:
+    """Rows of accounts that get a report: the account list holds no NULL."""
+    return df.where(F.col("account").isNotNull())
+
+
 def service_order(df: DataFrame, group_cols: Sequence[str] = ("account",)) -> DataFrame:
     """Rank services per group by current amount, largest first, NULL last;
     ties by name. Without an ``mtd`` column, by name only."""
@@ -478,12 +483,13 @@ def service_report(
 
     One row per (account, metric row, column): column ``Total`` (position 0)
     from :func:`service_totals`, then services in :func:`service_order`.
-    Pivot on export only. The metrics frame (accounts x services) feeds both
-    the service cells and the totals, so it is cached once instead of being
-    computed for each branch.
+    Pivot on export only. Reports exist per account of the account list,
+    which has no NULL account. The metrics frame (accounts x services) feeds
+    both the service cells and the totals, so it is cached once instead of
+    being computed for each branch.
     """
     keys = [_q(c) for c in group_cols]
-    metrics = metrics.persist()
+    metrics = report_accounts(metrics).persist()
     ranked = service_order(metrics, group_cols)
     cells = ranked.selectExpr(*keys, "service", "rank AS col_position", _stack_rows())
     totals = service_totals(metrics, group_cols, money_scale)

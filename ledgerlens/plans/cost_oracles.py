@@ -25,7 +25,7 @@ _PAIRS = (
     ("delta_avg12", "pct_avg12", "mtd", "avg12"),
 )
 
-MTD_NO_TAX = "pmt AS (SELECT * FROM pm WHERE service IS DISTINCT FROM 'Tax')"
+MTD_NO_TAX = "pmt AS (SELECT * FROM pm WHERE service IS DISTINCT FROM 'Tax' AND account IS NOT NULL)"
 
 
 def _ordered_sum(c: str) -> str:

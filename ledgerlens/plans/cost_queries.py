@@ -96,7 +96,9 @@ def q_period_options(spark, sf_dir):
 
 
 def _mtd_no_tax(spark, sf_dir):
-    return C.tax_filter(q_period_metrics_mtd(spark, sf_dir), include_tax=False)
+    """Per-account report input: month-to-date metrics of the listed
+    (non-NULL) accounts, tax left out."""
+    return C.report_accounts(C.tax_filter(q_period_metrics_mtd(spark, sf_dir), include_tax=False))
 
 
 def q_service_totals(spark, sf_dir):
