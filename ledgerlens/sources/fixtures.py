@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ratio import money_value, sum_money
 from ..operators.costs import daily_cost_rollup
 from .tables import read_parquet
 
@@ -34,21 +35,23 @@ SOURCE_EVENTS = "gamma"
 EVENTS_ONBOARDED_MIN_VALUE = 50.0
 
 
-def raw_cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_cost_lines(spark: SparkSession, sf_dir: str, with_linked: bool = True) -> DataFrame:
     o = read_parquet(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice", "o_orderstatus"
     )
     c = read_parquet(spark, sf_dir, "customer").select(
         "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal"
     )
-    n = read_parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    lines = o.join(c, o["o_custkey"] == c["c_custkey"]).join(
-        n, F.col("c_nationkey") == F.col("n_nationkey"), "left"
-    )
+    lines = o.join(c, o["o_custkey"] == c["c_custkey"])
+    linked = F.lit(None).cast("string")
+    if with_linked:
+        n = read_parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        lines = lines.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        linked = F.col("n_name")
     return lines.select(
         F.to_date("o_orderdate").alias("date"),
         F.col("c_mktsegment").alias("account"),
-        F.col("n_name").alias("linked_account"),
+        linked.alias("linked_account"),
         F.col("o_orderpriority").alias("service"),
         F.col("o_totalprice").alias("amount"),
         F.col("o_orderstatus").alias("_status"),
@@ -73,23 +76,34 @@ def linked_account_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_cost_rollup(cost_lines(spark, sf_dir), MONEY_SCALE)
+    lines = raw_cost_lines(spark, sf_dir, with_linked=False).select("date", "account", "service", "amount")
+    return daily_cost_rollup(lines, MONEY_SCALE)
 
 
 def cost_fact_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cost_fact plus a slice with NULL account (customers with a negative
-    balance) and a slice with NULL service (urgent orders in status P)."""
-    raw = raw_cost_lines(spark, sf_dir)
-    null_account = raw.where(F.col("_acctbal") < 0).select(
-        "date", F.lit(None).cast("string").alias("account"), "service", "amount"
-    )
-    null_service = raw.where(
-        (F.col("_status") == "P") & (F.col("service") == "1-URGENT")
-    ).select("date", "account", F.lit(None).cast("string").alias("service"), "amount")
+    balance) and a slice with NULL service (urgent orders in status P).
+
+    Built in one pass: every line goes to the slices it belongs to and one
+    grouped sum runs per (slice, date, account, service); groups of different
+    slices never merge, so the rows equal the union of three rollups."""
+    raw = raw_cost_lines(spark, sf_dir, with_linked=False)
+    null_str = F.lit(None).cast("string")
+    slices = F.array(
+        F.struct(F.lit(0).alias("s"), F.col("account").alias("a"), F.col("service").alias("v")),
+        F.when(F.col("_acctbal") < 0, F.struct(F.lit(1).alias("s"), null_str.alias("a"), F.col("service").alias("v"))),
+        F.when(
+            (F.col("_status") == "P") & (F.col("service") == "1-URGENT"),
+            F.struct(F.lit(2).alias("s"), F.col("account").alias("a"), null_str.alias("v")),
+        ),
+    )
+    tagged = raw.select("date", "amount", F.explode(F.filter(slices, lambda x: x.isNotNull())).alias("_x"))
+    tagged = tagged.select("date", F.col("_x.s").alias("_slice"), F.col("_x.a").alias("account"),
+                           F.col("_x.v").alias("service"), "amount")
     return (
-        cost_fact(spark, sf_dir)
-        .unionByName(daily_cost_rollup(null_account, MONEY_SCALE))
-        .unionByName(daily_cost_rollup(null_service, MONEY_SCALE))
+        tagged.groupBy("_slice", "date", "account", "service")
+        .agg(money_value(sum_money("amount", MONEY_SCALE)).alias("amount"))
+        .select("date", "account", "service", "amount")
     )
 
 
