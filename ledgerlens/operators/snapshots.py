@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 SNAPSHOT_COLUMNS = ("date", "tenant", "source_backend", "pods", "onboarded")
 PARTITION_YEAR_REGEX = r"(?:^|/)year=(\d{4})(?:/|$)"
 
+# Date patterns tried after ISO forms: compact, day-month-name, month-first
+# and year-first slashes.
+DATE_PATTERNS = ("yyyyMMdd", "d MMM yyyy", "M/d/yyyy", "yyyy/M/d")
+
 # Rejection reasons, in the order the checks run.
 REASONS = (
     "bad_date",
@@ -42,7 +46,7 @@ def parse_utc_day(col: Column, dtype: T.DataType | None = None) -> Column:
     """Day in UTC of a date, timestamp or text value; NULL when unparseable.
 
     Text forms taken: ISO date, ISO timestamp with or without offset (shifted
-    to its UTC day) and ``yyyyMMdd``.
+    to its UTC day), and the date patterns below (month first for slashes).
     """
     if isinstance(dtype, T.DateType):
         return col
@@ -51,7 +55,7 @@ def parse_utc_day(col: Column, dtype: T.DataType | None = None) -> Column:
     s = F.trim(col.cast("string"))
     return F.coalesce(
         F.to_date(F.try_to_timestamp(s)),
-        F.to_date(F.try_to_timestamp(s, F.lit("yyyyMMdd"))),
+        *[F.to_date(F.try_to_timestamp(s, F.lit(p))) for p in DATE_PATTERNS],
     )
 
 

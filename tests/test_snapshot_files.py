@@ -106,11 +106,20 @@ def test_normalize_and_checks(spark):
             ("bad", "c", "src", "1", "1"),
             ("2024-01-07", "  ", "src", "1", "1"),
             ("2024-01-07", "d", "src", None, "1"),
+            ("5 Jan 2024", "e", "src", "2", "1"),
+            ("01/02/2024", "f", "src", "3", "1"),
+            ("2024/1/9", "g", "src", "4", "1"),
         ],
         "date string, tenant string, source_backend string, pods string, onboarded string",
     )
     got = sorted(tuple(r) for r in S.normalize_snapshots(raw).collect())
-    assert got == [(dt.date(2024, 1, 6), "a", "src", 10, 10), (dt.date(2024, 1, 7), "b", "src", 10, 3)]
+    assert got == [
+        (dt.date(2024, 1, 2), "f", "src", 3, 1),
+        (dt.date(2024, 1, 5), "e", "src", 2, 1),
+        (dt.date(2024, 1, 6), "a", "src", 10, 10),
+        (dt.date(2024, 1, 7), "b", "src", 10, 3),
+        (dt.date(2024, 1, 9), "g", "src", 4, 1),
+    ]
     dup = spark.createDataFrame(
         [(dt.date(2024, 1, 1), "a", "x", 1, 1), (dt.date(2024, 1, 1), "a", "y", 1, 1)],
         "date date, tenant string, source_backend string, pods long, onboarded long",
