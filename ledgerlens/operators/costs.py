@@ -1,9 +1,10 @@
 """Cost facts: rollup, dimension labels, filters, anchors and period metrics.
 
 Facts have the columns ``date, account, service, amount``. Every function
-takes and returns DataFrames; the only driver actions are tiny scalar lookups
-(the table-wide latest date, an anchor frame's size and date bounds) whose
-results become literals so that Parquet pruning reaches the fact scan.
+takes and returns DataFrames; the only driver actions are small lookups (the
+table-wide latest date, an anchor frame's size and date bounds, the accounts
+of a load without recent rows) whose results become literals so that
+Parquet pruning reaches the fact scan.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def date_range(df: DataFrame, lo: dt.date | None, hi: dt.date | None, hi_inclusi
         if lo is not None:
             cond = cond & (m >= F.lit(py_month_start(lo)))
         if hi is not None:
-            cond = cond & (m <= F.lit(py_month_start(hi)))
+            last_day = hi if hi_inclusive else hi - dt.timedelta(days=1)
+            cond = cond & (m <= F.lit(py_month_start(last_day)))
     return df.where(cond)
 
 
