@@ -176,3 +176,14 @@ def test_gap_fails(spark, scratch):
     with pytest.raises(FileNotFoundError, match="year=2024"):
         snapshot_refresh(spark, templates, f"{scratch}/d", f"{scratch}/m", current_year=2025, bootstrap_year=2022)
     assert not os.path.exists(f"{scratch}/d/_current")
+
+
+def test_duplicate_date_key_last_wins(spark, scratch):
+    p = f"{scratch}/s/year=2024/snap.json"
+    raw = (
+        b'{"2024-01-01": [{"tenant": "a", "total": 1, "onboarded": 0}],'
+        b' "2024-01-01": [{"tenant": "a", "total": 2, "onboarded": 1}]}'
+    )
+    _write(p, None, raw=raw)
+    good = S.require_valid(S.validate_rows(SF.flatten(SF.read_texts(spark, {"s": [p]}))))
+    assert [(r["tenant"], r["pods"], r["onboarded"]) for r in good.collect()] == [("a", 2, 1)]
