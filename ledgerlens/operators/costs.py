@@ -99,8 +99,12 @@ def exclude_linked_accounts(lines: DataFrame, exclusions: DataFrame) -> DataFram
 
 
 def label_services(facts: DataFrame, service_map: DataFrame) -> DataFrame:
-    """Show the mapped label of a service, or the raw name when unmapped."""
-    dim = service_map.select(F.col("raw").alias("_raw"), F.col("label").alias("_label"))
+    """Show the mapped label of a service, or the raw name when unmapped.
+
+    The raw name is the dimension's key: a map that lists a raw name twice
+    is reduced to one label first, so facts are never multiplied by the join.
+    """
+    dim = service_map.groupBy(F.col("raw").alias("_raw")).agg(F.max("label").alias("_label"))
     joined = facts.join(broadcast_if_small(dim), facts["service"] == F.col("_raw"), "left")
     cols = [c for c in facts.columns]
     return joined.select(

@@ -196,3 +196,10 @@ def test_results_do_not_depend_on_broadcast(spark):
     finally:
         spark.conf.unset("ledgerlens.broadcast.maxRows")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_service_map_with_a_doubled_raw_name_does_not_multiply_facts(spark):
+    facts = spark.createDataFrame([(D1, "a", "raw1", 1.0), (D1, "a", "raw2", 2.0)], SCHEMA)
+    dim = spark.createDataFrame([("raw1", "L"), ("raw1", "L"), ("raw2", "M")], "raw string, label string")
+    got = _rows(C.label_services(facts, dim))
+    assert got == [(D1, "a", "L", 1.0), (D1, "a", "M", 2.0)]
