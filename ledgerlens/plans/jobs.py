@@ -17,6 +17,16 @@ from ..sinks.tables import publish, read_published, replace_range, upsert_table
 from ..sources import snapshot_files as SF
 
 
+DAILY_SCHEMA = (
+    "date date, tenant string, source_backend string, daily_delta bigint, total_pods bigint, "
+    "daily_onboarded_delta bigint, onboarded_pods bigint"
+)
+MONTHLY_SCHEMA = (
+    "month_start date, tenant string, source_backend string, monthly_delta bigint, total_pods bigint, "
+    "monthly_onboarded_delta bigint, onboarded_pods bigint"
+)
+
+
 def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -99,6 +109,11 @@ def snapshot_refresh(
         daily_new = T.daily_rows(snaps)
         monthly_new = T.monthly_rows(snaps)
     else:
+        # A table never published counts as empty: no seeds, nothing to keep.
+        if daily_old is None:
+            daily_old = spark.createDataFrame([], DAILY_SCHEMA)
+        if monthly_old is None:
+            monthly_old = spark.createDataFrame([], MONTHLY_SCHEMA)
         d_seed, m_seed = T.seed_values(daily_old, monthly_old, current_year)
         # Every row read from the current year's files is written, even one
         # dated outside the replaced range (it then replaces by key).

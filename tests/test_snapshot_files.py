@@ -187,3 +187,22 @@ def test_duplicate_date_key_last_wins(spark, scratch):
     _write(p, None, raw=raw)
     good = S.require_valid(S.validate_rows(SF.flatten(SF.read_texts(spark, {"s": [p]}))))
     assert [(r["tenant"], r["pods"], r["onboarded"]) for r in good.collect()] == [("a", 2, 1)]
+
+
+def test_refresh_with_only_a_monthly_table(spark, scratch):
+    from ledgerlens.sinks.tables import publish
+
+    templates = {"s": f"{scratch}/land/s/year={{year}}/snap.json"}
+    _write(templates["s"].format(year=2025), _year_payload(2025, ["a"], 10))
+    monthly = spark.createDataFrame(
+        [(dt.date(2024, 12, 1), "a", "s", 4, 4, 1, 1)],
+        "month_start date, tenant string, source_backend string, monthly_delta bigint, total_pods bigint, "
+        "monthly_onboarded_delta bigint, onboarded_pods bigint",
+    )
+    publish(monthly, f"{scratch}/monthly", version="v1")
+    out = snapshot_refresh(spark, templates, f"{scratch}/daily", f"{scratch}/monthly", 2025, 2024)
+    assert out["mode"] == "refresh"
+    daily = read_published(spark, f"{scratch}/daily").orderBy("date").collect()
+    assert [(r["date"], r["daily_delta"]) for r in daily][0] == (dt.date(2025, 1, 1), 10)  # no daily seed
+    m = read_published(spark, f"{scratch}/monthly").orderBy("month_start").collect()
+    assert [(r["month_start"], r["monthly_delta"]) for r in m][:2] == [(dt.date(2024, 12, 1), 4), (dt.date(2025, 1, 1), 6)]
