@@ -186,3 +186,70 @@ def pod_report(
         X.trend_class("delta", "pct").alias("trend_class"),
     )
     return matrix, T.trend_totals(T.trend_matrix(mw, dw, metric, months)), last
+
+
+def cost_report_for_period(
+    costs: DataFrame,
+    period: str = "current",
+    mtd: bool | None = None,
+    include_tax: bool | None = None,
+    money_scale: int | None = None,
+) -> DataFrame:
+    """Report rows of every account for one period option, in one job.
+
+    ``period`` is ``current`` or ``month:YYYY-MM-01`` (see
+    :func:`~ledgerlens.operators.costs.period_options`). Defaults: month-to-date
+    and tax left out for ``current``; whole months and tax shown for an
+    earlier month.
+
+    * current, month-to-date: the table-wide latest date as anchor;
+    * current, whole month: each account's latest month;
+    * earlier month, month-to-date: each account's own anchor in that month;
+    * earlier month, whole month: that calendar month.
+
+    Only accounts present in the current view get a report (as in the
+    dashboard, whose account list comes from it). Each row carries the label
+    of its report row, counted back from the account's period.
+    """
+    current = period == "current"
+    mtd = current if mtd is None else mtd
+    include_tax = (not current) if include_tax is None else include_tax
+    listed = C.report_accounts(C.period_metrics(costs, None, money_scale)).select("account").distinct()
+    anchors = C.month_anchors(costs, ordered=False)
+    if current:
+        latest_month = anchors.groupBy("account").agg(F.max("month_start").alias("month_start"))
+        own = anchors.join(latest_month, ["account", "month_start"])
+        if mtd:
+            metrics = C.period_metrics(costs, None, money_scale)
+        else:
+            metrics = C.period_metrics_for_anchors(
+                costs, own.select("account", "month_start"), full_month=True, money_scale=money_scale
+            ).drop("month_start")
+        label_ref = own.select("account", F.col("anchor_date" if mtd else "month_start").alias("_ref"))
+    else:
+        month = dt.date.fromisoformat(period.split(":", 1)[1][:10])
+        own = anchors.where(F.col("month_start") == F.lit(month))
+        if mtd:
+            metrics = C.period_metrics_for_anchors(
+                costs, own.select("account", "anchor_date"), money_scale=money_scale
+            ).drop("anchor_date")
+        else:
+            metrics = C.period_metrics_for_month(costs, month, money_scale).join(
+                own.select("account"), "account", "left_semi"
+            )
+        label_ref = own.select("account", F.col("anchor_date" if mtd else "month_start").alias("_ref"))
+    metrics = metrics.join(listed, "account", "left_semi")
+    report = C.service_report(C.tax_filter(metrics, include_tax), money_scale=money_scale)
+    labels = label_ref.select("account", *X.row_label_columns("_ref"))
+    label = F.coalesce(
+        *[F.when(F.col("metric") == m, F.col(f"label_{m}")) for m, _ in X.ROW_LABELS]
+    )
+    return (
+        report.join(labels, "account", "left")
+        .select(
+            *report.columns,
+            label.alias("row_label"),
+            X.cost_cell_text("value", "pct").alias("cell_text"),
+            X.cost_pct_class("pct").alias("pct_class"),
+        )
+    )

@@ -50,3 +50,32 @@ def test_onboarded_view_orders_on_its_own_rows(spark):
     # Total view: tA leads with 100; onboarded view drops tA's February row,
     # so its filled total is 10 and tB (50) leads.
     assert order == {"total": ["tA", "tB"], "onboarded": ["tB", "tA"]}
+
+
+def test_cost_report_for_period(spark):
+    from ledgerlens.operators import costs as C
+    from ledgerlens.plans.jobs import cost_report_for_period
+
+    costs = CQ.labeled_costs(spark, SF)
+    cur = cost_report_for_period(costs, money_scale=2)
+    assert cur.where("service = 'Tax'").count() == 0  # tax off by default for the current view
+    assert cur.where("account IS NULL").count() == 0
+    latest = C.latest_date(costs)
+    mtd_row = cur.where("metric = 'mtd'").select("row_label").distinct().collect()
+    assert len(mtd_row) >= 1
+    listed = {r["account"] for r in C.period_metrics(costs, latest).where("account IS NOT NULL").collect()}
+    assert {r["account"] for r in cur.collect()} <= listed
+
+    past = cost_report_for_period(costs, "month:2000-03-01", money_scale=2)  # whole month, tax on
+    want = C.service_report(
+        C.period_metrics_for_month(costs, "2000-03-01", 2).join(
+            C.month_anchors(costs, ordered=False).where("month_start = DATE'2000-03-01'").select("account"), "account", "left_semi"
+        ).join(spark.createDataFrame([(a,) for a in listed], "account string"), "account", "left_semi"),
+        money_scale=2,
+    )
+    key = lambda r: (r["account"], str(r["service"]), r["metric"])
+    assert sorted(map(key, past.collect())) == sorted(map(key, want.collect()))
+    assert {r["row_label"] for r in past.where("metric = 'mtd'").collect()} == {"Marzo 2000"}
+    assert {r["row_label"] for r in past.where("metric = 'avg6'").collect()} == {"Media 6M"}
+    mtd_past = cost_report_for_period(costs, "month:2000-03-01", mtd=True, money_scale=2)
+    assert mtd_past.count() > 0
