@@ -324,7 +324,7 @@ def period_metrics_for_anchors(
     date span with literal bounds so the scan is pruned.
     """
     anchor_col = "month_start" if full_month else "anchor_date"
-    a = anchors.select("account", F.col(anchor_col).cast("date").alias(anchor_col)).where(
+    a = anchors.select("account", F.col(anchor_col).try_cast("date").alias(anchor_col)).where(
         F.col("account").isNotNull() & F.col(anchor_col).isNotNull()
     ).distinct()
     a = a.select(

@@ -151,7 +151,7 @@ def validate_rows(rows: DataFrame) -> DataFrame:
     onb_n = onboarded.try_cast("double")
     reason = (
         F.when(date.isNull(), "bad_date")
-        .when((path_year != "") & (F.year(date) != path_year.cast("int")), "year_mismatch")
+        .when((path_year != "") & (F.year(date) != path_year.try_cast("int")), "year_mismatch")
         .when(~is_list, "not_a_list")
         .when(~is_object, "not_an_object")
         .when(tenant.isNull() | (tenant == ""), "no_tenant")
