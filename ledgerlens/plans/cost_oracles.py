@@ -242,6 +242,31 @@ def oracles() -> dict[str, str]:
         body=f"SELECT account, service, metric, {cell} AS cell_text, "
         "CASE WHEN pct IS NULL THEN '' WHEN pct < 0 THEN 'neg' ELSE 'pos' END AS pct_class FROM rep",
     )
+    full = metrics_cte("pm", "DATE '2000-03-01'", full=True)
+    label_case = (
+        "CASE metric "
+        + " ".join(
+            f"WHEN '{m}' THEN " + sql_month_label(f"CAST(DATE '2000-03-01' - INTERVAL {k} MONTH AS DATE)")
+            for m, k in (("mtd", 0), ("prev_mtd", 1), ("prev2_mtd", 2), ("prev3_mtd", 3), ("prev4_mtd", 4))
+        )
+        + " WHEN 'avg6' THEN 'Media 6M' WHEN 'avg12' THEN 'Media 12M' END"
+    )
+    q["report_for_past_month"] = with_ctes(
+        FIXTURE_CTES,
+        full,
+        "listed AS (SELECT DISTINCT account FROM costs WHERE account IS NOT NULL AND date BETWEEN "
+        "CAST(date_trunc('month', (SELECT MAX(date) FROM costs)) AS DATE) AND (SELECT MAX(date) FROM costs))",
+        "in_month AS (SELECT DISTINCT account FROM costs WHERE account IS NOT NULL "
+        "AND CAST(date_trunc('month', date) AS DATE) = DATE '2000-03-01')",
+        "pmt AS (SELECT * FROM pm WHERE account IN (SELECT account FROM listed) "
+        "AND account IN (SELECT account FROM in_month))",
+        ORDER_CTE,
+        f"tot AS ({_totals_sql('pmt')})",
+        "rep AS (" + _report_rows("ord", "service", "rnk") + " UNION ALL "
+        + _report_rows("tot", "'Total'", "CAST(0 AS BIGINT)") + ")",
+        body=f"SELECT *, {label_case} AS row_label, {cell} AS cell_text, "
+        "CASE WHEN pct IS NULL THEN '' WHEN pct < 0 THEN 'neg' ELSE 'pos' END AS pct_class FROM rep",
+    )
     rows = [("mtd", 0), ("prev_mtd", 1), ("prev2_mtd", 2), ("prev3_mtd", 3), ("prev4_mtd", 4)]
     label_cols = ", ".join(
         sql_month_label(f"CAST(month_start - INTERVAL {k} MONTH AS DATE)") + f" AS label_{m}" for m, k in rows

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import costs as C
+from ..plans.jobs import cost_report_for_period
 from ..sinks.tables import merge_latest
 from ..sources import fixtures as fx
 
@@ -181,7 +182,14 @@ def q_period_labels(spark, sf_dir):
     )
 
 
+def q_report_for_past_month(spark, sf_dir):
+    """The report of an earlier month with the dashboard's defaults (whole
+    month, tax shown), for the accounts of the current view, with labels."""
+    return cost_report_for_period(labeled_costs(spark, sf_dir), f"month:{FULL_MONTH}", money_scale=SCALE)
+
+
 QUERIES = {
+    "report_for_past_month": q_report_for_past_month,
     "distinct_accounts": q_distinct_accounts,
     "incremental_window": q_incremental_window,
     "cost_upsert": q_cost_upsert,
