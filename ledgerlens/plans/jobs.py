@@ -214,7 +214,12 @@ def cost_report_for_period(
     current = period == "current"
     mtd = current if mtd is None else mtd
     include_tax = (not current) if include_tax is None else include_tax
-    listed = C.report_accounts(C.period_metrics(costs, None, money_scale)).select("account").distinct()
+    # The current view lists the accounts with rows from the start of the
+    # latest date's month up to that date (its month-to-date window).
+    latest = C.latest_date(costs)
+    listed = C.report_accounts(
+        C.date_range(costs, latest.replace(day=1) if latest else None, latest).select("account")
+    ).distinct()
     anchors = C.month_anchors(costs, ordered=False)
     if current:
         latest_month = anchors.groupBy("account").agg(F.max("month_start").alias("month_start"))
