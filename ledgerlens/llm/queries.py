@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, near_dedup
-from .shared import prepare
+from . import decontam, near_dedup, packing, token_planes
+from .shared import prepare, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,22 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    folder = shared_folder(spark, "token-planes")
+    token_planes.write(docs, folder)
+    return token_planes.read_back(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_token_planes": op8_token_planes,
 }
 
 ORACLES: dict[str, str] = {}
