@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, near_dedup, packing, token_planes
+from . import decontam, langid, near_dedup, packing, sharding, token_planes
 from .shared import prepare, shared_folder
 
 
@@ -26,6 +26,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(langid.fold(3) != 1))
+    return langid.identify(docs, model).select("doc_id", (langid.fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     folder = shared_folder(spark, "token-planes")
@@ -33,11 +39,17 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_back(spark, folder)
 
 
+def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op8_token_planes": op8_token_planes,
+    "op9_minimax_sharding": op9_minimax_sharding,
 }
 
 ORACLES: dict[str, str] = {}
