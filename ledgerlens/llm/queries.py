@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, near_dedup, packing, quality, sharding, token_planes
+from . import decontam, langid, near_dedup, packing, quality, secret_scan, sharding, token_planes
 from .shared import prepare, shared_folder
 
 
@@ -47,6 +47,11 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.report(docs, secret_scan.learn(*secret_scan.labelled_samples(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_quality_cascade": op3_quality_cascade,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_token_planes": op8_token_planes,
     "op9_minimax_sharding": op9_minimax_sharding,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
