@@ -188,15 +188,22 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageFilter, least: float) -> DataFrame:
-    """``docs`` with its own columns, without texts that are ``und`` or score below ``least``."""
+    """``docs`` with its own columns, without texts that are ``und`` or score below ``least``.
+
+    A model without languages keeps every text with a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in _decoded(batch, column):
-                langs, score = shared.value.predict(texts)
-                yield batch.slice(a, b - a).filter(pa.array((np.array(langs, dtype=object) != UNKNOWN) & (score >= least)))
+                if shared.value.langs:
+                    langs, score = shared.value.predict(texts)
+                    keeps = (np.array(langs, dtype=object) != UNKNOWN) & (score >= least)
+                else:
+                    keeps = np.bincount(trigrams(texts)[1], minlength=len(texts)) > 0
+                yield batch.slice(a, b - a).filter(pa.array(keeps))
 
     return docs.mapInArrow(keep, docs.schema)
 
