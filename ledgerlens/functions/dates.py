@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +33,8 @@ def py_month_start(value: dt.date) -> dt.date:
 
 
 def py_shift_month_start(value: dt.date, months: int) -> dt.date:
-    index = value.year * 12 + value.month - 1 + months
-    year, month0 = divmod(index, 12)
-    return dt.date(year, month0 + 1, 1)
+    """First day of the month ``months`` after (or before) the date's month."""
+    return (pd.Period(value, freq="M") + months).start_time.date()
 
 
 def as_date(value: str | dt.date | dt.datetime) -> dt.date:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, month_index, month_start, py_month_start, py_shift_month_start
 from ..functions.ratio import money_value, safe_ratio, sum_money
-from .joins import broadcast_if_small
 
 FACT_KEYS = ("date", "account", "service")
 
@@ -95,17 +94,19 @@ def exclude_linked_accounts(lines: DataFrame, exclusions: DataFrame) -> DataFram
     cond = (F.col("account") == F.col("_ex_account")) & (
         F.col("linked_account") == F.col("_ex_linked")
     )
-    return lines.join(broadcast_if_small(ex), cond, "left_anti")
+    return lines.join(ex, cond, "left_anti")
 
 
 def label_services(facts: DataFrame, service_map: DataFrame) -> DataFrame:
     """Show the mapped label of a service, or the raw name when unmapped.
 
     The raw name is the dimension's key: a map that lists a raw name twice
-    is reduced to one label first, so facts are never multiplied by the join.
+    is reduced to one label first, so facts are never multiplied by the join:
+    the one at the last ``position``, where the map has that column.
     """
-    dim = service_map.groupBy(F.col("raw").alias("_raw")).agg(F.max("label").alias("_label"))
-    joined = facts.join(broadcast_if_small(dim), facts["service"] == F.col("_raw"), "left")
+    label = F.max_by("label", "position") if "position" in service_map.columns else F.max("label")
+    dim = service_map.groupBy(F.col("raw").alias("_raw")).agg(label.alias("_label"))
+    joined = facts.join(dim, facts["service"] == F.col("_raw"), "left")
     cols = [c for c in facts.columns]
     return joined.select(
         *[
@@ -160,15 +161,19 @@ def latest_loaded(df: DataFrame) -> DataFrame:
     )
 
 
-def month_anchors(df: DataFrame, ordered: bool = True) -> DataFrame:
-    """Per account and month: the latest day with a row (the month's anchor).
+def month_anchors(
+    df: DataFrame, ordered: bool = True, lo: dt.date | None = None, hi: dt.date | None = None
+) -> DataFrame:
+    """Per account and month: the latest day with a row (the month's anchor),
+    over the days ``lo`` to ``hi`` where given (they prune the scan).
 
     Rows with a NULL account, month or anchor are dropped. Ordered by
     account, then newest month first (``ordered=False`` when the rows feed
     another job, to spare a global sort).
     """
     out = (
-        df.where(F.col("date").isNotNull())
+        date_range(df, lo, hi)
+        .where(F.col("date").isNotNull())
         .groupBy("account", month_start("date").alias("month_start"))
         .agg(F.max("date").alias("anchor_date"))
         .where(F.col("account").isNotNull())
@@ -265,6 +270,11 @@ def _aggregate_periods(df: DataFrame, group_cols: Sequence[str], money_scale: in
     return values.selectExpr(*keys, *VALUE_COLUMNS, *_delta_exprs())
 
 
+def _ordered_if(ordered: bool, df: DataFrame, lead: Sequence[str] = ()) -> DataFrame:
+    """Sorted for a reader; rows that feed another job are left as they come."""
+    return _order(df, lead) if ordered else df
+
+
 def _order(df: DataFrame, lead: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in (*lead, "account", "service")])
 
@@ -273,6 +283,7 @@ def period_metrics(
     facts: DataFrame,
     anchor_date: dt.date | str | None = None,
     money_scale: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Month-to-date metrics at an anchor date (the table's latest date if None).
 
@@ -291,11 +302,11 @@ def period_metrics(
         .withColumn("_k", k)
         .where((F.col("_k") == 0) | (F.dayofmonth("date") <= F.lit(anchor.day)))
     )
-    return _order(_aggregate_periods(window, (), money_scale))
+    return _ordered_if(ordered, _aggregate_periods(window, (), money_scale))
 
 
 def period_metrics_for_month(
-    facts: DataFrame, month: dt.date | str, money_scale: int | None = None
+    facts: DataFrame, month: dt.date | str, money_scale: int | None = None, ordered: bool = True
 ) -> DataFrame:
     """Metrics on whole calendar months for the month starting at ``month``."""
     m0 = py_month_start(as_date(month))
@@ -303,7 +314,7 @@ def period_metrics_for_month(
     hi = py_shift_month_start(m0, 1)
     k = F.lit(m0.year * 12 + m0.month - 1) - month_index("date")
     window = date_range(facts, lo, hi, hi_inclusive=False).withColumn("_k", k)
-    return _order(_aggregate_periods(window, (), money_scale))
+    return _ordered_if(ordered, _aggregate_periods(window, (), money_scale))
 
 
 def period_metrics_for_anchors(
@@ -311,7 +322,7 @@ def period_metrics_for_anchors(
     anchors: DataFrame,
     full_month: bool = False,
     money_scale: int | None = None,
-    broadcast_max_rows: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Metrics for many (account, anchor) pairs in one job.
 
@@ -319,8 +330,8 @@ def period_metrics_for_anchors(
     ``month_start`` (full months). Each anchor is exploded to its 13 months,
     so facts meet anchors on an equi-join of (account, month). Facts are
     reduced to one row per (account, service, month) first (monthly sums, or
-    per-day sums for capped windows), so the join fans out monthly rows. The anchor side is broadcast only when
-    its measured size allows; facts are first cut to the anchors' overall
+    per-day sums for capped windows), so the join fans out monthly rows. Spark
+    picks the join by the sides' sizes; facts are first cut to the anchors' overall
     date span with literal bounds so the scan is pruned.
     """
     anchor_col = "month_start" if full_month else "anchor_date"
@@ -334,7 +345,7 @@ def period_metrics_for_anchors(
         F.dayofmonth(anchor_col).alias("_dom"),
         F.explode(F.sequence(F.lit(0), F.lit(HISTORY_MONTHS))).alias("_k"),
     ).withColumn("_month", F.add_months("_m0", -F.col("_k")))
-    a = broadcast_if_small(a.withColumnRenamed("account", "_a_account"), broadcast_max_rows)
+    a = a.withColumnRenamed("account", "_a_account")
 
     bounds = a.agg(F.min("_month").alias("lo"), F.max(anchor_col).alias("hi")).first()
     if bounds is None or bounds["lo"] is None:
@@ -350,7 +361,7 @@ def period_metrics_for_anchors(
             sum_money("amount", money_scale).alias("amount")
         )
         joined = f.join(a, (F.col("account") == F.col("_a_account")) & (F.col("_fmonth") == F.col("_month")))
-        return _order(_aggregate_periods(joined, (anchor_col,), money_scale), (anchor_col,))
+        return _ordered_if(ordered, _aggregate_periods(joined, (anchor_col,), money_scale), (anchor_col,))
     # Capped: every window is "month k, days 1..dom" (k = 0 included, as the
     # anchor lies in month 0), so per-day sums and row counts of the month
     # are kept and each anchor reads the prefix up to its day.
@@ -374,7 +385,7 @@ def period_metrics_for_anchors(
         ).alias("amount"),
         F.expr("aggregate(slice(_day_rows, 1, _dom), 0L, (acc, x) -> acc + x)").alias("_rows"),
     ).where(F.col("_rows") > 0)
-    return _order(_aggregate_periods(capped, (anchor_col,), money_scale), (anchor_col,))
+    return _ordered_if(ordered, _aggregate_periods(capped, (anchor_col,), money_scale), (anchor_col,))
 
 
 # --------------------------------------------------------------------------
@@ -409,14 +420,12 @@ def service_totals(
     for c in metrics:
         if money_scale is not None and c in exact:
             sums.append(F.expr(f"coalesce(CAST({_sum_sql(_q(c), money_scale)} AS DOUBLE), 0.0)").alias(c))
+        elif money_scale is not None:
+            # Averages have no last decimal: at four more than the money has, their
+            # sum is exact and does not depend on the order of tasks either.
+            sums.append(F.expr(f"coalesce(CAST(sum(CAST({_q(c)} AS DECIMAL(28,{money_scale + 4}))) AS DOUBLE), 0.0)").alias(c))
         else:
-            # Averages are not exact decimals: add them in ascending order so the
-            # total does not depend on task order (one value per service).
-            sums.append(
-                F.expr(
-                    f"aggregate(array_sort(collect_list(CAST({_q(c)} AS DOUBLE))), CAST(0 AS DOUBLE), (acc, v) -> acc + v)"
-                ).alias(c)
-            )
+            sums.append(F.expr(f"coalesce(sum(CAST({_q(c)} AS DOUBLE)), 0.0)").alias(c))
     totals = df.groupBy(*group_cols).agg(*sums)
     present = set(metrics)
     recomputed: dict[str, str] = {}
@@ -450,10 +459,13 @@ def report_accounts(df: DataFrame) -> DataFrame:
 
 def service_order(df: DataFrame, group_cols: Sequence[str] = ("account",)) -> DataFrame:
     """Rank services per group by current amount, largest first, NULL last;
-    ties by name. Without an ``mtd`` column, by name only."""
+    ties by name. Without an ``mtd`` column, by name only, and a NULL service
+    has no name to be listed by."""
     order = [F.col("service").asc_nulls_last()]
     if "mtd" in df.columns:
         order = [F.col("mtd").desc_nulls_last()] + order
+    else:
+        df = df.where(F.col("service").isNotNull())
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
@@ -491,11 +503,10 @@ def service_report(
     from :func:`service_totals`, then services in :func:`service_order`.
     Pivot on export only. Reports exist per account of the account list,
     which has no NULL account. The metrics frame (accounts x services) feeds
-    both the service cells and the totals, so it is cached once instead of
-    being computed for each branch.
+    both the service cells and the totals; pass it without an order.
     """
     keys = [_q(c) for c in group_cols]
-    metrics = report_accounts(metrics).persist()
+    metrics = report_accounts(metrics)
     ranked = service_order(metrics, group_cols)
     cells = ranked.selectExpr(*keys, "service", "rank AS col_position", _stack_rows())
     totals = service_totals(metrics, group_cols, money_scale)
@@ -530,9 +541,10 @@ def load_windows(
     stop = tomorrow. The open month is thus always re-read.
 
     The latest date per account is looked up in the current and previous
-    month first (pruned to those partitions). Only accounts without rows
-    there are looked up in the whole table, filtered to those accounts, so
-    a daily run does not scan the table's history.
+    month first (pruned to those partitions). Accounts without rows there
+    are joined to the older rows; when there are none, Spark finds that side
+    empty while it runs and skips the scan of the history. No account list
+    passes through the driver.
     """
     spark = existing.sparkSession
     today_d = as_date(today)
@@ -541,23 +553,17 @@ def load_windows(
     if isinstance(account_list, DataFrame):
         acc = account_list.select("account").distinct()
     else:
-        acc = spark.createDataFrame([(a,) for a in account_list], "account string")
-    acc = acc.persist()
-    recent = (
-        date_range(existing, py_shift_month_start(m0, -1), None)
+        acc = spark.createDataFrame([(a,) for a in account_list], "account string").distinct()
+    since = py_shift_month_start(m0, -1)
+    recent = date_range(existing, since, None).groupBy("account").agg(F.max("date").alias("_latest"))
+    missing = acc.join(recent, "account", "left_anti")
+    older = (
+        date_range(existing, None, since, hi_inclusive=False)
+        .join(missing, "account", "left_semi")
         .groupBy("account")
         .agg(F.max("date").alias("_latest"))
-        .persist()
     )
-    missing = [r["account"] for r in acc.join(recent, "account", "left_anti").collect()]
-    latest = recent
-    if missing:
-        older = (
-            existing.where(F.col("account").isin(missing))
-            .groupBy("account")
-            .agg(F.max("date").alias("_latest"))
-        )
-        latest = recent.unionByName(older)
+    latest = recent.unionByName(older)
     start_candidate = F.coalesce(F.date_sub("_latest", 1), F.lit(backfill))
     return acc.join(latest, "account", "left").select(
         "account",
@@ -575,7 +581,7 @@ def select_load_window(source: DataFrame, windows: DataFrame) -> DataFrame:
     if bounds is None or bounds["lo"] is None:
         return source.limit(0)
     src = date_range(source, bounds["lo"], bounds["hi"], hi_inclusive=False)
-    win = broadcast_if_small(w.select(F.col("account").alias("_w_account"), "start", "stop"))
+    win = w.select(F.col("account").alias("_w_account"), "start", "stop")
     joined = src.join(
         win,
         (F.col("account") == F.col("_w_account"))

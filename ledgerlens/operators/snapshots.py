@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SNAPSHOT_COLUMNS = ("date", "tenant", "source_backend", "pods", "onboarded")
-PARTITION_YEAR_REGEX = r"(?:^|/)year=(\d{4})(?:/|$)"
 
 # Date patterns tried after ISO forms: compact, day-month-name, month-first
 # and year-first slashes.
@@ -59,8 +58,16 @@ def parse_utc_day(col: Column, dtype: T.DataType | None = None) -> Column:
     )
 
 
-def _number(col: Column) -> Column:
-    return col.cast("string").try_cast("double")
+def path_year(path: Column) -> Column:
+    """The year named by a ``year=YYYY`` part of a path, the first one if several; else NULL."""
+    parts = F.filter(F.split(path, "/"), lambda p: p.rlike("^year=[0-9]{4}$"))
+    return F.substring(F.get(parts, F.lit(0)), 6, 4).try_cast("int")
+
+
+def _count(col: Column) -> Column:
+    """A counter as BIGINT: whole-number text exactly (a double holds only 53 bits), other numbers by their whole part."""
+    text = col.cast("string")
+    return F.coalesce(F.trim(text).try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
 def normalize_snapshots(raw: DataFrame) -> DataFrame:
@@ -74,18 +81,14 @@ def normalize_snapshots(raw: DataFrame) -> DataFrame:
         parse_utc_day(F.col("date"), dtypes["date"]).alias("date"),
         strip_text(F.col("tenant")).alias("tenant"),
         strip_text(F.col("source_backend")).alias("source_backend"),
-        _number(F.col("pods")).alias("pods"),
-        _number(F.col("onboarded")).alias("onboarded"),
+        _count(F.col("pods")).alias("pods"),
+        _count(F.col("onboarded")).alias("onboarded"),
     )
     df = df.dropna(subset=list(SNAPSHOT_COLUMNS)).where(
         (F.col("tenant") != "") & (F.col("source_backend") != "")
     )
-    pods = F.col("pods").cast("bigint")
-    onboarded = F.col("onboarded").cast("bigint")
     # Both sides are non-NULL here, so least() cannot skip a NULL.
-    return df.select(
-        "date", "tenant", "source_backend", pods.alias("pods"), F.least(onboarded, pods).alias("onboarded")
-    )
+    return df.select("date", "tenant", "source_backend", "pods", F.least("onboarded", "pods").alias("onboarded"))
 
 
 def snapshot_conflicts(df: DataFrame) -> DataFrame:
@@ -139,9 +142,7 @@ def validate_rows(rows: DataFrame) -> DataFrame:
     cols = set(rows.columns)
     row = F.col("row")
     date = parse_utc_day(F.col("date_text"))
-    path_year = (
-        F.regexp_extract(F.col("path"), PARTITION_YEAR_REGEX, 1) if "path" in cols else F.lit("")
-    )
+    year = path_year(F.col("path")) if "path" in cols else F.lit(None).cast("int")
     is_list = F.col("value_is_list") if "value_is_list" in cols else F.lit(True)
     is_object = F.col("row_is_object") if "row_is_object" in cols else row.isNotNull()
     tenant = strip_text(row["tenant"])
@@ -151,7 +152,7 @@ def validate_rows(rows: DataFrame) -> DataFrame:
     onb_n = onboarded.try_cast("double")
     reason = (
         F.when(date.isNull(), "bad_date")
-        .when((path_year != "") & (F.year(date) != path_year.try_cast("int")), "year_mismatch")
+        .when(year.isNotNull() & (F.year(date) != year), "year_mismatch")
         .when(~is_list, "not_a_list")
         .when(~is_object, "not_an_object")
         .when(tenant.isNull() | (tenant == ""), "no_tenant")
@@ -165,13 +166,13 @@ def validate_rows(rows: DataFrame) -> DataFrame:
         .when(onb_n != F.floor(onb_n), "onboarded_not_whole")
     )
     good = reason.isNull()
-    pods = F.when(good, total_n.cast("bigint"))
+    pods = F.when(good, _count(total))
     return rows.select(
         F.when(good, date).alias("date"),
         F.when(good, tenant).alias("tenant"),
         F.col("source_backend"),
         pods.alias("pods"),
-        F.when(good, F.least(onb_n.cast("bigint"), pods)).alias("onboarded"),
+        F.when(good, F.least(_count(onboarded), pods)).alias("onboarded"),
         reason.alias("reason"),
     )
 

@@ -3,51 +3,33 @@
 from __future__ import annotations
 
 from .oracle_sql import (
+    AVERAGES,
     FIXTURE_CTES,
+    MONTH_VALUES,
+    comparisons_sql,
     metrics_cte,
-    per_anchor_metrics_cte,
-    per_month_metrics_cte,
     period_metrics_sql,
     sql_fmt,
     sql_month_label,
     with_ctes,
 )
 
-_MONTHS = ("mtd", "prev_mtd", "prev2_mtd", "prev3_mtd", "prev4_mtd", "prev5_mtd")
-_AVGS = ("avg6", "avg12")
-_PAIRS = (
-    ("delta_prev", "pct_prev", "mtd", "prev_mtd"),
-    ("delta_prev2", "pct_prev2", "prev_mtd", "prev2_mtd"),
-    ("delta_prev3", "pct_prev3", "prev2_mtd", "prev3_mtd"),
-    ("delta_prev4", "pct_prev4", "prev3_mtd", "prev4_mtd"),
-    ("delta_prev5", "pct_prev5", "prev4_mtd", "prev5_mtd"),
-    ("delta_avg6", "pct_avg6", "mtd", "avg6"),
-    ("delta_avg12", "pct_avg12", "mtd", "avg12"),
-)
-
 MTD_NO_TAX = "pmt AS (SELECT * FROM pm WHERE service IS DISTINCT FROM 'Tax' AND account IS NOT NULL)"
 
 
-def _ordered_sum(c: str) -> str:
-    """Sum of the non-NULL values in ascending order; 0 when there are none."""
-    return (
-        f"COALESCE(list_reduce(list_sort(list(CAST({c} AS DOUBLE)) FILTER (WHERE {c} IS NOT NULL)), "
-        "lambda a, v: a + v, CAST(0 AS DOUBLE)), 0.0)"
-    )
+def _exact_sum(c: str) -> str:
+    """Sum of averages at six decimals; 0 when there are none."""
+    return f"COALESCE(CAST(SUM(CAST({c} AS DECIMAL(28,6))) AS DOUBLE), 0.0)"
 
 
 def _totals_sql(src: str) -> str:
-    sums = [f"COALESCE(CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS {c}" for c in _MONTHS]
-    sums += [f"{_ordered_sum(c)} AS {c}" for c in _AVGS]
-    deltas = [f"{a} - {b} AS {d}" for d, _, a, b in _PAIRS]
-    pcts = [f"({a} - {b}) / NULLIF({b}, 0) AS {p}" for _, p, a, b in _PAIRS]
-    return (
-        f"SELECT account, {', '.join(_MONTHS + _AVGS)}, {', '.join(deltas)}, {', '.join(pcts)} "
-        f"FROM (SELECT account, {', '.join(sums)} FROM {src} GROUP BY account) s"
-    )
+    sums = [f"COALESCE(CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS {c}" for c in MONTH_VALUES]
+    sums += [f"{_exact_sum(c)} AS {c}" for c, _ in AVERAGES]
+    return f"SELECT *, {comparisons_sql()} FROM (SELECT account, {', '.join(sums)} FROM {src} GROUP BY account) s"
 
 
 def _report_rows(src: str, service_expr: str, pos_expr: str) -> str:
+    # The report's rows (value, delta, ratio).
     rows = (
         ("mtd", "delta_prev", "pct_prev"),
         ("prev_mtd", "delta_prev2", "pct_prev2"),
@@ -118,21 +100,21 @@ def oracles() -> dict[str, str]:
         FIXTURE_CTES,
         ANCHORS_CTE,
         "pa AS (SELECT account, anchor_date FROM anc WHERE month_start = DATE '2001-03-01')",
-        per_anchor_metrics_cte("pm", "pa"),
+        metrics_cte("pm", "pa", per="anchor_date"),
         body="SELECT * FROM pm",
     )
     q["period_metrics_all_anchors"] = with_ctes(
         FIXTURE_CTES,
         ANCHORS_CTE,
         "pa AS (SELECT account, anchor_date FROM anc)",
-        per_anchor_metrics_cte("pm", "pa"),
+        metrics_cte("pm", "pa", per="anchor_date"),
         body="SELECT * FROM pm",
     )
     q["period_metrics_all_months"] = with_ctes(
         FIXTURE_CTES,
         ANCHORS_CTE,
         "pa AS (SELECT account, month_start FROM anc)",
-        per_month_metrics_cte("pm", "pa"),
+        metrics_cte("pm", "pa", full=True, per="month_start"),
         body="SELECT * FROM pm",
     )
     q["month_anchors"] = with_ctes(FIXTURE_CTES, ANCHORS_CTE, body="SELECT account, month_start, anchor_date FROM anc")
@@ -164,7 +146,7 @@ def oracles() -> dict[str, str]:
         "COALESCE(CAST(SUM(CAST(cost AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS cost, "
         "COALESCE(CAST(SUM(CAST(prev_day AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS prev_day, "
         "COALESCE(CAST(SUM(CAST(prev_week AS DECIMAL(18,2))) AS DOUBLE), 0.0) AS prev_week, "
-        f"{_ordered_sum('avg7')} AS avg7, {_ordered_sum('avg30')} AS avg30 FROM dl GROUP BY account) s",
+        f"{_exact_sum('avg7')} AS avg7, {_exact_sum('avg30')} AS avg30 FROM dl GROUP BY account) s",
     )
     q["service_order"] = with_ctes(
         FIXTURE_CTES, mtd, MTD_NO_TAX, ORDER_CTE, body="SELECT account, service, mtd, rnk AS rank FROM ord"
@@ -242,31 +224,35 @@ def oracles() -> dict[str, str]:
         body=f"SELECT account, service, metric, {cell} AS cell_text, "
         "CASE WHEN pct IS NULL THEN '' WHEN pct < 0 THEN 'neg' ELSE 'pos' END AS pct_class FROM rep",
     )
-    full = metrics_cte("pm", "DATE '2000-03-01'", full=True)
-    label_case = (
-        "CASE metric "
-        + " ".join(
-            f"WHEN '{m}' THEN " + sql_month_label(f"CAST(DATE '2000-03-01' - INTERVAL {k} MONTH AS DATE)")
-            for m, k in (("mtd", 0), ("prev_mtd", 1), ("prev2_mtd", 2), ("prev3_mtd", 3), ("prev4_mtd", 4))
+    def period_report(metrics: str, own: str, month: str, tax: bool) -> str:
+        """Report rows of the listed accounts that are in ``own``, labelled back from ``month``."""
+        labels = " ".join(
+            f"WHEN '{m}' THEN " + sql_month_label(f"CAST({month} - INTERVAL {k} MONTH AS DATE)") for k, m in enumerate(MONTH_VALUES[:5])
         )
-        + " WHEN 'avg6' THEN 'Media 6M' WHEN 'avg12' THEN 'Media 12M' END"
-    )
-    q["report_for_past_month"] = with_ctes(
-        FIXTURE_CTES,
-        full,
-        "listed AS (SELECT DISTINCT account FROM costs WHERE account IS NOT NULL AND date BETWEEN "
-        "CAST(date_trunc('month', (SELECT MAX(date) FROM costs)) AS DATE) AND (SELECT MAX(date) FROM costs))",
-        "in_month AS (SELECT DISTINCT account FROM costs WHERE account IS NOT NULL "
-        "AND CAST(date_trunc('month', date) AS DATE) = DATE '2000-03-01')",
-        "pmt AS (SELECT * FROM pm WHERE account IN (SELECT account FROM listed) "
-        "AND account IN (SELECT account FROM in_month))",
-        ORDER_CTE,
-        f"tot AS ({_totals_sql('pmt')})",
-        "rep AS (" + _report_rows("ord", "service", "rnk") + " UNION ALL "
-        + _report_rows("tot", "'Total'", "CAST(0 AS BIGINT)") + ")",
-        body=f"SELECT *, {label_case} AS row_label, {cell} AS cell_text, "
-        "CASE WHEN pct IS NULL THEN '' WHEN pct < 0 THEN 'neg' ELSE 'pos' END AS pct_class FROM rep",
-    )
+        return with_ctes(
+            FIXTURE_CTES,
+            ANCHORS_CTE,
+            "newest AS (SELECT MAX(date) AS day, CAST(date_trunc('month', MAX(date)) AS DATE) AS month FROM costs)",
+            "listed AS (SELECT DISTINCT account FROM costs, newest WHERE account IS NOT NULL AND date BETWEEN month AND day)",
+            f"own AS (SELECT * FROM anc WHERE month_start = {own})",
+            metrics,
+            "pmt AS (SELECT * FROM pm WHERE account IN (SELECT account FROM listed) AND account IN (SELECT account FROM own)"
+            + ("" if tax else " AND service IS DISTINCT FROM 'Tax'") + ")",
+            ORDER_CTE,
+            f"tot AS ({_totals_sql('pmt')})",
+            "rep AS (" + _report_rows("ord", "service", "rnk") + " UNION ALL "
+            + _report_rows("tot", "'Total'", "CAST(0 AS BIGINT)") + ")",
+            body=f"SELECT *, CASE metric {labels} WHEN 'avg6' THEN 'Media 6M' WHEN 'avg12' THEN 'Media 12M' END AS row_label, "
+            f"{cell} AS cell_text, CASE WHEN pct IS NULL THEN '' WHEN pct < 0 THEN 'neg' ELSE 'pos' END AS pct_class FROM rep",
+        )
+
+    newest = "(SELECT month FROM newest)"
+    march = "DATE '2000-03-01'"
+    q["report_for_past_month"] = period_report(metrics_cte("pm", march, full=True), march, march, tax=True)
+    q["report_past_month_mtd"] = period_report(metrics_cte("pm", "own", per="anchor_date"), march, march, tax=True)
+    q["report_current"] = period_report(metrics_cte("pm", "(SELECT day FROM newest)"), newest, newest, tax=False)
+    q["report_current_whole_month"] = period_report(metrics_cte("pm", "own", full=True, per="month_start"), newest, newest, tax=False)
+    q["collapse_duplicate_services"] = with_ctes(FIXTURE_CTES, mtd, MTD_NO_TAX, body="SELECT account, service, mtd, avg12 FROM pmt")
     rows = [("mtd", 0), ("prev_mtd", 1), ("prev2_mtd", 2), ("prev3_mtd", 3), ("prev4_mtd", 4)]
     label_cols = ", ".join(
         sql_month_label(f"CAST(month_start - INTERVAL {k} MONTH AS DATE)") + f" AS label_{m}" for m, k in rows

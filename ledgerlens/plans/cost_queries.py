@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.dates import py_shift_month_start
 from ..operators import costs as C
 from ..plans.jobs import cost_report_for_period
 from ..sinks.tables import merge_latest
@@ -66,7 +69,9 @@ def q_period_metrics_latest(spark, sf_dir):
 
 def q_period_metrics_per_account(spark, sf_dir):
     costs = labeled_costs(spark, sf_dir)
-    anchors = C.anchors_for_month(C.month_anchors(costs, ordered=False), PER_ACCOUNT_MONTH)
+    lo = dt.date.fromisoformat(PER_ACCOUNT_MONTH)
+    hi = py_shift_month_start(lo, 1) - dt.timedelta(days=1)
+    anchors = C.month_anchors(costs, ordered=False, lo=lo, hi=hi).select("account", "anchor_date")
     return C.period_metrics_for_anchors(costs, anchors, money_scale=SCALE)
 
 
@@ -99,7 +104,8 @@ def q_period_options(spark, sf_dir):
 def _mtd_no_tax(spark, sf_dir):
     """Per-account report input: month-to-date metrics of the listed
     (non-NULL) accounts, tax left out."""
-    return C.report_accounts(C.tax_filter(q_period_metrics_mtd(spark, sf_dir), include_tax=False))
+    metrics = C.period_metrics(labeled_costs(spark, sf_dir), ANCHOR, money_scale=SCALE, ordered=False)
+    return C.report_accounts(C.tax_filter(metrics, include_tax=False))
 
 
 def q_service_totals(spark, sf_dir):
@@ -188,7 +194,34 @@ def q_report_for_past_month(spark, sf_dir):
     return cost_report_for_period(labeled_costs(spark, sf_dir), f"month:{FULL_MONTH}", money_scale=SCALE)
 
 
+def q_report_current(spark, sf_dir):
+    """The current view's defaults: month-to-date at the latest date, tax left out."""
+    return cost_report_for_period(labeled_costs(spark, sf_dir), money_scale=SCALE)
+
+
+def q_report_current_whole_month(spark, sf_dir):
+    """The current view on whole months: each account's latest month."""
+    return cost_report_for_period(labeled_costs(spark, sf_dir), mtd=False, money_scale=SCALE)
+
+
+def q_report_past_month_mtd(spark, sf_dir):
+    """An earlier month, month-to-date: each account's own anchor in it."""
+    return cost_report_for_period(labeled_costs(spark, sf_dir), f"month:{FULL_MONTH}", mtd=True, money_scale=SCALE)
+
+
+def q_collapse_duplicate_services(spark, sf_dir):
+    """Per account and service the first known value of each metric, over two partial readings."""
+    metrics = _mtd_no_tax(spark, sf_dir).select("account", "service", "mtd", "avg12")
+    one = metrics.withColumn("avg12", F.lit(None).cast("double"))
+    two = metrics.withColumn("mtd", F.lit(None).cast("double"))
+    return C.collapse_duplicate_services(one.unionByName(two))
+
+
 QUERIES = {
+    "report_current": q_report_current,
+    "report_current_whole_month": q_report_current_whole_month,
+    "report_past_month_mtd": q_report_past_month_mtd,
+    "collapse_duplicate_services": q_collapse_duplicate_services,
     "report_for_past_month": q_report_for_past_month,
     "distinct_accounts": q_distinct_accounts,
     "incremental_window": q_incremental_window,

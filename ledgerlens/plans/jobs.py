@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.dates import py_shift_month_start
 from ..operators import costs as C
 from ..operators import snapshots as S
 from ..operators import trends as T
-from ..sinks.tables import publish, read_published, replace_range, upsert_table
+from ..sinks.tables import publish_tables, read_published, read_upserted, replace_range, upsert_table
 from ..sources import snapshot_files as SF
 
 
@@ -27,13 +28,6 @@ MONTHLY_SCHEMA = (
 )
 
 
-def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - a missing table means nothing is loaded yet
-        return None
-
-
 def cost_refresh(
     spark: SparkSession,
     source_lines: DataFrame,
@@ -46,9 +40,10 @@ def cost_refresh(
 ) -> DataFrame:
     """Daily cost load: per-account windows from the loaded table, the
     source cut to them in one join, linked-account exclusions, the daily
-    rollup, and a keyed upsert of the touched months. Returns the load
-    summary (rows, first and last day of the table)."""
-    existing = _table_or_none(spark, table_path)
+    rollup, and a keyed upsert of the touched months (staged, then made
+    visible by one pointer). Returns the load summary (rows, first and last
+    day of the table)."""
+    existing = read_upserted(spark, table_path)
     if existing is None:
         existing = spark.createDataFrame([], "date date, account string, service string, amount double")
     windows = C.load_windows(existing, accounts, today, backfill_months)
@@ -57,24 +52,25 @@ def cost_refresh(
         lines = C.exclude_linked_accounts(lines, exclusions)
     facts = C.daily_cost_rollup(lines, money_scale)
     upsert_table(spark, table_path, [facts], C.FACT_KEYS)
-    return C.load_summary(spark.read.parquet(table_path))
+    loaded = read_upserted(spark, table_path)
+    return C.load_summary(existing if loaded is None else loaded)
 
 
 def snapshot_refresh(
     spark: SparkSession,
     templates: Mapping[str, str],
-    daily_base: str,
-    monthly_base: str,
+    base: str,
     current_year: int,
     bootstrap_year: int,
 ) -> dict:
     """Snapshot load. Bootstrap (nothing loaded): every year from the
     bootstrap year, missing leading years skipped, tables replaced. Refresh:
     the current year only, seeds from the year before, that year replaced.
-    Both tables are published as new versions; a failure leaves the
-    current versions untouched."""
-    daily_old = _published_or_none(spark, daily_base)
-    monthly_old = _published_or_none(spark, monthly_base)
+    Both tables (``daily`` and ``monthly`` under ``base``) are published by one
+    pointer; a failure leaves both untouched. So do files without any row:
+    then nothing is published."""
+    daily_old = read_published(spark, base, "daily")
+    monthly_old = read_published(spark, base, "monthly")
     latest = SF.latest_loaded_date(daily_old, monthly_old)
     years, bootstrap = SF.target_years(latest, current_year, bootstrap_year)
     paths = SF.build_input_paths(templates, years)
@@ -97,55 +93,45 @@ def snapshot_refresh(
     top_bad = rows.where(~F.col("top_is_object")).select("path").first()
     if top_bad is not None:
         raise ValueError(f"file {top_bad['path']} must hold a JSON object at the top level")
+    mode = "bootstrap" if bootstrap else "refresh"
+    files = {s: len(p) for s, p in present.items()}
     # Parsed once: the quality gate, the uniqueness checks and the trend
     # rows all read the same validated rows.
     validated = S.validate_rows(rows).persist()
-    good = S.require_valid(validated)
-    snaps = S.normalize_snapshots(good).persist()
-    S.check_unique(snaps)
-    validated.unpersist()
-
-    if bootstrap:
-        daily_new = T.daily_rows(snaps)
-        monthly_new = T.monthly_rows(snaps)
-    else:
-        # A table never published counts as empty: no seeds, nothing to keep.
-        if daily_old is None:
-            daily_old = spark.createDataFrame([], DAILY_SCHEMA)
-        if monthly_old is None:
-            monthly_old = spark.createDataFrame([], MONTHLY_SCHEMA)
-        d_seed, m_seed = T.seed_values(daily_old, monthly_old, current_year)
-        # Every row read from the current year's files is written, even one
-        # dated outside the replaced range (it then replaces by key).
-        daily_new = replace_range(
-            daily_old.select(*T.DAILY_COLUMNS), T.daily_rows(snaps, d_seed), "date",
-            dt.date(current_year, 1, 1), dt.date(current_year, 12, 31), ("date", "tenant"),
-        )
-        monthly_new = replace_range(
-            monthly_old.select(*T.MONTHLY_COLUMNS), T.monthly_rows(snaps, m_seed), "month_start",
-            dt.date(current_year, 1, 1), dt.date(current_year, 12, 1), ("month_start", "tenant"),
-        )
-    stamp = F.current_timestamp().alias("updated_at")
-    dv = publish(daily_new.select(*T.DAILY_COLUMNS, stamp), daily_base)
-    mv = publish(monthly_new.select(*T.MONTHLY_COLUMNS, stamp), monthly_base)
-    summary = snaps.agg(F.min("date").alias("min_date"), F.max("date").alias("max_date")).first()
-    snaps.unpersist()
-    return {
-        "mode": "bootstrap" if bootstrap else "refresh",
-        "years": years,
-        "files": {s: len(p) for s, p in present.items()},
-        "daily_version": dv,
-        "monthly_version": mv,
-        "min_date": summary["min_date"],
-        "max_date": summary["max_date"],
-    }
-
-
-def _published_or_none(spark: SparkSession, base: str) -> DataFrame | None:
     try:
-        return read_published(spark, base)
-    except Exception:  # noqa: BLE001 - nothing published yet
-        return None
+        snaps = S.normalize_snapshots(S.require_valid(validated))
+        S.check_unique(snaps)
+        seen = snaps.agg(F.min("date").alias("min_date"), F.max("date").alias("max_date")).first()
+        out = {"mode": mode, "years": years, "files": files, "version": None, "min_date": seen["min_date"], "max_date": seen["max_date"]}
+        if seen["min_date"] is None:
+            return out
+        if bootstrap:
+            daily_new = T.daily_rows(snaps)
+            monthly_new = T.monthly_rows(snaps)
+        else:
+            # A table never published counts as empty: no seeds, nothing to keep.
+            if daily_old is None:
+                daily_old = spark.createDataFrame([], DAILY_SCHEMA)
+            if monthly_old is None:
+                monthly_old = spark.createDataFrame([], MONTHLY_SCHEMA)
+            d_seed, m_seed = T.seed_values(daily_old, monthly_old, current_year)
+            # Every row read from the current year's files is written, even one
+            # dated outside the replaced range (it then replaces by key).
+            daily_new = replace_range(
+                daily_old.select(*T.DAILY_COLUMNS), T.daily_rows(snaps, d_seed), "date",
+                dt.date(current_year, 1, 1), dt.date(current_year, 12, 31), ("date", "tenant"),
+            )
+            monthly_new = replace_range(
+                monthly_old.select(*T.MONTHLY_COLUMNS), T.monthly_rows(snaps, m_seed), "month_start",
+                dt.date(current_year, 1, 1), dt.date(current_year, 12, 1), ("month_start", "tenant"),
+            )
+        stamp = F.current_timestamp().alias("updated_at")
+        out["version"] = publish_tables(
+            {"daily": daily_new.select(*T.DAILY_COLUMNS, stamp), "monthly": monthly_new.select(*T.MONTHLY_COLUMNS, stamp)}, base
+        )
+        return out
+    finally:
+        validated.unpersist()
 
 
 def cost_report(
@@ -158,9 +144,9 @@ def cost_report(
     """Report matrix (long form, with cell text) per account: month-to-date
     at ``anchor`` (latest date if None), or whole months for ``month``."""
     metrics = (
-        C.period_metrics_for_month(costs, month, money_scale)
+        C.period_metrics_for_month(costs, month, money_scale, ordered=False)
         if month is not None
-        else C.period_metrics(costs, anchor, money_scale)
+        else C.period_metrics(costs, anchor, money_scale, ordered=False)
     )
     report = C.service_report(C.tax_filter(metrics, include_tax), money_scale=money_scale)
     return report.withColumn("cell_text", X.cost_cell_text("value", "pct")).withColumn(
@@ -185,7 +171,7 @@ def pod_report(
         X.pct_text("pct").alias("pct_text"),
         X.trend_class("delta", "pct").alias("trend_class"),
     )
-    return matrix, T.trend_totals(T.trend_matrix(mw, dw, metric, months)), last
+    return matrix, T.trend_totals(matrix), last
 
 
 def cost_report_for_period(
@@ -217,32 +203,29 @@ def cost_report_for_period(
     # The current view lists the accounts with rows from the start of the
     # latest date's month up to that date (its month-to-date window).
     latest = C.latest_date(costs)
-    listed = C.report_accounts(
-        C.date_range(costs, latest.replace(day=1) if latest else None, latest).select("account")
-    ).distinct()
-    anchors = C.month_anchors(costs, ordered=False)
+    first = latest.replace(day=1) if latest else None
+    listed = C.report_accounts(C.date_range(costs, first, latest).select("account")).distinct()
     if current:
-        latest_month = anchors.groupBy("account").agg(F.max("month_start").alias("month_start"))
-        own = anchors.join(latest_month, ["account", "month_start"])
+        # A listed account's latest month is that month, so only it is read.
+        own = C.month_anchors(costs, ordered=False, lo=first, hi=latest)
         if mtd:
-            metrics = C.period_metrics(costs, None, money_scale)
+            metrics = C.period_metrics(costs, latest, money_scale, ordered=False)
         else:
             metrics = C.period_metrics_for_anchors(
-                costs, own.select("account", "month_start"), full_month=True, money_scale=money_scale
+                costs, own.select("account", "month_start"), full_month=True, money_scale=money_scale, ordered=False
             ).drop("month_start")
-        label_ref = own.select("account", F.col("anchor_date" if mtd else "month_start").alias("_ref"))
     else:
         month = dt.date.fromisoformat(period.split(":", 1)[1][:10])
-        own = anchors.where(F.col("month_start") == F.lit(month))
+        own = C.month_anchors(costs, ordered=False, lo=month, hi=py_shift_month_start(month, 1) - dt.timedelta(days=1))
         if mtd:
             metrics = C.period_metrics_for_anchors(
-                costs, own.select("account", "anchor_date"), money_scale=money_scale
+                costs, own.select("account", "anchor_date"), money_scale=money_scale, ordered=False
             ).drop("anchor_date")
         else:
-            metrics = C.period_metrics_for_month(costs, month, money_scale).join(
+            metrics = C.period_metrics_for_month(costs, month, money_scale, ordered=False).join(
                 own.select("account"), "account", "left_semi"
             )
-        label_ref = own.select("account", F.col("anchor_date" if mtd else "month_start").alias("_ref"))
+    label_ref = own.select("account", F.col("anchor_date" if mtd else "month_start").alias("_ref"))
     metrics = metrics.join(listed, "account", "left_semi")
     report = C.service_report(C.tax_filter(metrics, include_tax), money_scale=money_scale)
     labels = label_ref.select("account", *X.row_label_columns("_ref"))

@@ -1,7 +1,8 @@
 """Independent DuckDB SQL for every registered query.
 
-Written in the many-window form (one aggregate per period, then left joins),
-not the one-scan form used by the Spark jobs, so the two check each other.
+Period metrics come from a calendar of months joined to the costs, trends from
+window functions: other forms than those of the Spark jobs, so the two check
+each other.
 Tables ``orders customer nation region events lineitem`` are views.
 """
 
@@ -80,159 +81,67 @@ def with_ctes(*blocks: str, body: str) -> str:
     return f"WITH {parts}\n{body}"
 
 
-_SUM = "CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)"
-_DSUM = "SUM(CAST(amount AS DECIMAL(18,2)))"
-
-_SELECT_METRICS = """
-SELECT cur.account, cur.service, cur.mtd,
-       p1.v AS prev_mtd, p2.v AS prev2_mtd, p3.v AS prev3_mtd, p4.v AS prev4_mtd, p5.v AS prev5_mtd,
-       a6.v AS avg6, a12.v AS avg12,
-       cur.mtd - p1.v AS delta_prev, p1.v - p2.v AS delta_prev2, p2.v - p3.v AS delta_prev3,
-       p3.v - p4.v AS delta_prev4, p4.v - p5.v AS delta_prev5,
-       cur.mtd - a6.v AS delta_avg6, cur.mtd - a12.v AS delta_avg12,
-       (cur.mtd - p1.v) / NULLIF(p1.v, 0) AS pct_prev,
-       (p1.v - p2.v) / NULLIF(p2.v, 0) AS pct_prev2,
-       (p2.v - p3.v) / NULLIF(p3.v, 0) AS pct_prev3,
-       (p3.v - p4.v) / NULLIF(p4.v, 0) AS pct_prev4,
-       (p4.v - p5.v) / NULLIF(p5.v, 0) AS pct_prev5,
-       (cur.mtd - a6.v) / NULLIF(a6.v, 0) AS pct_avg6,
-       (cur.mtd - a12.v) / NULLIF(a12.v, 0) AS pct_avg12
-FROM cur
-LEFT JOIN p1 ON p1.account = cur.account AND p1.service = cur.service
-LEFT JOIN p2 ON p2.account = cur.account AND p2.service = cur.service
-LEFT JOIN p3 ON p3.account = cur.account AND p3.service = cur.service
-LEFT JOIN p4 ON p4.account = cur.account AND p4.service = cur.service
-LEFT JOIN p5 ON p5.account = cur.account AND p5.service = cur.service
-LEFT JOIN a6 ON a6.account = cur.account AND a6.service = cur.service
-LEFT JOIN a12 ON a12.account = cur.account AND a12.service = cur.service
-"""
-
-
-def metrics_capped_ctes(anchor_sql: str, source: str = "costs") -> str:
-    """Period CTEs (cur, p1..p5, a6, a12) for a month-to-date anchor."""
-    blocks = [
-        f"prm AS (SELECT CAST({anchor_sql} AS DATE) AS last_date, "
-        f"CAST(date_trunc('month', CAST({anchor_sql} AS DATE)) AS DATE) AS ms, "
-        f"CAST(EXTRACT(day FROM CAST({anchor_sql} AS DATE)) AS INTEGER) AS dom)",
-        f"cur AS (SELECT account, service, {_SUM} AS mtd FROM {source}, prm "
-        f"WHERE date BETWEEN ms AND last_date GROUP BY account, service)",
-    ]
-    for i in range(1, 6):
-        lo = f"CAST(ms - INTERVAL {i} MONTH AS DATE)"
-        hi = f"LEAST(CAST(last_day(ms - INTERVAL {i} MONTH) AS DATE), CAST(ms - INTERVAL {i} MONTH AS DATE) + (dom - 1))"
-        blocks.append(
-            f"p{i} AS (SELECT account, service, {_SUM} AS v FROM {source}, prm "
-            f"WHERE date BETWEEN {lo} AND {hi} GROUP BY account, service)"
-        )
-    for n in (6, 12):
-        blocks.append(
-            f"a{n} AS (SELECT account, service, CAST(SUM(ms_sum) AS DOUBLE) / COUNT(ms_sum) AS v FROM ("
-            f"SELECT account, service, date_trunc('month', date) AS m, {_DSUM} AS ms_sum FROM {source}, prm "
-            f"WHERE date >= ms - INTERVAL {n} MONTH AND date < ms AND EXTRACT(day FROM date) <= dom "
-            f"GROUP BY account, service, m) t GROUP BY account, service)"
-        )
-    return ",\n".join(blocks)
-
-
-def metrics_full_ctes(month_sql: str, source: str = "costs") -> str:
-    blocks = [
-        f"prm AS (SELECT CAST({month_sql} AS DATE) AS ms)",
-        f"cur AS (SELECT account, service, {_SUM} AS mtd FROM {source}, prm "
-        f"WHERE date >= ms AND date < ms + INTERVAL 1 MONTH GROUP BY account, service)",
-    ]
-    for i in range(1, 6):
-        blocks.append(
-            f"p{i} AS (SELECT account, service, {_SUM} AS v FROM {source}, prm "
-            f"WHERE date >= ms - INTERVAL {i} MONTH AND date < ms - INTERVAL {i - 1} MONTH "
-            f"GROUP BY account, service)"
-        )
-    for n in (6, 12):
-        blocks.append(
-            f"a{n} AS (SELECT account, service, CAST(SUM(ms_sum) AS DOUBLE) / COUNT(ms_sum) AS v FROM ("
-            f"SELECT account, service, date_trunc('month', date) AS m, {_DSUM} AS ms_sum FROM {source}, prm "
-            f"WHERE date >= ms - INTERVAL {n} MONTH AND date < ms "
-            f"GROUP BY account, service, m) t GROUP BY account, service)"
-        )
-    return ",\n".join(blocks)
-
-
-def period_metrics_sql(anchor_sql: str, full: bool = False, source: str = "costs") -> str:
-    periods = metrics_full_ctes(anchor_sql, source) if full else metrics_capped_ctes(anchor_sql, source)
-    return with_ctes(FIXTURE_CTES, periods, body=_SELECT_METRICS)
-
-
-def metrics_cte(name: str, anchor_sql: str, full: bool = False, source: str = "costs") -> str:
-    """The period CTEs plus ``name`` holding the metrics rows."""
-    periods = metrics_full_ctes(anchor_sql, source) if full else metrics_capped_ctes(anchor_sql, source)
-    return periods + f",\n{name} AS ({_SELECT_METRICS})"
-
-
-def _anchored_select(anchor_name: str) -> str:
-    """The metrics select keyed by (account, anchor, service)."""
-    body = _SELECT_METRICS.replace(
-        "SELECT cur.account, cur.service,", f"SELECT cur.account, cur.anchor AS {anchor_name}, cur.service,"
-    )
-    for t in ("p1", "p2", "p3", "p4", "p5", "a6", "a12"):
-        body = body.replace(
-            f"LEFT JOIN {t} ON {t}.account = cur.account AND {t}.service = cur.service",
-            f"LEFT JOIN {t} ON {t}.account = cur.account AND {t}.service = cur.service AND {t}.anchor = cur.anchor",
-        )
-    return body
+# The report's value columns by months back, its averages by months
+# averaged, and (delta, ratio, value, value before) of its comparisons.
+MONTH_VALUES = ("mtd", "prev_mtd", "prev2_mtd", "prev3_mtd", "prev4_mtd", "prev5_mtd")
+AVERAGES = (("avg6", 6), ("avg12", 12))
+COMPARISONS = (
+    ("delta_prev", "pct_prev", "mtd", "prev_mtd"),
+    ("delta_prev2", "pct_prev2", "prev_mtd", "prev2_mtd"),
+    ("delta_prev3", "pct_prev3", "prev2_mtd", "prev3_mtd"),
+    ("delta_prev4", "pct_prev4", "prev3_mtd", "prev4_mtd"),
+    ("delta_prev5", "pct_prev5", "prev4_mtd", "prev5_mtd"),
+    ("delta_avg6", "pct_avg6", "mtd", "avg6"),
+    ("delta_avg12", "pct_avg12", "mtd", "avg12"),
+)
 
 
-def per_anchor_metrics_cte(name: str, anchors_cte: str, source: str = "costs") -> str:
-    """Capped metrics for per-account anchors ``anchors_cte(account, anchor_date)``
-    (any number of anchors per account)."""
-    blocks = [
-        f"prm AS (SELECT account, anchor_date AS last_date, CAST(date_trunc('month', anchor_date) AS DATE) AS ms, "
-        f"CAST(EXTRACT(day FROM anchor_date) AS INTEGER) AS dom FROM {anchors_cte})",
-        f"cur AS (SELECT c.account, prm.last_date AS anchor, c.service, {_SUM} AS mtd FROM {source} c "
-        f"JOIN prm ON c.account = prm.account "
-        f"WHERE c.date BETWEEN ms AND last_date GROUP BY c.account, prm.last_date, c.service)",
-    ]
-    for i in range(1, 6):
-        lo = f"CAST(ms - INTERVAL {i} MONTH AS DATE)"
-        hi = f"LEAST(CAST(last_day(ms - INTERVAL {i} MONTH) AS DATE), CAST(ms - INTERVAL {i} MONTH AS DATE) + (dom - 1))"
-        blocks.append(
-            f"p{i} AS (SELECT c.account, prm.last_date AS anchor, c.service, {_SUM} AS v FROM {source} c "
-            f"JOIN prm ON c.account = prm.account "
-            f"WHERE c.date BETWEEN {lo} AND {hi} GROUP BY c.account, prm.last_date, c.service)"
-        )
-    for n in (6, 12):
-        blocks.append(
-            f"a{n} AS (SELECT account, anchor, service, CAST(SUM(ms_sum) AS DOUBLE) / COUNT(ms_sum) AS v FROM ("
-            f"SELECT c.account, prm.last_date AS anchor, c.service, date_trunc('month', c.date) AS m, {_DSUM} AS ms_sum "
-            f"FROM {source} c JOIN prm ON c.account = prm.account "
-            f"WHERE c.date >= ms - INTERVAL {n} MONTH AND c.date < ms AND EXTRACT(day FROM c.date) <= dom "
-            f"GROUP BY c.account, prm.last_date, c.service, m) t GROUP BY account, anchor, service)"
-        )
-    return ",\n".join(blocks) + f",\n{name} AS ({_anchored_select('anchor_date')})"
+def comparisons_sql() -> str:
+    parts = []
+    for delta, ratio, now, before in COMPARISONS:
+        parts += [f"{now} - {before} AS {delta}", f"({now} - {before}) / NULLIF({before}, 0) AS {ratio}"]
+    return ", ".join(parts)
+
+
+def metrics_cte(name: str, anchor: str, full: bool = False, per: str | None = None) -> str:
+    """CTEs that end in ``name``, the metrics rows.
+
+    ``anchor`` is a date expression, or with ``per`` (the anchor's column) a
+    relation (account, ``per``). A calendar of the anchor's month and the twelve
+    before, each with its first and last day that count, meets the costs once.
+    """
+    who = "account, " if per else ""
+    source = f"SELECT account, {per} AS anchor FROM {anchor}" if per else f"SELECT CAST({anchor} AS DATE) AS anchor"
+    final = "last_day(m)" if full else "least(last_day(m), CAST(m + CAST(day(anchor) - 1 AS INTEGER) AS DATE))"
+    same = " AND c.account = d.account" if per else ""
+    values = [f"CAST(MAX(s) FILTER (WHERE k = {k}) AS DOUBLE) AS {c}" for k, c in enumerate(MONTH_VALUES)]
+    values += [f"CAST(SUM(s) FILTER (WHERE k BETWEEN 1 AND {n}) AS DOUBLE) / COUNT(s) FILTER (WHERE k BETWEEN 1 AND {n}) AS {c}" for c, n in AVERAGES]
+    # What came before is joined by account and service in the reports, so it is unknown where one of them is.
+    past = [c for c in (*MONTH_VALUES[1:], *(c for c, _ in AVERAGES))]
+    known = ", ".join(f"CASE WHEN account IS NOT NULL AND service IS NOT NULL THEN {c} END AS {c}" for c in past)
+    anchored = f"anchor AS {per}, " if per else ""
+    return f"""
+{name}_days AS (
+    SELECT {who}anchor, k, m AS first_day, CAST({final} AS DATE) AS final_day
+    FROM (SELECT {who}anchor, k, CAST(date_trunc('month', anchor) - to_months(CAST(k AS INTEGER)) AS DATE) AS m
+          FROM ({source}) a, generate_series(0, 12) AS g(k)) x
+),
+{name}_sums AS (
+    SELECT c.account, d.anchor, c.service, d.k, SUM(CAST(c.amount AS DECIMAL(18,2))) AS s
+    FROM costs c JOIN {name}_days d ON c.date BETWEEN d.first_day AND d.final_day{same}
+    GROUP BY ALL
+),
+{name}_values AS (
+    SELECT account, anchor, service, {', '.join(values)}
+    FROM {name}_sums GROUP BY account, anchor, service HAVING COUNT(*) FILTER (WHERE k = 0) > 0
+),
+{name} AS (
+    SELECT *, {comparisons_sql()} FROM (SELECT account, {anchored}service, mtd, {known} FROM {name}_values) v
+)"""
 
 
-def per_month_metrics_cte(name: str, months_cte: str, source: str = "costs") -> str:
-    """Whole-month metrics for per-account months ``months_cte(account, month_start)``."""
-    blocks = [
-        f"prm AS (SELECT account, month_start AS ms FROM {months_cte})",
-        f"cur AS (SELECT c.account, prm.ms AS anchor, c.service, {_SUM} AS mtd FROM {source} c "
-        f"JOIN prm ON c.account = prm.account "
-        f"WHERE c.date >= ms AND c.date < ms + INTERVAL 1 MONTH GROUP BY c.account, prm.ms, c.service)",
-    ]
-    for i in range(1, 6):
-        blocks.append(
-            f"p{i} AS (SELECT c.account, prm.ms AS anchor, c.service, {_SUM} AS v FROM {source} c "
-            f"JOIN prm ON c.account = prm.account "
-            f"WHERE c.date >= ms - INTERVAL {i} MONTH AND c.date < ms - INTERVAL {i - 1} MONTH "
-            f"GROUP BY c.account, prm.ms, c.service)"
-        )
-    for n in (6, 12):
-        blocks.append(
-            f"a{n} AS (SELECT account, anchor, service, CAST(SUM(ms_sum) AS DOUBLE) / COUNT(ms_sum) AS v FROM ("
-            f"SELECT c.account, prm.ms AS anchor, c.service, date_trunc('month', c.date) AS m, {_DSUM} AS ms_sum "
-            f"FROM {source} c JOIN prm ON c.account = prm.account "
-            f"WHERE c.date >= ms - INTERVAL {n} MONTH AND c.date < ms "
-            f"GROUP BY c.account, prm.ms, c.service, m) t GROUP BY account, anchor, service)"
-        )
-    return ",\n".join(blocks) + f",\n{name} AS ({_anchored_select('month_start')})"
+def period_metrics_sql(anchor_sql: str, full: bool = False) -> str:
+    return with_ctes(FIXTURE_CTES, metrics_cte("pm", anchor_sql, full), body="SELECT * FROM pm")
 
 
 def sql_fmt(x: str, decimals: int, sign: bool = False) -> str:

@@ -151,14 +151,28 @@ _TREND_BASE = (SNAPSHOT_CTES, DAILY_CTE, MONTH_END_CTE, MONTHLY_CTE)
 
 def oracles() -> dict[str, str]:
     q = {}
+    # The forms are those of fixtures.dirty_snapshots: 23:30 at five hours behind UTC is the next day,
+    # rows without a date, tenant, source or number go, and the total's whole part bounds onboarded.
     q["snapshot_normalize"] = with_ctes(
         SNAPSHOT_CTES,
-        body="SELECT date, tenant, source_backend, pods, LEAST(onboarded, pods) AS onboarded FROM snapshot",
+        "dirty AS (SELECT *, (pods + day(date)) % 29 AS k FROM snapshot)",
+        body="SELECT CASE WHEN k % 5 = 0 THEN CAST(date + 1 AS DATE) ELSE date END AS date, tenant, source_backend, pods, "
+        "LEAST(CASE WHEN k > 20 THEN onboarded + pods ELSE onboarded END, pods) AS onboarded "
+        "FROM dirty WHERE k NOT IN (3, 7, 8, 9, 11, 12, 14)",
+    )
+    reasons = (
+        "bad_date", "year_mismatch", "not_a_list", "not_an_object", "no_tenant", "no_total", "no_onboarded",
+        "total_not_numeric", "total_negative", "total_not_whole",
+        "onboarded_not_numeric", "onboarded_negative", "onboarded_not_whole",
     )
     q["snapshot_validate"] = with_ctes(
         SNAPSHOT_CTES,
-        body="SELECT date, tenant, source_backend, pods, LEAST(onboarded, pods) AS onboarded, "
-        "CAST(NULL AS VARCHAR) AS reason FROM snapshot",
+        "kinds AS (SELECT *, (pods + day(date)) % 40 AS k FROM snapshot)",
+        "marked AS (SELECT *, CASE k " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(reasons)) + " END AS reason, "
+        "CASE WHEN k = 15 THEN 1000 ELSE pods END AS total FROM kinds)",
+        body="SELECT CASE WHEN reason IS NULL THEN date END AS date, CASE WHEN reason IS NULL THEN tenant END AS tenant, "
+        "source_backend, CASE WHEN reason IS NULL THEN total END AS pods, "
+        "CASE WHEN reason IS NULL THEN LEAST(onboarded, total) END AS onboarded, reason FROM marked",
     )
     q["snapshot_conflicts"] = with_ctes(
         SNAPSHOT_CTES,
@@ -202,8 +216,16 @@ def oracles() -> dict[str, str]:
     q["replace_range"] = with_ctes(
         *_TREND_BASE,
         SEED_CTES,
-        body="SELECT * FROM daily WHERE date < DATE '2001-01-01' OR date > DATE '2001-12-31' "
-        "UNION ALL SELECT * FROM daily_2001",
+        "again AS (SELECT date, tenant, source_backend, pods + day(date) AS pods, onboarded + 2 AS onboarded "
+        "FROM region_snap WHERE year(date) = 2001 AND day(date) % 9 <> 4)",
+        "again_all AS (SELECT * FROM again UNION ALL SELECT date, 'OCEANIA', source_backend, pods, onboarded "
+        "FROM again WHERE tenant = 'ASIA')",
+        "again_daily AS (SELECT s.date, s.tenant, s.source_backend, "
+        "s.pods - COALESCE(LAG(s.pods) OVER w, d.total_pods, 0) AS daily_delta, s.pods AS total_pods, "
+        "s.onboarded - COALESCE(LAG(s.onboarded) OVER w, d.onboarded_pods, 0) AS daily_onboarded_delta, "
+        "s.onboarded AS onboarded_pods FROM again_all s LEFT JOIN dseed d ON d.tenant = s.tenant "
+        "WINDOW w AS (PARTITION BY s.tenant ORDER BY s.date))",
+        body="SELECT * FROM daily WHERE year(date) <> 2001 UNION ALL SELECT * FROM again_daily",
     )
     q["monthly_trend_window"] = with_ctes(*_TREND_BASE, WINDOW_CTES, body="SELECT * FROM mw")
     q["daily_trend_window"] = with_ctes(*_TREND_BASE, WINDOW_CTES, body="SELECT * FROM dw")
@@ -225,7 +247,9 @@ def oracles() -> dict[str, str]:
         *_TREND_BASE,
         WINDOW_CTES,
         _matrix_ctes("total_pods"),
-        body="PIVOT (SELECT month_start, tenant, value FROM matrix) ON tenant USING first(value) GROUP BY month_start",
+        body="SELECT month_start, "
+        + ", ".join(f"MAX(value) FILTER (WHERE tenant = '{t}') AS \"{t}\"" for t in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
+        + " FROM matrix GROUP BY month_start",
     )
     q["last_30_days"] = with_ctes(
         *_TREND_BASE, WINDOW_CTES, _last_days_ctes("dw", "ten", "total_pods"), body="SELECT * FROM l30"

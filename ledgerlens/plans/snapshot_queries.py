@@ -19,6 +19,8 @@ EVENTS_AS_OF = "2024-01-30"
 MONTHS = 12
 DAYS = 60
 WINDOW_DAYS = 30
+#: The wide report's columns: the tenants of the stand-in (the names in ``region``).
+TENANTS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 BOOTSTRAP_YEAR = 1994
 LAST_EXPECTED_YEAR = 2002
 
@@ -43,15 +45,7 @@ def _windows(spark, sf_dir):
 
 
 def q_snapshot_normalize(spark, sf_dir):
-    s = fx.snapshot(spark, sf_dir)
-    raw = s.select(
-        F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
-        "tenant",
-        "source_backend",
-        F.col("pods").cast("string").alias("pods"),
-        F.col("onboarded").cast("string").alias("onboarded"),
-    )
-    return S.normalize_snapshots(raw)
+    return S.normalize_snapshots(fx.dirty_snapshots(spark, sf_dir))
 
 
 def q_snapshot_validate(spark, sf_dir):
@@ -115,7 +109,8 @@ def q_monthly_delta_seeded(spark, sf_dir):
 def q_replace_range(spark, sf_dir):
     import datetime as dt
 
-    new_rows = q_daily_delta_seeded(spark, sf_dir)
+    seeds, _ = _seeds(spark, sf_dir)
+    new_rows = T.daily_rows(fx.changed_snapshot(spark, sf_dir, REFRESH_YEAR), seeds)
     return replace_range(
         daily_table(spark, sf_dir),
         new_rows,
@@ -149,7 +144,7 @@ def q_trend_totals(spark, sf_dir):
 
 
 def q_trend_pivot(spark, sf_dir):
-    return T.trend_pivot(q_trend_matrix_total(spark, sf_dir))
+    return T.trend_pivot(q_trend_matrix_total(spark, sf_dir), TENANTS)
 
 
 def q_last_30_days(spark, sf_dir):

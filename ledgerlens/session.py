@@ -52,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; name a shared folder for checkpoints"
             )
@@ -74,5 +74,4 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "ledge
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
-    ensure_checkpoint_dir(spark)
     return spark

@@ -1,15 +1,19 @@
 """Keyed upserts, range replacement, whole-table replacement and staged
-publishing, as DataFrame merges plus partition-scoped writes."""
+publishing, as DataFrame merges and writes of new folders. Live files are never
+overwritten: a write becomes visible by its pointer (see ``versions``)."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from . import versions
 
 _BATCH = "_ll_batch"
 _SEQ = "_ll_seq"
@@ -22,6 +26,32 @@ def _any_null(keys: Sequence[str]) -> Column:
     return cond
 
 
+def _tagged(existing: DataFrame | None, batches: Sequence[DataFrame], columns: Sequence[str], seq_col: str | None) -> DataFrame:
+    """All rows with their batch number (0: existing) and their place in it."""
+    seq = F.col(seq_col) if seq_col else F.lit(0).cast("bigint")
+    out = None
+    for i, b in enumerate(batches, start=1):
+        part = b.select(*columns, F.lit(i).alias(_BATCH), seq.alias(_SEQ))
+        out = part if out is None else out.unionByName(part)
+    if existing is not None:
+        none = F.lit(None).cast(out.schema[_SEQ].dataType)
+        out = existing.select(*columns, F.lit(0).alias(_BATCH), none.alias(_SEQ)).unionByName(out)
+    return out
+
+
+def _winners(tagged: DataFrame, columns: Sequence[str], key_cols: Sequence[str], batches: int, ordered: bool) -> DataFrame:
+    own_group = F.when(_any_null(key_cols), F.struct(F.col(_BATCH), F.monotonically_increasing_id()))
+    others = [c for c in columns if c not in key_cols]
+    counts = [] if ordered else [F.count_if(F.col(_BATCH) == i).alias(f"_n{i}") for i in range(1, batches + 1)]
+    found = tagged.withColumn("_ll_own", own_group).groupBy(*key_cols, "_ll_own").agg(F.max_by(F.struct(*others), F.struct(_BATCH, _SEQ)).alias("_w"), *counts)
+    row = F.col("_w")
+    if counts:
+        twice = F.greatest(*[F.col(f"_n{i}") for i in range(1, batches + 1)], F.lit(0).cast("bigint")) > 1
+        row = F.when(twice, F.raise_error(F.lit("a batch holds a key twice; name its seq_col")).cast(found.schema["_w"].dataType)).otherwise(row)
+        found = found.withColumn("_w", row)
+    return found.select(*key_cols, *[F.col(f"_w.{c}").alias(c) for c in others]).select(*columns)
+
+
 def merge_latest(
     existing: DataFrame | None,
     batches: Sequence[DataFrame],
@@ -30,36 +60,20 @@ def merge_latest(
 ) -> DataFrame:
     """Upsert by key: the last row in arrival order wins.
 
-    Arrival order is (batch number, then ``seq_col`` within a batch, or the
-    row's position in its input when no sequence is given). Existing rows
-    that no batch touches are kept. Rows with a NULL key part never collide
-    with anything (as with a SQL UNIQUE constraint) and all pass through.
-    Columns follow the existing table's order.
+    Arrival order is (batch number, then ``seq_col`` within a batch). A batch
+    without a ``seq_col`` holds each key once; if it does not, the query fails,
+    as nothing says which row came last. Existing rows that no batch touches
+    are kept. Rows with a NULL key part never collide with anything (as with
+    a SQL UNIQUE constraint) and all pass through. Columns follow the
+    existing table's order.
 
     One pass and one aggregation: winners are picked with ``max_by`` over
     (batch, seq), a partial aggregation, so many duplicates of one key are
     reduced map-side; a row with a NULL key part gets its own group through
     a per-row id, so it passes through the same aggregation.
     """
-    frames = []
-    columns = list(existing.columns if existing is not None else batches[0].columns)
-    if existing is not None:
-        frames.append(existing.select(*columns, F.lit(0).alias(_BATCH), F.lit(0).cast("bigint").alias(_SEQ)))
-    for i, b in enumerate(batches, start=1):
-        seq = F.col(seq_col).cast("bigint") if seq_col else F.monotonically_increasing_id()
-        frames.append(b.select(*columns, F.lit(i).alias(_BATCH), seq.alias(_SEQ)))
-    tagged = frames[0]
-    for f in frames[1:]:
-        tagged = tagged.unionByName(f)
-    own_group = F.when(_any_null(key_cols), F.struct(F.col(_BATCH), F.monotonically_increasing_id()))
-    others = [c for c in columns if c not in key_cols]
-    winners = (
-        tagged.withColumn("_ll_own", own_group)
-        .groupBy(*key_cols, "_ll_own")
-        .agg(F.max_by(F.struct(*others), F.struct(_BATCH, _SEQ)).alias("_w"))
-        .select(*key_cols, *[F.col(f"_w.{c}").alias(c) for c in others])
-    )
-    return winners.select(*columns)
+    columns = list(existing.columns if existing is not None else [c for c in batches[0].columns if c != seq_col])
+    return _winners(_tagged(existing, batches, columns, seq_col), columns, key_cols, len(batches), seq_col is not None)
 
 
 def replace_range(
@@ -88,13 +102,6 @@ def replace_all(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) ->
     w.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
-
-
 def upsert_table(
     spark: SparkSession,
     path: str,
@@ -102,59 +109,83 @@ def upsert_table(
     key_cols: Sequence[str],
     partition_col: str = "month",
     partition_expr: Column | None = None,
+    seq_col: str | None = None,
 ) -> DataFrame:
     """Upsert batches into a Parquet table partitioned by ``partition_col``.
 
-    Only partitions the batches touch are read (pruned by a literal IN list
-    of the touched partitions, a small distinct set) and rewritten, with
-    dynamic partition overwrite. The merged partitions are checkpointed to
-    the shared checkpoint folder first, which cuts the lineage to the files
-    about to be replaced. Returns the merged rows of the touched partitions.
+    The batches are worked out once, into a staging folder laid out by
+    partition; its folder names are the touched partitions (a NULL partition
+    is one of them). Their live rows are read, merged and written to the
+    folder of a new version, and the pointer that names the live version of
+    each partition moves last. A failure leaves the table as it was; a replay
+    gives the same rows. Returns the merged rows of the touched partitions.
     """
     part = partition_expr if partition_expr is not None else F.trunc("date", "MM")
-    incoming = [b.withColumn(partition_col, part) for b in batches]
-    touched = incoming[0].select(partition_col)
-    for b in incoming[1:]:
-        touched = touched.union(b.select(partition_col))
-    values = [r[0] for r in touched.distinct().collect()]
-    if not values:
-        return incoming[0]
-    existing = None
-    if _exists(spark, path):
-        existing = spark.read.parquet(path).where(F.col(partition_col).isin(values))
-        existing = existing.select(*incoming[0].columns)
-    ensure_checkpoint_dir(spark)
-    merged = merge_latest(existing, incoming, key_cols).checkpoint(eager=True)
-    (
-        merged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_col)
-        .parquet(path)
-    )
-    return merged
-
-
-def publish(df: DataFrame, base: str, version: str | None = None) -> str:
-    """Staged publish: write a new version folder, verify it, then move the
-    ``_current`` pointer. A failed write or check leaves the pointer, and
-    so the live data, untouched. Returns the version name."""
-    spark = df.sparkSession
-    version = version or dt.datetime.now(dt.timezone.utc).strftime("v%Y%m%dT%H%M%S%f")
-    target = f"{base.rstrip('/')}/{version}"
-    df.write.mode("errorifexists").parquet(target)
-    written = spark.read.parquet(target)
-    if written.schema.fieldNames() != df.schema.fieldNames():
-        raise RuntimeError(f"published schema differs in {target}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{base.rstrip('/')}/_current"
-    )
-    return version
-
-
-def read_published(spark: SparkSession, base: str) -> DataFrame:
-    """Resolve the pointer once, then read that version."""
-    version = spark.read.text(f"{base.rstrip('/')}/_current").first()["value"].strip()
-    return spark.read.parquet(f"{base.rstrip('/')}/{version}")
+    folder = versions.Folder(spark, path)
+    state = versions.head(spark, path) or {"parts": {}}
+    number = versions.next_number(spark, path)
+    version = f"{number:012d}-{uuid.uuid4().hex[:12]}"  # a folder that no stopped job has begun
+    columns = [c for c in batches[0].columns if c not in (partition_col, seq_col)]
+    tagged = _tagged(None, [b.withColumn(partition_col, part) for b in batches], [*columns, partition_col], seq_col)
+    staging = f"_staging/{version}"
+    tagged.write.partitionBy(partition_col).parquet(f"{path}/{staging}")
+    touched = [n for n in folder.names(staging) if n.startswith(f"{partition_col}=")]
+    row_schema = T.StructType([f for f in tagged.schema.fields if f.name not in (_BATCH, _SEQ)])
+    if not touched:
+        folder.remove(staging)
+        return spark.createDataFrame([], row_schema)
+    staged = spark.read.schema(tagged.schema).parquet(f"{path}/{staging}")
+    live = [f"{path}/v={state['parts'][n]}/{n}" for n in touched if n in state["parts"]]
+    if live:
+        existing = _read_parts(spark, path, live, row_schema)
+        none = F.lit(None).cast(tagged.schema[_SEQ].dataType)
+        staged = existing.select(*columns, partition_col, F.lit(0).alias(_BATCH), none.alias(_SEQ)).unionByName(staged)
+    merged = _winners(staged, [*columns, partition_col], key_cols, len(batches), seq_col is not None)
+    merged.write.partitionBy(partition_col).mode("errorifexists").parquet(f"{path}/v={version}")
+    written = [n for n in folder.names(f"v={version}") if n.startswith(f"{partition_col}=")]
+    if written != touched:
+        raise RuntimeError(f"{path}: version {version} holds {written}, not {touched}")
+    versions.commit(spark, path, number, {"parts": state["parts"] | {n: version for n in touched}, "schema": json.loads(row_schema.json())})
+    folder.remove(staging)
+    return _read_parts(spark, path, [f"{path}/v={version}/{n}" for n in touched], row_schema)
+
+
+def _read_parts(spark: SparkSession, path: str, folders: Sequence[str], schema: T.StructType) -> DataFrame:
+    """Rows of partition folders of several versions, with partition pruning."""
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders).drop("v")
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current rows of a table written by ``upsert_table``; None if there is none yet."""
+    state = versions.head(spark, path)
+    if state is None:
+        return None
+    return _read_parts(spark, path, [f"{path}/v={v}/{n}" for n, v in sorted(state["parts"].items())], T.StructType.fromJson(state["schema"]))
+
+
+def publish_tables(frames: Mapping[str, DataFrame], base: str) -> int:
+    """Staged publish of tables that belong together: each is written to the
+    folder of a new version and read back, then one pointer moves for all.
+    A failure in between leaves all live tables untouched. Returns the
+    version's number."""
+    spark = next(iter(frames.values())).sparkSession
+    number = versions.next_number(spark, base)
+    tables = {}
+    for name, df in frames.items():
+        tables[name] = f"v{number:08d}-{uuid.uuid4().hex}/{name}"
+        df.write.mode("errorifexists").parquet(f"{base}/{tables[name]}")
+        if spark.read.parquet(f"{base}/{tables[name]}").columns != df.columns:
+            raise RuntimeError(f"published schema differs in {base}/{tables[name]}")
+    versions.commit(spark, base, number, {"tables": tables})
+    return number
+
+
+def read_published(spark: SparkSession, base: str, name: str) -> DataFrame | None:
+    """A published table, its pointer resolved once; None if it was never published."""
+    state = versions.head(spark, base)
+    if state is None or name not in state["tables"]:
+        return None
+    return spark.read.parquet(f"{base}/{state['tables'][name]}")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

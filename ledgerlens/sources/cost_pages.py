@@ -8,7 +8,7 @@ The account is given, or read from an ``account=<name>`` path segment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,26 +54,40 @@ PAGE_SCHEMA = T.StructType(
 ACCOUNT_IN_PATH = r"(?:^|/)account=([^/]+)(?:/|$)"
 
 
+SEQ = "seq"
+
+
+def page_columns() -> list[Column]:
+    """What ``flatten_pages`` reads of a page."""
+    return [F.col("ResultsByTime"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_modification_time").alias("_time")]
+
+
+def page_reader(reader):
+    """A batch or stream reader of pages that fails on a file it can't parse."""
+    return reader.schema(PAGE_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
+
+
 def flatten_pages(pages: DataFrame, account: str | None = None) -> DataFrame:
-    """Pages (with ``_path``) -> (date, account, service, amount)."""
+    """Pages (``page_columns``) -> (date, account, service, amount, seq).
+
+    ``seq`` is the arrival order: the file's time, its path, then the places
+    of the day and the group in the page. A page without ``ResultsByTime``
+    is an error, as its costs would be missing without a trace.
+    """
     acc = F.lit(account) if account is not None else F.regexp_extract(F.col("_path"), ACCOUNT_IN_PATH, 1)
-    days = pages.select(acc.alias("account"), F.explode("ResultsByTime").alias("d"))
+    missing = F.raise_error(F.concat(F.lit("page without ResultsByTime: "), F.col("_path"))).cast(PAGE_SCHEMA["ResultsByTime"].dataType)
+    days = pages.select(acc.alias("account"), "_path", "_time", F.posexplode(F.coalesce("ResultsByTime", missing)).alias("_day", "d"))
     groups = days.select(
-        "account", F.col("d.TimePeriod.Start").alias("start"), F.explode("d.Groups").alias("g")
+        "account", "_path", "_time", "_day", F.col("d.TimePeriod.Start").alias("start"), F.posexplode("d.Groups").alias("_group", "g")
     )
     return groups.select(
         F.to_date("start").alias("date"),
         F.when(F.col("account") != "", F.col("account")).alias("account"),
         F.element_at("g.Keys", 1).alias("service"),
         F.col("g.Metrics.UnblendedCost.Amount").cast("double").alias("amount"),
+        F.struct("_time", "_path", "_day", "_group").alias(SEQ),
     )
 
 
 def read_cost_pages(spark: SparkSession, path: str, account: str | None = None) -> DataFrame:
-    pages = (
-        spark.read.schema(PAGE_SCHEMA)
-        .option("multiLine", True)
-        .json(path)
-        .select("ResultsByTime", F.col("_metadata.file_path").alias("_path"))
-    )
-    return flatten_pages(pages, account)
+    return flatten_pages(page_reader(spark.read).json(path).select(*page_columns()), account)

@@ -8,7 +8,7 @@ source covering 30 days).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ratio import money_value, sum_money
@@ -192,21 +192,83 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_snapshot(spark, sf_dir).unionByName(events_snapshot(spark, sf_dir))
 
 
+def _kind(parts: int) -> Column:
+    """A number that spreads the stand-in's rows over ``parts`` forms."""
+    return (F.col("pods") + F.dayofmonth("date")) % parts
+
+
 def raw_snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot rows as they leave a JSON file: every field is text, the row
-    object is a map (key presence kept) and the date is the file's key."""
-    s = snapshot(spark, sf_dir)
+    object is a map (key presence kept) and the date is the file's key. One row
+    in forty each has one of thirteen faults, and one in forty each another
+    good form (``pods`` for ``total``, a padded tenant, an exponent)."""
+    s = snapshot(spark, sf_dir).withColumn("_k", _kind(40))
+
+    def at(k: int, value: Column, other: Column) -> Column:
+        return F.when(F.col("_k") == k, value).otherwise(other)
+
+    year = at(1, F.lit("1901"), F.year("date").cast("string"))
+    pods, onboarded = F.col("pods").cast("string"), F.col("onboarded").cast("string")
+    total = (
+        F.when(F.col("_k") == 5, F.lit(None).cast("string"))
+        .when(F.col("_k") == 7, "many")
+        .when(F.col("_k") == 8, F.concat(F.lit("-"), pods))
+        .when(F.col("_k") == 9, F.concat(pods, F.lit(".5")))
+        .when(F.col("_k") == 15, "1e3")
+        .otherwise(pods)
+    )
+    done = (
+        F.when(F.col("_k") == 6, F.lit(None).cast("string"))
+        .when(F.col("_k") == 10, "x")
+        .when(F.col("_k") == 11, "-1")
+        .when(F.col("_k") == 12, "0.25")
+        .otherwise(onboarded)
+    )
+    tenant = F.when(F.col("_k") == 4, " ").when(F.col("_k") == 14, F.concat(F.lit(" "), "tenant", F.lit("\t"))).otherwise(F.col("tenant"))
+    fields = [F.lit("tenant"), tenant, F.lit("onboarded"), done]
+    row = at(
+        13,
+        F.create_map(*fields, F.lit("pods"), pods),
+        F.create_map(*fields, F.lit("total"), total, F.lit("pods"), pods),
+    )
     return s.select(
-        F.date_format("date", "yyyy-MM-dd").alias("date_text"),
+        at(0, F.lit("not-a-date"), F.date_format("date", "yyyy-MM-dd")).alias("date_text"),
         "source_backend",
-        F.create_map(
-            F.lit("tenant"), F.col("tenant"),
-            F.lit("total"), F.col("pods").cast("string"),
-            F.lit("onboarded"), F.col("onboarded").cast("string"),
-        ).alias("row"),
+        F.concat(F.col("source_backend"), F.lit("/year="), year, F.lit("/snap.json")).alias("path"),
+        (F.col("_k") != 2).alias("value_is_list"),
+        (F.col("_k") != 3).alias("row_is_object"),
+        row.alias("row"),
     )
 
 
+def dirty_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as text in many forms: dates with offsets, compact and with
+    slashes; padded and blank tenants; missing, non-numeric and decimal
+    counters; onboarded above the total."""
+    s = snapshot(spark, sf_dir).withColumn("_k", _kind(29))
+    k, pods = F.col("_k"), F.col("pods").cast("string")
+    return s.select(
+        F.when(k % 5 == 0, F.date_format("date", "yyyy-MM-dd'T'23:30:00-05:00"))
+        .when(k % 5 == 1, F.date_format("date", "yyyyMMdd"))
+        .when(k % 5 == 2, F.date_format("date", "yyyy/M/d"))
+        .when(k == 3, "soon")
+        .otherwise(F.date_format("date", "yyyy-MM-dd"))
+        .alias("date"),
+        F.when(k == 7, " \t").when(k == 8, F.lit(None).cast("string")).otherwise(F.concat(F.lit("  "), "tenant", F.lit("\t"))).alias("tenant"),
+        F.when(k == 9, "").otherwise(F.concat("source_backend", F.lit(" "))).alias("source_backend"),
+        F.when(k == 11, F.lit(None).cast("string")).when(k == 12, "many").when(k == 13, F.concat(pods, F.lit(".75"))).otherwise(pods).alias("pods"),
+        F.when(k == 14, F.lit(None).cast("string")).when(k > 20, (F.col("onboarded") + F.col("pods")).cast("string")).otherwise(F.col("onboarded").cast("string")).alias("onboarded"),
+    )
+
+
+def changed_snapshot(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    """A second delivery of one year: other values, some days left out, and a
+    tenant that the first one did not have."""
+    s = region_snapshot(spark, sf_dir).where((F.year("date") == year) & (F.dayofmonth("date") % 9 != 4))
+    s = s.withColumn("pods", F.col("pods") + F.dayofmonth("date")).withColumn("onboarded", F.col("onboarded") + 2)
+    return s.unionByName(s.where(F.col("tenant") == "ASIA").withColumn("tenant", F.lit("OCEANIA")))
+
+
 def day_level_costs(spark: SparkSession, sf_dir: str, anchor: str) -> DataFrame:
     """Day-level cost columns per (account, service) at one anchor day:
     cost (the day), prev_day, prev_week (7 days before), avg7 / avg30 (mean

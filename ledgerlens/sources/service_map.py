@@ -61,6 +61,6 @@ def service_map_frame(
     spark: SparkSession,
     pairs: Mapping[str, str] | tuple[tuple[str, str], ...] = DEFAULT_SERVICE_MAP,
 ) -> DataFrame:
-    """Seed the dimension from literal pairs; a raw name is unique (last wins)."""
+    """Seed the dimension from literal pairs; of a raw name given twice the last label counts."""
     items = dict(pairs.items() if isinstance(pairs, Mapping) else pairs)
     return spark.createDataFrame(list(items.items()), "raw string, label string")

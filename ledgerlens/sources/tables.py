@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
-TABLE_NAME_PATTERN = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
-
 
 def is_valid_table_name(name: str) -> bool:
-    """Only identifier-shaped names may be spliced into SQL text."""
-    return bool(TABLE_NAME_PATTERN.match(name or ""))
-
-
-_READS: dict[tuple[int, str], DataFrame] = {}
+    """Whether a name may stand in SQL text and paths: an ASCII identifier."""
+    return isinstance(name, str) and name.isascii() and name.isidentifier()
 
 
 def read_parquet(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """One relation per (session, table path): repeated uses share the file
-    listing and schema instead of listing and reading footers again."""
     if not is_valid_table_name(name):
         raise ValueError(f"invalid table name: {name!r}")
-    path = f"{base_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    df = _READS.get(key)
-    if df is None:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
+    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
 
 
 def read_table(spark: SparkSession, name: str, columns: list[str] | None = None) -> DataFrame:

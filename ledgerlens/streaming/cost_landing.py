@@ -11,22 +11,16 @@ checkpoint, and the keyed upsert makes a replayed batch harmless.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sinks.tables import upsert_table
-from ..sources.cost_pages import PAGE_SCHEMA, flatten_pages
+from ..sources.cost_pages import SEQ, flatten_pages, page_columns, page_reader
 
 KEYS = ("date", "account", "service")
 
 
 def cost_page_stream(spark: SparkSession, landing: str, account: str | None = None) -> DataFrame:
-    pages = (
-        spark.readStream.schema(PAGE_SCHEMA)
-        .option("multiLine", True)
-        .json(landing)
-        .select("ResultsByTime", F.col("_metadata.file_path").alias("_path"))
-    )
+    pages = page_reader(spark.readStream).json(landing).select(*page_columns())
     return flatten_pages(pages, account)
 
 
@@ -41,12 +35,8 @@ def start_cost_load(
     """Start the load; ``checkpoint`` must be a shared folder on a cluster."""
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        # Several actions read the micro-batch (touched months, merge): keep it.
-        kept = batch.persist()
-        try:
-            upsert_table(kept.sparkSession, table_path, [kept], KEYS)
-        finally:
-            kept.unpersist()
+        # A micro-batch can hold a key several times: the page that came last wins.
+        upsert_table(batch.sparkSession, table_path, [batch], KEYS, seq_col=SEQ)
 
     writer = cost_page_stream(spark, landing, account).writeStream.foreachBatch(upsert_batch).option(
         "checkpointLocation", checkpoint

@@ -6,14 +6,17 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import costs as C
 from ledgerlens.plans.jobs import cost_refresh
+from ledgerlens.sinks import versions
 from ledgerlens.sinks.tables import (
     export_csv,
     merge_latest,
-    publish,
+    publish_tables,
     read_published,
+    read_upserted,
     replace_range,
     upsert_table,
 )
@@ -24,6 +27,10 @@ SCHEMA = "date date, account string, service string, amount double"
 D1, D2, D3 = dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 2, 1)
 
 
+def _table(spark, path):
+    return _rows(read_upserted(spark, path).select("date", "account", "service", "amount"))
+
+
 def _rows(df):
     return sorted((tuple(r) for r in df.collect()), key=lambda t: tuple(str(x) for x in t))
 
@@ -52,12 +59,45 @@ def test_upsert_table_is_idempotent(spark, scratch):
     batch = spark.createDataFrame([(D1, "a", "s", 1.0), (D3, "a", "s", 3.0)], SCHEMA)
     upsert_table(spark, path, [batch], C.FACT_KEYS)
     upsert_table(spark, path, [batch], C.FACT_KEYS)
-    first = _rows(spark.read.parquet(path).select("date", "account", "service", "amount"))
+    first = _table(spark, path)
     assert first == _rows(batch)
     # A later batch touching only January leaves February untouched.
     upsert_table(spark, path, [spark.createDataFrame([(D1, "a", "s", 9.0)], SCHEMA)], C.FACT_KEYS)
-    got = _rows(spark.read.parquet(path).select("date", "account", "service", "amount"))
-    assert got == [(D1, "a", "s", 9.0), (D3, "a", "s", 3.0)]
+    assert _table(spark, path) == [(D1, "a", "s", 9.0), (D3, "a", "s", 3.0)]
+
+
+def test_upsert_keeps_rows_without_a_date(spark, scratch):
+    path = f"{scratch}/costs"
+    upsert_table(spark, path, [spark.createDataFrame([(None, "a", "s", 1.0), (D1, "a", "s", 2.0)], SCHEMA)], C.FACT_KEYS)
+    upsert_table(spark, path, [spark.createDataFrame([(None, "b", "s", 5.0)], SCHEMA)], C.FACT_KEYS)
+    assert _table(spark, path) == [(D1, "a", "s", 2.0), (None, "a", "s", 1.0), (None, "b", "s", 5.0)]
+
+
+def test_a_doubled_key_without_a_sequence_fails(spark):
+    b = spark.createDataFrame([(D1, "a", "s", 1.0), (D1, "a", "s", 2.0)], SCHEMA)
+    with pytest.raises(Exception, match="holds a key twice"):
+        merge_latest(None, [b], C.FACT_KEYS).collect()
+
+
+def test_a_failed_upsert_leaves_the_table(spark, scratch):
+    path = f"{scratch}/costs"
+    upsert_table(spark, path, [spark.createDataFrame([(D1, "a", "s", 1.0)], SCHEMA)], C.FACT_KEYS)
+    twice = spark.createDataFrame([(D1, "a", "s", 2.0), (D1, "a", "s", 3.0)], SCHEMA)
+    with pytest.raises(Exception):
+        upsert_table(spark, path, [twice], C.FACT_KEYS)
+    assert _table(spark, path) == [(D1, "a", "s", 1.0)]
+    upsert_table(spark, path, [spark.createDataFrame([(D1, "a", "s", 4.0)], SCHEMA)], C.FACT_KEYS)
+    assert _table(spark, path) == [(D1, "a", "s", 4.0)]
+
+
+def test_upserted_table_prunes_months(spark, scratch):
+    path = f"{scratch}/costs"
+    upsert_table(spark, path, [spark.createDataFrame([(D1, "a", "s", 1.0), (D3, "a", "s", 3.0)], SCHEMA)], C.FACT_KEYS)
+    upsert_table(spark, path, [spark.createDataFrame([(D3, "b", "s", 4.0)], SCHEMA)], C.FACT_KEYS)
+    df = C.date_range(read_upserted(spark, path), D3, D3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    assert df.count() == 2
 
 
 def test_replace_range_empty_input_deletes(spark):
@@ -70,15 +110,46 @@ def test_replace_range_empty_input_deletes(spark):
     assert got == [(D3, "a", "s", 3.0), (dt.date(2024, 3, 1), "a", "s", 4.0)]
 
 
-def test_publish_moves_pointer_only_after_write(spark, scratch):
+def test_publish_moves_one_pointer_for_all_tables(spark, scratch):
     base = f"{scratch}/pub"
-    v1 = publish(spark.createDataFrame([(D1, "a", "s", 1.0)], SCHEMA), base, version="v1")
-    assert v1 == "v1" and read_published(spark, base).count() == 1
-    with pytest.raises(Exception):
-        publish(spark.createDataFrame([(D1, "a", "s", 2.0)], SCHEMA), base, version="v1")  # exists: fails
-    assert spark.read.text(f"{base}/_current").first()[0] == "v1"
-    publish(spark.createDataFrame([(D1, "a", "s", 2.0), (D2, "a", "s", 2.0)], SCHEMA), base, version="v2")
-    assert read_published(spark, base).count() == 2
+    assert read_published(spark, base, "a") is None
+    one, two = (spark.createDataFrame([(D1, "a", "s", x)], SCHEMA) for x in (1.0, 2.0))
+    publish_tables({"a": one, "b": one}, base)
+    bad = two.withColumn("amount", F.raise_error(F.lit("stop")).cast("double"))
+    with pytest.raises(Exception, match="stop"):
+        publish_tables({"a": two, "b": bad}, base)  # fails between its tables
+    assert _rows(read_published(spark, base, "a")) == _rows(read_published(spark, base, "b")) == [(D1, "a", "s", 1.0)]
+    publish_tables({"a": two, "b": two}, base)
+    assert _rows(read_published(spark, base, "a")) == [(D1, "a", "s", 2.0)]
+
+
+def test_a_half_written_pointer_is_passed_over(spark, scratch):
+    base = f"{scratch}/pub"
+    publish_tables({"a": spark.createDataFrame([(D1, "a", "s", 1.0)], SCHEMA)}, base)
+    for text in ("", '{"tab'):
+        with open(f"{base}/_versions/000000000005.json", "w") as f:
+            f.write(text)
+        assert read_published(spark, base, "a").count() == 1
+    publish_tables({"a": spark.createDataFrame([], SCHEMA)}, base)
+    assert read_published(spark, base, "a").count() == 0
+
+
+def test_errors_are_not_taken_for_an_empty_table(spark, scratch):
+    base = f"{scratch}/pub"
+    os.makedirs(f"{base}/_versions")
+    assert read_published(spark, base, "a") is None and read_upserted(spark, base) is None
+    with open(f"{base}/_versions/000000000001.json", "w") as f:
+        f.write("")
+    with pytest.raises(RuntimeError, match="no pointer"):
+        read_published(spark, base, "a")
+    with pytest.raises(RuntimeError, match="no pointer"):
+        cost_refresh(spark, spark.createDataFrame([], SCHEMA), base, ["a"], "2024-08-01")
+
+
+def test_two_jobs_do_not_publish_the_same_version(spark, scratch):
+    versions.commit(spark, scratch, 1, {"tables": {}})
+    with pytest.raises(RuntimeError, match="another job"):
+        versions.commit(spark, scratch, 1, {"tables": {}})
 
 
 def test_export_csv(spark, scratch):
@@ -108,7 +179,7 @@ def _write_page(path, page):
 def test_cost_pages(spark, scratch):
     _write_page(f"{scratch}/land/account=acme/p1.json", _page([("2024-01-01", [("AWS Lambda", "1.5"), ("Tax", "0.2")])]))
     _write_page(f"{scratch}/land/account=acme/p2.json", _page([("2024-01-02", [("AWS Lambda", "2")])]))
-    got = _rows(read_cost_pages(spark, f"{scratch}/land"))
+    got = _rows(read_cost_pages(spark, f"{scratch}/land").drop("seq"))
     assert got == [(D1, "acme", "AWS Lambda", 1.5), (D1, "acme", "Tax", 0.2), (D2, "acme", "AWS Lambda", 2.0)]
 
 
@@ -119,8 +190,31 @@ def test_streaming_load_takes_new_pages_once(spark, scratch):
     _write_page(f"{land}/account=acme/p2.json", _page([("2024-01-01", [("S3", "4.0")]), ("2024-02-01", [("S3", "3")])]))
     start_cost_load(spark, land, table, ckpt).awaitTermination()
     start_cost_load(spark, land, table, ckpt).awaitTermination()  # nothing new
-    got = _rows(spark.read.parquet(table).select("date", "account", "service", "amount"))
-    assert got == [(D1, "acme", "S3", 4.0), (D3, "acme", "S3", 3.0)]
+    assert _table(spark, table) == [(D1, "acme", "S3", 4.0), (D3, "acme", "S3", 3.0)]
+
+
+@pytest.mark.parametrize("larger", ["old", "new"])
+def test_streaming_load_keeps_the_page_that_came_last(spark, scratch, larger):
+    """Two pages of one key in one batch; Spark packs files by size, not by age."""
+    many = [("2024-01-01", [(f"svc{i}", "7") for i in range(200)])]
+    old, new = [("2024-01-01", [("S3", "1.0")])], [("2024-01-01", [("S3", "4.0")])]
+    land = f"{scratch}/land/account=acme"
+    _write_page(f"{land}/b.json", _page(old + many * (larger == "old")))
+    _write_page(f"{land}/a.json", _page(new + many * (larger == "new")))
+    os.utime(f"{land}/b.json", (1_700_000_000, 1_700_000_000))
+    os.utime(f"{land}/a.json", (1_700_000_100, 1_700_000_100))
+    start_cost_load(spark, f"{scratch}/land", f"{scratch}/costs", f"{scratch}/ckpt").awaitTermination()
+    got = read_upserted(spark, f"{scratch}/costs").where("service = 'S3'").collect()
+    assert [r["amount"] for r in got] == [4.0]
+
+
+@pytest.mark.parametrize("broken", ['{"ResultsByTime": [{"TimePeriod": {"Start": "2024-01-02"', '{"Other": 1}'])
+def test_an_unreadable_page_fails(spark, scratch, broken):
+    _write_page(f"{scratch}/land/account=acme/p1.json", _page([("2024-01-01", [("S3", "1.0")])]))
+    with open(f"{scratch}/land/account=acme/p2.json", "w") as f:
+        f.write(broken)
+    with pytest.raises(Exception):
+        read_cost_pages(spark, f"{scratch}/land").collect()
 
 
 def test_cost_refresh_windows(spark, scratch):
@@ -139,16 +233,15 @@ def test_cost_refresh_windows(spark, scratch):
     s = cost_refresh(spark, lines, path, ["a"], "2024-08-01", exclusions=excl).first()
     # Nothing loaded: backfill from 2023-08-01; 2023-07-31 is outside; L2 is left out, NULL kept.
     assert (s["total_rows"], s["min_date"], s["max_date"]) == (2, dt.date(2023, 8, 1), dt.date(2024, 7, 10))
-    got = _rows(spark.read.parquet(path).select("date", "account", "service", "amount"))
-    assert got == [(dt.date(2023, 8, 1), "a", "s", 2.0), (dt.date(2024, 7, 10), "a", "s", 3.5)]
-    w = C.load_windows(spark.read.parquet(path), ["a", "b"], "2024-08-01").collect()
+    assert _table(spark, path) == [(dt.date(2023, 8, 1), "a", "s", 2.0), (dt.date(2024, 7, 10), "a", "s", 3.5)]
+    w = C.load_windows(read_upserted(spark, path), ["a", "b"], "2024-08-01").collect()
     assert sorted((r["account"], r["start"], r["stop"]) for r in w) == [
         ("a", dt.date(2024, 7, 9), dt.date(2024, 8, 2)),
         ("b", dt.date(2023, 8, 1), dt.date(2024, 8, 2)),
     ]
     # An account whose last row is older than the previous month: found by
     # the second, account-filtered lookup, and reloaded from the day before.
-    w = C.load_windows(spark.read.parquet(path), ["a"], "2024-10-03").collect()
+    w = C.load_windows(read_upserted(spark, path), ["a"], "2024-10-03").collect()
     assert [(r["account"], r["start"]) for r in w] == [("a", dt.date(2024, 7, 9))]
 
 
@@ -184,8 +277,6 @@ def test_results_do_not_depend_on_broadcast(spark):
     ]
     want = {k: _rows(entry.queries()[k](spark, sf)) for k in keys}
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.catalog.clearCache()  # cached frames of the first pass keep their plans
-    spark.conf.set("ledgerlens.broadcast.maxRows", "-1")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for k in keys:
@@ -194,7 +285,6 @@ def test_results_do_not_depend_on_broadcast(spark):
             assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan, k
             assert _rows(df) == want[k], k
     finally:
-        spark.conf.unset("ledgerlens.broadcast.maxRows")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 

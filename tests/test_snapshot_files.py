@@ -140,22 +140,21 @@ def test_bootstrap_then_refresh(spark, scratch):
         _write(templates["s2"].format(year=year), _year_payload(year, ["b"], 100 * (year - 2023)))
         _write(templates["s3"].format(year=year), _year_payload(year, ["c"], 50 * (year - 2023)), gz=True)
     _write(templates["s1"].format(year=2025), _year_payload(2025, ["a"], 7))
-    daily_base, monthly_base = f"{scratch}/daily", f"{scratch}/monthly"
-    out = snapshot_refresh(spark, templates, daily_base, monthly_base, current_year=2025, bootstrap_year=2024)
+    base = f"{scratch}/trends"
+    out = snapshot_refresh(spark, templates, base, current_year=2025, bootstrap_year=2024)
     assert out["mode"] == "bootstrap"
     assert out["files"] == {"s1": 1, "s2": 2, "s3": 2}
-    daily = read_published(spark, daily_base)
+    daily = read_published(spark, base, "daily")
     b = sorted((r["date"], r["daily_delta"], r["total_pods"]) for r in daily.where("tenant = 'b'").collect())
     assert b[0] == (dt.date(2024, 1, 1), 100, 100)
     assert b[3] == (dt.date(2025, 1, 1), 80, 200)  # versus the previous row (2024-12-31: 120)
 
     # Refresh: 2025 changes; seeds come from 2024-12-31 / 2024-12-01.
     _write(templates["s2"].format(year=2025), _year_payload(2025, ["b"], 500))
-    old_version = spark.read.text(f"{daily_base}/_current").first()[0]
-    out2 = snapshot_refresh(spark, templates, daily_base, monthly_base, current_year=2025, bootstrap_year=2024)
+    out2 = snapshot_refresh(spark, templates, base, current_year=2025, bootstrap_year=2024)
     assert out2["mode"] == "refresh"
-    daily2 = read_published(spark, daily_base)
-    assert spark.read.text(f"{daily_base}/_current").first()[0] != old_version
+    daily2 = read_published(spark, base, "daily")
+    assert out2["version"] > out["version"]
     b2 = sorted((r["date"], r["daily_delta"], r["total_pods"]) for r in daily2.where("tenant = 'b'").collect())
     assert b2[3] == (dt.date(2025, 1, 1), 380, 500)
     assert b2[:3] == b[:3]
@@ -174,8 +173,8 @@ def test_gap_fails(spark, scratch):
     _write(templates["s"].format(year=2023), _year_payload(2023, ["a"], 1))
     _write(templates["s"].format(year=2025), _year_payload(2025, ["a"], 1))
     with pytest.raises(FileNotFoundError, match="year=2024"):
-        snapshot_refresh(spark, templates, f"{scratch}/d", f"{scratch}/m", current_year=2025, bootstrap_year=2022)
-    assert not os.path.exists(f"{scratch}/d/_current")
+        snapshot_refresh(spark, templates, f"{scratch}/d", current_year=2025, bootstrap_year=2022)
+    assert read_published(spark, f"{scratch}/d", "daily") is None
 
 
 def test_duplicate_date_key_last_wins(spark, scratch):
@@ -190,7 +189,7 @@ def test_duplicate_date_key_last_wins(spark, scratch):
 
 
 def test_refresh_with_only_a_monthly_table(spark, scratch):
-    from ledgerlens.sinks.tables import publish
+    from ledgerlens.sinks.tables import publish_tables
 
     templates = {"s": f"{scratch}/land/s/year={{year}}/snap.json"}
     _write(templates["s"].format(year=2025), _year_payload(2025, ["a"], 10))
@@ -199,10 +198,51 @@ def test_refresh_with_only_a_monthly_table(spark, scratch):
         "month_start date, tenant string, source_backend string, monthly_delta bigint, total_pods bigint, "
         "monthly_onboarded_delta bigint, onboarded_pods bigint",
     )
-    publish(monthly, f"{scratch}/monthly", version="v1")
-    out = snapshot_refresh(spark, templates, f"{scratch}/daily", f"{scratch}/monthly", 2025, 2024)
+    publish_tables({"monthly": monthly}, f"{scratch}/t")
+    out = snapshot_refresh(spark, templates, f"{scratch}/t", 2025, 2024)
     assert out["mode"] == "refresh"
-    daily = read_published(spark, f"{scratch}/daily").orderBy("date").collect()
+    daily = read_published(spark, f"{scratch}/t", "daily").orderBy("date").collect()
     assert [(r["date"], r["daily_delta"]) for r in daily][0] == (dt.date(2025, 1, 1), 10)  # no daily seed
-    m = read_published(spark, f"{scratch}/monthly").orderBy("month_start").collect()
+    m = read_published(spark, f"{scratch}/t", "monthly").orderBy("month_start").collect()
     assert [(r["month_start"], r["monthly_delta"]) for r in m][:2] == [(dt.date(2024, 12, 1), 4), (dt.date(2025, 1, 1), 6)]
+
+
+def _good(spark, path, raw):
+    _write(path, None, raw=raw)
+    return S.require_valid(S.validate_rows(SF.flatten(SF.read_texts(spark, {"s": [path]})))).collect()
+
+
+def test_an_empty_object_has_no_rows(spark, scratch):
+    assert _good(spark, f"{scratch}/s/year=2024/a.json", b"{}") == []
+    assert _good(spark, f"{scratch}/s/year=2024/b.json", b'{"2024-01-01": []}') == []
+
+
+def test_a_null_in_a_list_is_rejected(spark, scratch):
+    p = f"{scratch}/s/year=2024/snap.json"
+    _write(p, None, raw=b'{"2024-01-01": [null, {"tenant": "a", "total": 1, "onboarded": 0}]}')
+    v = S.validate_rows(SF.flatten(SF.read_texts(spark, {"s": [p]}))).collect()
+    assert sorted(str(r["reason"]) for r in v) == ["None", "not_an_object"]
+
+
+def test_a_doubled_key_in_a_row_takes_the_last_value(spark, scratch):
+    got = _good(spark, f"{scratch}/s/year=2024/snap.json", b'{"2024-01-01": [{"tenant": "a", "total": 1, "onboarded": 0, "total": 5}]}')
+    assert [(r["tenant"], r["pods"]) for r in got] == [("a", 5)]
+
+
+def test_large_counters_stay_exact(spark, scratch):
+    n = 2**53 + 1
+    got = _good(spark, f"{scratch}/s/year=2024/snap.json", b'{"2024-01-01": [{"tenant": "a", "total": %d, "onboarded": "%d"}, {"tenant": "b", "total": 1e3, "onboarded": 2.0}]}' % (n, n))
+    assert sorted((r["tenant"], r["pods"], r["onboarded"]) for r in got) == [("a", n, n), ("b", 1000, 2)]
+    raw = spark.createDataFrame([("2024-01-01", "a", "s", str(n), str(n)), ("2024-01-01", "b", "s", "7.9", "3")], "date string, tenant string, source_backend string, pods string, onboarded string")
+    assert sorted((r["tenant"], r["pods"]) for r in S.normalize_snapshots(raw).collect()) == [("a", n), ("b", 7)]
+
+
+def test_a_load_without_rows_leaves_the_tables(spark, scratch):
+    templates = {"s": f"{scratch}/land/s/year={{year}}/snap.json"}
+    _write(templates["s"].format(year=2024), _year_payload(2024, ["a"], 1))
+    first = snapshot_refresh(spark, templates, f"{scratch}/t", 2024, 2024)
+    before = read_published(spark, f"{scratch}/t", "daily").count()
+    _write(templates["s"].format(year=2024), None, raw=b'{"2024-01-01": []}')
+    again = snapshot_refresh(spark, templates, f"{scratch}/t", 2024, 2024)
+    assert first["version"] == 1 and again["version"] is None and again["mode"] == "refresh"
+    assert read_published(spark, f"{scratch}/t", "daily").count() == before > 0
