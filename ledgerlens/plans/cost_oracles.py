@@ -252,6 +252,13 @@ def oracles() -> dict[str, str]:
     q["report_past_month_mtd"] = period_report(metrics_cte("pm", "own", per="anchor_date"), march, march, tax=True)
     q["report_current"] = period_report(metrics_cte("pm", "(SELECT day FROM newest)"), newest, newest, tax=False)
     q["report_current_whole_month"] = period_report(metrics_cte("pm", "own", full=True, per="month_start"), newest, newest, tax=False)
+    cells = ", ".join(
+        f"COALESCE(MAX(cell_text) FILTER (WHERE service = '{c}'), '') AS \"{c}\"" for c in ("Total", "Urgent", "High", "Tax", "5-LOW")
+    )
+    q["cost_report_wide"] = (
+        f"SELECT row_label AS \"Metric\", {cells} FROM ({q['report_for_past_month']}) r "
+        "WHERE account = 'HOUSEHOLD' GROUP BY row_label, row_position"
+    )
     q["collapse_duplicate_services"] = with_ctes(FIXTURE_CTES, mtd, MTD_NO_TAX, body="SELECT account, service, mtd, avg12 FROM pmt")
     rows = [("mtd", 0), ("prev_mtd", 1), ("prev2_mtd", 2), ("prev3_mtd", 3), ("prev4_mtd", 4)]
     label_cols = ", ".join(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.dates import py_shift_month_start
 from ..operators import costs as C
-from ..plans.jobs import cost_report_for_period
+from ..plans.jobs import cost_report_for_period, wide_cost_report
 from ..sinks.tables import merge_latest
 from ..sources import fixtures as fx
 
@@ -23,6 +23,9 @@ SCALE = fx.MONEY_SCALE
 LOAD_TODAY = "2001-08-01"
 LOADED_BEFORE = "2001-07-01"
 NOT_YET_LOADED = "MACHINERY"  # an account with nothing loaded: 12-month backfill
+#: The exported report: an account and its services (labels of the stand-in).
+WIDE_ACCOUNT = "HOUSEHOLD"
+WIDE_SERVICES = ("Urgent", "High", "Tax", "5-LOW")
 UPSERT_FROM_1 = "2001-06-15"
 UPSERT_FROM_2 = "2001-07-15"
 
@@ -209,6 +212,11 @@ def q_report_past_month_mtd(spark, sf_dir):
     return cost_report_for_period(labeled_costs(spark, sf_dir), f"month:{FULL_MONTH}", mtd=True, money_scale=SCALE)
 
 
+def q_cost_report_wide(spark, sf_dir):
+    """One account's report of an earlier month as it is exported."""
+    return wide_cost_report(q_report_for_past_month(spark, sf_dir), WIDE_ACCOUNT, WIDE_SERVICES)
+
+
 def q_collapse_duplicate_services(spark, sf_dir):
     """Per account and service the first known value of each metric, over two partial readings."""
     metrics = _mtd_no_tax(spark, sf_dir).select("account", "service", "mtd", "avg12")
@@ -218,6 +226,7 @@ def q_collapse_duplicate_services(spark, sf_dir):
 
 
 QUERIES = {
+    "cost_report_wide": q_cost_report_wide,
     "report_current": q_report_current,
     "report_current_whole_month": q_report_current_whole_month,
     "report_past_month_mtd": q_report_past_month_mtd,

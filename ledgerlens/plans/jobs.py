@@ -4,7 +4,7 @@ reports. Each composes the operators; writes go through the sinks."""
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,6 +174,34 @@ def pod_report(
     return matrix, T.trend_totals(matrix), last
 
 
+def wide_cost_report(report: DataFrame, account: str, services: Sequence[str]) -> DataFrame:
+    """One account's report for export: a row per report line in its order,
+    columns ``Metric`` (the line's label), ``Total`` and ``services`` (in the
+    account's service order); a cell is its text, empty where a service has none.
+
+    ``report`` comes from :func:`cost_report_for_period`.
+    """
+    rows = report.where(F.col("account") == F.lit(account)).groupBy("row_position", F.col("row_label").alias("Metric"))
+    wide = rows.pivot("service", ["Total", *services]).agg(F.first("cell_text")).orderBy("row_position")
+    return wide.select("Metric", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in ("Total", *services)])
+
+
+def wide_pod_report(matrix: DataFrame, totals: DataFrame, last_days: DataFrame, tenants: Sequence[str]) -> DataFrame:
+    """The pod report for export: a row per month, newest first, then the
+    30-day row; columns ``period`` (its month's first day, or ``last_days``),
+    ``Total`` and ``tenants`` (in the report's order). Months hold values, the
+    30-day row the change. Inputs are those :func:`pod_report` returns."""
+    period = F.date_format("month_start", "yyyy-MM-dd").alias("period")
+    long = (
+        matrix.select(period, "tenant", "value")
+        .unionByName(totals.select(period, F.lit("Total").alias("tenant"), "value"))
+        .unionByName(last_days.select(F.lit("last_days").alias("period"), "tenant", F.col("delta").alias("value")))
+        .unionByName(T.last_days_total(last_days).select(F.lit("last_days").alias("period"), F.lit("Total").alias("tenant"), F.col("delta").alias("value")))
+    )
+    wide = long.groupBy("period").pivot("tenant", ["Total", *tenants]).agg(F.first("value"))
+    return wide.orderBy((F.col("period") == "last_days").asc(), F.col("period").desc())
+
+
 def cost_report_for_period(
     costs: DataFrame,
     period: str = "current",

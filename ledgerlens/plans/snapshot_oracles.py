@@ -251,6 +251,18 @@ def oracles() -> dict[str, str]:
         + ", ".join(f"MAX(value) FILTER (WHERE tenant = '{t}') AS \"{t}\"" for t in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
         + " FROM matrix GROUP BY month_start",
     )
+    def wide(value: str) -> str:
+        names = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+        return f"SUM({value}) AS \"Total\", " + ", ".join(f"MAX({value}) FILTER (WHERE tenant = '{t}') AS \"{t}\"" for t in names)
+
+    q["pod_report_wide"] = with_ctes(
+        *_TREND_BASE,
+        WINDOW_CTES,
+        _matrix_ctes("total_pods"),
+        _last_days_ctes("dw", "ten", "total_pods"),
+        body=f"SELECT strftime(month_start, '%Y-%m-%d') AS period, {wide('value')} FROM matrix GROUP BY month_start "
+        f"UNION ALL SELECT 'last_days', {wide('delta')} FROM l30",
+    )
     q["last_30_days"] = with_ctes(
         *_TREND_BASE, WINDOW_CTES, _last_days_ctes("dw", "ten", "total_pods"), body="SELECT * FROM l30"
     )

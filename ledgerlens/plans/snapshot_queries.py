@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import snapshots as S
 from ..operators import trends as T
+from ..plans.jobs import pod_report, wide_pod_report
 from ..sinks.tables import replace_range
 from ..sources import fixtures as fx
 from ..sources.snapshot_files import year_coverage
@@ -147,6 +148,11 @@ def q_trend_pivot(spark, sf_dir):
     return T.trend_pivot(q_trend_matrix_total(spark, sf_dir), TENANTS)
 
 
+def q_pod_report_wide(spark, sf_dir):
+    matrix, totals, last = pod_report(monthly_table(spark, sf_dir), daily_table(spark, sf_dir), AS_OF)
+    return wide_pod_report(matrix, totals, last, TENANTS)
+
+
 def q_last_30_days(spark, sf_dir):
     m, d = _windows(spark, sf_dir)
     return T.last_days_row(d, T.report_tenants(m, d, "total"), "total", WINDOW_DAYS)
@@ -226,6 +232,7 @@ QUERIES = {
     "trend_matrix_onboarded": q_trend_matrix_onboarded,
     "trend_totals": q_trend_totals,
     "trend_pivot": q_trend_pivot,
+    "pod_report_wide": q_pod_report_wide,
     "last_30_days": q_last_30_days,
     "last_30_days_total": q_last_30_days_total,
     "last_30_days_events": q_last_30_days_events,

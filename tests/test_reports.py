@@ -79,3 +79,33 @@ def test_cost_report_for_period(spark):
     assert {r["row_label"] for r in past.where("metric = 'avg6'").collect()} == {"Media 6M"}
     mtd_past = cost_report_for_period(costs, "month:2000-03-01", mtd=True, money_scale=2)
     assert mtd_past.count() > 0
+
+
+def test_wide_reports_keep_rows_and_columns_in_order(spark):
+    cost = CQ.q_cost_report_wide(spark, SF)
+    assert cost.columns == ["Metric", "Total", *CQ.WIDE_SERVICES]
+    assert [r["Metric"] for r in cost.collect()][:2] == ["Marzo 2000", "Febbraio 2000"]
+    pods = SQ.q_pod_report_wide(spark, SF)
+    assert pods.columns == ["period", "Total", *SQ.TENANTS]
+    periods = [r["period"] for r in pods.collect()]
+    assert len(periods) == 13 and periods[-1] == "last_days" and periods[:12] == sorted(periods[:12], reverse=True)
+
+
+def test_every_fact_scan_of_a_past_month_is_pruned(spark, scratch):
+    """On a table laid out by month the report and the per-account metrics read their months only."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import costs as C
+    from ledgerlens.plans.jobs import cost_report_for_period
+
+    path = f"{scratch}/costs"
+    CQ.labeled_costs(spark, SF).withColumn("month", F.trunc("date", "MM")).write.partitionBy("month").parquet(path)
+    costs = spark.read.parquet(path)
+    anchors = C.month_anchors(costs, ordered=False, lo=CQ.dt.date(2001, 3, 1), hi=CQ.dt.date(2001, 3, 31)).select("account", "anchor_date")
+    for df in (cost_report_for_period(costs, "month:2000-03-01", money_scale=2), C.period_metrics_for_anchors(costs, anchors, money_scale=2)):
+        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        scans = [b for b in plan.split("\n\n") if re.match(r"\s*\(\d+\) Scan parquet", b)]
+        assert scans and all(re.search(r"PartitionFilters: \[.*month", b) for b in scans)
+        assert len(re.findall(r"^\(\d+\) Exchange", plan, re.M)) <= 11
