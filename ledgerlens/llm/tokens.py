@@ -4,6 +4,13 @@ The tokenizer's normaliser and splitter never join characters across a space or
 a newline, so a text's ids are those of its pieces between spaces and newlines,
 one after the other. Each distinct piece is encoded once per Python worker (the
 table is bounded and starts anew when full) and ids are put together with numpy.
+
+New pieces that are plain Latin letters, and ASCII punctuation after them, are
+taken apart there (a run of letters always ends a word of the splitter) and the
+letters are encoded many words at a time: each such word gives exactly one id
+that ends a word, and that tells the words' ids apart. Everything else is
+encoded by itself.
+
 This holds for word_bpe_49k.json, whose splitter drops white space;
 ``WordEncoder`` refuses a tokenizer for which it does not.
 """
@@ -11,14 +18,20 @@ This holds for word_bpe_49k.json, whose splitter drops white space;
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces kept by a worker.
-MOST_KEPT = 300_000
+MOST_KEPT = 500_000
+#: Words encoded in one call.
+_TOGETHER = 256
+#: Latin letters that stay one letter when lower-cased, then ASCII punctuation.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0240]+)([!-/:-@\[-`{-~]*)")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -35,32 +48,66 @@ class WordEncoder:
             alone = [i for part in probe.replace("\n", " ").split(" ") for i in self._ids([part])[0]]
             if alone != self._ids([probe])[0]:
                 raise ValueError(f"{path}: the tokenizer joins characters across white space")
+        names = self._tokenizer.get_vocab()
+        self._ends_word = np.zeros(max(names.values()) + 1, dtype=bool)
+        self._ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self._place: dict[str, int] = {}
         self._ids_kept = array("I")
-        self._ends = array("q", [0])
+        self._bounds = array("q", [0])
+
+    def _keep(self, piece: str, ids) -> None:
+        self._place[piece] = len(self._place)
+        self._ids_kept.extend(ids)
+        self._bounds.append(len(self._ids_kept))
+
+    def _kept(self, piece: str) -> array:
+        i = self._place[piece]
+        return self._ids_kept[self._bounds[i] : self._bounds[i + 1]]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Keeps the ids of new pieces."""
+        plain = {p: m for p in pieces if (m := _PLAIN.fullmatch(p))}
+        words = list(dict.fromkeys(w for m in plain.values() if (w := m[1].lower()) not in self._place))
+        groups = [words[a : a + _TOGETHER] for a in range(0, len(words), _TOGETHER)]
+        alone = []
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            ends = (np.flatnonzero(self._ends_word[ids]) + 1).tolist()
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                alone += group
+                continue
+            at = 0
+            for w, end in zip(group, ends, strict=True):
+                self._keep(w, ids[at:end])
+                at = end
+        alone += [t for t in dict.fromkeys(m[2] for m in plain.values()) if t and t not in self._place]
+        alone += [p for p in pieces if p not in plain]
+        alone = list(dict.fromkeys(p for p in alone if p not in self._place))
+        for p, ids in zip(alone, self._ids(alone), strict=True):
+            self._keep(p, ids)
+        for p, m in plain.items():
+            if p not in self._place:
+                self._keep(p, self._kept(m[1].lower()) + (self._kept(m[2]) if m[2] else array("I")))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, offsets of each text's ids)."""
         if len(self._place) > MOST_KEPT:
             self._clear()
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         flat = [p for own in pieces for p in own]
-        new = list(dict.fromkeys(p for p in flat if p not in self._place))
-        for a in range(0, len(new), 4096):
-            for p, ids in zip(new[a : a + 4096], self._ids(new[a : a + 4096]), strict=True):
-                self._place[p] = len(self._place)
-                self._ids_kept.extend(ids)
-                self._ends.append(len(self._ids_kept))
-        at = np.fromiter(map(self._place.__getitem__, flat), dtype=np.int64, count=len(flat))
-        ends = np.frombuffer(self._ends, dtype=np.int64).copy()
+        at = np.fromiter(map(self._place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        if len(missing := np.flatnonzero(at < 0)):
+            absent = [flat[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(absent)))
+            at[missing] = np.fromiter(map(self._place.__getitem__, absent), dtype=np.int64, count=len(absent))
+        bounds = np.frombuffer(self._bounds, dtype=np.int64).copy()
         kept = np.frombuffer(self._ids_kept, dtype=np.uint32).copy() if len(self._ids_kept) else np.empty(0, np.uint32)
-        begin, many = ends[at], ends[at + 1] - ends[at]
+        begin, many = bounds[at], bounds[at + 1] - bounds[at]
         total = np.concatenate([[0], np.cumsum(many)])
         ids = kept[np.repeat(begin - total[:-1], many) + np.arange(total[-1])]
         first = np.concatenate([[0], np.cumsum([len(own) for own in pieces], dtype=np.int64)])

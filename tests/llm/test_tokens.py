@@ -33,6 +33,13 @@ def test_ids_are_those_of_the_library(texts):
     assert [ids[a:b].tolist() for a, b in zip(own, own[1:], strict=False)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_plain_words_together_and_alone():
+    texts = ["The quick, Élan! naïve... x'y don't stop-it (a) İs ǅ ﬁn ſo ŉo IŒ ẞ e\u0301t, 'so 'tom dog's, don''t <b>"] + [" ".join(f"{a}{b}{c}" for b in ("o", "Ué", "zß")) for a in "abcÉž" for c in ("", ".", "'s", "9", "?!", "\u0301")] * 3
+    e = tokens.WordEncoder(tokens.vocabulary_path())
+    for t in texts:
+        assert e.encode([t])[0].tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+
+
 def test_a_full_table_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_KEPT", 2)
     e = tokens.WordEncoder(tokens.vocabulary_path())
