@@ -76,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLES: dict[str, str] = {
     "op2_warc": """
         WITH p AS (
@@ -90,4 +92,64 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id <> top THEN top END AS refers_to
         FROM m
     """,
+    "op3_quality_cascade": r"""
+        WITH t AS (
+          SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents
+        ), s AS (
+          SELECT r, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w,
+                 list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+          FROM t
+        ), windows AS (
+          SELECT r, i, COUNT(*) OVER (PARTITION BY r, g) AS n
+          FROM (SELECT r, unnest(gs) AS g, generate_subscripts(gs, 1) AS i
+                FROM (SELECT r, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS gs FROM s))
+        ), repeated AS (
+          SELECT r, COUNT(DISTINCT i + k) AS n FROM windows, range(0, 3) g(k) WHERE n > 1 GROUP BY r
+        ), m AS (
+          SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                 CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+                 CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                 CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+                 length(regexp_replace(array_to_string(w, ''), '[^A-Z]+', '', 'g')) AS capitals,
+                 len(list_filter(w, lambda v: regexp_matches(v, '\p{L}'))) AS lettered
+          FROM s LEFT JOIN repeated USING (r)
+        ), b AS (
+          SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR n_symbols * 4 > n_words OR n_dup_lines * 10 > n_lines * 4
+                    OR word_chars < n_words * 3 OR word_chars > n_words * 12
+                    OR capitals * 10 > word_chars * 4 OR lettered * 10 < n_words * 7) AS kept
+        FROM b
+    """,
+    "op5_benchmark_decontamination": rf"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents
+        ), b AS (
+          SELECT CAST(item_id AS VARCHAR) AS item,
+                 regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+        ), bw AS (
+          SELECT DISTINCT item, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS g
+          FROM (SELECT item, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0)
+        ), ks AS (
+          SELECT DISTINCT k FROM bw
+        ), dw AS (
+          SELECT r, k, unnest(gs) AS g, generate_subscripts(gs, 1) AS i
+          FROM (SELECT r, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')) AS gs
+                FROM d, ks WHERE len(w) >= k)
+        ), hits AS (
+          SELECT r, dw.k AS k, i, item FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g
+        ), words AS (
+          SELECT r, COUNT(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r
+        ), items AS (
+          SELECT r, COUNT(*) AS n, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.l, '')) AS items_sha256,
+               coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+    """,
 }
