@@ -9,11 +9,12 @@ the connected components of the links. Words are runs without white space
 Steps: (1) one pass gives each row its text's MD5 and the band keys of its
 signature; texts stay where they are. (2) Equal texts become one node, so a
 group of copies costs one row from here on. (3) In every band bucket each node
-is compared with the bucket's least node; pairs are verified on the texts, and
-verified links give components. (4) Buckets that still hold several components
-give all pairs across their components; what has not been compared is verified
-too. So no candidate pair is lost, and pairs inside one component, which cannot
-change the result, are never made.
+is compared with the bucket's pivot, a node in the midst of the others; pairs
+are verified on the texts, and verified links give components. (4) In buckets
+that still hold several components, the nodes outside the largest are compared
+with all others, block by block (``_links_across``). So no link between
+candidates is lost, and pairs inside one component, which cannot change the
+result, are not made.
 
 With 24 bands of 5 values a pair at similarity 0.8 shares no bucket with
 probability 7e-5 (0.85: 8e-7, 0.9: 1e-9).
@@ -43,6 +44,8 @@ ROWS = 5
 #: Similarity as a fraction of whole numbers, compared exactly.
 AT_LEAST = (4, 5)
 
+#: Texts of a bucket that a task holds on either side.
+BLOCK = 128
 #: Stands for a null doc_id where a key is needed; it sorts first.
 NO_ID = -(1 << 63)
 
@@ -162,24 +165,9 @@ def _at() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("at")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, at_least: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) of node ids whose texts are similar enough.
-
-    Only texts that stand in a pair leave their place: one exchange of those
-    serves both joins.
-    """
-
-    def end(i: str) -> DataFrame:
-        return nodes.select(F.col("id").alias(i), F.col("at").alias(f"{i}_at"), F.col("fp").alias(f"{i}_fp"))
-
-    named = checkpoint(pairs.join(end("u"), "u").join(end("v"), "v"))
-    wanted = named.select(F.col("u_at").alias("at"), F.col("u_fp").alias("fp")).unionByName(named.select(F.col("v_at").alias("at"), F.col("v_fp").alias("fp"))).distinct()
-    texts = _texts(docs).join(wanted, ["at", "fp"], "left_semi")
-
-    def text_of(i: str) -> DataFrame:
-        return texts.select(F.col("at").alias(f"{i}_at"), F.col("fp").alias(f"{i}_fp"), F.col("body").alias(f"{i}_text"))
-
-    rows = named.join(text_of("u"), ["u_at", "u_fp"]).join(text_of("v"), ["v_at", "v_fp"]).select("u", "v", "u_text", "v_text")
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, at_least: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) of node ids whose ``texts`` (id, body) are similar enough."""
+    rows = pairs.join(texts.select(F.col("id").alias("u"), F.col("body").alias("u_text")), "u").join(texts.select(F.col("id").alias("v"), F.col("body").alias("v_text")), "v").select("u", "v", "u_text", "v_text")
     num, den = at_least
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,27 +187,131 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, a
     return rows.mapInArrow(verify, "u long, v long").distinct()
 
 
+def _features(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, features per row): the n-th time a shingle stands in a text is a feature of its own,
+    so that the overlap of multisets is that of sets."""
+    data, offsets = utf8(texts)
+    rows, keys, sizes = [], [], []
+    for a, b in _runs(offsets):
+        own = offsets[a : b + 1]
+        both, n = shingles(data[own[0] : own[-1]], own - own[0], width)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row = (both >> np.uint64(52)).astype(np.int64)
+        keys.append(mix64(np.repeat(both & np.uint64((1 << 52) - 1), n) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        rows.append(a + np.repeat(row, n))
+        sizes.append(np.bincount(row, weights=n, minlength=b - a).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(sizes)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, first: np.ndarray, keys: np.ndarray, sizes: np.ndarray, at_least: tuple[int, int]) -> np.ndarray:
+    """Which rows of ``x`` are similar enough to which of ``y`` (a matrix); a row's features are keys[first[i]:first[i + 1]]."""
+    parts = [np.concatenate([keys[first[i] : first[i + 1]] for i in side]) for side in (x, y)]
+    shared = np.intersect1d(*parts)
+    overlap = np.zeros((len(x), len(y)), dtype=np.int64)
+    for a in range(0, len(shared), 4096):
+        some = shared[a : a + 4096]
+        inside = []
+        for side, part in zip((x, y), parts, strict=True):
+            at = np.minimum(np.searchsorted(some, part), len(some) - 1)
+            hit = some[at] == part
+            m = np.zeros((len(side), len(some)), dtype=np.float32)
+            m[np.repeat(np.arange(len(side)), sizes[side])[hit], at[hit]] = 1
+            inside.append(m)
+        overlap += (inside[0] @ inside[1].T).astype(np.int64)
+    num, den = at_least
+    either = sizes[x][:, None] + sizes[y][None, :] - overlap
+    return (either > 0) & (den * overlap >= num * either)
+
+
+def _links_across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, width: int, at_least: tuple[int, int]) -> DataFrame:
+    """All links (u, v) between different components inside one bucket.
+
+    In a bucket the nodes outside its largest component are held against all its
+    nodes, block by block: each side is dealt into blocks of about ``BLOCK``
+    texts, and a task sees two blocks at a time, whatever a bucket's size. Only
+    links leave the tasks; no rows are made for pairs.
+    """
+    marked = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    parts = marked.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    mixed = marked.join(parts, "key").select(
+        "key", "id", "label", (F.col("label") != F.col("main")).alias("outside"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("x_blocks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("y_blocks")
+    )
+    spread = F.xxhash64("id", F.lit(1))
+    own_x, own_y = F.pmod(spread, F.col("x_blocks")), F.pmod(spread, F.col("y_blocks"))
+    x = mixed.where("outside").select("key", "id", "label", F.lit(0).alias("side"), own_x.cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)).alias("y"))
+    y = mixed.select("key", "id", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x"), own_y.cast("int").alias("y"))
+    rows = x.unionByName(y).join(texts, "id").select("key", "x", "y", "side", "id", "label", "body")
+    dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not len(table):
+                return
+            block = table.combine_chunks().to_batches()[0]
+            side, ids, label = (block.column(i).to_numpy() for i in (3, 4, 5))
+            _, keys, sizes = _features(block.column(6), width)
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            edges = _group_edges(block)
+            u, v = [], []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                mid = a + int(np.searchsorted(side[a:b], 1))
+                if mid in (a, b):
+                    continue
+                i, j = np.nonzero(_similar(np.arange(a, mid), np.arange(mid, b), first, keys, sizes, at_least) & (label[a:mid, None] != label[None, mid:b]))
+                u.append(ids[a + i])
+                v.append(ids[mid + j])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            last = int(_group_edges(table)[-2]) if len(table) else 0
+            if last:  # the last group may go on in the next batch
+                yield from links(table.slice(0, last))
+                held = table.slice(last).to_batches()
+        if held:
+            yield from links(pa.Table.from_batches(held))
+
+    found = dealt.mapInArrow(compare, "u long, v long")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _group_edges(block) -> np.ndarray:
+    """Where runs of equal (key, x, y) begin in sorted rows, and the end."""
+    if not len(block):
+        return np.array([0])
+    change = np.zeros(len(block) - 1, dtype=bool)
+    for i in range(3):
+        c = block.column(i).to_numpy()
+        change |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [len(block)]])
+
+
 def classes(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, at_least: tuple[int, int] = AT_LEAST) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), kept (doc_id is its class's id), at and fp; one row per row of ``docs``."""
     signed = _signed(docs, width, bands, rows)
     # Copies become one node; its id holds because the frame is checkpointed.
     nodes = checkpoint(signed.groupBy("fp").agg(F.min("at").alias("at"), F.first("bands").alias("bands")).select(F.monotonically_increasing_id().alias("id"), "fp", "at", "bands"))
-    buckets = nodes.where("bands is not null").select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("key"))
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    near = checkpoint(buckets.join(pivots, "key").where("id != v").select(F.col("id").alias("u"), "v").distinct())
-    edges = checkpoint(_verified(near, nodes, docs, width, at_least))
+    all_buckets = nodes.where("bands is not null").select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("key"))
+    sizes = all_buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = checkpoint(all_buckets.join(sizes, "key"))
+    # The pivot of a bucket is the node with the most company in all its buckets: of a group of near copies, one near their middle.
+    company = buckets.groupBy("id").agg(F.sum("n").alias("company"))
+    pivots = buckets.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("v"))
+    near = buckets.join(pivots, "key").where("id != v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+
+    # Only texts that share a bucket leave their place, once.
+    wanted = nodes.select("id", "at", "fp").join(buckets.select("id").distinct(), "id")
+    texts = checkpoint(_texts(docs).join(wanted, ["at", "fp"]).select("id", "body"))
+    edges = checkpoint(_verified(near, texts, width, at_least))
     labels = components(edges)
 
-    # Buckets that hold several components: every pair across them that has not been compared.
-    marked = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-    rest = checkpoint(marked.join(mixed, "key", "left_semi"))
-    x, y = (rest.select("key", F.col("id").alias(i), F.col("label").alias(f"{i}_label")) for i in "uv")
-    across = x.join(y, "key").where("u > v and u_label != v_label").select("u", "v").distinct().join(near, ["u", "v"], "left_anti")
-    more = checkpoint(across)
+    more = checkpoint(_links_across(buckets.select("key", "id"), labels, texts, width, at_least))
     if not more.isEmpty():
-        edges = checkpoint(edges.unionByName(_verified(more, nodes, docs, width, at_least)))
-        labels = components(edges)
+        labels = components(edges.unionByName(more))
 
     grouped = nodes.select("id", "fp", "at").join(labels, "id", "left").select("fp", "at", F.coalesce("label", "id").alias("label"))
     least = grouped.groupBy("label").agg(F.min("at").alias("least"))

@@ -131,3 +131,17 @@ def test_components(spark, seed):
                 todo.append(x)
         if len(seen) > 1:
             assert got[a] == min(seen)
+
+
+def test_a_group_around_the_bound(spark, docs_frame):
+    """Many texts of one base, some nearer and some farther than the bound: links are found, few pairs are made."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 8])):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**9)}"
+        docs.append((k + 1, " ".join(w)))
+    rng.shuffle(docs)
+    assert sorted(map(tuple, near_dedup.report(docs_frame(docs)).collect())) == brute(docs)
