@@ -460,7 +460,8 @@ def report_accounts(df: DataFrame) -> DataFrame:
 def service_order(df: DataFrame, group_cols: Sequence[str] = ("account",)) -> DataFrame:
     """Rank services per group by current amount, largest first, NULL last;
     ties by name. Without an ``mtd`` column, by name only, and a NULL service
-    has no name to be listed by."""
+    has no name to be listed by. One account's services meet in one task: as
+    many rows as it has services."""
     order = [F.col("service").asc_nulls_last()]
     if "mtd" in df.columns:
         order = [F.col("mtd").desc_nulls_last()] + order

@@ -31,13 +31,13 @@ def audit(df) -> dict:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as entry
+    from ledgerlens.plans.registry import all_queries
     from ledgerlens.session import local_session
 
     spark = local_session()
     print("| key | parquet scans | shuffles | broadcasts | python nodes | windows without partition | pushed filters |")
     print("| --- | --- | --- | --- | --- | --- | --- |")
-    for key, fn in entry.queries().items():
+    for key, fn in all_queries().items():
         a = audit(fn(spark, sf_dir))
         print(f"| {key} | {a['scans']} | {a['shuffles']} | {a['broadcasts']} | {a['python']} | {a['global_window']} | {'yes' if a['pushed'] else 'no'} |")
         spark.catalog.clearCache()
