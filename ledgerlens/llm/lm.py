@@ -16,8 +16,8 @@ All training texts take part in everything: word counts are summed by Spark
 (partial sums in the tasks, then by word); each task trains on its own texts from
 common starting values, at least ``LEAST_STEPS`` mini-batches, and the tasks'
 parameters are averaged, weighted by their tokens, in ``ROUNDS`` rounds. What the
-driver and each task hold is bounded by the model: ``KNOWN`` frequent words with
-their counts, 65,536 endings, and the parameters. The counts of all other words
+driver and each task hold is bounded by the model: at most ``KNOWN`` frequent
+words with their counts, 65,536 endings, and the parameters. The counts of all other words
 stay in Spark and meet the texts' rare words in a join.
 
 Defined cases: a null or empty text is its end alone. A null doc_id counts as
@@ -43,6 +43,7 @@ from .textbatch import SPACED, chunks, utf8, words_of
 
 SHORT = 256
 CLASSES = 254
+#: Most words whose counts every task holds.
 KNOWN = 1 << 17
 ORDER = 2
 WIDTH = 16
@@ -135,10 +136,27 @@ class Vocabulary:
         return math.log10(self.tokens + SMOOTH * (self.types + 1))
 
 
+def _least_count(words: DataFrame, known: int) -> int:
+    """The least count at which no more than ``known`` words are left.
+
+    Found from a histogram in steps of a sixteenth of an octave, so that tasks
+    send only words that are known in the end.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    rows = words.groupBy(step).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()  # at most 1024 rows
+    least, total = 1 << 62, 0
+    for r in rows:
+        total += r.words
+        if total > known:
+            break
+        least = r.least
+    return least
+
+
 def vocabulary(counts: DataFrame, short: int = SHORT, classes: int = CLASSES, known: int = KNOWN) -> Vocabulary:
     whole = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("ending") < 0, F.col("n")))).first()
     words = counts.where("ending >= 0")
-    top = words.orderBy(F.desc("n"), "word").limit(known).toPandas()
+    top = words.where(F.col("n") >= _least_count(words, known)).toPandas().sort_values(["n", "word"], ascending=[False, True])
     word = top["word"].to_numpy(dtype=np.int64).view(np.uint64)
     n = top["n"].to_numpy(dtype=np.int64)
     ending = top["ending"].to_numpy(dtype=np.int64)

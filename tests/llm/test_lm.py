@@ -47,6 +47,14 @@ def test_rare_words_meet_their_counts_in_the_join(docs_frame, monkeypatch):
     check(DOCS, lm.score(frame, counts, v, lm.Model.new(v)).collect())
 
 
+def test_no_more_words_are_known_than_allowed(spark):
+    counts = spark.createDataFrame([(i, 7, n) for i, n in enumerate([100, 90, 50, 50, 50, 3, 2, 1, 1, 1, 1])] + [(-1, -1, 9)], "word long, ending int, n long")
+    for known in (1, 2, 4, 5, 7, 20):
+        v = lm.vocabulary(counts, short=3, classes=3, known=known)
+        assert len(v.keys) <= known and set(v.counts) == {n for n in (100, 90, 50, 3, 2, 1) if sum(x >= n for x in [100, 90, 50, 50, 50, 3, 2, 1, 1, 1, 1]) <= known}
+        assert v.tokens == 358 and v.types == 12
+
+
 def test_probabilities_sum_to_one(spark, docs_frame):
     """Over all symbols after any context, and over all words (one unseen word for each class) within the classes."""
     training = docs_frame(DOCS)
