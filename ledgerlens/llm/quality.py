@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import let
-from .shared import checkpoint
+from .shared import sample
 
-#: Rows of the sample that orders the rules.
+#: About the rows of the sample that orders the rules.
 SAMPLE_ROWS = 1000
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -150,12 +150,12 @@ def _rejected(rule: Rule, text: Column) -> Column:
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """Each rule's cost and selectivity on ``rows`` rows, the best rejection per cost first."""
-    sample = checkpoint(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).limit(rows))
-    n = max(1, sample.count())
+    """Each rule's cost and selectivity on about ``rows`` rows, the best rejection per cost first."""
+    texts = sample(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), rows)
+    n = max(1, texts.count())
     out = []
     for rule in rules:
-        own = sample.agg(F.count_if(_rejected(rule, F.col("text"))).alias("n"))
+        own = texts.agg(F.count_if(_rejected(rule, F.col("text"))).alias("n"))
         own.first()  # once before, so that compiling is not counted
         began = time.perf_counter()
         out.append(Measured(rule, 0.0, own.first().n / n))

@@ -13,7 +13,7 @@ log-likelihood ratio over all its steps is at least ``LEAST_RATIO`` nats.
 
 Labelled samples: random strings are SHA-2 digests in base64 and hex (a fixed
 number) and the values of fixed spans; identifiers are the other runs of 6 or
-more of these characters. The texts for both are a sample of at most
+more of these characters. The texts for both are a sample of about
 ``SAMPLE_ROWS`` rows; everything else reads all rows.
 
 Places are code points, ends are exclusive. Defined cases: a null or empty text
@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import constant_doubles, let
+from .shared import sample
 
-#: Most rows whose texts give labelled samples, and the number of made random strings.
+#: About the rows whose texts give labelled samples, and the number of made random strings.
 SAMPLE_ROWS = 2000
 RANDOM_STRINGS = 2000
 LEAST_RATIO = 12.0
@@ -109,7 +110,7 @@ def _steps(docs: DataFrame, column: str) -> DataFrame:
 def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, strings: int = RANDOM_STRINGS) -> tuple[DataFrame, DataFrame]:
     """(random strings, ordinary identifiers), each with a column ``sample``."""
     spark = docs.sparkSession
-    texts = docs.select(clean_text().alias("text")).limit(rows)
+    texts = sample(docs.select(clean_text().alias("text")), rows)
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(strings).select(F.when(F.col("id") % 4 == 0, digest).otherwise(F.base64(F.unhex(digest))).alias("sample"))
     spans = texts.select(F.explode(base_spans(F.col("text"))).alias("s"))

@@ -38,3 +38,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Written to spark.checkpoint.dir and read from there, so that a lost executor costs nothing above it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sample(docs: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``docs``, each as likely as any other (all rows if there are fewer), checkpointed.
+
+    Rows are chosen where they are, so no task gathers them.
+    """
+    n = docs.count()
+    return checkpoint(docs.sample(rows / n, seed=1) if n > rows else docs)
