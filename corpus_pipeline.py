@@ -6,8 +6,8 @@ rows as Parquet in the shared folder and reads them again, so a lost executor
 never repeats an earlier stage.
 
 Stages: ``language`` learns from the input's own labelled rows and drops texts
-without a letter and texts of which less than ``LEAST_KNOWN`` is in any learned
-language. ``near_dedup`` keeps the document with the
+without a letter and texts whose known share is less than ``LEAST_KNOWN`` of the
+median share of the texts labelled with their language. ``near_dedup`` keeps the document with the
 least doc_id of each class. ``decontamination`` drops documents that are
 contaminated by 5 % of their words or more. ``secrets`` keeps every document and
 replaces the spans found; n_chars follows the text. ``packing`` gives the pieces
@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import decontam, langid, near_dedup, packing, secret_scan
 from ledgerlens.llm.shared import prepare, shared_folder
 
-#: Least share of a text's trigrams that one language must contain.
+#: Least share of a text's trigrams that its language must contain, as a part of that language's median.
 LEAST_KNOWN = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return langid.keep_known(docs, langid.learn(docs), LEAST_KNOWN)
+    model = langid.learn(docs)
+    return langid.keep_known(docs, model, langid.thresholds(docs, model, LEAST_KNOWN))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

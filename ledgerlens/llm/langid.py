@@ -11,11 +11,13 @@ where what is no letter counts as a blank. Three code points fit 63 bits, so
 trigrams are exact.
 
 Learning counts the trigrams of all given rows (summed in the tasks, then by
-trigram). A language contains a trigram that is at least ``FLOOR`` of the
-language's trigrams and at least ``SHARE`` of the trigram's greatest frequency
-in any language; so foreign passages do not enter, and a language has at most
-1 / FLOOR trigrams at any corpus size. With that the filter has a fixed size,
-and it is all that the driver collects and broadcasts.
+trigram). A language contains every trigram whose frequency in it is at least
+``SHARE`` of the trigram's greatest frequency in any language, however rare it
+is; so foreign passages do not enter. The filter has ``PER_GRAM`` slots or more
+for each trigram of the richest language. Where that passes ``PART_SLOTS`` or
+``PART_BYTES``, the trigrams are dealt over several filters (``SplitFilter``); the
+texts are scanned with one after the other, and the real hits are summed. So the
+driver collects and broadcasts one bounded filter at a time.
 
 Defined cases: null texts, and texts without a letter, are ``und`` with score 0.
 Where no trigram is known, the language with the most training trigrams is
@@ -37,9 +39,13 @@ from pyspark.sql import functions as F
 
 from .textbatch import chunks, mix64, utf8
 
+#: Least slots of a filter, and slots for each trigram of the richest language.
 SLOTS = 1 << 20
+PER_GRAM = 4
+#: Bounds of one filter; a larger one is split.
+PART_SLOTS = 1 << 22
+PART_BYTES = 1 << 25
 HASHES = 3
-FLOOR = 4e-6
 SHARE = 0.25
 UNKNOWN = "und"
 #: Distinct trigrams that a task holds before it gives them out.
@@ -113,9 +119,24 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    return mix64(grams ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(parts)
+
+
+def _judged(langs: list[str], real: np.ndarray, n: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score from the real hits (languages x texts) among each text's ``n`` trigrams."""
+    if not langs:
+        return [UNKNOWN] * len(n), np.zeros(len(n))
+    real = np.clip(real, 0, n)
+    score = np.where(n > 0, real.max(axis=0) / np.maximum(n, 1), 0.0)
+    return [langs[b] if k else UNKNOWN for b, k in zip(real.argmax(axis=0), n, strict=True)], score
+
+
 class LanguageFilter:
-    def __init__(self, langs: list[str], table: np.ndarray, hashes: int):
-        self.langs, self.hashes = langs, hashes
+    """The languages of trigrams; of several parts, one holds the trigrams dealt to it."""
+
+    def __init__(self, langs: list[str], table: np.ndarray, hashes: int, part: int = 0, parts: int = 1):
+        self.langs, self.hashes, self.part, self.parts = langs, hashes, part, parts
         kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= len(langs))
         self.table = table.astype(kind)
         self.false_rate = np.array([float(((table >> np.uint64(i)) & np.uint64(1)).mean()) ** hashes for i in range(len(langs))])
@@ -127,85 +148,166 @@ class LanguageFilter:
             mask = self.table[s] if mask is None else mask & self.table[s]
         return mask
 
+    def real(self, grams: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+        """Hits less the false ones, languages x texts, among this part's trigrams."""
+        if self.parts > 1:
+            own = _part_of(grams, self.parts) == self.part
+            grams, doc = grams[own], doc[own]
+        n = np.bincount(doc, minlength=texts).astype(float)
+        out = np.empty((len(self.langs), texts))
+        mask = self.contained(grams)
+        for i, f in enumerate(self.false_rate):
+            hits = np.bincount(doc, weights=(mask >> i) & 1, minlength=texts)
+            out[i] = (hits - n * f) / max(1e-9, 1 - f)
+        return out
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         grams, doc = trigrams(texts)
         n = np.bincount(doc, minlength=len(texts)).astype(float)
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        mask = self.contained(grams)
-        real = np.empty((len(self.langs), len(texts)))
-        for i, f in enumerate(self.false_rate):
-            hits = np.bincount(doc, weights=(mask >> i) & 1, minlength=len(texts))
-            real[i] = np.clip((hits - n * f) / max(1e-9, 1 - f), 0, n)
-        best = real.argmax(axis=0)
-        score = np.where(n > 0, real.max(axis=0) / np.maximum(n, 1), 0.0)
-        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score
+        return _judged(self.langs, self.real(grams, doc, len(texts)), n)
 
 
-def learn(labelled: DataFrame, slots: int = SLOTS, hashes: int = HASHES, floor: float = FLOOR, share: float = SHARE) -> LanguageFilter:
-    """The filter of all rows (text, lang)."""
-    from .shared import checkpoint
+class SplitFilter:
+    """A filter over the bounds of one: ``parts`` filters of ``slots`` each, made when they are asked for."""
 
-    counts = checkpoint(gram_counts(labelled))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()
-    if len(totals) > 64:
-        raise ValueError("a language mask has 64 bits; there are more languages")
-    freq = [F.sum(F.when(F.col("lang") == r.lang, F.col("n"))) / float(r.n) for r in totals]
-    if not freq:
-        return LanguageFilter([], np.zeros(slots, dtype=np.uint64), hashes)
-    per_gram = counts.groupBy("gram").agg(F.array(*[F.coalesce(f, F.lit(0.0)) for f in freq]).alias("p"))
-    top = F.array_max("p")
-    mask = sum((F.when((F.col("p")[i] >= floor) & (F.col("p")[i] >= top * share), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(1, len(totals))), F.when((F.col("p")[0] >= floor) & (F.col("p")[0] >= top * share), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    def __init__(self, langs: list[str], kept: DataFrame, slots: int, hashes: int, parts: int):
+        self.langs, self.kept, self.slots, self.hashes, self.parts = langs, kept, slots, hashes, parts
+
+    def part(self, part: int) -> LanguageFilter:
+        return _filled(self.kept, self.langs, self.slots, self.hashes, part, self.parts)
+
+
+def _filled(kept: DataFrame, langs: list[str], slots: int, hashes: int, part: int = 0, parts: int = 1) -> LanguageFilter:
+    """One part's filter of the rows (gram, langs: numbers of its languages)."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(slots, dtype=np.int64)
+        table = np.zeros(slots, dtype=np.uint64)
         for batch in batches:
-            grams, masks = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for s in slots_of(grams, slots, hashes):
-                np.bitwise_or.at(table, s, masks)
+            grams = batch.column(0).to_numpy().view(np.uint64)
+            lists = batch.column(1)
+            bits = np.uint64(1) << lists.flatten().to_numpy().astype(np.uint64)
+            each = np.repeat(np.arange(len(grams)), lists.value_lengths().to_numpy())
+            own = _part_of(grams, parts)[each] == part
+            for s in slots_of(grams[each[own]], slots, hashes):
+                np.bitwise_or.at(table, s, bits[own])
         at = np.flatnonzero(table)
         for a in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000], pa.int64()), pa.array(table[at[a : a + 100_000]], pa.int64())], names=["slot", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000], pa.int64()), pa.array(table[at[a : a + 100_000]].view(np.int64), pa.int64())], names=["slot", "mask"])
 
-    kept = per_gram.select("gram", mask.alias("mask")).where("mask != 0").coalesce(32)
-    got = kept.mapInArrow(fill, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most `slots` rows
+    got = kept.coalesce(32).mapInArrow(fill, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most `slots` rows
     table = np.zeros(slots, dtype=np.int64)
     table[got["slot"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
-    return LanguageFilter([r.lang for r in totals], table.view(np.uint64), hashes)
+    return LanguageFilter(langs, table.view(np.uint64), hashes, part, parts)
 
 
-def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """doc_id, lang_pred and score (the share of the text's trigrams that are in the language) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def learn(labelled: DataFrame, slots: int | None = None, hashes: int = HASHES, floor: float = 0.0, share: float = SHARE, part_slots: int = PART_SLOTS, part_bytes: int = PART_BYTES) -> LanguageFilter | SplitFilter:
+    """The filter of all rows (text, lang). ``slots`` (a power of two) replaces the measured number."""
+    from .shared import checkpoint
+
+    counts = checkpoint(gram_counts(labelled))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()
+    if len(totals) > 64:
+        raise ValueError("a language mask has 64 bits; there are more languages")
+    langs = [r.lang for r in totals]
+    if not langs:
+        return LanguageFilter([], np.zeros(slots or SLOTS, dtype=np.uint64), hashes)
+    numbered = labelled.sparkSession.createDataFrame([(r.lang, i, float(r.n)) for i, r in enumerate(totals)], "lang string, i int, total double")
+    each = counts.join(F.broadcast(numbered), "lang").select("gram", F.struct("i", (F.col("n") / F.col("total")).alias("p")).alias("x"))
+    per_gram = each.groupBy("gram").agg(F.collect_list("x").alias("xs"), F.max("x.p").alias("top"))
+    own = F.filter("xs", lambda x: (x["p"] >= F.lit(floor)) & (x["p"] >= F.col("top") * share))
+    kept = checkpoint(per_gram.select("gram", F.transform(own, lambda x: x["i"]).alias("langs")).where(F.size("langs") > 0))
+    if slots is None:
+        most = kept.select(F.explode("langs").alias("i")).groupBy("i").count().agg(F.max("count")).first()[0] or 0
+        slots = max(SLOTS, 1 << (PER_GRAM * most - 1).bit_length())
+    width = next(k for k in (1, 2, 4, 8) if k * 8 >= len(langs))
+    bound = 1 << (max(1, min(part_slots, part_bytes // width)).bit_length() - 1)
+    if slots > bound:
+        return SplitFilter(langs, kept, bound, hashes, slots // bound)
+    return _filled(kept, langs, slots, hashes)
+
+
+def _with_real(rows: DataFrame, model: SplitFilter) -> DataFrame:
+    """``rows`` with ``_real``: each language's real hits, summed over the parts one after the other."""
+    from .shared import checkpoint
+
+    column = rows.columns.index("text")
+    rows = rows.withColumn("_real", F.lit(None).cast("array<double>"))
+    for part in range(model.parts):
+        shared = rows.sparkSession.sparkContext.broadcast(model.part(part))
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared, part=part) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b, texts in _decoded(batch, column):
+                    real = shared.value.real(*trigrams(texts), b - a).T.ravel()
+                    if part:
+                        real = real + batch.column(batch.num_columns - 1).slice(a, b - a).flatten().to_numpy()
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(real) + 1, len(shared.value.langs)), pa.int32()), pa.array(real))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], lists], names=batch.schema.names)
+
+        rows = checkpoint(rows.mapInArrow(add, rows.schema))
+        shared.destroy()
+    return rows
+
+
+def _answered(rows: DataFrame, model: LanguageFilter | SplitFilter, answer, schema) -> DataFrame:
+    """``answer(slice of a batch, texts, languages, scores)`` of all ``rows``; the slice has their own columns."""
+    column, width = rows.columns.index("text"), len(rows.columns)
+    langs = model.langs
+    split = isinstance(model, SplitFilter)
+    if split:
+        rows = _with_real(rows, model)
+    shared = None if split else rows.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in _decoded(batch, 1):
-                langs, score = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for a, b, texts in _decoded(batch, column):
+                piece = batch.slice(a, b - a)
+                if split:
+                    real = piece.column(width).flatten().to_numpy().reshape(b - a, len(langs)).T
+                    found = _judged(langs, real, np.bincount(trigrams(texts)[1], minlength=b - a).astype(float))
+                else:
+                    found = shared.value.predict(texts)
+                yield answer(piece.select(list(range(width))), texts, *found)
+
+    return rows.mapInArrow(predict, schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
+def identify(docs: DataFrame, model: LanguageFilter | SplitFilter) -> DataFrame:
+    """doc_id, lang_pred and score (the share of the text's trigrams that are in the language) of every row."""
+
+    def answer(piece: pa.RecordBatch, texts: list[str], langs: list[str], score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-def keep_known(docs: DataFrame, model: LanguageFilter, least: float) -> DataFrame:
-    """``docs`` with its own columns, without texts that are ``und`` or score below ``least``.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _answered(rows, model, answer, "doc_id long, lang_pred string, score double")
+
+
+def thresholds(labelled: DataFrame, model: LanguageFilter | SplitFilter, least: float) -> dict[str, float]:
+    """For each language, ``least`` times the median score of the texts labelled with it."""
+
+    def answer(piece: pa.RecordBatch, texts: list[str], langs: list[str], score: np.ndarray) -> pa.RecordBatch:
+        known = pa.array(np.array(langs, dtype=object) != UNKNOWN)
+        return pa.RecordBatch.from_arrays([piece.column(1).filter(known), pa.array(score, pa.float64()).filter(known)], names=["lang", "score"])
+
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    found = _answered(rows, model, answer, "lang string, score double").groupBy("lang").agg(F.percentile_approx("score", 0.5).alias("mid"))
+    return {r.lang: least * r.mid for r in found.collect()}
+
+
+def keep_known(docs: DataFrame, model: LanguageFilter | SplitFilter, least: float | dict[str, float]) -> DataFrame:
+    """``docs`` with its own columns, without texts that are ``und`` or score below ``least`` (of their language).
 
     A model without languages keeps every text with a letter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    column = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, texts in _decoded(batch, column):
-                if shared.value.langs:
-                    langs, score = shared.value.predict(texts)
-                    keeps = (np.array(langs, dtype=object) != UNKNOWN) & (score >= least)
-                else:
-                    keeps = np.bincount(trigrams(texts)[1], minlength=len(texts)) > 0
-                yield batch.slice(a, b - a).filter(pa.array(keeps))
+    def answer(piece: pa.RecordBatch, texts: list[str], langs: list[str], score: np.ndarray) -> pa.RecordBatch:
+        if some:
+            bound = np.array([least.get(x, 0.0) for x in langs]) if isinstance(least, dict) else least
+            return piece.filter(pa.array((np.array(langs, dtype=object) != UNKNOWN) & (score >= bound)))
+        return piece.filter(pa.array(np.bincount(trigrams(texts)[1], minlength=len(texts)) > 0))
 
-    return docs.mapInArrow(keep, docs.schema)
+    some = bool(model.langs)
+    return _answered(docs, model, answer, docs.schema)
 
 
 def fold(parts: int) -> F.Column:

@@ -79,3 +79,22 @@ def test_query_finds_held_out_languages(spark):
     lettered = [d for d in held if d.lang and d.text and any(c.isalpha() for c in d.text)]
     wrong = [d.doc_id for d in lettered if got[d.doc_id].lang_pred != d.lang]
     assert len(wrong) <= 0.02 * len(lettered)
+
+
+def test_rare_trigrams_are_known_in_a_rich_language(spark, docs_frame):
+    """Half a million trigrams, each rarer than any fixed share, beside a poor language: no clean text is lost."""
+    rng = np.random.default_rng(6)
+    rich = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 10_000))) for _ in range(50)]
+    rows = [(t, "zh") for t in rich] + [("the cat and the hat with that " * 40, "en")] * 5
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    docs = docs_frame([(i, t) for i, (t, _) in enumerate(rows)] + [(99, "αβγδ εζηθ " * 40)])
+    for how in ({}, {"part_slots": 1 << 19}):
+        model = langid.learn(labelled, **how)
+        assert isinstance(model, langid.SplitFilter) == bool(how) and (not how or model.parts == 4)
+        got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+        assert [got[i].lang_pred for i in range(55)] == ["zh"] * 50 + ["en"] * 5
+        assert all(got[i].score > 0.95 for i in range(55)) and got[99].score < 0.2
+        least = langid.thresholds(labelled, model, 0.2)
+        assert set(least) == {"zh", "en"} and all(0.19 < x <= 0.2 for x in least.values())
+        kept = langid.keep_known(docs, model, least)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(55))
