@@ -1,7 +1,8 @@
 """Language identification with bit-sliced Bloom filters of letter trigrams.
 
-A filter slot is a bit mask of languages, so one lookup (the AND of a trigram's
-slots) returns all languages that contain the trigram. A text's languages are
+A filter slot is a bit mask of languages (a 64-bit word for every 64 of them), so
+one lookup (the AND of a trigram's slots) returns all languages that contain the
+trigram. A text's languages are
 compared by their popcounts over the text's trigrams, each corrected for the
 filter's false positives in that language's slice: of n lookups with h hits and
 rate f, (h - n f) / (1 - f) are taken as real.
@@ -23,8 +24,8 @@ Defined cases: null texts, and texts without a letter, are ``und`` with score 0.
 Where no trigram is known, the language with the most training trigrams is
 given, with score 0; with no training row all is ``und``. Ties go to the language
 with more training trigrams, then by name. Repeated rows count and are answered
-each for itself. Columns other than those named are not read. More than 64
-languages are an error.
+each for itself. Columns other than those named are not read. Any number of distinct
+labels is learned; their names and totals are held by the driver.
 """
 
 from __future__ import annotations
@@ -136,16 +137,17 @@ class LanguageFilter:
     """The languages of trigrams; of several parts, one holds the trigrams dealt to it."""
 
     def __init__(self, langs: list[str], table: np.ndarray, hashes: int, part: int = 0, parts: int = 1):
+        """``table``: words x slots; language i is bit i % 64 of word i // 64."""
         self.langs, self.hashes, self.part, self.parts = langs, hashes, part, parts
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= len(langs))
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if np.dtype(k).itemsize * 8 >= len(langs)), np.uint64)
         self.table = table.astype(kind)
-        self.false_rate = np.array([float(((table >> np.uint64(i)) & np.uint64(1)).mean()) ** hashes for i in range(len(langs))])
+        self.false_rate = np.array([float(((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** hashes for i in range(len(langs))])
 
-    def contained(self, grams: np.ndarray) -> np.ndarray:
-        """The mask of languages that contain each trigram (or seem to)."""
-        mask = None
-        for s in slots_of(grams, len(self.table), self.hashes):
-            mask = self.table[s] if mask is None else mask & self.table[s]
+    def contained(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """The mask of the languages of one word that contain each trigram (or seem to)."""
+        mask, table = None, self.table[word]
+        for s in slots_of(grams, len(table), self.hashes):
+            mask = table[s] if mask is None else mask & table[s]
         return mask
 
     def real(self, grams: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
@@ -155,9 +157,10 @@ class LanguageFilter:
             grams, doc = grams[own], doc[own]
         n = np.bincount(doc, minlength=texts).astype(float)
         out = np.empty((len(self.langs), texts))
-        mask = self.contained(grams)
         for i, f in enumerate(self.false_rate):
-            hits = np.bincount(doc, weights=(mask >> i) & 1, minlength=texts)
+            if i % 64 == 0:
+                mask = self.contained(grams, i // 64)
+            hits = np.bincount(doc, weights=(mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1), minlength=texts)
             out[i] = (hits - n * f) / max(1e-9, 1 - f)
         return out
 
@@ -179,25 +182,27 @@ class SplitFilter:
 
 def _filled(kept: DataFrame, langs: list[str], slots: int, hashes: int, part: int = 0, parts: int = 1) -> LanguageFilter:
     """One part's filter of the rows (gram, langs: numbers of its languages)."""
+    words = -(-len(langs) // 64)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(slots, dtype=np.uint64)
+        table = np.zeros(words * slots, dtype=np.uint64)  # word after word
         for batch in batches:
             grams = batch.column(0).to_numpy().view(np.uint64)
             lists = batch.column(1)
-            bits = np.uint64(1) << lists.flatten().to_numpy().astype(np.uint64)
+            lang = lists.flatten().to_numpy()
+            bits, base = np.uint64(1) << (lang % 64).astype(np.uint64), lang.astype(np.int64) // 64 * slots
             each = np.repeat(np.arange(len(grams)), lists.value_lengths().to_numpy())
             own = _part_of(grams, parts)[each] == part
             for s in slots_of(grams[each[own]], slots, hashes):
-                np.bitwise_or.at(table, s, bits[own])
+                np.bitwise_or.at(table, base[own] + s, bits[own])
         at = np.flatnonzero(table)
         for a in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000], pa.int64()), pa.array(table[at[a : a + 100_000]].view(np.int64), pa.int64())], names=["slot", "mask"])
 
-    got = kept.coalesce(32).mapInArrow(fill, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most `slots` rows
-    table = np.zeros(slots, dtype=np.int64)
+    got = kept.coalesce(32).mapInArrow(fill, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most `words * slots` rows
+    table = np.zeros(words * slots, dtype=np.int64)
     table[got["slot"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
-    return LanguageFilter(langs, table.view(np.uint64), hashes, part, parts)
+    return LanguageFilter(langs, table.view(np.uint64).reshape(words, slots), hashes, part, parts)
 
 
 def learn(labelled: DataFrame, slots: int | None = None, hashes: int = HASHES, floor: float = 0.0, share: float = SHARE, part_slots: int = PART_SLOTS, part_bytes: int = PART_BYTES) -> LanguageFilter | SplitFilter:
@@ -205,12 +210,10 @@ def learn(labelled: DataFrame, slots: int | None = None, hashes: int = HASHES, f
     from .shared import checkpoint
 
     counts = checkpoint(gram_counts(labelled))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()
-    if len(totals) > 64:
-        raise ValueError("a language mask has 64 bits; there are more languages")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()
     langs = [r.lang for r in totals]
     if not langs:
-        return LanguageFilter([], np.zeros(slots or SLOTS, dtype=np.uint64), hashes)
+        return LanguageFilter([], np.zeros((1, slots or SLOTS), dtype=np.uint64), hashes)
     numbered = labelled.sparkSession.createDataFrame([(r.lang, i, float(r.n)) for i, r in enumerate(totals)], "lang string, i int, total double")
     each = counts.join(F.broadcast(numbered), "lang").select("gram", F.struct("i", (F.col("n") / F.col("total")).alias("p")).alias("x"))
     per_gram = each.groupBy("gram").agg(F.collect_list("x").alias("xs"), F.max("x.p").alias("top"))
@@ -219,7 +222,7 @@ def learn(labelled: DataFrame, slots: int | None = None, hashes: int = HASHES, f
     if slots is None:
         most = kept.select(F.explode("langs").alias("i")).groupBy("i").count().agg(F.max("count")).first()[0] or 0
         slots = max(SLOTS, 1 << (PER_GRAM * most - 1).bit_length())
-    width = next(k for k in (1, 2, 4, 8) if k * 8 >= len(langs))
+    width = 8 * -(-len(langs) // 64)
     bound = 1 << (max(1, min(part_slots, part_bytes // width)).bit_length() - 1)
     if slots > bound:
         return SplitFilter(langs, kept, bound, hashes, slots // bound)

@@ -98,3 +98,17 @@ def test_rare_trigrams_are_known_in_a_rich_language(spark, docs_frame):
         assert set(least) == {"zh", "en"} and all(0.19 < x <= 0.2 for x in least.values())
         kept = langid.keep_known(docs, model, least)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(55))
+
+
+def test_more_than_64_languages(spark, docs_frame):
+    """140 languages of their own letters, whole and split: three words to a slot."""
+    rng = np.random.default_rng(7)
+    rows = [("".join(map(chr, 0x4E00 + 100 * k + rng.integers(0, 100, 300))), f"l{k:03}") for k in range(140)]
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    docs = docs_frame([(k, t[:200]) for k, (t, _) in enumerate(rows)] + [(900, ""), (901, "".join(rng.choice(list("αβγδεζηθικλμ"), 1000)))])
+    for how in ({}, {"slots": 1 << 12, "part_slots": 1 << 10}):
+        model = langid.learn(labelled, **how)
+        assert len(model.langs) == 140 and isinstance(model, langid.SplitFilter) == bool(how)
+        got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+        assert [got[k].lang_pred for k in range(140)] == [lang for _, lang in rows]
+        assert all(got[k].score > 0.95 for k in range(140)) and got[900].lang_pred == "und" and got[901].score < 0.05
