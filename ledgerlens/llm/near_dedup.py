@@ -21,7 +21,8 @@ probability 7e-5 (0.85: 8e-7, 0.9: 1e-9).
 
 Defined cases: a null text is alone in its class. Texts without words are equal
 only as whole texts. Rows with the same doc_id and text are one document.
-Null doc_ids are kept and sort first for the choice of a class id. Extra columns
+One document of each class is kept: the one with the least doc_id (null first)
+and, where several texts have that id, the least MD5. Extra columns
 are not read by ``classes`` and are passed through by ``dedup``.
 """
 
@@ -291,7 +292,7 @@ def _group_edges(block) -> np.ndarray:
 
 
 def classes(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, at_least: tuple[int, int] = AT_LEAST) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), kept (doc_id is its class's id), at and fp; one row per row of ``docs``."""
+    """doc_id, class_id (least doc_id of the class), kept (it has the class's least (doc_id, MD5)), at and fp; one row per row of ``docs``."""
     signed = _signed(docs, width, bands, rows)
     # Copies become one node; its id holds because the frame is checkpointed.
     nodes = checkpoint(signed.groupBy("fp").agg(F.min("at").alias("at"), F.first("bands").alias("bands")).select(F.monotonically_increasing_id().alias("id"), "fp", "at", "bands"))
@@ -314,11 +315,11 @@ def classes(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int
         labels = components(edges.unionByName(more))
 
     grouped = nodes.select("id", "fp", "at").join(labels, "id", "left").select("fp", "at", F.coalesce("label", "id").alias("label"))
-    least = grouped.groupBy("label").agg(F.min("at").alias("least"))
-    named = grouped.join(least, "label").select("fp", "least")
+    least = grouped.groupBy("label").agg(F.min(F.struct("at", "fp")).alias("first"))
+    named = grouped.join(least, "label").select("fp", F.col("first.at").alias("least"), (F.col("first.fp") == F.col("fp")).alias("first"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _at(), F.unhex(F.md5(F.col("text").cast("string"))).alias("fp"))
     least_id = F.coalesce("least", "at")
-    return ids.join(named, "fp", "left").select("doc_id", F.when(least_id != NO_ID, least_id).alias("class_id"), (least_id == F.col("at")).alias("kept"), "at", "fp")
+    return ids.join(named, "fp", "left").select("doc_id", F.when(least_id != NO_ID, least_id).alias("class_id"), ((least_id == F.col("at")) & F.coalesce("first", F.lit(True))).alias("kept"), "at", "fp")
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
@@ -326,7 +327,7 @@ def report(docs: DataFrame, **how) -> DataFrame:
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with its own columns, one document of each class: the one with the least doc_id."""
+    """``docs`` with its own columns, one document of each class: the one with the least (doc_id, MD5)."""
     found = checkpoint(classes(docs, **how))
     gone = found.where("not kept").select(F.col("at").alias("_at"), F.col("fp").alias("_fp")).distinct()
     here = F.unhex(F.md5(F.col("text").cast("string")))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -145,3 +146,25 @@ def test_a_group_around_the_bound(spark, docs_frame):
         docs.append((k + 1, " ".join(w)))
     rng.shuffle(docs)
     assert sorted(map(tuple, near_dedup.report(docs_frame(docs)).collect())) == brute(docs)
+
+
+def test_near_copies_without_an_own_id(spark, docs_frame):
+    """Near copies whose doc_ids are null or repeated: one document of each class stays."""
+    base = [[f"{c}{i}" for i in range(100)] for c in "abcd"]
+    near = lambda k, n: " ".join([*base[k][:-1], f"end{n}"])
+    docs = [(None, near(0, n)) for n in range(4)] + [(None, near(0, 0)), (7, near(0, 9))]
+    docs += [(5, near(1, n)) for n in range(4)] + [(6, near(1, 8))]
+    docs += [(5, near(2, 0)), (None, near(3, 0)), (None, "alone"), (8, None), (9, None), (5, near(1, 2))]
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    ids = lambda i: -(2**63) if i is None else i
+    # brute's class ids over row numbers give the groups.
+    group = {i: c for i, c, _ in brute([(n, t) for n, (_, t) in enumerate(docs)])}
+    want = []
+    for n, (i, t) in enumerate(docs):
+        own = [docs[m] for m in group if group[m] == group[n]]
+        first = min(own, key=lambda d: (ids(d[0]), md5(d[1]) if d[1] else ""))
+        want.append((i, first[0], (i, t) == first))
+    frame = docs_frame(docs)
+    assert sorted(map(tuple, near_dedup.report(frame).collect()), key=str) == sorted(want, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.dedup(frame).collect()), key=str)
+    assert kept == sorted({d for d, w in zip(docs, want, strict=True) if w[2]}, key=str) and len(kept) == 7
