@@ -7,9 +7,9 @@ its windows are looked up in a bitmap, then in the sorted set, and every hit is
 verified against the window's own bytes before it counts.
 
 The set's size is checked: ``max_windows`` bounds what one pass broadcasts. A
-larger benchmark is cut into blocks of items and the documents are scanned once
-for each block; the blocks' hit words are united per document (``cut`` cuts block
-after block).
+larger benchmark is cut into blocks of items: the rows are numbered and written,
+scanned once for each block, and the blocks' hit words are united per row; what
+is dropped or cut follows from the united words, as with one block.
 
 Defined cases: null or empty text has no words, so it is never hit. Null or
 empty items have no window. Repeated rows give repeated results, a repeated
@@ -28,10 +28,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import checkpoint
 from .textbatch import ALNUM, chunks, utf8, words_of
 
 WIDTH = 13
 MAX_WINDOWS = 2_000_000
+#: The column of row numbers while several blocks are scanned.
+ROW = "_scan_row"
 
 
 class WindowSet:
@@ -102,14 +105,23 @@ SCANNED = "doc_id long, n_words long, n_hit long, items array<string>, spans arr
 def scan_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, items (sorted ids), spans (runs of hit words, numbers from 0)."""
     sets = _window_sets(docs.sparkSession, benchmark, width, max_windows)
-    scans = [_scan_block(docs, windows) for windows in sets]
-    if len(scans) == 1:
-        return scans[0].drop("row")
-    out = reduce(DataFrame.unionByName, scans)
+    if len(sets) == 1:
+        return _scan_block(docs.withColumn(ROW, F.lit(0).cast("long")), sets[0]).drop("row")
+    return _scan_blocks(_numbered(docs.select("doc_id", "text")), sets).drop("row")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, written, so that all scans see the same numbers."""
+    return checkpoint(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _scan_blocks(rows: DataFrame, sets: list[Broadcast]) -> DataFrame:
+    """The scans of all blocks united per row."""
+    out = reduce(DataFrame.unionByName, [_scan_block(rows, windows) for windows in sets])
     merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     # Unite overlapping runs: each keeps only what reaches past the furthest word before it.
     step = "struct(greatest(a.reach, s.last) as reach, a.n + greatest(0L, s.last - greatest(a.reach, s.first - 1)) as n)"
-    return merged.select("doc_id", "n_words", F.expr(f"aggregate(spans, struct(-1L as reach, 0L as n), (a, s) -> {step}, a -> a.n)").alias("n_hit"), "items", "spans")
+    return merged.select("row", "doc_id", "n_words", F.expr(f"aggregate(spans, struct(-1L as reach, 0L as n), (a, s) -> {step}, a -> a.n)").alias("n_hit"), "items", "spans")
 
 
 def _scan_block(docs: DataFrame, windows) -> DataFrame:
@@ -139,7 +151,7 @@ def _scan_block(docs: DataFrame, windows) -> DataFrame:
                     names=["doc_id", "n_words", "n_hit", "items", "spans", "row"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(ROW).alias("row"))
     return rows.mapInArrow(scan, SCANNED + ", row long")
 
 
@@ -170,25 +182,41 @@ def clean(docs: DataFrame, benchmark: DataFrame, action: str = "drop", width: in
     schema = docs.schema
     text_at = docs.columns.index("text")
     sets = _window_sets(docs.sparkSession, benchmark, width, max_windows)
-    if action == "cut":
-        for windows in sets:
-            docs = _cut_block(docs, windows, schema, text_at)
-        return docs
     if len(sets) == 1:
-        return _cut_block(docs, sets[0], schema, text_at, drop=True)
-    bad = scan_documents(docs, benchmark, width, max_windows).where(contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+        return _cut_block(docs, sets[0], schema, text_at, drop=action == "drop")
+    rows = _numbered(docs)
+    found = _scan_blocks(rows, sets)
+    if action == "drop":
+        return rows.join(found.where(contaminated()).select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns)
+    spans = found.where("n_hit > 0").select(F.col("row").alias(ROW), F.col("spans").alias("_spans"))
+    return _cut_block(rows.join(spans, ROW, "left").select(*docs.columns, "_spans"), None, schema, text_at)
+
+
+def _hits_of(data: np.ndarray, offsets: np.ndarray, spans: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """As ``WindowSet.scan``, from spans that are known; for items the spans themselves."""
+    w = words_of(data, offsets, ALNUM)
+    hit = np.zeros(len(w.hash), dtype=bool)
+    for i, own in enumerate(spans):
+        for span in own or ():
+            hit[w.first[i] + span["first"] : w.first[i] + span["last"] + 1] = True
+    return np.diff(w.first), hit, w.first, spans
 
 
 def _cut_block(docs: DataFrame, windows, schema, text_at: int, drop: bool = False) -> DataFrame:
+    """``docs`` without what ``windows`` hit; without ``windows`` the hits are the last column, which goes."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(text_at))
             for a, b in chunks(offsets):
                 own = offsets[a : b + 1]
                 part, rel = data[own[0] : own[-1]], own - own[0]
-                n, hit, first, items = windows.value.scan(part, rel)
                 piece = batch.slice(a, b - a)
+                if windows is None:
+                    n, hit, first, items = _hits_of(part, rel, piece.column(piece.num_columns - 1).to_pylist())
+                    piece = piece.select(list(range(piece.num_columns - 1)))
+                else:
+                    n, hit, first, items = windows.value.scan(part, rel)
                 if drop:
                     total = np.concatenate([[0], np.cumsum(hit)])
                     h = total[first[1:]] - total[first[:-1]]

@@ -86,3 +86,18 @@ def test_query_is_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     got = e.queries()["op5_benchmark_decontamination"](spark, sf).collect()
     assert sorted(map(tuple, got), key=str) == brute(docs, items)
+
+
+def test_blocks_drop_and_cut_row_by_row(spark, docs_frame):
+    """Clean and contaminated rows under one id or none, items overlapping in different blocks: as with one block."""
+    w = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(w[:14])), (2, " ".join(w[8:24])), (3, " ".join(w[24:37])), (4, "lone item")]
+    whole = " ".join(w)
+    docs = [(1, "a " + whole + " z"), (1, "clean"), (None, whole), (None, "also clean"), (None, None), (2, "lone-item " + "x " * 90), (2, whole), (1, "clean")]
+    frame, bench = docs_frame(docs), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept, cut = ([rows(decontam.clean(frame, bench, action, max_windows=most)) for most in (decontam.MAX_WINDOWS, 3)] for action in ("drop", "cut"))
+    assert kept[0] == kept[1] == sorted([d for d in docs if d[1] is None or whole not in d[1]], key=str)
+    assert cut[0] == cut[1] and (1, "a  w37 w38 w39 z") in cut[0] and (2, " " + "x " * 90) in cut[0]
+    assert decontam.clean(frame, bench, max_windows=3).columns == frame.columns
+    assert sorted(map(tuple, decontam.report(frame, bench, max_windows=3).collect()), key=str) == brute(docs, items)
