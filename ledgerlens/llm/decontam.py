@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,9 +95,15 @@ def _benchmark_blocks(benchmark: DataFrame, width: int, max_windows: int) -> Ite
         yield block
 
 
-def _window_sets(spark: SparkSession, benchmark: DataFrame, width: int, max_windows: int) -> list[Broadcast]:
-    blocks = list(_benchmark_blocks(benchmark, width, max_windows)) or [[]]
-    return [spark.sparkContext.broadcast(WindowSet(block, width)) for block in blocks]
+def _blocks(benchmark: DataFrame, width: int, max_windows: int) -> tuple[list[tuple[str, str]], Iterator[list[tuple[str, str]]] | None]:
+    """(the first block, None), or, if there are more, (the first block, all blocks as they are asked for)."""
+    blocks = _benchmark_blocks(benchmark, width, max_windows)
+    first, second = next(blocks, []), next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
+
+
+def _broadcast(spark: SparkSession, block: list[tuple[str, str]], width: int) -> Broadcast:
+    return spark.sparkContext.broadcast(WindowSet(block, width))
 
 
 SCANNED = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>"
@@ -104,10 +111,10 @@ SCANNED = "doc_id long, n_words long, n_hit long, items array<string>, spans arr
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, items (sorted ids), spans (runs of hit words, numbers from 0)."""
-    sets = _window_sets(docs.sparkSession, benchmark, width, max_windows)
-    if len(sets) == 1:
-        return _scan_block(docs.withColumn(ROW, F.lit(0).cast("long")), sets[0]).drop("row")
-    return _scan_blocks(_numbered(docs.select("doc_id", "text")), sets).drop("row")
+    first, blocks = _blocks(benchmark, width, max_windows)
+    if blocks is None:
+        return _scan_block(docs.withColumn(ROW, F.lit(0).cast("long")), _broadcast(docs.sparkSession, first, width)).drop("row")
+    return _scan_blocks(_numbered(docs.select("doc_id", "text")), blocks, width).drop("row")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -115,9 +122,14 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return checkpoint(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def _scan_blocks(rows: DataFrame, sets: list[Broadcast]) -> DataFrame:
-    """The scans of all blocks united per row."""
-    out = reduce(DataFrame.unionByName, [_scan_block(rows, windows) for windows in sets])
+def _scan_blocks(rows: DataFrame, blocks: Iterator[list[tuple[str, str]]], width: int) -> DataFrame:
+    """The scans of all blocks united per row; each is written and its windows released before the next is made."""
+    scans = []
+    for block in blocks:
+        windows = _broadcast(rows.sparkSession, block, width)
+        scans.append(checkpoint(_scan_block(rows, windows)))
+        windows.destroy()
+    out = reduce(DataFrame.unionByName, scans)
     merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     # Unite overlapping runs: each keeps only what reaches past the furthest word before it.
     step = "struct(greatest(a.reach, s.last) as reach, a.n + greatest(0L, s.last - greatest(a.reach, s.first - 1)) as n)"
@@ -181,11 +193,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, action: str = "drop", width: in
         raise ValueError(f"action is drop or cut, not {action!r}")
     schema = docs.schema
     text_at = docs.columns.index("text")
-    sets = _window_sets(docs.sparkSession, benchmark, width, max_windows)
-    if len(sets) == 1:
-        return _cut_block(docs, sets[0], schema, text_at, drop=action == "drop")
+    first, blocks = _blocks(benchmark, width, max_windows)
+    if blocks is None:
+        return _cut_block(docs, _broadcast(docs.sparkSession, first, width), schema, text_at, drop=action == "drop")
     rows = _numbered(docs)
-    found = _scan_blocks(rows, sets)
+    found = _scan_blocks(rows, blocks, width)
     if action == "drop":
         return rows.join(found.where(contaminated()).select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns)
     spans = found.where("n_hit > 0").select(F.col("row").alias(ROW), F.col("spans").alias("_spans"))

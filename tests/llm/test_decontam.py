@@ -101,3 +101,13 @@ def test_blocks_drop_and_cut_row_by_row(spark, docs_frame):
     assert cut[0] == cut[1] and (1, "a  w37 w38 w39 z") in cut[0] and (2, " " + "x " * 90) in cut[0]
     assert decontam.clean(frame, bench, max_windows=3).columns == frame.columns
     assert sorted(map(tuple, decontam.report(frame, bench, max_windows=3).collect()), key=str) == brute(docs, items)
+
+
+def test_one_block_is_held_at_a_time(spark, docs_frame, monkeypatch):
+    """A block's windows are released before the next block's are made."""
+    docs, bench = frames(spark, docs_frame)
+    seen, make, destroy = [], decontam.WindowSet.__init__, decontam.Broadcast.destroy
+    monkeypatch.setattr(decontam.WindowSet, "__init__", lambda self, *a: seen.append("made") or make(self, *a))
+    monkeypatch.setattr(decontam.Broadcast, "destroy", lambda self, *a: seen.append("gone") or destroy(self, *a))
+    assert sorted(map(tuple, decontam.report(docs, bench, max_windows=3).collect()), key=str) == brute(DOCS, ITEMS)
+    assert len(seen) > 4 and seen == ["made", "gone"] * (len(seen) // 2)
