@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, near_dedup, packing, quality, secret_scan, sharding, token_planes, warc
+from . import decontam, langid, lm, near_dedup, packing, periodic, quality, secret_scan, sharding, token_planes, warc
+from .native import let
 from .shared import prepare, shared_folder
 
 
@@ -63,6 +65,41 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(docs, secret_scan.learn(*secret_scan.labelled_samples(docs)))
 
 
+def _made_periodic(doc_id: Column, text: Column) -> Column:
+    """The text, or for a tenth of the ids its words with all after word a repeating the first p of them."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, place(i))), " ")).otherwise("")
+
+    return F.when(h % 10 == 0, let(quality.words(text), repeated)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    best = F.col("best")
+    return (
+        periodic.runs(docs)
+        .withColumn("best", periodic.greatest(F.col("runs")))
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            best["start"].alias("start"),
+            best["length"].alias("length"),
+            best["period"].alias("period"),
+            F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
@@ -74,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_planes": op8_token_planes,
     "op9_minimax_sharding": op9_minimax_sharding,
     "op10_secret_scan": op10_secret_scan,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

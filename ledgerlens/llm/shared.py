@@ -47,3 +47,17 @@ def sample(docs: DataFrame, rows: int) -> DataFrame:
     """
     n = docs.count()
     return checkpoint(docs.sample(rows / n, seed=1) if n > rows else docs)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, however it spells its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        k, free = 0, f"_{name}"
+        while free.lower() in taken:
+            k += 1
+            free = f"_{name}_{k}"
+        taken.add(free.lower())
+        out.append(free)
+    return out
