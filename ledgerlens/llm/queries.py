@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, near_dedup, order_minhash, packing, periodic, quality, secret_scan, sharding, token_planes, warc
+from . import decontam, hard_negatives, langid, lm, near_dedup, order_minhash, packing, periodic, quality, secret_scan, sharding, token_planes, warc
 from .native import let
 from .shared import prepare, shared_folder
 
@@ -104,6 +104,12 @@ def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = (F.col("label").cast("long") + 1) % 10
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, shifted).otherwise(F.col("label").cast("long")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_order_minhash": op12_order_minhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -195,4 +202,24 @@ ORACLES: dict[str, str] = {
                coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
     """,
+    "op13_hard_negatives": """
+        WITH e AS (
+          SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+          SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same,
+                 CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+          FROM e a, e b WHERE a.vec_id % 100 = 0
+        ), p AS (
+          SELECT ar, br, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND ar <> br
+          QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, br) <= 5
+        )
+        SELECT p.anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY p.ar, p.br ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON p.ar = s.ar AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.ar, p.br ORDER BY score DESC, vec_id) <= 10
+    """,
 }
