@@ -14,6 +14,7 @@ from ..functions.dates import py_shift_month_start
 from ..operators import costs as C
 from ..operators import snapshots as S
 from ..operators import trends as T
+from ..sinks import versions
 from ..sinks.tables import publish_tables, read_published, read_upserted, replace_range, upsert_table
 from ..sources import snapshot_files as SF
 
@@ -69,8 +70,9 @@ def snapshot_refresh(
     Both tables (``daily`` and ``monthly`` under ``base``) are published by one
     pointer; a failure leaves both untouched. So do files without any row:
     then nothing is published."""
-    daily_old = read_published(spark, base, "daily")
-    monthly_old = read_published(spark, base, "monthly")
+    seen = versions.latest(spark, base)  # both tables are read from it, and the result goes on top of it
+    daily_old = read_published(spark, base, "daily", seen)
+    monthly_old = read_published(spark, base, "monthly", seen)
     latest = SF.latest_loaded_date(daily_old, monthly_old)
     years, bootstrap = SF.target_years(latest, current_year, bootstrap_year)
     paths = SF.build_input_paths(templates, years)
@@ -101,9 +103,9 @@ def snapshot_refresh(
     try:
         snaps = S.normalize_snapshots(S.require_valid(validated))
         S.check_unique(snaps)
-        seen = snaps.agg(F.min("date").alias("min_date"), F.max("date").alias("max_date")).first()
-        out = {"mode": mode, "years": years, "files": files, "version": None, "min_date": seen["min_date"], "max_date": seen["max_date"]}
-        if seen["min_date"] is None:
+        span = snaps.agg(F.min("date").alias("min_date"), F.max("date").alias("max_date")).first()
+        out = {"mode": mode, "years": years, "files": files, "version": None, "min_date": span["min_date"], "max_date": span["max_date"]}
+        if span["min_date"] is None:
             return out
         if bootstrap:
             daily_new = T.daily_rows(snaps)
@@ -127,7 +129,7 @@ def snapshot_refresh(
             )
         stamp = F.current_timestamp().alias("updated_at")
         out["version"] = publish_tables(
-            {"daily": daily_new.select(*T.DAILY_COLUMNS, stamp), "monthly": monthly_new.select(*T.MONTHLY_COLUMNS, stamp)}, base
+            {"daily": daily_new.select(*T.DAILY_COLUMNS, stamp), "monthly": monthly_new.select(*T.MONTHLY_COLUMNS, stamp)}, base, seen
         )
         return out
     finally:

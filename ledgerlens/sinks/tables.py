@@ -7,7 +7,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from . import versions
 
+#: The name of the only table of a folder.
+_ROWS = "rows"
+
 _BATCH = "_ll_batch"
 _SEQ = "_ll_seq"
 
@@ -94,12 +97,20 @@ def replace_range(
     return merge_latest(kept, [new_rows], key_cols)
 
 
-def replace_all(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:
-    """Replace every row of a table folder."""
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    if partition_cols:
-        w = w.partitionBy(*partition_cols)
-    w.parquet(path)
+def replace_all(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> int:
+    """Replace every row of a table: a new version is written and the table's
+    pointer moves to it (:func:`read_replaced`). A failure leaves the rows as
+    they were. Returns the version's number."""
+    return publish_tables({_ROWS: df}, path, partition_cols=partition_cols)
+
+
+def read_replaced(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that :func:`replace_all` wrote last; None if there are none yet."""
+    return read_published(spark, path, _ROWS)
+
+
+#: A derived table: of the merged rows of some partitions, rows that keep the partition column.
+Derive = Callable[[DataFrame], DataFrame]
 
 
 def upsert_table(
@@ -110,6 +121,8 @@ def upsert_table(
     partition_col: str = "month",
     partition_expr: Column | None = None,
     seq_col: str | None = None,
+    derived: Mapping[str, Derive] | None = None,
+    attempts: int = 3,
 ) -> DataFrame:
     """Upsert batches into a Parquet table partitioned by ``partition_col``.
 
@@ -119,35 +132,90 @@ def upsert_table(
     folder of a new version, and the pointer that names the live version of
     each partition moves last. A failure leaves the table as it was; a replay
     gives the same rows. Returns the merged rows of the touched partitions.
+
+    ``derived`` names tables kept beside the rows (:func:`read_derived`): of
+    the touched partitions, and of those that have none yet, they are worked
+    out from the merged rows and move with the same pointer.
+
+    The pointer moves only from the state that the merge has read. If another
+    job has published meanwhile, the commit goes on top of its state where it
+    touched none of these partitions; else the staged batches are merged again,
+    ``attempts`` times at most.
     """
     part = partition_expr if partition_expr is not None else F.trunc("date", "MM")
     folder = versions.Folder(spark, path)
-    state = versions.head(spark, path) or {"parts": {}}
-    number = versions.next_number(spark, path)
-    version = f"{number:012d}-{uuid.uuid4().hex[:12]}"  # a folder that no stopped job has begun
     columns = [c for c in batches[0].columns if c not in (partition_col, seq_col)]
     tagged = _tagged(None, [b.withColumn(partition_col, part) for b in batches], [*columns, partition_col], seq_col)
-    staging = f"_staging/{version}"
+    staging = f"_staging/{uuid.uuid4().hex}"  # a folder that no stopped job has begun
     tagged.write.partitionBy(partition_col).parquet(f"{path}/{staging}")
     touched = [n for n in folder.names(staging) if n.startswith(f"{partition_col}=")]
     row_schema = T.StructType([f for f in tagged.schema.fields if f.name not in (_BATCH, _SEQ)])
     if not touched:
         folder.remove(staging)
         return spark.createDataFrame([], row_schema)
-    staged = spark.read.schema(tagged.schema).parquet(f"{path}/{staging}")
-    live = [f"{path}/v={state['parts'][n]}/{n}" for n in touched if n in state["parts"]]
-    if live:
-        existing = _read_parts(spark, path, live, row_schema)
-        none = F.lit(None).cast(tagged.schema[_SEQ].dataType)
-        staged = existing.select(*columns, partition_col, F.lit(0).alias(_BATCH), none.alias(_SEQ)).unionByName(staged)
-    merged = _winners(staged, [*columns, partition_col], key_cols, len(batches), seq_col is not None)
-    merged.write.partitionBy(partition_col).mode("errorifexists").parquet(f"{path}/v={version}")
-    written = [n for n in folder.names(f"v={version}") if n.startswith(f"{partition_col}=")]
-    if written != touched:
-        raise RuntimeError(f"{path}: version {version} holds {written}, not {touched}")
-    versions.commit(spark, path, number, {"parts": state["parts"] | {n: version for n in touched}, "schema": json.loads(row_schema.json())})
-    folder.remove(staging)
-    return _read_parts(spark, path, [f"{path}/v={version}/{n}" for n in touched], row_schema)
+    try:
+        for _ in range(attempts):
+            seen = versions.latest(spark, path)
+            parts = seen.state["parts"] if seen.state else {}
+            version = f"{seen.number:012d}-{uuid.uuid4().hex[:12]}"
+            staged = spark.read.schema(tagged.schema).parquet(f"{path}/{staging}")
+            live = [f"{path}/v={parts[n]}/{n}" for n in touched if n in parts]
+            if live:
+                existing = _read_parts(spark, path, live, row_schema)
+                none = F.lit(None).cast(tagged.schema[_SEQ].dataType)
+                staged = existing.select(*columns, partition_col, F.lit(0).alias(_BATCH), none.alias(_SEQ)).unionByName(staged)
+            merged = _winners(staged, [*columns, partition_col], key_cols, len(batches), seq_col is not None)
+            merged.write.partitionBy(partition_col).mode("errorifexists").parquet(f"{path}/v={version}")
+            written = [n for n in folder.names(f"v={version}") if n.startswith(f"{partition_col}=")]
+            if written != touched:
+                raise RuntimeError(f"{path}: version {version} holds {written}, not {touched}")
+            now = {n: f"{path}/v={version}/{n}" for n in touched}
+            kept = {n: f"{path}/v={v}/{n}" for n, v in parts.items() if n not in now}
+            known = (seen.state or {}).get("derived", {})
+            more = {}
+            for name, derive in (derived or {}).items():
+                old = known.get(name, {"parts": {}})["parts"]
+                work = {**now, **{n: at for n, at in kept.items() if n not in old}}
+                more[name] = _write_derived(spark, path, name, version, derive(_read_parts(spark, path, sorted(work.values()), row_schema)), partition_col, list(work))
+            if _commit_parts(spark, path, seen, touched, version, json.loads(row_schema.json()), more):
+                return _read_parts(spark, path, list(now.values()), row_schema)
+            for name in (f"v={version}", *(f"d={d}/v={version}" for d in more)):
+                folder.remove(name)
+        raise versions.Conflict(f"{path}: other jobs published the same partitions {attempts} times meanwhile")
+    finally:
+        folder.remove(staging)
+
+
+def _write_derived(spark: SparkSession, path: str, name: str, version: str, rows: DataFrame, partition_col: str, of: Sequence[str]) -> dict:
+    """Where the derived rows of each partition are (None: it has none), and their schema."""
+    place = f"d={name}/v={version}"
+    rows.write.partitionBy(partition_col).mode("errorifexists").parquet(f"{path}/{place}")
+    there = set(versions.Folder(spark, path).names(place))
+    return {"parts": {n: version if n in there else None for n in of}, "schema": json.loads(rows.schema.json())}
+
+
+def _commit_parts(spark: SparkSession, path: str, seen: versions.Head, touched: Sequence[str], version: str, schema: dict, derived: Mapping[str, dict]) -> bool:
+    """Moves the pointer for the touched partitions; False if another job has changed one of them since ``seen``."""
+    read = seen.state["parts"] if seen.state else {}
+    at = seen
+    while True:
+        state = at.state or {"parts": {}}
+        tables = {}
+        for name in {*state.get("derived", {}), *derived}:
+            before = state.get("derived", {}).get(name, {"parts": {}})
+            # What this write did not derive is no longer there for its partitions.
+            parts = {n: v for n, v in before["parts"].items() if n not in touched} | derived.get(name, {"parts": {}})["parts"]
+            tables[name] = {"parts": parts, "schema": derived.get(name, before)["schema"]}
+        new = {"parts": state["parts"] | {n: version for n in touched}, "schema": schema, "derived": tables}
+        try:
+            versions.commit(spark, path, at.number, new)
+            return True
+        except versions.Conflict:
+            at = versions.latest(spark, path)
+            theirs = at.state["parts"] if at.state else {}
+            used = {*touched, *(n for d in derived.values() for n in d["parts"])}
+            if any(theirs.get(n) != read.get(n) for n in used):
+                return False
 
 
 def _read_parts(spark: SparkSession, path: str, folders: Sequence[str], schema: T.StructType) -> DataFrame:
@@ -163,31 +231,65 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
     return _read_parts(spark, path, [f"{path}/v={v}/{n}" for n, v in sorted(state["parts"].items())], T.StructType.fromJson(state["schema"]))
 
 
-def publish_tables(frames: Mapping[str, DataFrame], base: str) -> int:
+def read_derived(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The rows of a derived table of ``upsert_table``; None if nothing is loaded yet.
+
+    Fails where a partition was loaded without it."""
+    state = versions.head(spark, path)
+    if state is None:
+        return None
+    table = state.get("derived", {}).get(name)
+    lacking = sorted(n for n in state["parts"] if table is None or n not in table["parts"])
+    if lacking:
+        raise RuntimeError(f"{path}: {name} lacks {', '.join(lacking)}; load with derived to work them out")
+    schema = T.StructType.fromJson(table["schema"])
+    places = [f"{path}/d={name}/v={v}/{n}" for n, v in sorted(table["parts"].items()) if v is not None]
+    if not places:
+        return spark.createDataFrame([], schema)
+    return _read_parts(spark, f"{path}/d={name}", places, schema)
+
+
+def publish_tables(frames: Mapping[str, DataFrame], base: str, seen: versions.Head | None = None, partition_cols: Sequence[str] = ()) -> int:
     """Staged publish of tables that belong together: each is written to the
     folder of a new version and read back, then one pointer moves for all.
-    A failure in between leaves all live tables untouched. Returns the
-    version's number."""
+    A failure in between leaves all live tables untouched. ``seen`` is the
+    state from which the frames were worked out: if another job has published
+    since, Conflict is raised and its tables stay. Returns the version's number."""
     spark = next(iter(frames.values())).sparkSession
-    number = versions.next_number(spark, base)
+    number = (seen or versions.latest(spark, base)).number
     tables = {}
     for name, df in frames.items():
         tables[name] = f"v{number:08d}-{uuid.uuid4().hex}/{name}"
-        df.write.mode("errorifexists").parquet(f"{base}/{tables[name]}")
-        if spark.read.parquet(f"{base}/{tables[name]}").columns != df.columns:
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(f"{base}/{tables[name]}")
+        if sorted(spark.read.parquet(f"{base}/{tables[name]}").columns) != sorted(df.columns):
             raise RuntimeError(f"published schema differs in {base}/{tables[name]}")
     versions.commit(spark, base, number, {"tables": tables})
     return number
 
 
-def read_published(spark: SparkSession, base: str, name: str) -> DataFrame | None:
-    """A published table, its pointer resolved once; None if it was never published."""
-    state = versions.head(spark, base)
+def read_published(spark: SparkSession, base: str, name: str, seen: versions.Head | None = None) -> DataFrame | None:
+    """A published table; None if it was never published. A job that reads
+    several tables passes the state it has ``seen`` (``versions.latest``), so
+    that all are of one version."""
+    state = (seen or versions.latest(spark, base)).state
     if state is None or name not in state["tables"]:
         return None
     return spark.read.parquet(f"{base}/{state['tables'][name]}")
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """Report export as CSV with a header row."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str) -> str:
+    """Report export as CSV with a header row, in the folder of a new version
+    that the pointer then names. Returns the folder (also :func:`exported`)."""
+    spark = df.sparkSession
+    number = versions.latest(spark, path).number
+    place = f"v{number:08d}-{uuid.uuid4().hex}/csv"
+    df.write.mode("errorifexists").option("header", True).csv(f"{path}/{place}")
+    versions.commit(spark, path, number, {"export": place})
+    return f"{path}/{place}"
+
+
+def exported(spark: SparkSession, path: str) -> str | None:
+    """The folder of the export that was published last; None if there is none."""
+    state = versions.head(spark, path)
+    return None if state is None else f"{path}/{state['export']}"

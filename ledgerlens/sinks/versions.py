@@ -8,12 +8,27 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
 _POINTERS = "_versions"
 
 
+class Conflict(RuntimeError):
+    """Another job published on the same state first."""
+
+
+@dataclass(frozen=True)
+class Head:
+    """What a job has seen of a folder, in one listing: the current state (None
+    if nothing was ever published) and the number a write on top of it takes.
+    A second write on the same state takes the same number, and fails."""
+
+    state: dict | None
+    number: int
+
+
 class Folder:
     """Small file operations of a store, by Hadoop's file system (driver only)."""
 
@@ -48,33 +63,36 @@ class Folder:
             out.close()
         if self.exists(name) or not self._fs.rename(self._at(draft), self._at(name)):
             self._fs.delete(self._at(draft), False)
-            raise RuntimeError(f"{self.base}/{name} was written by another job")
+            raise Conflict(f"{self.base}/{name} was written by another job")
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
 
-def head(spark: SparkSession, base: str) -> dict | None:
-    """The current state of a folder, or None if nothing was ever published there."""
+def latest(spark: SparkSession, base: str) -> Head:
+    """The current state of a folder and the number above every pointer there is, complete or not."""
     folder = Folder(spark, base)
     pointers = [n for n in folder.names(_POINTERS) if n.endswith(".json")]
+    number = 1 + max([0, *(int(n.removesuffix(".json")) for n in pointers)])
     for name in reversed(pointers):
         try:
             state = json.loads(folder.read(f"{_POINTERS}/{name}"))
         except ValueError:
             continue
         if isinstance(state, dict) and "number" in state:
-            return state
+            return Head(state, number)
     if pointers:
         raise RuntimeError(f"{base}: no pointer in {_POINTERS} is complete")
-    return None
+    return Head(None, number)
 
 
-def commit(spark: SparkSession, base: str, number: int, state: dict) -> None:
-    """Makes ``state`` the current one; fails if another job has published ``number`` meanwhile."""
-    Folder(spark, base).write_new(f"{_POINTERS}/{number:012d}.json", json.dumps(state | {"number": number}))
+def head(spark: SparkSession, base: str) -> dict | None:
+    """The current state of a folder, or None if nothing was ever published there."""
+    return latest(spark, base).state
 
 
-def next_number(spark: SparkSession, base: str) -> int:
-    """One above every pointer there is, complete or not."""
-    return 1 + max([0, *(int(n.removesuffix(".json")) for n in Folder(spark, base).names(_POINTERS) if n.endswith(".json"))])
+def commit(spark: SparkSession, base: str, number: int, state: dict) -> None:
+    """Makes ``state`` the current one; raises Conflict if another job has published ``number`` meanwhile.
+
+    ``number`` is that of the :class:`Head` on which the state was worked out."""
+    Folder(spark, base).write_new(f"{_POINTERS}/{number:012d}.json", json.dumps(state | {"number": number}))

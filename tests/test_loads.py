@@ -13,10 +13,13 @@ from ledgerlens.plans.jobs import cost_refresh
 from ledgerlens.sinks import versions
 from ledgerlens.sinks.tables import (
     export_csv,
+    exported,
     merge_latest,
     publish_tables,
     read_published,
+    read_replaced,
     read_upserted,
+    replace_all,
     replace_range,
     upsert_table,
 )
@@ -146,6 +149,60 @@ def test_errors_are_not_taken_for_an_empty_table(spark, scratch):
         cost_refresh(spark, spark.createDataFrame([], SCHEMA), base, ["a"], "2024-08-01")
 
 
+def _meanwhile(monkeypatch, job):
+    """Runs ``job`` once, just before the next commit."""
+    real, waiting = versions.commit, [job]
+
+    def commit(*a):
+        if waiting:
+            waiting.pop()()
+        real(*a)
+
+    monkeypatch.setattr(versions, "commit", commit)
+
+
+@pytest.mark.parametrize("other", [D3, D1])
+def test_a_load_that_another_job_overtakes_loses_nothing(spark, scratch, monkeypatch, other):
+    """The other job writes another month (its state is built upon) or the same one (merged again)."""
+    path = f"{scratch}/costs"
+    upsert_table(spark, path, [spark.createDataFrame([(D1, "a", "s", 1.0)], SCHEMA)], C.FACT_KEYS)
+    theirs = spark.createDataFrame([(other, "b", "t", 2.0)], SCHEMA)
+    _meanwhile(monkeypatch, lambda: upsert_table(spark, path, [theirs], C.FACT_KEYS))
+    upsert_table(spark, path, [spark.createDataFrame([(D1, "a", "s", 5.0), (D2, "a", "s", 6.0)], SCHEMA)], C.FACT_KEYS)
+    assert _table(spark, path) == sorted([(D1, "a", "s", 5.0), (D2, "a", "s", 6.0), (other, "b", "t", 2.0)], key=lambda t: tuple(str(x) for x in t))
+    assert not versions.Folder(spark, path).names("_staging")
+
+
+def test_a_load_gives_up_when_it_is_always_overtaken(spark, scratch, monkeypatch):
+    path, real = f"{scratch}/costs", versions.commit
+    theirs = [spark.createDataFrame([(D1, "b", "t", 2.0)], SCHEMA)]
+
+    def commit(*a):
+        monkeypatch.setattr(versions, "commit", real)
+        upsert_table(spark, path, theirs, C.FACT_KEYS)
+        monkeypatch.setattr(versions, "commit", commit)
+        real(*a)
+
+    monkeypatch.setattr(versions, "commit", commit)
+    with pytest.raises(versions.Conflict):
+        upsert_table(spark, path, [spark.createDataFrame([(D1, "a", "s", 1.0)], SCHEMA)], C.FACT_KEYS, attempts=2)
+    assert _table(spark, path) == [(D1, "b", "t", 2.0)]
+
+
+def test_tables_are_published_on_the_state_they_were_read_from(spark, scratch):
+    base = f"{scratch}/pub"
+    one = spark.createDataFrame([(D1, "a", "s", 1.0)], SCHEMA)
+    publish_tables({"a": one, "b": one}, base)
+    seen = versions.latest(spark, base)
+    two = one.withColumn("amount", F.lit(2.0))
+    publish_tables({"a": two, "b": two}, base)
+    # Both tables of the state seen belong together; a result of it does not go over the newer one.
+    assert _rows(read_published(spark, base, "a", seen)) == _rows(read_published(spark, base, "b", seen)) == _rows(one)
+    with pytest.raises(versions.Conflict):
+        publish_tables({"a": one, "b": one}, base, seen)
+    assert _rows(read_published(spark, base, "a")) == _rows(two)
+
+
 def test_two_jobs_do_not_publish_the_same_version(spark, scratch):
     versions.commit(spark, scratch, 1, {"tables": {}})
     with pytest.raises(RuntimeError, match="another job"):
@@ -153,9 +210,17 @@ def test_two_jobs_do_not_publish_the_same_version(spark, scratch):
 
 
 def test_export_csv(spark, scratch):
-    export_csv(spark.createDataFrame([("Total", "1.234,50")], "service string, cell_text string"), f"{scratch}/csv")
-    back = spark.read.option("header", True).csv(f"{scratch}/csv").collect()
+    path = f"{scratch}/csv"
+    assert exported(spark, path) is None
+    one = export_csv(spark.createDataFrame([("Total", "1.234,50")], "service string, cell_text string"), path)
+    back = spark.read.option("header", True).csv(one).collect()
     assert [tuple(r) for r in back] == [("Total", "1.234,50")]
+    # A failing export leaves the one before; a later one stands beside it.
+    with pytest.raises(Exception, match="stop"):
+        export_csv(spark.range(1).select(F.raise_error(F.lit("stop")).cast("string").alias("x")), path)
+    assert exported(spark, path) == one
+    two = export_csv(spark.createDataFrame([("Total", "2")], "service string, cell_text string"), path)
+    assert exported(spark, path) == two != one and os.path.isdir(one)
 
 
 def _page(days):
@@ -246,12 +311,17 @@ def test_cost_refresh_windows(spark, scratch):
 
 
 def test_replace_all(spark, scratch):
-    from ledgerlens.sinks.tables import replace_all
-
     path = f"{scratch}/t"
+    assert read_replaced(spark, path) is None
     replace_all(spark.createDataFrame([(D1, "a", "s", 1.0), (D3, "a", "s", 2.0)], SCHEMA), path)
     replace_all(spark.createDataFrame([(D2, "b", "s", 5.0)], SCHEMA), path)
-    assert _rows(spark.read.parquet(path)) == [(D2, "b", "s", 5.0)]
+    assert _rows(read_replaced(spark, path)) == [(D2, "b", "s", 5.0)]
+    bad = spark.createDataFrame([(D2, "b", "s", 6.0)], SCHEMA).withColumn("amount", F.raise_error(F.lit("stop")).cast("double"))
+    with pytest.raises(Exception, match="stop"):
+        replace_all(bad, path)
+    assert _rows(read_replaced(spark, path)) == [(D2, "b", "s", 5.0)]
+    replace_all(spark.createDataFrame([(D1, "a", "s", 1.0)], SCHEMA), path, ["account"])
+    assert _rows(read_replaced(spark, path).select("date", "account", "service", "amount")) == [(D1, "a", "s", 1.0)]
 
 
 def test_table_names_and_service_collapse(spark):
