@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, month_index, month_start, py_month_start, py_shift_month_start
 from ..functions.ratio import money_value, safe_ratio, sum_money
+from . import prefixes as P
 
 FACT_KEYS = ("date", "account", "service")
 
@@ -150,15 +151,42 @@ def latest_date(df: DataFrame, account: str | None = None) -> dt.date | None:
         if top is None:
             return None
         df = df.where(F.col(PARTITION_COLUMN) == F.lit(top))
-    row = df.agg(F.max("date").alias("latest_date")).first()
+    row = df.agg(F.max(P.last_day() if P.is_prefixes(df) else "date").alias("latest_date")).first()
     return None if row is None else row["latest_date"]
 
 
 def latest_loaded(df: DataFrame) -> DataFrame:
     """Latest date and month per account."""
-    return df.groupBy("account").agg(
-        F.max("date").alias("latest_date"), month_start(F.max("date")).alias("latest_month")
-    )
+    day = F.max(P.last_day() if P.is_prefixes(df) else "date")
+    return df.groupBy("account").agg(day.alias("latest_date"), month_start(day).alias("latest_month"))
+
+
+def accounts_between(df: DataFrame, lo: dt.date | None, hi: dt.date | None) -> DataFrame:
+    """Distinct accounts with a row on the days ``lo`` to ``hi``, no NULL among them."""
+    if P.is_prefixes(df):
+        rows = df if lo is None else df.where((F.col(P.MONTH) >= F.lit(py_month_start(lo))) & (P.last_day() >= F.lit(lo)))
+        if hi is not None:
+            last = F.col(P.MONTH) == F.lit(py_month_start(hi))
+            rows = rows.where((F.col(P.MONTH) < F.lit(py_month_start(hi))) | (last & (F.get(P.ROWS, F.lit(hi.day - 1)) > 0)))
+            first = F.col(P.MONTH) == F.lit(py_month_start(lo)) if lo is not None else F.lit(False)
+            if lo is not None and lo.day > 1:  # in the first month there must be a row from lo on, and up to hi
+                most = F.when(last, F.get(P.ROWS, F.lit(hi.day - 1))).otherwise(F.get(P.ROWS, F.lit(P.DAYS - 1)))
+                rows = rows.where(~first | (most > F.get(P.ROWS, F.lit(lo.day - 2))))
+    else:
+        rows = date_range(df, lo, hi)
+    return report_accounts(rows.select("account")).distinct()
+
+
+def _months_between(prefixes: DataFrame, lo: dt.date | None, hi: dt.date | None) -> DataFrame:
+    """Month rows between two days, which must be a month's first and last (the bounds reach the partitions)."""
+    month = F.col(P.MONTH)
+    if lo is not None:
+        if lo.day != 1:
+            raise ValueError(f"month prefixes hold whole months, not those from {lo}")
+        prefixes = prefixes.where(month >= F.lit(lo))
+    if hi is not None:
+        prefixes = prefixes.where(month <= F.lit(py_month_start(hi)))
+    return prefixes
 
 
 def month_anchors(
@@ -171,10 +199,13 @@ def month_anchors(
     account, then newest month first (``ordered=False`` when the rows feed
     another job, to spare a global sort).
     """
+    if P.is_prefixes(df):
+        days = _months_between(df, lo, hi).select("account", F.col(P.MONTH).alias("month_start"), P.last_day().alias("date"))
+    else:
+        days = date_range(df, lo, hi).select("account", month_start("date").alias("month_start"), "date")
     out = (
-        date_range(df, lo, hi)
-        .where(F.col("date").isNotNull())
-        .groupBy("account", month_start("date").alias("month_start"))
+        days.where(F.col("date").isNotNull())
+        .groupBy("account", "month_start")
         .agg(F.max("date").alias("anchor_date"))
         .where(F.col("account").isNotNull())
     )
@@ -293,9 +324,14 @@ def period_metrics(
     """
     anchor = as_date(anchor_date) if anchor_date is not None else latest_date(facts)
     if anchor is None:
-        return _aggregate_periods(facts.withColumn("_k", F.lit(0)).limit(0), (), money_scale)
+        none = P.upto_day(facts, F.lit(1)) if P.is_prefixes(facts) else facts
+        return _aggregate_periods(none.withColumn("_k", F.lit(0)).limit(0), (), money_scale)
     m0 = py_month_start(anchor)
     lo = py_shift_month_start(m0, -HISTORY_MONTHS)
+    if P.is_prefixes(facts):
+        k = F.lit(m0.year * 12 + m0.month - 1) - month_index(P.MONTH)
+        window = P.upto_day(_months_between(facts, lo, m0), F.lit(anchor.day)).withColumn("_k", k)
+        return _ordered_if(ordered, _aggregate_periods(window, (), money_scale))
     k = F.lit(m0.year * 12 + m0.month - 1) - month_index("date")
     window = (
         date_range(facts, lo, anchor)
@@ -312,6 +348,10 @@ def period_metrics_for_month(
     m0 = py_month_start(as_date(month))
     lo = py_shift_month_start(m0, -HISTORY_MONTHS)
     hi = py_shift_month_start(m0, 1)
+    if P.is_prefixes(facts):
+        k = F.lit(m0.year * 12 + m0.month - 1) - month_index(P.MONTH)
+        window = P.upto_day(_months_between(facts, lo, m0), F.lit(P.DAYS)).withColumn("_k", k)
+        return _ordered_if(ordered, _aggregate_periods(window, (), money_scale))
     k = F.lit(m0.year * 12 + m0.month - 1) - month_index("date")
     window = date_range(facts, lo, hi, hi_inclusive=False).withColumn("_k", k)
     return _ordered_if(ordered, _aggregate_periods(window, (), money_scale))
@@ -348,9 +388,16 @@ def period_metrics_for_anchors(
     a = a.withColumnRenamed("account", "_a_account")
 
     bounds = a.agg(F.min("_month").alias("lo"), F.max(anchor_col).alias("hi")).first()
+    prefixes = P.is_prefixes(facts)
     if bounds is None or bounds["lo"] is None:
-        empty = facts.limit(0).withColumn("_k", F.lit(0)).withColumn(anchor_col, F.col("date"))
+        empty = P.upto_day(facts, F.lit(1)) if prefixes else facts
+        empty = empty.limit(0).withColumn("_k", F.lit(0)).withColumn(anchor_col, F.col(P.MONTH if prefixes else "date"))
         return _aggregate_periods(empty, (anchor_col,), money_scale)
+    if prefixes:
+        months = _months_between(facts, bounds["lo"], bounds["hi"])
+        joined = months.join(a, (F.col("account") == F.col("_a_account")) & (F.col(P.MONTH) == F.col("_month")))
+        cut = P.upto_day(joined, F.lit(P.DAYS) if full_month else F.col("_dom"))
+        return _ordered_if(ordered, _aggregate_periods(cut, (anchor_col,), money_scale), (anchor_col,))
     hi = py_shift_month_start(bounds["hi"], 1) if full_month else bounds["hi"]
     f = date_range(facts, bounds["lo"], hi, hi_inclusive=not full_month)
     # Facts are first reduced (map-side partial aggregation) to one row per

@@ -8,7 +8,9 @@ survives (``"total": null`` differs from a missing ``total``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +129,59 @@ def check_unique(df: DataFrame) -> None:
         )
 
 
+def one_per_key(df: DataFrame) -> DataFrame:
+    """One row per (date, tenant), with ``n`` (its rows) and ``conflict`` (their
+    counters differ): the uniqueness checks as part of an aggregation."""
+    differ = (F.min("pods") != F.max("pods")) | (F.min("onboarded") != F.max("onboarded"))
+    row = F.max(F.struct("source_backend", "pods", "onboarded"))
+    found = df.groupBy("date", "tenant").agg(row.alias("_r"), F.count(F.lit(1)).alias("n"), differ.alias("conflict"))
+    return found.select("date", "tenant", "_r.source_backend", "_r.pods", "_r.onboarded", "n", "conflict")
+
+
+class LoadGate:
+    """The checks of a snapshot load, observed while its rows are written.
+
+    Wrap each step's frame, write the last one, then ask :meth:`check`: it
+    fails with the first broken rule (a document that is no object, invalid
+    rows by reason, conflicting keys, doubled keys), as the single checks do,
+    and else gives the load's figures. No frame is read twice and no check is a
+    job of its own. Counts are of the tasks that ran: a task repeated after a
+    lost executor can count its rows twice, which changes no verdict.
+    """
+
+    def __init__(self, sources: Sequence[str]):
+        self.sources = list(sources)
+        self._files, self._rows, self._keys = Observation(), Observation(), Observation()
+
+    def files(self, rows: DataFrame) -> DataFrame:
+        return rows.observe(self._files, F.min(F.when(~F.col("top_is_object"), F.col("path"))).alias("broken"))
+
+    def rows(self, validated: DataFrame) -> DataFrame:
+        reasons = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
+        per = [F.count_if(F.col("reason").isNull() & (F.col("source_backend") == s)).alias(f"rows of {s}") for s in self.sources]
+        return validated.observe(self._rows, *reasons, *per)
+
+    def keys(self, unique: DataFrame) -> DataFrame:
+        key = F.struct(F.col("date").cast("string"), "tenant")
+        first = [F.min(F.when(c, key)).alias(n) for n, c in (("conflict", F.col("conflict")), ("twice", F.col("n") > 1))]
+        return unique.observe(self._keys, *first, F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+
+    def check(self) -> dict:
+        broken = self._files.get["broken"]
+        if broken is not None:
+            raise ValueError(f"file {broken} must hold a JSON object at the top level")
+        seen = self._rows.get
+        bad = ", ".join(f"{r}={seen[r]}" for r in sorted(REASONS) if seen[r])
+        if bad:
+            raise ValueError(f"invalid snapshot rows: {bad}")
+        keys = self._keys.get
+        for name, what in (("conflict", "snapshots with different values for one date/tenant"), ("twice", "several snapshots for one date/tenant")):
+            if keys[name] is not None:
+                raise ValueError(f"{what}: date={keys[name][0]} tenant={keys[name][1]}")
+        rows = {s: seen[f"rows of {s}"] for s in self.sources}
+        return {"rows": rows, "min_date": keys["min_date"], "max_date": keys["max_date"]}
+
+
 def _is_number_text(s: Column) -> Column:
     return s.try_cast("double").isNotNull() & ~F.lower(F.trim(s)).isin("nan", "inf", "-inf", "infinity", "-infinity", "+inf")
 

@@ -4,6 +4,7 @@ reports. Each composes the operators; writes go through the sinks."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,18 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.dates import py_shift_month_start
 from ..operators import costs as C
+from ..operators import prefixes as P
 from ..operators import snapshots as S
 from ..operators import trends as T
 from ..sinks import versions
-from ..sinks.tables import publish_tables, read_published, read_upserted, replace_range, upsert_table
+from ..sinks.tables import publish_tables, read_derived, read_published, read_upserted, replace_range, upsert_table
 from ..sources import snapshot_files as SF
+from ..sources import snapshot_stream as ST
 
 
+#: The derived table of a cost table that holds its month prefixes.
+PREFIXES = "prefixes"
+
 DAILY_SCHEMA = (
     "date date, tenant string, source_backend string, daily_delta bigint, total_pods bigint, "
     "daily_onboarded_delta bigint, onboarded_pods bigint"
@@ -52,11 +58,22 @@ def cost_refresh(
     if exclusions is not None:
         lines = C.exclude_linked_accounts(lines, exclusions)
     facts = C.daily_cost_rollup(lines, money_scale)
-    upsert_table(spark, table_path, [facts], C.FACT_KEYS)
+    upsert_costs(spark, table_path, [facts], money_scale)
     loaded = read_upserted(spark, table_path)
     return C.load_summary(existing if loaded is None else loaded)
 
 
+def upsert_costs(spark: SparkSession, table_path: str, batches: Sequence[DataFrame], money_scale: int | None = None, seq_col: str | None = None) -> DataFrame:
+    """Upsert cost facts with their month prefixes, which move with the same pointer."""
+    derived = {PREFIXES: lambda rows: P.month_prefixes(rows, money_scale)}
+    return upsert_table(spark, table_path, batches, C.FACT_KEYS, C.PARTITION_COLUMN, seq_col=seq_col, derived=derived)
+
+
+def read_prefixes(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """The month prefixes of a cost table: what reports read in place of its facts."""
+    return read_derived(spark, table_path, PREFIXES)
+
+
 def snapshot_refresh(
     spark: SparkSession,
     templates: Mapping[str, str],
@@ -77,36 +94,31 @@ def snapshot_refresh(
     years, bootstrap = SF.target_years(latest, current_year, bootstrap_year)
     paths = SF.build_input_paths(templates, years)
 
-    found_rows = []
-    present: dict[str, list[str]] = {}
-    for source, ps in paths.items():
-        ok = SF.existing_paths(spark, ps)
-        present[source] = ok
-        found_rows += [(source, SF.partition_year(p) or y) for p, y in zip(ps, years) if p in ok]
-    found = spark.createDataFrame(found_rows, "source_backend string, year int")
-    coverage = SF.year_coverage(spark, list(paths), years, found)
+    at = {source: list(zip(years, ps, strict=True)) for source, ps in paths.items()}
+    found = ST.discover(spark, at).where("found").select("source_backend", "year", "path").collect()
+    present = {source: [r["path"] for r in sorted(found) if r["source_backend"] == source] for source in paths}
+    found_rows = [(r["source_backend"], SF.partition_year(r["path"]) or r["year"]) for r in found]
+    coverage = SF.year_coverage(spark, list(paths), years, spark.createDataFrame(found_rows, "source_backend string, year int"))
     bad = coverage.where(
         (F.col("status") == "gap") | ((F.col("status") == "skipped_leading") & F.lit(not bootstrap))
     ).first()
     if bad is not None:
         raise FileNotFoundError(f"snapshot file missing: source={bad['source_backend']} year={bad['year']}")
 
-    rows = SF.flatten(SF.read_texts(spark, present))
-    top_bad = rows.where(~F.col("top_is_object")).select("path").first()
-    if top_bad is not None:
-        raise ValueError(f"file {top_bad['path']} must hold a JSON object at the top level")
-    mode = "bootstrap" if bootstrap else "refresh"
-    files = {s: len(p) for s, p in present.items()}
-    # Parsed once: the quality gate, the uniqueness checks and the trend
-    # rows all read the same validated rows.
-    validated = S.validate_rows(rows).persist()
+    # One job walks the files, checks their rows and keys, and writes them; it is
+    # given up if a check fails, and the trend rows are worked out from what it wrote.
+    staging = f"_staging/{uuid.uuid4().hex}"
+    gate = S.LoadGate(list(paths))
+    validated = gate.rows(S.validate_rows(gate.files(SF.rows_of_items(ST.read_items(spark, present)))))
+    unique = S.one_per_key(S.normalize_snapshots(validated.where(F.col("reason").isNull())))
     try:
-        snaps = S.normalize_snapshots(S.require_valid(validated))
-        S.check_unique(snaps)
-        span = snaps.agg(F.min("date").alias("min_date"), F.max("date").alias("max_date")).first()
-        out = {"mode": mode, "years": years, "files": files, "version": None, "min_date": span["min_date"], "max_date": span["max_date"]}
-        if span["min_date"] is None:
+        gate.keys(unique).select(*S.SNAPSHOT_COLUMNS).write.parquet(f"{base}/{staging}")
+        load = gate.check()
+        mode = "bootstrap" if bootstrap else "refresh"
+        out = {"mode": mode, "years": years, "files": {s: len(p) for s, p in present.items()}, "version": None} | load
+        if load["min_date"] is None:
             return out
+        snaps = spark.read.parquet(f"{base}/{staging}")
         if bootstrap:
             daily_new = T.daily_rows(snaps)
             monthly_new = T.monthly_rows(snaps)
@@ -133,7 +145,7 @@ def snapshot_refresh(
         )
         return out
     finally:
-        validated.unpersist()
+        versions.Folder(spark, base).remove(staging)
 
 
 def cost_report(
@@ -234,7 +246,7 @@ def cost_report_for_period(
     # latest date's month up to that date (its month-to-date window).
     latest = C.latest_date(costs)
     first = latest.replace(day=1) if latest else None
-    listed = C.report_accounts(C.date_range(costs, first, latest).select("account")).distinct()
+    listed = C.accounts_between(costs, first, latest)
     if current:
         # A listed account's latest month is that month, so only it is read.
         own = C.month_anchors(costs, ordered=False, lo=first, hi=latest)

@@ -9,6 +9,7 @@ partitions, checkpoint folder, memory) win.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,3 +76,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "ledge
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
     return spark
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder, for files a job writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

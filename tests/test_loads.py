@@ -23,7 +23,7 @@ from ledgerlens.sinks.tables import (
     replace_range,
     upsert_table,
 )
-from ledgerlens.sources.cost_pages import read_cost_pages
+from ledgerlens.sources.cost_pages import chain_faults, read_cost_pages, read_pages
 from ledgerlens.streaming.cost_landing import start_cost_load
 
 SCHEMA = "date date, account string, service string, amount double"
@@ -363,3 +363,71 @@ def test_service_map_with_a_doubled_raw_name_does_not_multiply_facts(spark):
     dim = spark.createDataFrame([("raw1", "L"), ("raw1", "L"), ("raw2", "M")], "raw string, label string")
     got = _rows(C.label_services(facts, dim))
     assert got == [(D1, "a", "L", 1.0), (D1, "a", "M", 2.0)]
+
+
+def _chain(days, token=None, after=None):
+    return {"ResultsByTime": _page(days)["ResultsByTime"]} | ({"PageToken": token} if token else {}) | ({"NextPageToken": after} if after else {})
+
+
+def _day(i, amount="1"):
+    return (f"2024-01-{i:02d}", [("S3", amount)])
+
+
+def test_a_chain_of_pages_is_read_in_its_order(spark, scratch):
+    """Names and times of the files say another order than the tokens; a path with a blank and a plus."""
+    land = f"{scratch}/land/account=my acct+1/request=r 1"
+    order = ["", "t9", "t3", "t7", "t1"]
+    for k, t in enumerate(order):
+        path = f"{land}/{9 - k}.json"
+        _write_page(path, _chain([_day(1, str(k))], t, order[k + 1] if k < 4 else None))
+        os.utime(path, (1_700_000_000 - 10 * k, 1_700_000_000 - 10 * k))
+    rows = read_cost_pages(spark, f"{scratch}/land")
+    assert [(r["account"], r["amount"]) for r in merge_latest(None, [rows], C.FACT_KEYS, "seq").collect()] == [("my acct+1", 4.0)]
+    assert [r["amount"] for r in rows.orderBy("seq").collect()] == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+@pytest.mark.parametrize(
+    "pages, faults",
+    [
+        ([("", "a"), ("a", "b"), ("b", "")], []),
+        ([("", "a"), ("b", "")], [("missing_page", "a"), ("unasked_page", "b")]),
+        ([("a", "b"), ("b", "")], [("no_first", None), ("unasked_page", "a")]),
+        ([("", "a"), ("a", "b")], [("missing_page", "b"), ("no_end", None)]),
+        ([("", "a"), ("a", ""), ("a", "")], [("doubled_page", "a"), ("two_ends", None)]),
+        ([("", ""), ("", "")], [("two_ends", None), ("two_firsts", None)]),
+        ([("", ""), ("a", "b"), ("b", "c"), ("c", "a")], [("cycle", "3")]),
+    ],
+)
+def test_chain_faults(spark, scratch, pages, faults):
+    for i, (token, after) in enumerate(pages):
+        _write_page(f"{scratch}/land/account=x/request=1/{i}.json", _chain([_day(1 + i)], token, after))
+    got = sorted(((r["fault"], r["detail"]) for r in chain_faults(read_pages(spark, f"{scratch}/land")).collect()), key=str)
+    assert got == faults
+    if faults:
+        with pytest.raises(ValueError, match="incomplete"):
+            read_cost_pages(spark, f"{scratch}/land")
+    else:
+        assert read_cost_pages(spark, f"{scratch}/land").count() == len(pages)
+
+
+@pytest.mark.parametrize(
+    "day, what",
+    [
+        ({"TimePeriod": {"Start": "2024-01-02"}}, "no Groups"),
+        ({"TimePeriod": {"Start": "2024-01-02"}, "Groups": None}, "no Groups"),
+        ({"TimePeriod": {"End": "2024-01-02"}, "Groups": []}, "no start"),
+        ({"Groups": []}, "no start"),
+        ({"TimePeriod": {"Start": "2024-01-02"}, "Groups": [{"Keys": ["s"], "Metrics": {"UnblendedCost": {}}}]}, "no amount"),
+        ({"TimePeriod": {"Start": "2024-01-02"}, "Groups": [{"Keys": ["s"]}]}, "no amount"),
+        ({"TimePeriod": {"Start": "2024-01-02"}, "Groups": [{"Keys": [], "Metrics": {"UnblendedCost": {"Amount": "1"}}}]}, "no key"),
+    ],
+)
+def test_a_page_with_a_part_missing_fails(spark, scratch, day, what):
+    _write_page(f"{scratch}/land/account=x/1.json", {"ResultsByTime": [*_page([_day(1)])["ResultsByTime"], day]})
+    with pytest.raises(Exception, match=what):
+        read_cost_pages(spark, f"{scratch}/land").collect()
+
+
+def test_a_day_without_costs_is_no_error(spark, scratch):
+    _write_page(f"{scratch}/land/account=x/1.json", _page([("2024-01-01", []), _day(2)]))
+    assert read_cost_pages(spark, f"{scratch}/land").count() == 1
