@@ -33,10 +33,16 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _number(x: Column | str) -> Column:
+    """As a double; NaN is no number here, as in the reports."""
+    v = _c(x).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def format_number_it(x: Column | str, decimals: int = 2, sign: bool = False) -> Column:
     """``1234567.5`` -> ``1.234.567,50``; ``+`` before non-negative values
-    when ``sign``; empty text for NULL."""
-    v = _c(x).cast("double")
+    when ``sign``; empty text for NULL and NaN."""
+    v = _number(x)
     body = F.translate(F.format_number(v, decimals), ",.", ".,")
     if sign:
         body = F.when(v >= 0, F.concat(F.lit("+"), body)).otherwise(body)
@@ -46,7 +52,7 @@ def format_number_it(x: Column | str, decimals: int = 2, sign: bool = False) ->
 def format_count_it(x: Column | str, decimals: int = 0, sign: bool = False) -> Column:
     """Pod form of :func:`format_number_it`: prints ``0`` when the value
     rounds to zero."""
-    v = _c(x).cast("double")
+    v = _number(x)
     return F.when(v.isNull(), F.lit("")).when(F.bround(v, decimals) == 0, F.lit("0")).otherwise(
         format_number_it(v, decimals, sign)
     )
@@ -55,7 +61,7 @@ def format_count_it(x: Column | str, decimals: int = 0, sign: bool = False) -> C
 def cost_cell_text(value: Column | str, pct: Column | str) -> Column:
     """Value, then a new line and the signed percentage with one decimal;
     the value only when there is no percentage; empty without a value."""
-    v, p = _c(value), _c(pct)
+    v, p = _number(value), _number(pct)
     pct_text = F.concat(format_number_it(p * 100, 1, sign=True), F.lit("%"))
     return (
         F.when(v.isNull(), F.lit(""))
@@ -66,7 +72,7 @@ def cost_cell_text(value: Column | str, pct: Column | str) -> Column:
 
 def pct_text(pct: Column | str) -> Column:
     """Signed percentage: no decimals from 1 % up, else one decimal."""
-    d = _c(pct) * 100
+    d = _number(pct) * 100
     return F.when(d.isNull(), F.lit("")).otherwise(
         F.concat(
             F.when(F.abs(d) >= 1, format_count_it(d, 0, sign=True)).otherwise(format_count_it(d, 1, sign=True)),
@@ -77,7 +83,7 @@ def pct_text(pct: Column | str) -> Column:
 
 def share_pct_text(value: Column | str, total: Column | str) -> Column:
     """Share of a total as a percentage; empty without a positive total."""
-    v, t = _c(value), _c(total)
+    v, t = _number(value), _number(total)
     s = v / t * 100
     ok = v.isNotNull() & t.isNotNull() & (t > 0)
     return F.when(~ok | v.isNull() | t.isNull(), F.lit("")).otherwise(
@@ -87,7 +93,7 @@ def share_pct_text(value: Column | str, total: Column | str) -> Column:
 
 def trend_class(delta: Column | str, pct: Column | str) -> Column:
     """Sign of the delta, else of the pct: pos / neg / neutral, or empty."""
-    d, p = _c(delta), _c(pct)
+    d, p = _number(delta), _number(pct)
     return (
         F.when(d > 0, "pos")
         .when(d < 0, "neg")
@@ -101,12 +107,12 @@ def trend_class(delta: Column | str, pct: Column | str) -> Column:
 
 def cost_pct_class(pct: Column | str) -> Column:
     """Cost report class from the pct only: negative -> neg, else pos; empty for NULL."""
-    p = _c(pct)
+    p = _number(pct)
     return F.when(p.isNull(), "").when(p < 0, "neg").otherwise("pos")
 
 
 def share_class(value: Column | str, total: Column | str) -> Column:
-    v, t = _c(value), _c(total)
+    v, t = _number(value), _number(total)
     share = F.when(v.isNotNull() & t.isNotNull() & (t > 0), v / t)
     return (
         F.when(share.isNull(), "neutral").when(share >= 0.75, "pos").when(share >= 0.30, "warn").otherwise("neg")

@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, month_index, month_start, py_month_start, py_shift_month_start
@@ -491,12 +491,20 @@ def service_totals(
     )
 
 
-def collapse_duplicate_services(df: DataFrame, group_cols: Sequence[str] = ("account",)) -> DataFrame:
-    """One row per (group, service): the first non-NULL value of every
-    metric. Period metrics are unique per key already; this guards report
-    inputs assembled from elsewhere."""
-    metrics = [c for c in df.columns if c not in (*group_cols, "service")]
-    return df.groupBy(*group_cols, "service").agg(*[F.first(c, ignorenulls=True).alias(c) for c in metrics])
+def collapse_duplicate_services(df: DataFrame, group_cols: Sequence[str] = ("account",), order_col: str | None = None) -> DataFrame:
+    """One row per (group, service): the first known value of every metric in
+    the order of ``order_col``. Without one nothing says which is first, so two
+    different known values fail. Period metrics are unique per key already;
+    this guards report inputs assembled from elsewhere."""
+    metrics = [c for c in df.columns if c not in (*group_cols, "service", order_col)]
+
+    def one(c: str) -> Column:
+        if order_col is not None:
+            return F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order_col)))
+        twice = F.raise_error(F.lit(f"two values of {c} for one service; name an order_col")).cast(df.schema[c].dataType)
+        return F.when(F.min(c) != F.max(c), twice).otherwise(F.max(c))
+
+    return df.groupBy(*group_cols, "service").agg(*[one(c).alias(c) for c in metrics])
 
 
 def report_accounts(df: DataFrame) -> DataFrame:

@@ -71,6 +71,20 @@ dl AS (
 )"""
 
 
+#: The stand-in's facts after an upsert of two batches.
+UPSERTED_CTES = (
+    "ex AS (SELECT * FROM cost_fact_n WHERE date < DATE '2001-07-01')",
+    "b1 AS (SELECT date, account, service, amount * 2 AS amount FROM cost_fact_n WHERE date >= DATE '2001-06-15')",
+    "b2 AS (SELECT date, account, service, amount + 1 AS amount FROM cost_fact_n WHERE date >= DATE '2001-07-15')",
+    "allr AS (SELECT *, 0 AS b FROM ex UNION ALL SELECT *, 1 FROM b1 UNION ALL SELECT *, 2 FROM b2)",
+    "nn AS (SELECT * FROM allr WHERE date IS NOT NULL AND account IS NOT NULL AND service IS NOT NULL)",
+    "ups AS (SELECT date, account, service, amount FROM nn n WHERE NOT EXISTS (SELECT 1 FROM nn m "
+    "WHERE m.date = n.date AND m.account = n.account AND m.service = n.service AND m.b > n.b) "
+    "UNION ALL SELECT date, account, service, amount FROM allr "
+    "WHERE date IS NULL OR account IS NULL OR service IS NULL)",
+)
+
+
 def oracles() -> dict[str, str]:
     q = {}
     q["distinct_accounts"] = with_ctes(
@@ -175,17 +189,7 @@ def oracles() -> dict[str, str]:
         body="SELECT account, COUNT(*) AS rows, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount, "
         "MIN(date) AS min_date, MAX(date) AS max_date FROM incr GROUP BY account",
     )
-    ups = (
-        "ex AS (SELECT * FROM cost_fact_n WHERE date < DATE '2001-07-01')",
-        "b1 AS (SELECT date, account, service, amount * 2 AS amount FROM cost_fact_n WHERE date >= DATE '2001-06-15')",
-        "b2 AS (SELECT date, account, service, amount + 1 AS amount FROM cost_fact_n WHERE date >= DATE '2001-07-15')",
-        "allr AS (SELECT *, 0 AS b FROM ex UNION ALL SELECT *, 1 FROM b1 UNION ALL SELECT *, 2 FROM b2)",
-        "nn AS (SELECT * FROM allr WHERE date IS NOT NULL AND account IS NOT NULL AND service IS NOT NULL)",
-        "ups AS (SELECT date, account, service, amount FROM nn n WHERE NOT EXISTS (SELECT 1 FROM nn m "
-        "WHERE m.date = n.date AND m.account = n.account AND m.service = n.service AND m.b > n.b) "
-        "UNION ALL SELECT date, account, service, amount FROM allr "
-        "WHERE date IS NULL OR account IS NULL OR service IS NULL)",
-    )
+    ups = UPSERTED_CTES
     q["cost_upsert"] = with_ctes(FIXTURE_CTES, *ups, body="SELECT * FROM ups")
     q["load_summary"] = with_ctes(
         FIXTURE_CTES, *ups, body="SELECT COUNT(*) AS total_rows, MIN(date) AS min_date, MAX(date) AS max_date FROM ups"

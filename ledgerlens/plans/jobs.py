@@ -7,7 +7,7 @@ import datetime as dt
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -17,7 +17,7 @@ from ..operators import prefixes as P
 from ..operators import snapshots as S
 from ..operators import trends as T
 from ..sinks import versions
-from ..sinks.tables import publish_tables, read_derived, read_published, read_upserted, replace_range, upsert_table
+from ..sinks.tables import publish_export, publish_tables, read_derived, read_published, read_upserted, replace_range, upsert_table
 from ..sources import snapshot_files as SF
 from ..sources import snapshot_stream as ST
 
@@ -172,8 +172,7 @@ def pod_report(
     monthly: DataFrame, daily: DataFrame, as_of: dt.date | str, metric: str = "total", months: int = 12, days: int = 60
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matrix with text and classes, totals, 30-day row) for one metric."""
-    mw = T.monthly_trend_window(monthly, as_of, months, ordered=False)
-    dw = T.daily_trend_window(daily, as_of, days, ordered=False)
+    mw, dw = T.report_windows(monthly, daily, as_of, months, days)
     matrix = T.trend_matrix(mw, dw, metric, months)
     tenants = T.report_tenants(mw, dw, metric)
     last = T.last_days_row(dw, tenants, metric)
@@ -200,6 +199,35 @@ def wide_cost_report(report: DataFrame, account: str, services: Sequence[str]) -
     return wide.select("Metric", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in ("Total", *services)])
 
 
+def _csv_cell(text: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(text.rlike('[",\\n\\r]'), quoted).otherwise(text), F.lit(""))
+
+
+def cost_report_lines(report: DataFrame) -> DataFrame:
+    """(account, row_position, line): every account's report as CSV lines, a header
+    (position 0) and a line per report row, each with the account's own services
+    in their order. ``report`` comes from :func:`cost_report_for_period`."""
+    cell = F.struct("col_position", "service", "cell_text")
+    rows = report.groupBy("account", "row_position", "row_label").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    values = F.transform("cells", lambda c: _csv_cell(c["cell_text"]))
+    names = F.transform("cells", lambda c: _csv_cell(c["service"]))
+    lines = F.array(
+        F.when(F.col("row_position") == 1, F.struct(F.lit(0).cast("bigint").alias("p"), F.array_join(F.concat(F.array(F.lit("Metric")), names), ",").alias("line"))),
+        F.struct(F.col("row_position").alias("p"), F.array_join(F.concat(F.array(_csv_cell(F.col("row_label"))), values), ",").alias("line")),
+    )
+    out = rows.select("account", F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("l"))
+    return out.select("account", F.col("l.p").alias("row_position"), "l.line")
+
+
+def export_cost_reports(report: DataFrame, path: str) -> str:
+    """Every account's report as a CSV file of its own (folder ``account=<name>``),
+    written in one job and then named by the pointer (``sinks.tables.exported``).
+    Returns the folder."""
+    lines = cost_report_lines(report).repartition("account").sortWithinPartitions("account", "row_position")
+    return publish_export(lines.select("account", "line").write.partitionBy("account").text, lines.sparkSession, path)
+
+
 def wide_pod_report(matrix: DataFrame, totals: DataFrame, last_days: DataFrame, tenants: Sequence[str]) -> DataFrame:
     """The pod report for export: a row per month, newest first, then the
     30-day row; columns ``period`` (its month's first day, or ``last_days``),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import cost_oracles, cost_queries, snapshot_oracles, snapshot_queries
+from . import cost_oracles, cost_queries, snapshot_oracles, snapshot_queries, store_oracles, store_queries
 
 
 def _configured(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,7 +22,7 @@ def _configured(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {}
-    for registry in (cost_queries.QUERIES, snapshot_queries.QUERIES):
+    for registry in (cost_queries.QUERIES, snapshot_queries.QUERIES, store_queries.QUERIES):
         for key, fn in registry.items():
             out[key] = _configured(fn)
     return out
@@ -32,4 +32,5 @@ def all_oracles() -> dict[str, str]:
     out = {}
     out.update(cost_oracles.oracles())
     out.update(snapshot_oracles.oracles())
+    out.update(store_oracles.oracles())
     return out

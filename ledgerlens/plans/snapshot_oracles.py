@@ -146,7 +146,7 @@ l30 AS (
 )"""
 
 
-_TREND_BASE = (SNAPSHOT_CTES, DAILY_CTE, MONTH_END_CTE, MONTHLY_CTE)
+TREND_BASE = (SNAPSHOT_CTES, DAILY_CTE, MONTH_END_CTE, MONTHLY_CTE)
 
 
 def oracles() -> dict[str, str]:
@@ -203,18 +203,18 @@ def oracles() -> dict[str, str]:
         "FROM exp e LEFT JOIN fnd f ON f.source_backend = e.source_backend AND f.year = e.year "
         "LEFT JOIN first_year fy ON fy.source_backend = e.source_backend",
     )
-    q["daily_delta"] = with_ctes(*_TREND_BASE, body="SELECT * FROM daily")
-    q["month_end_snapshot"] = with_ctes(*_TREND_BASE, body="SELECT * FROM month_end")
-    q["monthly_delta"] = with_ctes(*_TREND_BASE, body="SELECT * FROM monthly")
+    q["daily_delta"] = with_ctes(*TREND_BASE, body="SELECT * FROM daily")
+    q["month_end_snapshot"] = with_ctes(*TREND_BASE, body="SELECT * FROM month_end")
+    q["monthly_delta"] = with_ctes(*TREND_BASE, body="SELECT * FROM monthly")
     q["seed_values"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         SEED_CTES,
         body="SELECT 'daily' AS kind, * FROM dseed UNION ALL SELECT 'monthly', * FROM mseed",
     )
-    q["daily_delta_seeded"] = with_ctes(*_TREND_BASE, SEED_CTES, body="SELECT * FROM daily_2001")
-    q["monthly_delta_seeded"] = with_ctes(*_TREND_BASE, SEED_CTES, body="SELECT * FROM monthly_2001")
+    q["daily_delta_seeded"] = with_ctes(*TREND_BASE, SEED_CTES, body="SELECT * FROM daily_2001")
+    q["monthly_delta_seeded"] = with_ctes(*TREND_BASE, SEED_CTES, body="SELECT * FROM monthly_2001")
     q["replace_range"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         SEED_CTES,
         "again AS (SELECT date, tenant, source_backend, pods + day(date) AS pods, onboarded + 2 AS onboarded "
         "FROM region_snap WHERE year(date) = 2001 AND day(date) % 9 <> 4)",
@@ -227,14 +227,14 @@ def oracles() -> dict[str, str]:
         "WINDOW w AS (PARTITION BY s.tenant ORDER BY s.date))",
         body="SELECT * FROM daily WHERE year(date) <> 2001 UNION ALL SELECT * FROM again_daily",
     )
-    q["monthly_trend_window"] = with_ctes(*_TREND_BASE, WINDOW_CTES, body="SELECT * FROM mw")
-    q["daily_trend_window"] = with_ctes(*_TREND_BASE, WINDOW_CTES, body="SELECT * FROM dw")
-    q["trend_matrix_total"] = with_ctes(*_TREND_BASE, WINDOW_CTES, _matrix_ctes("total_pods"), body="SELECT * FROM matrix")
+    q["monthly_trend_window"] = with_ctes(*TREND_BASE, WINDOW_CTES, body="SELECT * FROM mw")
+    q["daily_trend_window"] = with_ctes(*TREND_BASE, WINDOW_CTES, body="SELECT * FROM dw")
+    q["trend_matrix_total"] = with_ctes(*TREND_BASE, WINDOW_CTES, _matrix_ctes("total_pods"), body="SELECT * FROM matrix")
     q["trend_matrix_onboarded"] = with_ctes(
-        *_TREND_BASE, WINDOW_CTES, _matrix_ctes("onboarded_pods"), body="SELECT * FROM matrix"
+        *TREND_BASE, WINDOW_CTES, _matrix_ctes("onboarded_pods"), body="SELECT * FROM matrix"
     )
     q["trend_totals"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         WINDOW_CTES,
         _matrix_ctes("total_pods"),
         "tt AS (SELECT month_start, COALESCE(SUM(value), 0.0) AS value, "
@@ -244,7 +244,7 @@ def oracles() -> dict[str, str]:
         "LEFT JOIN tt p ON p.month_start = CAST(t.month_start - INTERVAL 1 MONTH AS DATE)",
     )
     q["trend_pivot"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         WINDOW_CTES,
         _matrix_ctes("total_pods"),
         body="SELECT month_start, "
@@ -256,7 +256,7 @@ def oracles() -> dict[str, str]:
         return f"SUM({value}) AS \"Total\", " + ", ".join(f"MAX({value}) FILTER (WHERE tenant = '{t}') AS \"{t}\"" for t in names)
 
     q["pod_report_wide"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         WINDOW_CTES,
         _matrix_ctes("total_pods"),
         _last_days_ctes("dw", "ten", "total_pods"),
@@ -264,10 +264,24 @@ def oracles() -> dict[str, str]:
         f"UNION ALL SELECT 'last_days', {wide('delta')} FROM l30",
     )
     q["last_30_days"] = with_ctes(
-        *_TREND_BASE, WINDOW_CTES, _last_days_ctes("dw", "ten", "total_pods"), body="SELECT * FROM l30"
+        *TREND_BASE, WINDOW_CTES, _last_days_ctes("dw", "ten", "total_pods"), body="SELECT * FROM l30"
+    )
+    q["last_30_days_every_day"] = with_ctes(
+        *TREND_BASE,
+        "obs AS (SELECT DISTINCT date FROM daily)",
+        "cal AS (SELECT CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS as_of FROM obs)",
+        "known AS (SELECT c.as_of, o.date AS latest_date FROM cal c ASOF JOIN obs o ON c.as_of >= o.date)",
+        "shown AS (SELECT DISTINCT k.as_of, d.tenant, k.latest_date FROM known k JOIN daily d ON d.date BETWEEN k.as_of - 59 AND k.as_of)",
+        "now AS (SELECT s.*, CASE WHEN d.date >= s.as_of - 59 THEN d.total_pods END AS v FROM shown s "
+        "ASOF LEFT JOIN daily d ON s.tenant = d.tenant AND s.latest_date >= d.date)",
+        "then_ AS (SELECT n.*, n.latest_date - 30 AS base_date FROM now n)",
+        "pair_ AS (SELECT t.*, CASE WHEN d.date >= t.as_of - 59 THEN d.total_pods END AS b FROM then_ t "
+        "ASOF LEFT JOIN daily d ON t.tenant = d.tenant AND t.base_date >= d.date)",
+        "vals AS (SELECT as_of, tenant, latest_date, COALESCE(CAST(v AS DOUBLE), 0.0) AS value, COALESCE(CAST(b AS DOUBLE), 0.0) AS baseline_value FROM pair_)",
+        body="SELECT *, value - baseline_value AS delta, (value - baseline_value) / NULLIF(baseline_value, 0) AS pct FROM vals",
     )
     q["last_30_days_total"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         WINDOW_CTES,
         _last_days_ctes("dw", "ten", "total_pods"),
         body="SELECT value, reference_value, baseline_value, value - baseline_value AS delta, "
@@ -287,7 +301,7 @@ def oracles() -> dict[str, str]:
         body="SELECT * FROM l30",
     )
     q["onboarded_share"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         WINDOW_CTES,
         _matrix_ctes("onboarded_pods"),
         body="SELECT month_start, tenant, value, reference_value, "
@@ -297,11 +311,11 @@ def oracles() -> dict[str, str]:
         "ELSE 'neg' END AS share_class FROM matrix",
     )
     q["latest_monthly_rows"] = with_ctes(
-        *_TREND_BASE, body="SELECT * FROM monthly ORDER BY month_start DESC, tenant LIMIT 20"
+        *TREND_BASE, body="SELECT * FROM monthly ORDER BY month_start DESC, tenant LIMIT 20"
     )
-    q["latest_daily_rows"] = with_ctes(*_TREND_BASE, body="SELECT * FROM daily ORDER BY date DESC, tenant LIMIT 20")
+    q["latest_daily_rows"] = with_ctes(*TREND_BASE, body="SELECT * FROM daily ORDER BY date DESC, tenant LIMIT 20")
     q["tenant_order"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         WINDOW_CTES,
         _matrix_ctes("total_pods"),
         _last_days_ctes("dw", "ten", "total_pods"),
@@ -311,9 +325,9 @@ def oracles() -> dict[str, str]:
         "CAST(row_number() OVER (ORDER BY cm.current_value DESC NULLS LAST, COALESCE(l30.delta, 0.0) DESC, "
         "lower(cm.tenant), cm.tenant) AS BIGINT) AS rank FROM cm LEFT JOIN l30 ON l30.tenant = cm.tenant",
     )
-    q["distinct_keys"] = with_ctes(*_TREND_BASE, WINDOW_CTES, body="SELECT tenant FROM ten")
+    q["distinct_keys"] = with_ctes(*TREND_BASE, WINDOW_CTES, body="SELECT tenant FROM ten")
     q["trend_class"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         WINDOW_CTES,
         _matrix_ctes("total_pods"),
         body="SELECT month_start, tenant, CASE WHEN delta > 0 THEN 'pos' WHEN delta < 0 THEN 'neg' "
@@ -323,7 +337,7 @@ def oracles() -> dict[str, str]:
     pct_d = "(pct * 100)"
     share_d = "(value / reference_value * 100)"
     q["pod_report_text"] = with_ctes(
-        *_TREND_BASE,
+        *TREND_BASE,
         WINDOW_CTES,
         _matrix_ctes("onboarded_pods"),
         body="SELECT month_start, tenant, "

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import snapshots as S
 from ..operators import trends as T
+from ..operators.asof import last_days_rows
 from ..plans.jobs import pod_report, wide_pod_report
 from ..sinks.tables import replace_range
 from ..sources import fixtures as fx
@@ -39,10 +40,7 @@ def monthly_table(spark, sf_dir) -> DataFrame:
 
 
 def _windows(spark, sf_dir):
-    return (
-        T.monthly_trend_window(monthly_table(spark, sf_dir), AS_OF, MONTHS, ordered=False),
-        T.daily_trend_window(daily_table(spark, sf_dir), AS_OF, DAYS, ordered=False),
-    )
+    return T.report_windows(monthly_table(spark, sf_dir), daily_table(spark, sf_dir), AS_OF, MONTHS, DAYS)
 
 
 def q_snapshot_normalize(spark, sf_dir):
@@ -184,7 +182,14 @@ def q_latest_daily_rows(spark, sf_dir):
 
 
 def q_tenant_order(spark, sf_dir):
-    return T.tenant_order(q_trend_matrix_total(spark, sf_dir), q_last_30_days(spark, sf_dir))
+    m, d = _windows(spark, sf_dir)
+    last = T.last_days_row(d, T.report_tenants(m, d, "total"), "total", WINDOW_DAYS)
+    return T.tenant_order(T.trend_matrix(m, d, "total", MONTHS), last)
+
+
+def q_last_30_days_every_day(spark, sf_dir):
+    """The 30-day row as of every day at once."""
+    return last_days_rows(daily_table(spark, sf_dir), "total_pods", WINDOW_DAYS, DAYS)
 
 
 def q_distinct_keys(spark, sf_dir):
@@ -240,5 +245,6 @@ QUERIES = {
     "latest_monthly_rows": q_latest_monthly_rows,
     "latest_daily_rows": q_latest_daily_rows,
     "tenant_order": q_tenant_order,
+    "last_30_days_every_day": q_last_30_days_every_day,
     "distinct_keys": q_distinct_keys,
 }

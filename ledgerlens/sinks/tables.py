@@ -278,17 +278,20 @@ def read_published(spark: SparkSession, base: str, name: str, seen: versions.Hea
     return spark.read.parquet(f"{base}/{state['tables'][name]}")
 
 
-def export_csv(df: DataFrame, path: str) -> str:
-    """Report export as CSV with a header row, in the folder of a new version
-    that the pointer then names. Returns the folder (also :func:`exported`)."""
-    spark = df.sparkSession
+def publish_export(write: Callable[[str], None], spark: SparkSession, path: str) -> str:
+    """Files written (``write(folder)``) to the folder of a new version, which the pointer then names."""
     number = versions.latest(spark, path).number
     place = f"v{number:08d}-{uuid.uuid4().hex}/csv"
-    df.write.mode("errorifexists").option("header", True).csv(f"{path}/{place}")
+    write(f"{path}/{place}")
     versions.commit(spark, path, number, {"export": place})
     return f"{path}/{place}"
 
 
+def export_csv(df: DataFrame, path: str) -> str:
+    """Report export as CSV with a header row, published by pointer. Returns the folder (also :func:`exported`)."""
+    return publish_export(df.write.mode("errorifexists").option("header", True).csv, df.sparkSession, path)
+
+
 def exported(spark: SparkSession, path: str) -> str | None:
     """The folder of the export that was published last; None if there is none."""
     state = versions.head(spark, path)

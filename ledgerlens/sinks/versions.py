@@ -65,6 +65,12 @@ class Folder:
             self._fs.delete(self._at(draft), False)
             raise Conflict(f"{self.base}/{name} was written by another job")
 
+    def move(self, name: str, to: str) -> None:
+        target = self._at(to)
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._at(name), target):
+            raise RuntimeError(f"{self.base}/{name} could not be moved to {to}")
+
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
