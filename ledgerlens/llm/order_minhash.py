@@ -167,19 +167,24 @@ def with_next(docs: DataFrame, extra: dict[str, Column], following: dict[str, st
     cuts = _cuts(docs.select(*[c.alias(name) for c, name in zip(parts.values(), ("has", "id", "h"), strict=True)]))
     carried = list(following)
     rows = docs.withColumns(parts)
-    own = F.struct(F.col(has).alias("0"), F.col(key).alias("1"), F.col(h).alias("2"))
     column = lambda j: F.split(F.lit(" ".join(str(c[j]) for c in cuts)), " ").cast("array<bigint>")
     if cuts:
         first = [0]
         for c in cuts:
             first.append(first[-1] + c[3])
-        keys = F.arrays_zip(column(0), column(1), column(2))  # folded to one literal
+        cut = [column(j) for j in range(3)]  # each is folded to one literal (their zip would not be)
+        own = [F.col(c) for c in (has, key, h)]
+
+        def reached(at: Column) -> Column:
+            a, b, c = (F.get(x, at) for x in cut)
+            return (a < own[0]) | ((a == own[0]) & ((b < own[1]) | ((b == own[1]) & (c <= own[2]))))
+
         firsts = F.split(F.lit(" ".join(map(str, first))), " ").cast("array<bigint>")
         total = first[-1]
         powers = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
-        rows = rows.withColumn(place, _furthest(powers, lambda t: F.get(keys, t - 1) <= own) - 1)
+        rows = rows.withColumn(place, _furthest(powers, lambda t: reached(t - 1)) - 1)
         last = F.get(firsts, F.col(place) + 1) - 1
-        is_cut = F.get(keys, F.col(place)) == own
+        is_cut = (F.get(cut[0], F.col(place)) == own[0]) & (F.get(cut[1], F.col(place)) == own[1]) & (F.get(cut[2], F.col(place)) == own[2])
         width = last - F.get(firsts, F.col(place)) + 1
         dealt = F.when(is_cut & (width > 1), F.get(firsts, F.col(place)) + F.floor(F.rand(12) * width)).otherwise(last)
     else:
