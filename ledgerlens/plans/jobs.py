@@ -17,7 +17,7 @@ from ..operators import prefixes as P
 from ..operators import snapshots as S
 from ..operators import trends as T
 from ..sinks import versions
-from ..sinks.tables import publish_export, publish_tables, read_derived, read_published, read_upserted, replace_range, upsert_table
+from ..sinks.tables import latest_published, publish_export, publish_tables, read_derived, read_published, read_upserted, replace_range, stored_summary, upsert_table
 from ..sources import snapshot_files as SF
 from ..sources import snapshot_stream as ST
 
@@ -59,8 +59,8 @@ def cost_refresh(
         lines = C.exclude_linked_accounts(lines, exclusions)
     facts = C.daily_cost_rollup(lines, money_scale)
     upsert_costs(spark, table_path, [facts], money_scale)
-    loaded = read_upserted(spark, table_path)
-    return C.load_summary(existing if loaded is None else loaded)
+    loaded = stored_summary(spark, table_path)
+    return C.load_summary(existing) if loaded is None else loaded
 
 
 def upsert_costs(spark: SparkSession, table_path: str, batches: Sequence[DataFrame], money_scale: int | None = None, seq_col: str | None = None) -> DataFrame:
@@ -90,7 +90,9 @@ def snapshot_refresh(
     seen = versions.latest(spark, base)  # both tables are read from it, and the result goes on top of it
     daily_old = read_published(spark, base, "daily", seen)
     monthly_old = read_published(spark, base, "monthly", seen)
-    latest = SF.latest_loaded_date(daily_old, monthly_old)
+    latest = latest_published(spark, base, "daily", "date", seen)
+    if latest is None:
+        latest = latest_published(spark, base, "monthly", "month_start", seen)
     years, bootstrap = SF.target_years(latest, current_year, bootstrap_year)
     paths = SF.build_input_paths(templates, years)
 

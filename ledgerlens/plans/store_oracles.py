@@ -31,6 +31,7 @@ def oracles() -> dict[str, str]:
     costs = cost_oracles()
     q = {}
     q["upserted_table"] = costs["cost_upsert"]
+    q["stored_summary"] = costs["load_summary"]
     q["prefix_metrics_latest"] = with_ctes(
         FIXTURE_CTES, *UPSERTED_CTES, LOADED_CTE, _over(metrics_cte("pm", "(SELECT MAX(date) FROM loaded)"), "loaded"), body="SELECT * FROM pm"
     )

@@ -14,7 +14,7 @@ from ..operators import snapshots as S
 from ..operators import trends as T
 from ..session import work_folder
 from ..sinks import versions
-from ..sinks.tables import merge_latest, publish_tables, read_published, read_replaced, read_upserted, replace_all
+from ..sinks.tables import merge_latest, publish_tables, read_published, read_replaced, read_upserted, replace_all, stored_summary
 from ..sources import cost_pages as CP
 from ..sources import fixtures as fx
 from ..sources import snapshot_files as SF
@@ -56,6 +56,11 @@ def q_upserted_table(spark, sf_dir):
     return read_upserted(spark, _two_loads(spark, sf_dir)).select("date", "account", "service", "amount")
 
 
+def q_stored_summary(spark, sf_dir):
+    """The loaded table's rows and span, from the footers of its files."""
+    return stored_summary(spark, _two_loads(spark, sf_dir))
+
+
 def q_prefix_metrics_latest(spark, sf_dir):
     """Month-to-date metrics at the latest date, from the month prefixes alone."""
     return C.period_metrics(_labelled_prefixes(spark, _two_loads(spark, sf_dir)), None, money_scale=SCALE)
@@ -240,6 +245,7 @@ def q_cost_report_exports(spark, sf_dir):
 
 QUERIES = {
     "upserted_table": q_upserted_table,
+    "stored_summary": q_stored_summary,
     "prefix_metrics_latest": q_prefix_metrics_latest,
     "prefix_metrics_all_anchors": q_prefix_metrics_all_anchors,
     "prefix_report_for_past_month": q_prefix_report_for_past_month,

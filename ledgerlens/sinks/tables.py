@@ -249,6 +249,59 @@ def read_derived(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     return _read_parts(spark, f"{path}/d={name}", places, schema)
 
 
+_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+#: Formats that are read by the older source interface, which knows no aggregates.
+_OLDER = "spark.sql.sources.useV1SourceList"
+
+
+def _footer_frame(spark: SparkSession, folders: Sequence[str], schema: T.StructType) -> DataFrame:
+    """Rows that are only counted, or asked for the least and greatest of a
+    date or number: Spark takes those from the footers and reads no row group."""
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    older = spark.conf.get(_OLDER)
+    spark.conf.set(_OLDER, ",".join(f for f in older.split(",") if f != "parquet"))
+    try:
+        return spark.read.schema(schema).parquet(*folders)
+    finally:
+        spark.conf.set(_OLDER, older)
+
+
+def stored_summary(spark: SparkSession, path: str, column: str = "date") -> DataFrame | None:
+    """total_rows, min_date and max_date of a table written by ``upsert_table``,
+    from the footers of its files; None if there is no table yet."""
+    state = versions.head(spark, path)
+    if state is None:
+        return None
+    schema = T.StructType([T.StructField(column, T.StructType.fromJson(state["schema"])[column].dataType)])
+    # Files whose dates are all NULL have no extremes in their footers; they are in the NULL partition.
+    dated = [f"{path}/v={v}/{n}" for n, v in sorted(state["parts"].items()) if not n.endswith(f"={_NULL_PARTITION}")]
+    undated = [f"{path}/v={v}/{n}" for n, v in state["parts"].items() if n.endswith(f"={_NULL_PARTITION}")]
+    parts = []
+    if dated:
+        parts.append(_footer_frame(spark, dated, schema).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")))
+    if undated:
+        none = F.lit(None).cast(schema[column].dataType)
+        parts.append(_footer_frame(spark, undated, schema).agg(F.count("*").alias("n")).select("n", none.alias("lo"), none.alias("hi")))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return both.agg(F.sum("n").alias("total_rows"), F.min("lo").alias("min_date"), F.max("hi").alias("max_date"))
+
+
+def latest_published(spark: SparkSession, base: str, name: str, column: str, seen: versions.Head | None = None) -> object | None:
+    """The greatest value of a date or number column of a published table, from the
+    footers of its files; None without a table or a value."""
+    state = (seen or versions.latest(spark, base)).state
+    if state is None or name not in state["tables"]:
+        return None
+    folder = f"{base}/{state['tables'][name]}"
+    schema = T.StructType([spark.read.parquet(folder).schema[column]])
+    try:
+        return _footer_frame(spark, [folder], schema).agg(F.max(column)).first()[0]
+    except Exception as e:
+        if "No min/max found" not in str(e):
+            raise
+        return spark.read.parquet(folder).agg(F.max(column)).first()[0]  # a file with NULLs alone
+
+
 def publish_tables(frames: Mapping[str, DataFrame], base: str, seen: versions.Head | None = None, partition_cols: Sequence[str] = ()) -> int:
     """Staged publish of tables that belong together: each is written to the
     folder of a new version and read back, then one pointer moves for all.

@@ -14,6 +14,7 @@ from ledgerlens.sinks import versions
 from ledgerlens.sinks.tables import (
     export_csv,
     exported,
+    latest_published,
     merge_latest,
     publish_tables,
     read_published,
@@ -21,6 +22,7 @@ from ledgerlens.sinks.tables import (
     read_upserted,
     replace_all,
     replace_range,
+    stored_summary,
     upsert_table,
 )
 from ledgerlens.sources.cost_pages import chain_faults, read_cost_pages, read_pages
@@ -431,3 +433,17 @@ def test_a_page_with_a_part_missing_fails(spark, scratch, day, what):
 def test_a_day_without_costs_is_no_error(spark, scratch):
     _write_page(f"{scratch}/land/account=x/1.json", _page([("2024-01-01", []), _day(2)]))
     assert read_cost_pages(spark, f"{scratch}/land").count() == 1
+
+
+def test_summaries_come_from_file_footers(spark, scratch):
+    path, base = f"{scratch}/costs", f"{scratch}/pub"
+    assert stored_summary(spark, path) is None and latest_published(spark, base, "daily", "date") is None
+    upsert_table(spark, path, [spark.createDataFrame([(D1, "a", "s", 1.0), (None, "a", "s", 2.0), (D3, "b", "s", 3.0)], SCHEMA)], C.FACT_KEYS)
+    upsert_table(spark, path, [spark.createDataFrame([(D2, "a", "s", 1.0)], SCHEMA)], C.FACT_KEYS)
+    summary = stored_summary(spark, path)
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(date), MAX(date)]" in plan and "PushedAggregation: [COUNT(*)]" in plan
+    assert tuple(summary.first()) == (4, D1, D3) == tuple(C.load_summary(read_upserted(spark, path)).first())
+    publish_tables({"daily": spark.createDataFrame([(D2,), (D3,), (None,)], "date date"), "none": spark.createDataFrame([], "date date")}, base)
+    assert latest_published(spark, base, "daily", "date") == D3
+    assert latest_published(spark, base, "none", "date") is None and latest_published(spark, base, "other", "date") is None
