@@ -22,8 +22,10 @@ probability 7e-5 (0.85: 8e-7, 0.9: 1e-9).
 Defined cases: a null text is alone in its class. Texts without words are equal
 only as whole texts. Rows with the same doc_id and text are one document.
 One document of each class is kept: the one with the least doc_id (null first)
-and, where several texts have that id, the least MD5. Extra columns
-are not read by ``classes`` and are passed through by ``dedup``.
+and, where several texts have that id, the least MD5. Empty texts are equal
+texts without words. An empty table has no classes. A very long text is signed
+and compared whole, by one task. Extra columns are not read by ``classes`` and
+are passed through by ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import checkpoint
+from .shared import checkpoint, unused
 from .textbatch import SPACED, chunks, mix64, seeded, utf8, words_of
 
 SHINGLE = 5
@@ -306,7 +308,9 @@ def classes(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int
 
     # Only texts that share a bucket leave their place, once.
     wanted = nodes.select("id", "at", "fp").join(buckets.select("id").distinct(), "id")
-    texts = checkpoint(_texts(docs).join(wanted, ["at", "fp"]).select("id", "body"))
+    # Rows that repeat an id and its text are one text, put together where they are first.
+    bodies = _texts(docs).groupBy("at", "fp").agg(F.any_value("body").alias("body"))
+    texts = checkpoint(bodies.join(wanted, ["at", "fp"]).select("id", "body"))
     edges = checkpoint(_verified(near, texts, width, at_least))
     labels = components(edges)
 
@@ -329,10 +333,11 @@ def report(docs: DataFrame, **how) -> DataFrame:
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with its own columns, one document of each class: the one with the least (doc_id, MD5)."""
     found = checkpoint(classes(docs, **how))
-    gone = found.where("not kept").select(F.col("at").alias("_at"), F.col("fp").alias("_fp")).distinct()
+    at, fp = unused(docs, "at", "fp")
+    gone = found.where("not kept").select(F.col("at").alias(at), F.col("fp").alias(fp)).distinct()
     here = F.unhex(F.md5(F.col("text").cast("string")))
-    out = docs.join(gone, (_at() == F.col("_at")) & (here == F.col("_fp")), "left_anti")
+    out = docs.join(gone, (_at() == F.col(at)) & (here == F.col(fp)), "left_anti")
     if not found.groupBy("at").count().where("count > 1").isEmpty():
         # Rows that repeat a doc_id: one of each (doc_id, text) stays.
-        out = out.withColumn("_fp", here).dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+        out = out.withColumn(fp, here).dropDuplicates(["doc_id", fp]).drop(fp)
     return out

@@ -7,6 +7,7 @@ from urllib.parse import urlsplit
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -41,12 +42,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``docs``, each as likely as any other (all rows if there are fewer), checkpointed.
+    """About ``rows`` different rows of ``docs`` (all that differ, if there are fewer), checkpointed.
 
-    Rows are chosen where they are, so no task gathers them.
+    Rows are chosen by a hash of what they hold, so the sample does not depend
+    on how the table is laid out; rows that repeat count once.
     """
     n = docs.count()
-    return checkpoint(docs.sample(rows / n, seed=1) if n > rows else docs)
+    chosen = docs.where(F.pmod(F.xxhash64(F.lit(1), *docs.columns), F.lit(n)) < rows) if n > rows else docs
+    return checkpoint(chosen.distinct())
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

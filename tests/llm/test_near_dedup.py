@@ -168,3 +168,18 @@ def test_near_copies_without_an_own_id(spark, docs_frame):
     assert sorted(map(tuple, near_dedup.report(frame).collect()), key=str) == sorted(want, key=str)
     kept = sorted(((r.doc_id, r.text) for r in near_dedup.dedup(frame).collect()), key=str)
     assert kept == sorted({d for d, w in zip(docs, want, strict=True) if w[2]}, key=str) and len(kept) == 7
+
+
+def test_a_text_repeated_without_ids_is_compared_once(spark, docs_frame, monkeypatch):
+    """Two near texts, 200 rows each: one pair of texts, not 40,000."""
+    one = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, one)] * 200 + [(None, one.replace("w50", "x"))] * 200
+    pairs, real = [], near_dedup._verified
+
+    def verified(found, texts, *how):
+        pairs.append((found.count(), texts.count()))
+        return real(found, texts, *how)
+
+    monkeypatch.setattr(near_dedup, "_verified", verified)
+    got = near_dedup.classes(docs_frame(rows).repartition(4)).collect()
+    assert pairs == [(1, 2)] and len(got) == 400 and sum(r.kept for r in got) == 200
