@@ -6,9 +6,11 @@ task keeps a fixed number of open bins in a bitset keyed by free space: a piece
 goes to the open bin it leaves least room in; where none fits and the number is
 reached, the fullest bin closes. Pieces of bins that are still open when a task
 ends are not given away half empty: they go on to the next level, with fewer
-tasks, until one task holds what is left (a level hands on at most ``open_bins``
-bins per task, so the levels shrink fast and no task ever holds more than its
-share). Every level is checkpointed, so sequence ids stay as they were made.
+tasks, until one task holds what is left. A level's task gets the ids of
+``LEVEL_BINS`` times as many bins as it may leave open, however many pieces they
+are, so each level hands on at most about a quarter of what it got and their
+number grows with the logarithm of the input. Every level is checkpointed, so
+sequence ids stay as they were made.
 
 Defined cases: a null or empty text is its closing id alone. Rows that repeat a
 doc_id are packed each for itself. Null doc_ids stay null. Other columns are not
@@ -33,8 +35,8 @@ from .tokens import encoder, vocabulary_path, with_end
 SIZE = 2048
 END = 0
 OPEN_BINS = 2048
-#: Pieces of one task after the first level.
-TASK_PIECES = 100_000
+#: Ids of one task after the first level, in bins, as a multiple of the bins it keeps open.
+LEVEL_BINS = 4
 
 _PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 _PLACE = [("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -110,7 +112,7 @@ def _pack(pieces: Iterator[tuple], level: int, part: int, last: bool, size: int,
     yield batch()
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, little-endian 32-bit)."""
     path = path or vocabulary_path()
     schema = pa.schema(_PIECE + _PLACE + (_IDS if with_ids else []))
@@ -142,14 +144,17 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
         return run
 
     level = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(first, ddl))
-    done, n = level.where("sequence_id is not null"), 0
-    while (left := (waiting := level.where("sequence_id is null")).count()) > 0:
+    done, n, share = level.where("sequence_id is not null"), 0, LEVEL_BINS * open_bins * size
+    while True:
+        waiting = level.where("sequence_id is null")
+        left, ids = waiting.agg(F.count("*"), F.sum("length")).first()
+        if not left:
+            return done
         n += 1
-        last = left <= task_pieces or n == 15
-        tasks = 1 if left <= task_pieces else -(-left // task_pieces)
+        tasks = -(-ids // share)
+        last = tasks == 1
         waiting = waiting.repartition(tasks)
         if left <= open_bins:  # no bin need close early, so the longest go first
             waiting = waiting.sortWithinPartitions(F.desc("length"), "doc_id", "piece")
         level = checkpoint(waiting.mapInArrow(later(n, last), ddl))
         done = done.unionByName(level.where("sequence_id is not null"))
-    return done

@@ -191,7 +191,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
             yield pa.RecordBatch.from_pydict({"file": pa.array([name]), "part": pa.array([context.partitionId()], pa.int64()), "docs": pa.array([len(writer.names)], pa.int64()), "ids": pa.array([ids_total], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id, or of none, are dealt further by their texts.
+    ordered = rows.withColumn("digest", F.xxhash64("text")).repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
     written = checkpoint(ordered.mapInArrow(save, "file string, part long, docs long, ids long"))
     manifest, start = [], 0
     for r in written.orderBy("part").collect():  # one row per file

@@ -66,7 +66,7 @@ def check_packed(docs, rows, size=2048, end=0):
     return len(by), -(-sum(w[3] for w in want) // size)
 
 
-@pytest.mark.parametrize("how", [{}, {"open_bins": 2, "task_pieces": 3}, {"size": 16}])
+@pytest.mark.parametrize("how", [{}, {"open_bins": 2}, {"size": 16}])
 def test_packing(docs_frame, how):
     docs = DOCS + [(100 + i, "some words " * random.Random(i).randint(1, 900)) for i in range(60)] + [(None, "no name")]
     check_packed(docs, packing.pack(docs_frame(docs).repartition(5), **how).collect(), how.get("size", 2048))
@@ -160,3 +160,14 @@ def test_planes_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in e.queries()["op8_token_planes"](spark, SF).collect()), key=lambda r: r[1])
     assert got == planes_want(docs)
+
+
+def test_short_documents_take_few_levels(docs_frame, monkeypatch):
+    """What a level hands on shrinks with the ids, however many pieces they are."""
+    levels, real = [], packing.checkpoint
+    monkeypatch.setattr(packing, "checkpoint", lambda df: levels.append(1) or real(df))
+    docs = [(i, f"a few words {i}") for i in range(4000)]
+    rows = packing.pack(docs_frame(docs).repartition(8), size=128, open_bins=8).collect()
+    check_packed(docs, rows, 128)
+    assert len(levels) <= 5
+    assert len({r.sequence_id for r in rows}) <= 1.03 * sum(r.length for r in rows) / 128 + 1
