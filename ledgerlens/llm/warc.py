@@ -1,9 +1,10 @@
 """Deterministic sharded WARC archives of pages, and their reader.
 
-Records are range-partitioned and sorted by page_id; each task writes its run of
-them to files that roll over at a compressed size, every record a gzip member
-of its own. Headers, record ids, dates and digests come from the rows alone, so
-the same rows in the same ranges give the same bytes.
+Records are cut into shards, ranges of (page_id, digest) whose limits are keys
+chosen by their hash, and sorted in them; each shard is written to files that
+roll over at a compressed size, every record a gzip member of its own. Limits,
+headers, record ids, dates and digests come from the rows alone, so the same
+rows give the same files, byte by byte, however they are partitioned.
 
 Of records with equal payloads of at least ``least_bytes``, the one with the
 largest page_id is a response and the others are revisits of it (headers only);
@@ -41,9 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import limits, range_of
 from .shared import checkpoint, store
 
 ROLL_BYTES = 128 << 20
+#: Payload bytes of a shard, about; with many shards more, as the driver holds their limits.
+SHARD_BYTES = 16 << 20
 LEAST_BYTES = 1000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,7 +123,7 @@ def _revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     return light.join(last, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES) -> list[dict]:
+def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES, shard_bytes: int = SHARD_BYTES) -> list[dict]:
     """Writes ``pages`` (page_id, url, html) to ``folder``, shared by all executors, and returns the manifest."""
     files, place = store(folder)
     files.create_dir(place)
@@ -129,11 +133,13 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_byt
     marks = _revisits(rows, least_bytes).select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        out = RollingWriter(folder, context.partitionId(), context.taskAttemptId(), roll_bytes)
-        key, refers_to, nth = None, None, 0
+        attempt = TaskContext.get().taskAttemptId()
+        out, done, key, refers_to, nth = None, [], None, None, 0
         for batch in batches:
-            for page_id, digest, kind, to, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, page_id, digest, kind, to, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None or shard != out.part:
+                    done += out.commit() if out is not None else []
+                    out = RollingWriter(folder, shard, attempt, roll_bytes)
                 if (page_id, digest) != key:
                     key, refers_to, nth = (page_id, digest), None, 0
                 if kind == 0:  # the mark stands before its pages
@@ -144,10 +150,15 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_byt
                     raise ValueError(f"page {page_id}: the payload doesn't have its digest")
                 out.add(record(page_id, url, payload, digest.hex(), refers_to, nth))
                 nth += 1
-        done = out.commit()
+        done += out.commit() if out is not None else []
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in done], t) for k, t in _MANIFEST], names=[k for k, _ in _MANIFEST])
 
-    ordered = own.unionByName(marks).repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
+    h = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")  # orders as the digest does
+    key = (F.col("page_id").isNotNull().cast("long"), F.coalesce("page_id", F.lit(0)).cast("long"), h)
+    count, size = rows.agg(F.count("*"), F.sum("payload_bytes")).first()
+    cuts = limits(rows.select(*[k.alias(n) for k, n in zip(key, ("has", "id", "h"), strict=True)]), count, (size or 0) // shard_bytes)
+    shards = own.unionByName(marks).select(range_of(cuts, key).alias("shard"), "page_id", "digest", "kind", "refers_to", "url", "html")
+    ordered = shards.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     written = checkpoint(ordered.mapInArrow(save, "file string, part long, bytes long, records long, sha1 string"))
     manifest = [r.asDict() for r in written.orderBy("file").collect()]  # one row per file
     with files.open_output_stream(f"{place}/_manifest.json") as sink:

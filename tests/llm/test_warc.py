@@ -50,9 +50,18 @@ def test_round_trip(spark, tmp_path, roll):
 
 
 def test_the_same_rows_give_the_same_bytes(spark, tmp_path):
-    pages = frame(spark, PAGES).coalesce(1)
-    one, two = (warc.write(pages, f"file://{tmp_path}/{i}") for i in "ab")
-    assert one == two
+    """However the rows are partitioned, with many shards and with adaptive plans or without."""
+    rows = PAGES + [(i, f"p{i}", f"page {i} " * (i % 90)) for i in range(100, 900)]
+    manifests = []
+    for k, (parts, adaptive) in enumerate(((1, "true"), (3, "true"), (7, "false"))):
+        old = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            manifests.append(warc.write(frame(spark, rows).repartition(parts), f"file://{tmp_path}/{k}", shard_bytes=20_000))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", old)
+        assert got(warc.read(spark, f"file://{tmp_path}/{k}")) == want(rows)
+    assert manifests[0] == manifests[1] == manifests[2] and len({m["part"] for m in manifests[0]}) > 8
 
 
 def test_records_are_members_and_headers_are_safe(spark, tmp_path):
