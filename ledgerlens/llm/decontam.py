@@ -29,12 +29,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
+from .shared import checkpoint, unused
 from .textbatch import ALNUM, chunks, utf8, words_of
 
 WIDTH = 13
 MAX_WINDOWS = 2_000_000
-#: The column of row numbers while several blocks are scanned.
+#: The column of row numbers in a scan, beside doc_id and text.
 ROW = "_scan_row"
 
 
@@ -113,13 +113,13 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ma
     """Per row of ``docs``: doc_id, n_words, n_hit, items (sorted ids), spans (runs of hit words, numbers from 0)."""
     first, blocks = _blocks(benchmark, width, max_windows)
     if blocks is None:
-        return _scan_block(docs.withColumn(ROW, F.lit(0).cast("long")), _broadcast(docs.sparkSession, first, width)).drop("row")
+        return _scan_block(docs.select("doc_id", "text").withColumn(ROW, F.lit(0).cast("long")), _broadcast(docs.sparkSession, first, width)).drop("row")
     return _scan_blocks(_numbered(docs.select("doc_id", "text")), blocks, width).drop("row")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, row: str = ROW) -> DataFrame:
     """``docs`` with a number of each row, written, so that all scans see the same numbers."""
-    return checkpoint(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    return checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))
 
 
 def _scan_blocks(rows: DataFrame, blocks: Iterator[list[tuple[str, str]]], width: int) -> DataFrame:
@@ -196,12 +196,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, action: str = "drop", width: in
     first, blocks = _blocks(benchmark, width, max_windows)
     if blocks is None:
         return _cut_block(docs, _broadcast(docs.sparkSession, first, width), schema, text_at, drop=action == "drop")
-    rows = _numbered(docs)
-    found = _scan_blocks(rows, blocks, width)
+    row, spans_name = unused(docs, "row", "spans")
+    rows = _numbered(docs, row)
+    found = _scan_blocks(rows.select("doc_id", "text", F.col(row).alias(ROW)), blocks, width)
     if action == "drop":
-        return rows.join(found.where(contaminated()).select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns)
-    spans = found.where("n_hit > 0").select(F.col("row").alias(ROW), F.col("spans").alias("_spans"))
-    return _cut_block(rows.join(spans, ROW, "left").select(*docs.columns, "_spans"), None, schema, text_at)
+        return rows.join(found.where(contaminated()).select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
+    spans = found.where("n_hit > 0").select(F.col("row").alias(row), F.col("spans").alias(spans_name))
+    return _cut_block(rows.join(spans, row, "left").select(*docs.columns, spans_name), None, schema, text_at)
 
 
 def _hits_of(data: np.ndarray, offsets: np.ndarray, spans: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:

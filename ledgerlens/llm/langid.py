@@ -230,11 +230,11 @@ def learn(labelled: DataFrame, slots: int | None = None, hashes: int = HASHES, f
 
 
 def _with_real(rows: DataFrame, model: SplitFilter) -> DataFrame:
-    """``rows`` with ``_real``: each language's real hits, summed over the parts one after the other."""
-    from .shared import checkpoint
+    """``rows`` with one more column: each language's real hits, summed over the parts one after the other."""
+    from .shared import checkpoint, unused
 
     column = rows.columns.index("text")
-    rows = rows.withColumn("_real", F.lit(None).cast("array<double>"))
+    rows = rows.withColumn(unused(rows, "real")[0], F.lit(None).cast("array<double>"))
     for part in range(model.parts):
         shared = rows.sparkSession.sparkContext.broadcast(model.part(part))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import constant_doubles, let
-from .shared import sample
+from .shared import sample, unused
 
 #: About the rows whose texts give labelled samples, and the number of made random strings.
 SAMPLE_ROWS = 2000
@@ -110,7 +110,7 @@ def _steps(docs: DataFrame, column: str) -> DataFrame:
 def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, strings: int = RANDOM_STRINGS) -> tuple[DataFrame, DataFrame]:
     """(random strings, ordinary identifiers), each with a column ``sample``."""
     spark = docs.sparkSession
-    texts = sample(docs.select(clean_text().alias("text")), rows)
+    texts = sample(docs.select("doc_id", clean_text().alias("text")), rows)
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(strings).select(F.when(F.col("id") % 4 == 0, digest).otherwise(F.base64(F.unhex(digest))).alias("sample"))
     spans = texts.select(F.explode(base_spans(F.col("text"))).alias("s"))
@@ -149,11 +149,12 @@ def ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(codes, none, step, lambda a: a["sum"])
 
 
-def with_spans(docs: DataFrame, text: Column, table: list[float], least: float = LEAST_RATIO) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans`` (both sorted by start, then kind)."""
-    scanned = docs.withColumn("_text", text).withColumn("_base", base_spans(F.col("_text"))).withColumn("_runs", _kind_spans(F.col("_text"), "random"))
-    added = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])) & (ratio(r["value"], table) >= least))
-    return scanned.withColumn("_spans", F.when(F.size("_runs") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", added)))).drop("_runs")
+def with_spans(docs: DataFrame, text: Column, table: list[float], least: float = LEAST_RATIO, base: str = "_base", spans: str = "_spans") -> DataFrame:
+    """``docs`` with two new columns, ``base`` and ``spans`` (both sorted by start, then kind)."""
+    (clean, runs) = unused(docs, "clean_text", "runs_found")
+    scanned = docs.withColumn(clean, text).withColumn(base, base_spans(F.col(clean))).withColumn(runs, _kind_spans(F.col(clean), "random"))
+    added = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])) & (ratio(r["value"], table) >= least))
+    return scanned.withColumn(spans, F.when(F.size(runs) == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), added)))).drop(runs, clean)
 
 
 def _named(spans: str) -> Column:
@@ -170,7 +171,8 @@ def report(docs: DataFrame, table: list[float], least: float = LEAST_RATIO) -> D
 
 def redact(docs: DataFrame, table: list[float], least: float = LEAST_RATIO, by: str = "[SECRET]") -> DataFrame:
     """``docs`` with its own columns, every span of the text replaced (overlapping ones together)."""
-    found = with_spans(docs, clean_text(), table, least)
+    base, spans = unused(docs, "base", "spans")
+    found = with_spans(docs, clean_text(), table, least, base, spans)
 
     def cut(chars: Column) -> Column:
         none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
@@ -180,7 +182,7 @@ def redact(docs: DataFrame, table: list[float], least: float = LEAST_RATIO, by:
             return F.when(s["end"] <= a["at"], a).when(s["start"] < a["at"], F.struct(s["end"].alias("at"), a["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(gap, F.lit(by))).alias("out")))
 
         end = lambda a: F.concat(F.array_join(a["out"], ""), F.array_join(F.slice(chars, a["at"] + 1, F.size(chars)), ""))
-        return F.aggregate("_spans", none, step, end)
+        return F.aggregate(spans, none, step, end)
 
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(let(F.filter(F.split(F.col("text"), ""), lambda c: c != ""), cut))
+    text = F.when(F.size(spans) == 0, F.col("text")).otherwise(let(F.filter(F.split(F.col("text"), ""), lambda c: c != ""), cut))
     return found.withColumn("text", text.cast(docs.schema["text"].dataType)).select(*docs.columns)

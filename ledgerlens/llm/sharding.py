@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
+from .shared import checkpoint, unused
 
 SHARDS = 16
 SEGMENTS = 1 << 16
@@ -116,10 +116,10 @@ def light_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), group_key().alias("key"))
 
 
-def _shard(firsts: list[int]) -> F.Column:
+def _shard(firsts: list[int], key: str = "key") -> F.Column:
     at = F.lit(0)
     for f in firsts:
-        at = at + (F.col("key") >= F.lit(f)).cast("int")
+        at = at + (F.col(key) >= F.lit(f)).cast("int")
     return at
 
 
@@ -143,5 +143,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, segments: int = SEGMENTS) -> D
 def write(docs: DataFrame, folder: str, shards: int = SHARDS) -> int:
     """Writes ``docs`` as Parquet, one folder per shard; returns the capacity in bytes."""
     firsts, capacity = plan(checkpoint(light_rows(docs).groupBy("key").agg(F.sum("size").alias("size"))), shards)
-    docs.withColumn("key", group_key()).withColumn("_shard", _shard(firsts)).drop("key").write.partitionBy("_shard").mode("errorifexists").parquet(folder)
+    (key,) = unused(docs, "key")
+    shard = "shard" if "shard" not in {c.lower() for c in docs.columns} else unused(docs, "shard")[0]
+    docs.withColumn(key, group_key()).withColumn(shard, _shard(firsts, key)).drop(key).write.partitionBy(shard).mode("errorifexists").parquet(folder)
     return capacity
