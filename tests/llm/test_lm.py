@@ -43,40 +43,113 @@ def test_rare_words_meet_their_counts_in_the_join(docs_frame, monkeypatch):
     frame = docs_frame(DOCS)
     training = frame.where(~lm.held_out())
     counts = lm.word_counts(training)
-    v = lm.vocabulary(counts, short=2, classes=3, known=2)
+    v = lm.vocabulary(counts, listed=2, classes=3, known=2)
     check(DOCS, lm.score(frame, counts, v, lm.Model.new(v)).collect())
 
 
 def test_no_more_words_are_known_than_allowed(spark):
     counts = spark.createDataFrame([(i, 7, n) for i, n in enumerate([100, 90, 50, 50, 50, 3, 2, 1, 1, 1, 1])] + [(-1, -1, 9)], "word long, ending int, n long")
     for known in (1, 2, 4, 5, 7, 20):
-        v = lm.vocabulary(counts, short=3, classes=3, known=known)
+        v = lm.vocabulary(counts, listed=3, classes=3, known=known)
         assert len(v.keys) <= known and set(v.counts) == {n for n in (100, 90, 50, 3, 2, 1) if sum(x >= n for x in [100, 90, 50, 50, 50, 3, 2, 1, 1, 1, 1]) <= known}
         assert v.tokens == 358 and v.types == 12
 
 
-def test_probabilities_sum_to_one(spark, docs_frame):
-    """Over all symbols after any context, and over all words (one unseen word for each class) within the classes."""
+def learned(docs_frame, **how):
     training = docs_frame(DOCS)
     counts = lm.word_counts(training)
-    v = lm.vocabulary(counts, short=4, classes=5)
-    m = lm.train(training, v)
+    v = lm.vocabulary(counts, **how)
+    return counts, v, lm.train(training, v)
+
+
+def test_probabilities_sum_to_one(docs_frame):
+    """Over all symbols after any context, and over all other words of a class (one unseen word among them)."""
+    counts, v, m = learned(docs_frame, listed=6, classes=5, least=1)
     n = len(v.bias)
     for context in ([0, 1], [n, n], [n - 1, 2]):
         p = np.exp(m.log_probabilities(np.arange(n), [np.full(n, c) for c in context]))
         assert p.sum() == pytest.approx(1, abs=1e-5)
     inside = np.zeros(n)
-    listed = {int(k) for k, s in zip(v.keys, v.short, strict=True) if s >= 0}
+    listed = {int(k) for k, s in zip(v.keys, v.listed, strict=True) if s >= 0}
+    assert len(listed) == 6
+    rest = v.first[1:-1] - 1
     for r in counts.where("ending >= 0").collect():
         if r.word % 2**64 not in listed:
-            s = v.class_of[r.ending]
-            inside[s] += (r.n + lm.SMOOTH) / 10 ** v.log_class[s]
-    for s in range(len(listed), n - 1):
-        assert inside[s] + lm.SMOOTH / 10 ** v.log_class[s] == pytest.approx(1)
+            s = rest[v.class_of[r.ending]]
+            inside[s] += (r.n + lm.SMOOTH) / 10 ** v.log_rest[s]
+    for s in rest:
+        assert inside[s] + lm.SMOOTH / 10 ** v.log_rest[s] == pytest.approx(1)
+
+
+def brute_score(text, counts, v, m):
+    """A word at a time, in plain numbers: log10 of P(class) P(symbol | class) and the share of other words."""
+    known = {int(k) % 2**64: int(s) for k, s in zip(v.keys, v.listed, strict=True)}
+    n, total, before = len(v.bias), 0.0, [len(v.bias)] * 2
+    raw = (text or "").encode()
+    for word in [*raw.split(), None]:
+        if word is None:
+            symbol, extra = n - 1, 0.0
+        else:
+            w = lm.words_of(np.frombuffer(word, np.uint8), np.array([0, len(word)]), lm.SPACED)
+            h = int(w.hash[0])
+            c = int(v.class_of[lm._endings(np.frombuffer(word, np.uint8), w.start, w.end)[0]])
+            symbol, extra = known.get(h, -1), 0.0
+            if symbol < 0:
+                symbol = int(v.first[c + 1]) - 1
+                extra = math.log10(counts.get(h, 0) + 0.1) - v.log_rest[symbol]
+        c = next(k for k in range(len(v.class_bias)) if v.first[k] <= symbol < v.first[k + 1])
+        q = [float(sum(m.context[i][before[i]][j] for i in range(2))) for j in range(m.target.shape[1])]
+        dot = lambda x, q=q: sum(a * float(b) for a, b in zip(q, x, strict=True))
+        by_class = [math.exp(dot(t) + float(b)) for t, b in zip(m.of_class, m.class_bias, strict=True)]
+        inside = {s: math.exp(dot(m.target[s]) + float(m.bias[s])) for s in range(v.first[c], v.first[c + 1])}
+        total += math.log10(by_class[c] / sum(by_class)) + math.log10(inside[symbol] / sum(inside.values())) + extra
+        before = [symbol, before[0]]
+    return total
+
+
+def test_scores_are_those_of_a_plain_scorer(docs_frame):
+    counts, v, m = learned(docs_frame, listed=8, classes=4, known=9)
+    table = {r.word % 2**64: r.n for r in counts.collect()}
+    for r in lm.score(docs_frame(DOCS), counts, v, m).collect():
+        text = dict(DOCS[:60] + DOCS[60:]).get(r.doc_id) if r.doc_id != 5 else None
+        if r.doc_id not in (5, 104):
+            assert r.score == pytest.approx(brute_score(text, table, v, m), rel=1e-4, abs=1e-4)
+
+
+def test_scores_do_not_depend_on_the_layout(docs_frame, monkeypatch):
+    """Other partitions and batches, several shards: the same model."""
+    rows = DOCS + [(i, f"more {i % 13} and {i % 5} of it\n" * 9) for i in range(200, 400)]
+    found = []
+    for parts in (1, 3, 7):
+        scored = lm.report(docs_frame(rows).repartition(parts), shard_bytes=4000).collect()
+        found.append(sorted((str(r.doc_id), r.n_tokens, r.score) for r in scored))
+    for other in found[1:]:
+        for a, b in zip(found[0], other, strict=True):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-6)
+
+
+def test_words_with_one_ending_are_told_apart(docs_frame):
+    """Two common words of one class in exchanged places give another score."""
+    rows = [(i, "the boating man saw the coating dry and went boating home") for i in range(300)]
+    docs = docs_frame(rows + [(1001, "the boating man saw the coating dry"), (1002, "the coating man saw the boating dry")])
+    got = {r.doc_id: r.score for r in lm.report(docs).collect()}
+    assert got[1001] > got[1002] + 1
+
+
+def test_the_vocabulary_grows_with_the_counts(spark):
+    """Every word of enough counts has a symbol, up to the bound; classes hold like shares of the tokens."""
+    rows = [(i, i % 500, 2 + i % 7) for i in range(5000)] + [(-1, -1, 9)]
+    counts = spark.createDataFrame(rows, "word long, ending int, n long")
+    v = lm.vocabulary(counts, classes=16)
+    assert (v.listed >= 0).sum() == sum(n >= lm.LEAST_COUNT for _, e, n in rows if e >= 0) and len(set(v.listed.tolist())) == (v.listed >= 0).sum() + 1
+    share = np.exp(v.class_bias[:-1])
+    assert share.max() < 1.3 * share.min()
+    assert (lm.vocabulary(counts, classes=16, listed=100).listed >= 0).sum() == 100
 
 
 def test_contexts_stay_inside_a_text():
-    v = lm.Vocabulary(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.zeros(1 << 16, np.int32), np.zeros(2), np.log(np.array([0.5, 0.5])), 0, 0, 0)
+    first = np.array([0, 1, 2])
+    v = lm.Vocabulary(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.zeros(1 << 16, np.int32), first, np.zeros(2), np.zeros(2), np.log(np.array([0.5, 0.5])), 0, 0, 0)
     raw = b"a b cd e"
     t = lm.tokens_of(np.frombuffer(raw, np.uint8), np.array([0, 3, 3, 8]), v, 2)
     assert t.symbol.tolist() == [0, 0, 1, 1, 0, 0, 1] and t.first.tolist() == [0, 3, 4, 7]
