@@ -141,9 +141,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, segments: int = SEGMENTS) -> D
 
 
 def write(docs: DataFrame, folder: str, shards: int = SHARDS) -> int:
-    """Writes ``docs`` as Parquet, one folder per shard; returns the capacity in bytes."""
+    """Writes ``docs`` as Parquet, one folder per shard (``_shard``, or another name where that is taken); returns the capacity in bytes."""
     firsts, capacity = plan(checkpoint(light_rows(docs).groupBy("key").agg(F.sum("size").alias("size"))), shards)
-    (key,) = unused(docs, "key")
-    shard = "shard" if "shard" not in {c.lower() for c in docs.columns} else unused(docs, "shard")[0]
+    key, shard = unused(docs, "key", "shard")
     docs.withColumn(key, group_key()).withColumn(shard, _shard(firsts, key)).drop(key).write.partitionBy(shard).mode("errorifexists").parquet(folder)
     return capacity

@@ -107,3 +107,41 @@ def test_query(spark):
         assert got[i].base_sha256 == hashlib.sha256(named(base(t)).encode()).hexdigest()
         spans = set(filter(None, got[i].spans.split(",")))
         assert set(filter(None, named(base(t)).split(","))) <= spans
+
+
+def test_the_registered_query_is_brute_force(spark):
+    """All spans of the given table: the fixed patterns, and runs by the learned table, in plain Python."""
+    import hashlib
+    import re
+
+    from ledgerlens.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    table = secret_scan.learn(*secret_scan.labelled_samples(docs))
+    number = {c: i for i, c in enumerate(secret_scan.ALPHABET)}
+    patterns = {k: re.compile(v) for k, v in secret_scan.KINDS.items()}
+    want = {}
+    for doc_id, text in docs.collect():
+        text, found = text or "", []
+        for k, kind in enumerate(secret_scan.BASE):
+            for m in patterns[kind].finditer(text):
+                if kind != "assign" or len(m[2]) >= 6:
+                    found.append((m.start(), k, m.end(), kind))
+        base = sorted(found)
+        for m in patterns["random"].finditer(text):
+            codes = [number[c] for c in m[0]]
+            ratio = sum(table[a * len(number) + b] for a, b in zip(codes, codes[1:]))
+            if ratio >= secret_scan.LEAST_RATIO and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+                found.append((m.start(), 3, m.end(), "random"))
+        named = lambda spans: ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(spans))
+        count = [sum(kind == b for *_, kind in base) for b in secret_scan.BASE]
+        want[doc_id] = (doc_id, *count, hashlib.sha256(named(base).encode()).hexdigest(), named(found))
+    got = {r.doc_id: (r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in QUERIES["op10_secret_scan"](spark, sf).collect()}
+    assert got == want and sum(len(w[-1]) > 0 for w in want.values()) > 3
+
+
+def test_the_table_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, two = (secret_scan.learn(*secret_scan.labelled_samples(docs.repartition(n), rows=300)) for n in (3, 7))
+    assert one == two

@@ -74,3 +74,38 @@ def test_query(spark):
     most = check(docs, e.queries()["op9_minimax_sharding"](spark, sf).collect())
     total = sum(len((t or "").encode()) + 1 for _, t in docs)
     assert most <= total / 16 + max(len((t or "").encode()) + 1 for _, t in docs)
+
+
+def test_the_least_capacity_of_the_given_table(spark):
+    """No smaller capacity is feasible: every capacity below fails a greedy filling of the groups in their order."""
+    from collections import Counter
+
+    import xxhash
+
+    from ledgerlens.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    groups = Counter()
+    for t in docs:
+        groups[(xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42) >> 1] += len((t or "").encode()) + 1
+    sizes = [groups[k] for k in sorted(groups)]
+
+    def shards(capacity):
+        n, room = 1, capacity
+        for s in sizes:
+            if s > capacity:
+                return 1 << 30
+            if s > room:
+                n, room = n + 1, capacity
+            room -= s
+        return n
+
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if shards(mid) <= 16 else (mid + 1, high)
+    held = Counter()
+    for r in QUERIES["op9_minimax_sharding"](spark, sf).collect():
+        held[r.shard] += r.size
+    assert max(held.values()) == low and shards(low - 1) > 16
