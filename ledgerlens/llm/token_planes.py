@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .shared import checkpoint, store
 from .textbatch import chunks, utf8
-from .tokens import encoder, vocabulary_path, with_end
+from .tokens import ENCODED_BYTES, encoder, vocabulary_path, with_end
 
 MAGIC = b"TPL1"
 BLOCK_IDS = 1 << 16
@@ -175,13 +175,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
         ids_total = 0
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, ENCODED_BYTES):
                 if writer is None:
                     sink = fs.open_output_stream(draft)
                     writer = PlaneWriter(sink, block_ids, kind)
-                body = data[offsets[a] : offsets[b]].tobytes()
-                at = (offsets[a : b + 1] - offsets[a]).tolist()
-                ids, own = with_end(*encoder(path).encode([body[x:y].decode() for x, y in zip(at, at[1:], strict=False)]), end)
+                ids, own = with_end(*encoder(path).encode_utf8(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), end)
                 writer.add(batch.column(0).slice(a, b - a).to_pylist(), ids, np.diff(own).tolist())
                 ids_total += len(ids)
         if writer is not None:

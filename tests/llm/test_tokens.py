@@ -171,3 +171,20 @@ def test_short_documents_take_few_levels(docs_frame, monkeypatch):
     check_packed(docs, rows, 128)
     assert len(levels) <= 5
     assert len({r.sequence_id for r in rows}) <= 1.03 * sum(r.length for r in rows) / 128 + 1
+
+
+_PARTS = [*"aZéÉß×÷İıŉȿɀ̸́Σ1'|<>!.,_~ \n\t", "'s", "<|endoftext|>", "<|startoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_PARTS), max_size=30).map("".join), max_size=4))
+def test_cuts_at_punctuation_change_no_id(texts):
+    ids, own = tokens.encoder(tokens.vocabulary_path()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(own, own[1:], strict=False)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_kept_once_whatever_punctuation_follows():
+    e, words, marks = tokens.WordEncoder(tokens.vocabulary_path()), ["word", "mot", "élan"], ["", ",", ".", ";", "!?"]
+    t = "\n".join(w + m for w in words for m in marks)
+    assert e.encode([t] * 2)[0].tolist() == PLAIN.encode(t, add_special_tokens=False).ids * 2
+    assert len(e._place) == len(words) + len(marks) - 1
