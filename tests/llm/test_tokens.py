@@ -188,3 +188,14 @@ def test_a_word_is_kept_once_whatever_punctuation_follows():
     t = "\n".join(w + m for w in words for m in marks)
     assert e.encode([t] * 2)[0].tolist() == PLAIN.encode(t, add_special_tokens=False).ids * 2
     assert len(e._place) == len(words) + len(marks) - 1
+
+
+def test_packing_hands_texts_on_as_bytes(docs_frame, monkeypatch):
+    """No string is made for each text before the encoder cuts it."""
+
+    class Bytes:
+        def encode_utf8(self, data, offsets):
+            return tokens.encoder(tokens.vocabulary_path()).encode_utf8(data, offsets)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Bytes())
+    check_packed(DOCS, packing.pack(docs_frame(DOCS).repartition(2)).collect())
