@@ -43,6 +43,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,8 @@ SHARD_BYTES = 16 << 20
 #: Stands for the end among word hashes.
 END_HASH = np.uint64(0x5EED0F7E0DD0C5ED)
 _HELD = 1_500_000
+#: Upper bits of a hash that lead to its place among the frequent words.
+_UPPER_BITS = 18
 #: Parts of the parameters, each averaged by itself.
 _SLICES = 64
 
@@ -155,6 +158,22 @@ class Vocabulary:
     def class_of_symbol(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.class_bias)), np.diff(self.first))
 
+    @cached_property
+    def _buckets(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """(keys and a last one, the place of the first key of each run of hashes with the same upper bits, most keys in a run)."""
+        begin = np.searchsorted(self.keys, np.arange(1 << _UPPER_BITS, dtype=np.uint64) << np.uint64(64 - _UPPER_BITS))
+        return np.append(self.keys, np.uint64((1 << 64) - 1)), begin, int(np.diff(begin, append=len(self.keys)).max())
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """``np.searchsorted(self.keys, hashes)``; the keys are hashes, so few have the same upper bits."""
+        keys, begin, most = self._buckets
+        if most > 32:
+            return np.searchsorted(self.keys, hashes)
+        slot = begin[hashes >> np.uint64(64 - _UPPER_BITS)]
+        for _ in range(most):
+            slot += keys[slot] < hashes
+        return slot
+
     @property
     def log_total(self) -> float:
         return math.log10(self.tokens + SMOOTH * (self.types + 1))
@@ -250,7 +269,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, v: Vocabulary, order: int)
     if len(w.hash):
         other = (v.first[1:] - 1)[v.class_of[_endings(data, w.start, w.end)]]
         if len(v.keys):
-            slot = np.minimum(np.searchsorted(v.keys, w.hash), len(v.keys) - 1)
+            slot = np.minimum(v.slots(w.hash), len(v.keys) - 1)
             hit = v.keys[slot] == w.hash
             count[at] = np.where(hit, v.counts[slot], -1)
             listed = np.where(hit, v.listed[slot], -1)
@@ -266,15 +285,13 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, v: Vocabulary, order: int)
     return Tokens(symbol, contexts, first, count, word)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithms of the rows' sums of exponentials; ``x`` is used up."""
-    top = float(x.max())
-    if top > 60:
-        x -= top
-    else:
-        top = 0.0
+def _log_sum(x: np.ndarray, small: bool) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials; ``x`` is used up. ``small``: no value is beyond 60 or -60."""
+    top = 0 if small else x.max(axis=1)
+    if not small:
+        x -= top[:, None]
     np.exp(x, out=x)
-    return np.log(np.maximum(x @ np.ones(x.shape[1], dtype=x.dtype), 1e-30)) + top
+    return np.log(x @ np.ones(x.shape[1], dtype=x.dtype)) + top
 
 
 @dataclass
@@ -297,34 +314,50 @@ class Model:
         return [self.context, self.of_class, self.class_bias, self.target, self.bias]
 
     def predicted(self, contexts: list[np.ndarray]) -> np.ndarray:
-        h = self.context[0][contexts[0]]
+        h = np.take(self.context[0], contexts[0], axis=0)
         for i in range(1, len(contexts)):
-            h += self.context[i][contexts[i]]
+            h += np.take(self.context[i], contexts[i], axis=0)
         return h
 
     def log_probabilities(self, symbol: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Normalised natural log-probability of each token's symbol."""
-        own = np.searchsorted(self.first, symbol, side="right") - 1
+        own = _class_of(self.first)[symbol]
         by_class = np.argsort(own, kind="stable")
         out = np.empty(len(symbol))
         edge = np.searchsorted(own[by_class], np.arange(len(self.first)))
+        classes, width = self.of_class.shape
         for c, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            if a == b:
+                continue
             lo, hi = int(self.first[c]), int(self.first[c + 1])
-            step = max(64, (1 << 17) // max(hi - lo, len(self.of_class)))  # products that stay in the cache
+            inside = slice(lo, hi if hi - lo > 1 else lo)  # a class of one symbol has one softmax
+            # Both softmaxes by one product, in which a 1 in each row meets the biases.
+            both = np.empty((classes + inside.stop - lo, width + 1), dtype=self.of_class.dtype)
+            both[:classes, :-1], both[:classes, -1] = self.of_class, self.class_bias
+            both[classes:, :-1], both[classes:, -1] = self.target[inside], self.bias[inside]
+            most = math.sqrt(float(np.einsum("ij,ij->i", both, both).max()))
+            step = max(64, (1 << 17) // len(both))  # products that stay in the cache
             for s in range(a, b, step):
                 at = by_class[s : min(b, s + step)]
-                h = self.predicted([x[at] for x in contexts])
-                x = h @ self.of_class.T + self.class_bias
+                h = np.ones((len(at), width + 1), dtype=both.dtype)
+                h[:, :-1] = self.predicted([x[at] for x in contexts])
+                x = h @ both.T
+                small = most * math.sqrt(float(np.einsum("ij,ij->i", h, h).max())) < 60  # then so is every product
+                small = small or max(float(x.max()), -float(x.min())) < 60
                 found = x[:, c].copy()
-                found -= _log_sum(x)
-                if hi - lo > 1:
-                    x = h @ self.target[lo:hi].T + self.bias[lo:hi]
-                    found += x[np.arange(len(at)), symbol[at] - lo]
-                    found -= _log_sum(x)
+                found -= _log_sum(x[:, :classes], small)
+                if inside.stop > lo:
+                    found += x[np.arange(len(at)), classes + symbol[at] - lo]
+                    found -= _log_sum(x[:, classes:], small)
                 out[at] = found
         return out
 
 
+def _class_of(first: np.ndarray) -> np.ndarray:
+    """The class of each symbol."""
+    return np.repeat(np.arange(len(first) - 1, dtype=np.int16 if len(first) < 1 << 15 else np.int64), np.diff(first))
+
+
 class Trainer:
     """Noise-contrastive estimation at both levels, with Adagrad steps on the rows that a mini-batch touches."""
 
@@ -341,11 +374,12 @@ class Trainer:
         total = np.repeat(np.add.reduceat(inside, model.first[:-1]), np.diff(model.first))
         self.log_inside = (np.log(inside / total) + math.log(noise)).astype(np.float32)
         self.inside = np.cumsum(inside / total)  # class c spans c to c + 1
+        self.class_of = _class_of(model.first)
 
     def step(self, symbol: np.ndarray, contexts: list[np.ndarray]) -> None:
         m, many = self.m, len(symbol)
         # Tokens by class: those of a class share its noise words.
-        own = (np.searchsorted(m.first, symbol, side="right") - 1).astype(np.int16)
+        own = self.class_of[symbol]
         order = np.argsort(own, kind="stable")
         own, symbol, contexts = own[order].astype(np.int64), symbol[order], [c[order] for c in contexts]
         begin = np.flatnonzero(np.diff(own, prepend=-1))
@@ -354,9 +388,10 @@ class Trainer:
 
         # Classes: one set of noise for the mini-batch.
         x = np.minimum(np.searchsorted(self.classes, self.rng.random(self.class_noise)), len(self.classes) - 1)
-        g = _miss(np.einsum("ij,ij->i", h, m.of_class[own]) + m.class_bias[own] - self.log_classes[own])
+        mine = np.take(m.of_class, own, axis=0)
+        g = _miss(np.einsum("ij,ij->i", h, mine) + m.class_bias[own] - self.log_classes[own])
         gx = -_hit(h @ m.of_class[x].T + (m.class_bias[x] - self.log_classes[x]))
-        dh = g[:, None] * m.of_class[own] + gx @ m.of_class[x]
+        dh = g[:, None] * mine + gx @ m.of_class[x]
         at = np.concatenate([classes, x])
         vectors = np.concatenate([np.add.reduceat(g[:, None] * h, begin, axis=0), gx.T @ h])
         weights = np.concatenate([np.add.reduceat(g, begin), gx.sum(axis=0)])
@@ -371,9 +406,10 @@ class Trainer:
         other = np.empty((many, self.noise), dtype=np.float32)
         for k, (a, b) in enumerate(spans):
             other[a:b] = h[a:b] @ t[k].T + shift[k]
-        g = _miss(np.einsum("ij,ij->i", h, m.target[symbol]) + m.bias[symbol] - self.log_inside[symbol]) * real
+        mine = np.take(m.target, symbol, axis=0)
+        g = _miss(np.einsum("ij,ij->i", h, mine) + m.bias[symbol] - self.log_inside[symbol]) * real
         gx = -_hit(other) * real[:, None]
-        dh += g[:, None] * m.target[symbol]
+        dh += g[:, None] * mine
         noise = np.empty_like(t)
         for k, (a, b) in enumerate(spans):
             dh[a:b] += gx[a:b] @ t[k]
@@ -392,9 +428,10 @@ class Trainer:
             self._move(values[bias], self.squares[bias], rows, both[:, -1] / many)
 
     def _move(self, value: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        total = square[rows] + grad * grad
+        total = np.take(square, rows, axis=0)
+        total += grad * grad
         square[rows] = total
-        value[rows] += self.rate * grad / np.sqrt(total)
+        value[rows] = np.take(value, rows, axis=0) + self.rate * grad / np.sqrt(total)
 
 
 def _hit(x: np.ndarray) -> np.ndarray:
@@ -407,10 +444,10 @@ def _miss(x: np.ndarray) -> np.ndarray:
 
 def _by_row(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different indices, and the sum of the rows of each."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")  # short numbers are sorted by their digits
     sorted_at = at[order]
     begin = np.flatnonzero(np.diff(sorted_at, prepend=-1))
-    return sorted_at[begin], np.add.reduceat(rows[order], begin, axis=0)
+    return sorted_at[begin], np.add.reduceat(np.take(rows, order, axis=0), begin, axis=0)
 
 
 def _train_once(docs: DataFrame, v: Vocabulary, model: Model, turn: int, shards: int) -> Model:

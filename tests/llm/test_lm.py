@@ -171,3 +171,42 @@ def test_query_beats_the_base_on_held_out_texts(spark):
     held = [r for r in rows if r.held_out]
     tokens = sum(r.n_tokens for r in held)
     assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.1
+
+
+def _vocabulary(keys, first=(0, 1, 2)):
+    n = first[-1]
+    zero = np.zeros(len(keys), dtype=np.int64)
+    return lm.Vocabulary(np.sort(keys), zero, zero, np.zeros(1 << 16, dtype=np.int32), np.array(first), np.zeros(n), np.zeros(n), np.zeros(len(first) - 1), 1, 1, 1)
+
+
+@pytest.mark.parametrize("keys", [np.random.default_rng(1).integers(0, 1 << 64, 50_000, dtype=np.uint64), np.arange(100, dtype=np.uint64), np.array([7, 1 << 63, (1 << 64) - 1], dtype=np.uint64)])
+def test_slots_are_those_of_a_binary_search(keys):
+    v = _vocabulary(keys)
+    asked = np.concatenate([keys, keys + np.uint64(1), np.random.default_rng(2).integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1], dtype=np.uint64)])
+    assert (v.slots(asked) == np.searchsorted(v.keys, asked)).all()
+
+
+@pytest.mark.parametrize("scale", [0.1, 1.0, 12.0])
+def test_both_softmaxes_of_one_product(scale):
+    """Against each softmax alone in double precision; with large products too."""
+    v, rng = _vocabulary(np.empty(0, dtype=np.uint64), (0, 5, 6, 300, 301)), np.random.default_rng(4)
+    m = lm.Model.new(v)
+    for x in m.arrays():
+        x += rng.normal(0, scale, x.shape).astype(x.dtype)
+    symbol = rng.integers(0, 301, 3000)
+    contexts = [rng.integers(0, 302, 3000) for _ in range(lm.ORDER)]
+    got = m.log_probabilities(symbol, contexts)
+    h = m.predicted(contexts).astype(np.float64)
+    for i, s in enumerate(symbol.tolist()):
+        c = int(np.searchsorted(m.first, s, side="right")) - 1
+        lo, hi = int(m.first[c]), int(m.first[c + 1])
+        parts = [(m.of_class @ h[i] + m.class_bias, c), (m.target[lo:hi] @ h[i] + m.bias[lo:hi], s - lo)]
+        want = sum(x[k] - x.max() - math.log(np.exp(x - x.max()).sum()) for x, k in parts)
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-4 * (1 + scale * scale))
+
+
+def test_rows_are_summed_alike_with_short_and_long_indices():
+    rng = np.random.default_rng(6)
+    at, rows = rng.integers(0, 1 << 16, 4000), rng.normal(0, 1, (4000, 3)).astype(np.float32)
+    short, long = lm._by_row(at, rows), lm._by_row(at + (1 << 16), rows)
+    assert (short[0] + (1 << 16) == long[0]).all() and (short[1] == long[1]).all()
